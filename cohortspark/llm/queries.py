@@ -7,10 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, neardup, quality, secrets
+from . import decontaminate, langid, licenses, mixing, neardup, quality, secrets, urlfilter
 from .common import fold_of, table
 
 
+#: Target weights of the sources of ``documents``.
+MIX_WEIGHTS = {"src0": 3, **{f"src{i}": 2 for i in range(1, 5)}, **{f"src{i}": 1 for i in range(5, 20)}}
+
+
+def op1_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents").select("doc_id", "source"), MIX_WEIGHTS)
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
     return decontaminate.contaminated(docs, items).drop("part").distinct()
@@ -27,6 +35,28 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, profiles, ("doc_id", "held_out"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"), licenses.registry(spark))
+
+
+#: A dated list for the hosts of ``pages``: (rule, verdict, op, days after the first of 2024).
+URL_LIST = (
+    ("d:spam-farm.example.org", "block", "add", -200), ("d:spam-farm.example.org", "block", "remove", 90), ("d:spam-farm.example.org", "block", "add", 180),
+    ("d:adult-x.example.net", "block", "add", -30), ("d:adult-x.example.net", "block", "remove", 250), ("d:example.com", "block", "add", 100), ("d:example.com", "block", "remove", 130),
+    ("d:tionsh.example.com", "allow", "add", 110), ("p:blog.tionsh.example.com/en/", "block", "add", 60), ("p:blog.tionsh.example.com/en/", "block", "remove", 200), ("p:blog.tionsh.example.com/fr/", "block", "add", 120),
+    ("d:tionble.example.org", "block", "add", 10), ("d:tionble.example.org", "block", "add", 40), ("d:tionble.example.org", "block", "remove", 300), ("d:m.ththth.example.net", "allow", "add", 0),
+    ("d:ththth.example.net", "block", "add", 30), ("d:example.net", "block", "add", 340), ("p:www.ththon.example.org/de/", "block", "add", 200), ("d:ththon.example.org", "allow", "add", 0), ("d:ththon.example.org", "allow", "remove", 220),
+)
+FIRST_DAY = 1_704_067_200
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``pages`` has no fetch time: page n counts as fetched 7919 * n seconds (modulo a year) into 2024."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") * 7919 % 31_536_000 + FIRST_DAY).alias("fetched"))
+    entries = spark.createDataFrame([(i, rule, verdict, op, FIRST_DAY + 86_400 * day) for i, (rule, verdict, op, day) in enumerate(URL_LIST)], "entry_id long, rule string, verdict string, op string, ts long")
+    return urlfilter.evaluate(pages, entries)
+
+
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -39,5 +69,90 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
 
+def _q(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _op1_sql() -> str:
+    weights = ", ".join(f"({_q(s)}, {w})" for s, w in MIX_WEIGHTS.items())
+    return f"""
+WITH RECURSIVE weights(s, w) AS (VALUES {weights}, ('*', 1)),
+d AS (SELECT doc_id, source, coalesce(k.s, '*') AS s, md5('17:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS o
+      FROM documents LEFT JOIN weights k ON k.s = source AND source <> '*'),
+r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY o, doc_id) - 1 AS rk FROM d),
+n AS (SELECT s, any_value(w) AS w, CAST(ceil(count(*) / {mixing.BLOCK_ROWS}) AS BIGINT) AS nb, row_number() OVER (ORDER BY s) AS k FROM d JOIN weights USING (s) GROUP BY s),
+blocks AS (SELECT s, k, w, unnest(range(nb)) AS i FROM n),
+jobs AS (SELECT b.s, b.k, b.i, CAST(floor(sum(least(n.nb * b.w, n.w * b.i)) / b.w) AS BIGINT) AS rel,
+                CAST(ceil(sum(least(n.nb * b.w, n.w * (b.i + 1))) / b.w) AS BIGINT) AS due
+         FROM blocks b, n GROUP BY b.s, b.k, b.i, b.w),
+sched(t, done, pick) AS (
+  SELECT CAST(-1 AS BIGINT), (SELECT list(CAST(0 AS BIGINT)) FROM n), CAST(0 AS BIGINT)
+  UNION ALL
+  SELECT t + 1, list_transform(done, lambda x, j: x + CAST(j = p AS BIGINT)), p
+  FROM (SELECT t, done, arg_min(j.k, due * 1000000 + j.k) AS p FROM sched JOIN jobs j ON j.i = done[j.k] AND j.rel <= t + 1 GROUP BY t, done)),
+slots AS (SELECT pick AS k, done[pick] - 1 AS i, t AS slot FROM sched WHERE t >= 0)
+SELECT doc_id, source, CAST(rk // {mixing.BLOCK_ROWS} AS BIGINT) AS mix_block, slot AS mix_slot, CAST(rk % {mixing.BLOCK_ROWS} AS INTEGER) AS mix_rank,
+       CAST(slot * {mixing.BLOCK_ROWS} + rk % {mixing.BLOCK_ROWS} AS BIGINT) AS mix_position
+FROM r JOIN n USING (s) JOIN slots ON slots.k = n.k AND slots.i = rk // {mixing.BLOCK_ROWS}"""
+
+
+def _canonical_sql(text: str) -> str:
+    t = f"trim(regexp_replace(regexp_replace(lower({text}), {_q(licenses.COPYRIGHT_LINE)}, chr(10), 'g'), {_q(licenses.NOT_WORDS)}, ' ', 'g'))"
+    padded = f"(' ' || {t} || ' ')"
+    for old, new in licenses.EQUIVALENT:
+        padded = f"replace(replace({padded}, ' {old} ', ' {new} '), ' {old} ', ' {new} ')"
+    return f"trim({padded})"
+
+
+def _op6_sql() -> str:
+    known = ", ".join(f"({_q(k)}, {_q(v)})" for k, v in sorted(licenses.REGISTRY.items()))
+    return f"""
+WITH known(license_id, body) AS (VALUES {known}),
+k AS (SELECT sha256({_canonical_sql("body")}) AS digest, min(license_id) AS license_id FROM known GROUP BY 1),
+d AS (SELECT doc_id, {_canonical_sql("text")} AS form FROM documents)
+SELECT doc_id, CAST(length(form) AS BIGINT) AS n_canonical, sha256(form) AS digest, license_id FROM d LEFT JOIN k ON k.digest = sha256(form)"""
+
+
+def _op8_sql() -> str:
+    entries = ", ".join(f"({i}, {_q(rule)}, {_q(verdict)}, {_q(op)}, {FIRST_DAY + 86_400 * day})" for i, (rule, verdict, op, day) in enumerate(URL_LIST))
+    return rf"""
+WITH log(entry_id, rule, verdict, op, ts) AS (VALUES {entries}),
+dated AS (SELECT *, lead(ts) OVER (PARTITION BY rule, verdict ORDER BY ts, entry_id) AS until FROM log),
+live AS (SELECT * FROM dated WHERE op = 'add' AND (until IS NULL OR until > ts)),
+p AS (SELECT page_id, url, page_id * 7919 % 31536000 + {FIRST_DAY} AS fetched,
+             regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '\.?(:[0-9]*)?$', '') AS h,
+             regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)', 1) AS path FROM pages),
+met AS (SELECT page_id, l.rule, l.entry_id, l.verdict FROM p JOIN live l ON fetched >= ts AND (until IS NULL OR fetched < until) AND h <> '' AND (
+          (starts_with(rule, 'd:') AND (h = rule[3:] OR ends_with(h, '.' || rule[3:])))
+          OR (starts_with(rule, 'p:') AND starts_with(h || path, rule[3:]) AND (ends_with(rule, '/') OR h || path = rule[3:])))),
+best AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY length(rule) DESC, rule DESC, verdict DESC, entry_id DESC) AS k FROM met)
+SELECT p.page_id, url, fetched, rule, CAST(entry_id AS BIGINT) AS entry_id, coalesce(verdict = 'block', false) AS blocked FROM p LEFT JOIN best ON best.page_id = p.page_id AND k = 1"""
+
+
+def _op10_sql() -> str:
+    def found(pattern: str, kind: int, keep: str, value: str = "m") -> str:
+        return f"""
+  SELECT doc_id, source, {kind} AS k, g + before AS s, g + before + length(m) AS e, {value} AS v FROM (
+    SELECT doc_id, source, hits[i] AS m, coalesce(list_sum(list_transform(hits[1:i - 1], lambda x: length(x))), 0) AS before, list_sum(list_transform(gaps[1:i], lambda x: length(x))) AS g
+    FROM (SELECT doc_id, source, hits, gaps, unnest(range(1, len(hits) + 1)) AS i
+          FROM (SELECT doc_id, source, regexp_extract_all(text, {_q(pattern)}) AS hits, string_split_regex(text, {_q(pattern)}) AS gaps FROM documents))) WHERE {keep}"""
+
+    names = "list_value(" + ", ".join(map(_q, secrets.KINDS)) + ")"
+    text = f"{names}[k + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
+    return f"""
+WITH base AS ({found(secrets.ASSIGN, 0, f"length(v) >= {secrets.ASSIGN_LEAST}", f"regexp_extract(m, {_q(secrets.ASSIGN)}, 2)")}
+  UNION ALL {found(secrets.ACCESS, 1, "true")} UNION ALL {found(secrets.HEX, 2, "true")}),
+broad AS ({found(secrets.BROAD, 3, "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')")}),
+extra AS (SELECT * FROM broad x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s < x.e AND x.s < b.e)),
+every AS (SELECT * FROM base UNION ALL SELECT * FROM extra),
+wide AS (SELECT v FROM every GROUP BY v HAVING count(DISTINCT source) > {secrets.EXAMPLE_OWNERS}),
+kept AS (SELECT * FROM every WHERE k < 3 OR v NOT IN (SELECT v FROM wide)),
+b AS (SELECT doc_id, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg({text}, ',' ORDER BY s, k) AS base FROM base GROUP BY doc_id),
+a AS (SELECT doc_id, string_agg({text}, ',' ORDER BY s, k) AS spans, count(*) FILTER (v IN (SELECT v FROM wide)) AS n_example FROM kept GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_example, 0) AS n_example
+FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_source_mixing": _op1_sql(), "op6_license_scan": _op6_sql(), "op8_url_filter": _op8_sql(), "op10_secret_scan": _op10_sql()}
