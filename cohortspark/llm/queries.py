@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, mixing, neardup, quality, secrets, urlfilter
+from . import decontaminate, langid, licenses, mixing, neardup, quality, secrets, urlfilter, warc
 from .common import fold_of, table
 
 
@@ -39,6 +39,11 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"), licenses.registry(spark))
 
 
+def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    place = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(spark, place, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 #: A dated list for the hosts of ``pages``: (rule, verdict, op, days after the first of 2024).
 URL_LIST = (
     ("d:spam-farm.example.org", "block", "add", -200), ("d:spam-farm.example.org", "block", "remove", 90), ("d:spam-farm.example.org", "block", "add", 180),
