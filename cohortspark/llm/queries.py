@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, mixing, neardup, quality, secrets, urlfilter, warc
+from . import decontaminate, langid, licenses, lmscore, mixing, neardup, quality, secrets, urlfilter, warc
 from .common import fold_of, table
 
 
@@ -29,6 +29,10 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(stats, quality.fit(stats, table(spark, sf_dir, "labels")))
 
 
+def op4_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(table(spark, sf_dir, "documents"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", fold_of(F.col("doc_id")) == 0)
     profiles = langid.fit(docs.where(~F.col("held_out")))
