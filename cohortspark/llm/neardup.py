@@ -12,10 +12,15 @@ How it stays linear in hot groups:
   each document verifies only its most similar one.
 * After the first grouping only pairs *between* groups are looked at: in each
   bucket, members outside the bucket's largest group are held against the
-  bucket in square blocks of bounded size, by 8-bit signature samples; what
-  passes is verified on the full sets.  No bucket, partner or candidate is
-  capped, so what is lost is only what shares no band (under 1e-5 of the pairs
-  at a similarity of 0.85) or falls short in the sample (under 1e-9).
+  bucket in square blocks of bounded size, by an exact bound, by 8-bit
+  signature samples and by half-width sets; what passes is verified on the full
+  sets.  The bound: a
+  shingle that no other document of the open buckets has is in no
+  intersection, so with u such shingles of n the intersection is at most n - u.
+  In a large group of near copies, whose edits are each their own, it leaves
+  little but true links.  No bucket, partner or candidate is capped, so what is
+  lost is only what shares no band (under 1e-5 of the pairs at a similarity of
+  0.85) or falls short in the sample (likewise).
 * Groups are found by alternating large-star and small-star steps; every step
   is a partial aggregation and a join, checkpointed in the shared folder.
 
@@ -29,7 +34,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +45,7 @@ WORDS = 5
 BANDS, ROWS = 20, 5
 PERCENT = 85
 #: Of the 100 sampled signature bytes, how many have to agree before a pair is verified.
-AGREE = 62
+AGREE = 68
 BLOCK = 2048
 
 
@@ -147,6 +151,35 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, len(begin) - 1), data], ["id", "members"])
 
 
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, token) of the shingles of sets (id, members)."""
+    for batch in batches:
+        sizes, h = _buffers(batch.column(1), np.int64)
+        for lo in range(0, len(sizes), 256):  # some hundred thousand tokens at a time
+            part = sizes[lo : lo + 256]
+            at = int(sizes[:lo].sum())
+            owner = batch.column(0).take(pa.array(lo + np.repeat(np.arange(len(part)), part)))
+            yield pa.RecordBatch.from_arrays([owner, pa.array(h[at : at + int(part.sum())])], ["id", "token"])
+
+
+def _halves(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sets by the low half of every hash: intersections can only grow."""
+    for batch in batches:
+        sizes, h = _buffers(batch.column(1), np.uint64)
+        low = (h & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+        off = np.concatenate(([0], np.cumsum(sizes)))
+        data = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer((off * 4).astype(np.int32)), pa.py_buffer(low)])
+        yield pa.RecordBatch.from_arrays([batch.column(0), data], ["id", "half"])
+
+
+def _buffers(column: pa.Array, dtype) -> tuple[np.ndarray, np.ndarray]:
+    """How many values each binary row holds, and all the values."""
+    _, off, data = column.buffers()
+    off = np.frombuffer(off, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    values = np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)
+    return np.diff(off) // 8, values[off[0] : off[-1]].view(dtype) if len(off) else np.zeros(0, dtype)
+
+
 def _linked(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -179,23 +212,46 @@ def _agreeing(least: int):
     return run
 
 
-def _block(least: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        """One square block of a bucket: outsiders (side 0) against members (side 1) of other groups."""
-        s, m = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1]
-        out_a, out_b = [], []
+def _across(least: int, percent: int):
+    """Of rows sorted by (key, i, j): pairs of an outsider (side 0) and a member of another group (side 1) that look linked."""
+
+    def pairs(t: pa.Table) -> np.ndarray:
+        side = t["side"].to_numpy()
+        s, m = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+        found = []
         if len(s) and len(m):
-            x = np.frombuffer(b"".join(s["sample"]), np.uint8).reshape(len(s), -1)
-            y = np.frombuffer(b"".join(m["sample"]), np.uint8).reshape(len(m), -1)
-            sid, mid, sc, mc = s["id"].to_numpy(), m["id"].to_numpy(), s["comp"].to_numpy(), m["comp"].to_numpy()
-            for i in range(len(s)):
-                hit = np.flatnonzero(mc != sc[i])
-                if len(hit):
-                    hit = hit[(y[hit] == x[i]).sum(axis=1) >= least]
-                    out_a.append(np.minimum(sid[i], mid[hit]))
-                    out_b.append(np.maximum(sid[i], mid[hit]))
-        cat = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
-        return pd.DataFrame({"a": cat(out_a), "b": cat(out_b)}).drop_duplicates()
+            ids, comp, n, own = (t[c].to_numpy() for c in ("id", "comp", "n", "own"))
+            sample = np.frombuffer(b"".join(t["sample"].to_pylist()), np.uint8).reshape(len(side), -1)
+            half = t["half"].to_pylist()
+            for i in s:
+                most = np.minimum(n[i] - own[i], n[m] - own[m])
+                hit = m[(comp[m] != comp[i]) & (100 * most >= percent * (n[i] + n[m] - most))]
+                hit = hit[(sample[hit] == sample[i]).sum(axis=1) >= least]
+                for k in hit:
+                    both = np.frombuffer(half[i] + half[k], np.uint32).copy()
+                    both.sort()
+                    inter = int((both[1:] == both[:-1]).sum())
+                    if 100 * inter >= percent * (n[i] + n[k] - inter):
+                        found.append((ids[i], ids[k]))
+        return np.array(found, np.int64).reshape(-1, 2)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def blocks(t: pa.Table, ended: bool) -> tuple[list[np.ndarray], pa.Table]:
+            k = [t[c].to_numpy() for c in ("key", "i", "j")]
+            cuts = np.flatnonzero(np.any([x[1:] != x[:-1] for x in k], axis=0)) + 1
+            cuts = np.concatenate(([0], cuts, [len(t)] if ended else []))
+            return [pairs(t.slice(a, z - a)) for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist())], t.slice(int(cuts[-1]))
+
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            found, held = blocks(pa.concat_tables([held, t]).combine_chunks() if held is not None else t, False)
+            if found and len(every := np.concatenate(found)):
+                yield pa.RecordBatch.from_arrays([pa.array(every.min(axis=1)), pa.array(every.max(axis=1))], ["a", "b"])
+        if held is not None and len(held):
+            every = np.concatenate(blocks(held, True)[0])
+            yield pa.RecordBatch.from_arrays([pa.array(every.min(axis=1)), pa.array(every.max(axis=1))], ["a", "b"])
 
     return run
 
@@ -242,7 +298,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # equal sets are one class, named after its smallest id
     classes = usable.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
     reps = usable.join(classes.select(F.col("rep").alias("id"), "f1", "f2"), ["id", "f1", "f2"], "left_semi")
-    reps = saved(reps.select("id", "bands", "sample"), "reps")
+    reps = saved(reps.select("id", "n", "bands", "sample"), "reps")
     # buckets with two members or more; one hub each, by turns the smallest and the largest id
     members = reps.select("id", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.when(F.col("key") % 2 == 0, F.min("id")).otherwise(F.max("id")).alias("hub")).where("size > 1")
@@ -259,13 +315,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     grouped = members.join(comp, "id", "left").select("key", "id", "size", F.coalesce("comp", "id").alias("comp"))
     tally = grouped.groupBy("key", "comp").agg(F.count("*").alias("n"), F.first("size").alias("size"))
     open_ = tally.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.max("size").alias("size")).where("most < size")
-    at = cut(grouped.drop("size").join(open_, "key").join(sample, "id"))
-    cells = lambda rows_: F.greatest(F.lit(1), F.ceil(rows_ / block)).cast("int")
-    n_out, n_all = cells(F.col("size") - F.col("most")), cells(F.col("size"))
+    at = grouped.drop("size").join(open_, "key").join(reps.select("id", "n", "sample"), "id")
+    pool = cut(at.select("id").distinct())
+    sets = saved(texts.join(pool, "id", "left_semi").mapInArrow(_sets, "id long, members binary"), "pool")
+    own = sets.mapInArrow(_tokens, "id long, token long").groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
+    facts = sets.mapInArrow(_halves, "id long, half binary").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    at = at.join(facts, "id")
+    parts = lambda rows_: F.greatest(F.lit(1), F.ceil(rows_ / block)).cast("int")
+    n_out, n_all = parts(F.col("size") - F.col("most")), parts(F.col("size"))
     mine = lambda n: F.pmod(F.xxhash64("id", "key"), n).cast("int")
-    out = at.where("comp <> main").select("key", "id", "comp", "sample", F.lit(0).alias("side"), mine(n_out).alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"))
-    all_ = at.select("key", "id", "comp", "sample", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), n_out - 1)).alias("i"), mine(n_all).alias("j"))
-    more = out.unionByName(all_).groupBy("key", "i", "j").applyInPandas(_block(agree), "a long, b long").distinct()
+    out = at.where("comp <> main").select("key", "id", "comp", "n", "own", "sample", "half", F.lit(0).alias("side"), mine(n_out).alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"))
+    all_ = at.select("key", "id", "comp", "n", "own", "sample", "half", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), n_out - 1)).alias("i"), mine(n_all).alias("j"))
+    cells = out.unionByName(all_).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "id")
+    more = cells.mapInArrow(_across(agree, percent), "a long, b long").distinct()
     links = links.unionByName(_verified(cut(more), texts, percent))
     comp = components(links)
     named = classes.join(comp, F.col("rep") == F.col("id"), "left").select("f1", "f2", "n", F.coalesce("comp", "rep").alias("comp"))
