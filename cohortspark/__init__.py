@@ -1,0 +1 @@
+"""Population matching and causal-balance analytics on Spark."""
