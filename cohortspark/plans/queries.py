@@ -544,7 +544,7 @@ def oracle_sql() -> dict[str, str]:
         "binning_log_scale": f"{gap} SELECT unit_id, {_r(z('c_acctbal'), 'z_acctbal')}, floor((n_orders - 1) / 4) + 1 AS bin_orders, round((ln(1 + spend) - (SELECT avg(ln(1 + spend)) FROM c)) / (SELECT stddev_pop(ln(1 + spend)) FROM c), 6) AS z_log_spend FROM c",
         "onehot": f"{gap} SELECT unit_id, {_region_flags('is_')} FROM c",
         "label_encode_impute": f"{gap}, l AS (SELECT region, row_number() OVER (ORDER BY region) - 1 AS code FROM (SELECT DISTINCT region FROM c WHERE region IS NOT NULL)), top AS (SELECT nation FROM c WHERE nation IS NOT NULL GROUP BY nation ORDER BY count(*) DESC, nation LIMIT 1) SELECT unit_id, code AS region_code, round(coalesce(c_acctbal, (SELECT quantile_cont(c_acctbal, 0.5) FROM c)), 6) AS c_acctbal, coalesce(nation, (SELECT nation FROM top)) AS nation FROM c LEFT JOIN l USING (region)",
-        "design_matrix": f"{gap}, s AS (SELECT unit_id, region, {zero('c_acctbal')} AS a, {zero('n_orders')} AS n FROM c) SELECT unit_id, {_r('a', 'c_acctbal')}, {_r('n', 'n_orders')}, {_r('a * n', 'c_acctbal_x_n_orders')}, "
+        "design_matrix": f"{gap}, s AS (SELECT unit_id, region, {zero('c_acctbal')} AS a, {zero('n_orders')} AS n FROM c) SELECT unit_id, {_r('a', 'c_acctbal')}, {_r('n', 'n_orders')}, round(a * n, 6) + 0.0 AS c_acctbal_x_n_orders, "
         + ", ".join(f"CASE WHEN region {'IS NULL' if v is None else '= ' + chr(39) + v + chr(39)} THEN round(a, 6) ELSE 0.0 END AS c_acctbal_x_region_{str(v).replace(' ', '_').lower()}" for v in ("AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", None)) + " FROM s",
         "gower_ranges": f"{gap} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, {_r(f'max({c}) - min({c})', 'span')} FROM c WHERE exposure = 0" for c in NUMERIC),
         "gower_pairs": f"{_gower_sql()} {_PAIR_STATS}", "gower_nulls": f"{_gower_sql(gaps=True)} {_PAIR_STATS}", "gower_weighted": f"{_gower_sql(WEIGHTS)} {_PAIR_STATS}", "gower_recombined": f"{_gower_sql(WEIGHTS)} {_PAIR_STATS}",
