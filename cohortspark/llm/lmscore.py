@@ -39,7 +39,7 @@ WORD_SHARE = 1e-6
 NGRAM_SHARE = 5e-7
 SHARD_BYTES = 32 << 20
 SHARDS = (48, 4096)
-HOLD = 2_000_000
+HOLD = 500_000
 #: The token that ends every document; words have hashes of their bytes, and this is none of an actual word's.
 END = U64(0xE0D0E0D0_5EED_0001)
 _WORD_BITS = U64(20)
@@ -73,7 +73,7 @@ class _Counter:
         self.keys.append(keys)
         self.counts.append(counts)
         self.held += len(keys)
-        if self.held > HOLD + 2 * self.merged:
+        if self.held > HOLD + self.merged:
             self.merge()
 
     def merge(self) -> tuple[np.ndarray, np.ndarray]:
@@ -215,7 +215,7 @@ def _score(folder: str, shards: int, total: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         trie, task, no = Trie.open(folder), TaskContext.get().partitionId(), 0
         for b in batches:
-            for lo, hi, buf, off, _ in bt.text_chunks(b.column(2), 4 * bt.CHUNK_BYTES):
+            for lo, hi, buf, off, _ in bt.text_chunks(b.column(2)):
                 h, begin = tokens(buf, off)
                 batch = (task << 24) + no
                 no += 1
