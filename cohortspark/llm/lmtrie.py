@@ -103,10 +103,12 @@ class EliasFano:
 
 
 def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codebook, codes): 256 levels at the quantiles of the values."""
+    """(codebook, codes): 256 levels at the quantiles of the values; the values themselves if they are no more."""
     if not len(x):
         return np.zeros(1), np.zeros(0, np.uint8)
-    book = np.unique(np.quantile(x, np.linspace(0, 1, 256)))
+    book = np.unique(x)
+    if len(book) > 256:
+        book = np.unique(np.quantile(x, np.linspace(0, 1, 256)))
     return book, np.searchsorted((book[1:] + book[:-1]) / 2, x).astype(np.uint8)
 
 
