@@ -170,14 +170,32 @@ class CohortMatcher:
         return MatchResult(pairs, link(self.cohort.rows, pairs, self.spec, m.include_unmatched), self.spec, edges, weights, info, threshold)
 
 
+#: Up to so many rows are numbered by one sort in one task.
+ONE_SORT = 1_000_000
+
+
+def numbered(rows: DataFrame, key: str, one_sort: int = ONE_SORT) -> DataFrame:
+    """``rows`` with ``number``: the place of the (unique) key in order, from 0.
+
+    Beyond ``one_sort`` rows (counted first) keys are dealt out by ranges,
+    written, ranked within each range, and shifted by the ranges before it.
+    """
+    if rows.count() <= one_sort:
+        return rows.withColumn("number", F.row_number().over(Window.orderBy(key)) - 1)
+    dealt = saved(rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranges")
+    sizes = dealt.groupBy("_range").agg(F.count("*").alias("n"))
+    before = sizes.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
+    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
+    return dealt.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn("number", (F.col("before") + F.col("_place")).cast("int")).drop("_range", "_place", "before")
+
+
 def link(rows: DataFrame, pairs: DataFrame, spec: CohortSpec, include_unmatched: bool = True) -> DataFrame:
     """The population's rows that take part, with their match columns.
 
-    match_group numbers the matched exposed ids from 0; that number comes from
-    one sort over the matched exposed ids alone, one narrow row each.
+    match_group numbers the matched exposed ids from 0, in order.
     """
     groups = pairs.groupBy("query_id").agg(F.count("*").cast("double").alias("n_matches"))
-    groups = groups.withColumn("match_group", (F.row_number().over(Window.orderBy("query_id")) - 1).cast("double"))
+    groups = numbered(groups, "query_id").withColumn("match_group", F.col("number").cast("double")).drop("number")
     heads = groups.select(F.col("query_id").alias("_id"), "match_group", F.lit(1).alias("is_exposed"), "n_matches", F.lit(0.0).alias("match_distance"))
     tails = pairs.join(groups.select("query_id", "match_group"), "query_id").select(F.col("ref_id").alias("_id"), "match_group", F.lit(0).alias("is_exposed"), F.lit(None).cast("double").alias("n_matches"), F.col("distance").alias("match_distance"))
     rows = rows.drop("match_group", "is_exposed", "n_matches", "match_distance")

@@ -162,6 +162,14 @@ def test_components_don_t_change_the_allocation(spark):
         assert {q for q, _ in got} == {q for q, _ in want}
 
 
+def test_numbering_by_ranges(spark):
+    from cohortspark.plans.matcher import numbered
+
+    rows = spark.range(500).selectExpr("id * 37 % 1009 as k", "1 as v").repartition(7)
+    want = sorted((r["k"], r["number"]) for r in numbered(rows, "k").collect())
+    assert sorted((r["k"], r["number"]) for r in numbered(rows, "k", one_sort=10).collect()) == want and [n for _, n in want] == list(range(500))
+
+
 def test_other_methods(spark, cohort):
     full = cohort.na.fill({"age": 40.0, "area": "a"})
     scored = CohortMatcher(full, SPEC).fit_propensity("age * score + sex")
