@@ -2,8 +2,10 @@
 
 Tokens are runs of letters and digits.  Numbers, units after a number and
 capitalised words inside a sentence become typed placeholders; everything else
-is lower-cased.  Windows of five canonical tokens (at least two of them
-literal) are hash-joined between documents and benchmark items.  Matches of one
+is lower-cased.  Capitals may also be mere style (a title, a heading), so a
+window with names counts a second time with its names as lower-cased words.
+Windows of five canonical tokens (at least two of them literal) are hash-joined
+between documents and benchmark items.  Matches of one
 document and item are grouped by alignment (difference of positions); an
 alignment counts only if its slots are consistent: each filler of the item
 stands for one filler of the document.  A document is contaminated by an item
@@ -72,8 +74,8 @@ def _member(sorted_values: np.ndarray, x: np.ndarray) -> np.ndarray:
     return sorted_values[at] == x
 
 
-def canonical(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of every token: template hash, filler hash, whether it is a slot; and the index of each row's first token."""
+def canonical(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of every token: template hash, filler hash, whether it is a slot, whether a name; and the index of each row's first token."""
     inside = _IN_TOKEN[buf]
     point = (buf == 46) | (buf == 44)
     if len(buf) > 2:
@@ -83,7 +85,7 @@ def canonical(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     first = np.searchsorted(starts, off)
     filler = bt.hash_spans(buf, starts, ends, lower=True)
     if not len(starts):
-        return filler, filler, np.zeros(0, bool), first
+        return filler, filler, np.zeros(0, bool), np.zeros(0, bool), first
     number = _DIGIT[buf[starts]]
     opens = np.zeros(len(starts), bool)
     opens[first[:-1][first[:-1] < len(starts)]] = True
@@ -96,11 +98,11 @@ def canonical(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     inner[1:] &= breaks[starts[1:]] == breaks[ends[:-1]]
     lead, then = buf[starts], buf[np.minimum(starts + 1, len(buf) - 1)]
     capital = _UPPER[lead] | ((lead == 0xC3) & (then >= 0x80) & (then <= 0x9E) & (then != 0x97))
-    name = capital & inner & ~number & ~unit
+    name = capital & inner & ~number & ~unit & ~_UPPER[then]  # not a word in capitals throughout
     template = filler.copy()
     for kind, flags in (("number", number), ("unit", unit), ("name", name)):
         template[flags] = _SLOTS[kind]
-    return template, filler, number | unit | name, first
+    return template, filler, number | unit | name, name, first
 
 
 def _windows(known: np.ndarray | None):
@@ -113,22 +115,27 @@ def _windows(known: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo, hi, buf, off, _ in bt.text_chunks(b.column(2)):
-                template, filler, slot, first = canonical(buf, off)
-                h, at = bt.window_hashes(template, first, WORDS)
-                keep = np.ones(len(h), bool) if bitmap is None else bitmap[(h >> np.uint64(42)).astype(np.int64)]
-                if known is not None:
-                    keep[keep] = _member(known, h[keep])
-                h, at = h[keep], at[keep]
-                slots_before = bt.prefix_count(slot)
-                rich = WORDS - (slots_before[at + WORDS] - slots_before[at]) >= LITERALS
-                h, at = h[rich], at[rich]
-                row = np.searchsorted(first, at, "right") - 1
-                place = np.flatnonzero(slot)
-                a, z = slots_before[at], slots_before[at + WORDS]
-                values = filler[place[bt.ragged(a, z - a)]].view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(z - a))).astype(np.int32)), pa.array(values))
-                pick = pa.array(lo + row)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(h.view(np.int64)), pa.array(at - first[row]), lists], ["id", "part", "h", "pos", "slots"])
+                template, filler, slot, name, first = canonical(buf, off)
+                names = bt.prefix_count(name)
+                for as_words in (False, True):
+                    own, own_slot = (np.where(name, filler, template), slot & ~name) if as_words else (template, slot)
+                    h, at = bt.window_hashes(own, first, WORDS)
+                    keep = np.ones(len(h), bool) if bitmap is None else bitmap[(h >> np.uint64(42)).astype(np.int64)]
+                    if as_words:  # only windows that differ
+                        keep &= names[at + WORDS] > names[at]
+                    if known is not None:
+                        keep[keep] = _member(known, h[keep])
+                    h, at = h[keep], at[keep]
+                    slots_before = bt.prefix_count(own_slot)
+                    rich = WORDS - (slots_before[at + WORDS] - slots_before[at]) >= LITERALS
+                    h, at = h[rich], at[rich]
+                    row = np.searchsorted(first, at, "right") - 1
+                    place = np.flatnonzero(own_slot)
+                    a, z = slots_before[at], slots_before[at + WORDS]
+                    values = filler[place[bt.ragged(a, z - a)]].view(np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(z - a))).astype(np.int32)), pa.array(values))
+                    pick = pa.array(lo + row)
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pick), b.column(1).take(pick), pa.array(h.view(np.int64)), pa.array(at - first[row]), lists], ["id", "part", "h", "pos", "slots"])
 
     return run
 
@@ -150,7 +157,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
         known = np.sort(known)
     found = windows(docs, doc_id, text, known)
     items = items.select(F.col("id").alias("item_id"), F.col("part").alias("item_part"), "h", F.col("pos").alias("ipos"), F.col("slots").alias("islots"))
-    sizes = items.groupBy("item_id", "item_part").agg(F.count("*").alias("n_windows"))
+    sizes = items.groupBy("item_id", "item_part").agg(F.count_distinct("ipos").alias("n_windows"))
     pairs = found.join(F.broadcast(items) if small else items, "h")
     aligned = pairs.groupBy("id", "part", "item_id", "item_part", (F.col("pos") - F.col("ipos")).alias("shift")).agg(
         F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("islots", "slots")))).alias("fill"))

@@ -86,13 +86,13 @@ def test_decontamination_by_hand(spark):
     question = "Anna bought 12 apples for 3.50 dollars and gave Bob 12 apples of them before she left town."
     made = [
         (1, question), (2, "Well, Anna bought 15 apples for 9.75 euros and gave Carl 15 apples of them before she left town."), (3, "Well, Anna bought 15 apples for 9.75 euros and gave Carl 16 pears of it because he had left town."),
-        (4, None), (None, ""), (5, "x"), (6, "many words that have nothing to do with it at all"), (6, "many words that have nothing to do with it at all"), (7, f"before {question} after"),
+        (4, None), (None, ""), (5, "x"), (6, "many words that have nothing to do with it at all"), (6, "many words that have nothing to do with it at all"), (7, f"before {question} after"), (8, question.upper()), (9, question.title()),
     ]
     docs = spark.createDataFrame(made, "doc_id long, text string").withColumn("h", F.lit(1)).withColumn("item_id", F.lit("q"))
     items = spark.createDataFrame([(1, question), (1, question), (2, None), (3, "too short")], "item_id long, text string")
     for limit in (10**6, 0):
         found = decontaminate.contaminated(docs, items, broadcast_windows=limit)
-        assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(1, 1), (2, 1), (7, 1)]
+        assert sorted((r["doc_id"], r["item_id"]) for r in found.collect()) == [(1, 1), (2, 1), (7, 1), (8, 1), (9, 1)]
     kept = decontaminate.clean(docs, items)
     assert kept.columns == docs.columns and kept.count() == 6
     assert decontaminate.contaminated(docs.limit(0), items).count() == 0
