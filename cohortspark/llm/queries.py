@@ -122,6 +122,33 @@ d AS (SELECT doc_id, {_canonical_sql("text")} AS form FROM documents)
 SELECT doc_id, CAST(length(form) AS BIGINT) AS n_canonical, sha256(form) AS digest, license_id FROM d LEFT JOIN k ON k.digest = sha256(form)"""
 
 
+def _op7_sql() -> str:
+    nibbles = "['" + "', '".join(f"{i:04b}" for i in range(16)) + "']"
+    bits = f"array_to_string(list_transform(range(1, 41), lambda i: {nibbles}[1 + instr('0123456789abcdef', x[i]) - 1]), '')"
+    value = " + ".join(f"{2 ** (4 - k)} * CAST(b[5 * i + {k + 1}] AS INTEGER)" for k in range(5))
+    return f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS body, sha1(coalesce(html, '')) AS x FROM pages),
+q AS (SELECT *, {bits} AS b FROM p),
+d AS (SELECT page_id, body, array_to_string(list_transform(range(0, 32), lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + {value}]), '') AS payload_digest FROM q),
+m AS (SELECT payload_digest, max(page_id) AS top FROM d GROUP BY payload_digest)
+SELECT page_id, CAST(strlen(body) AS BIGINT) AS payload_bytes, payload_digest, CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> top THEN top END AS refers_to
+FROM d JOIN m USING (payload_digest)"""
+
+
+def _op9_sql() -> str:
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, unnest(s) AS x FROM s),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM c JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * k >= {neardup.PERCENT} * (na.n + nb.n - k)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(a, b) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.a, x.b FROM r JOIN both_ways x ON x.a = r.b),
+m AS (SELECT a AS doc_id, min(b) AS component_id FROM r GROUP BY a)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m USING (doc_id)"""
+
+
 def _op8_sql() -> str:
     entries = ", ".join(f"({i}, {_q(rule)}, {_q(verdict)}, {_q(op)}, {FIRST_DAY + 86_400 * day})" for i, (rule, verdict, op, day) in enumerate(URL_LIST))
     return rf"""
@@ -164,4 +191,4 @@ FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": _op1_sql(), "op6_license_scan": _op6_sql(), "op8_url_filter": _op8_sql(), "op10_secret_scan": _op10_sql()}
+    return {"op1_source_mixing": _op1_sql(), "op6_license_scan": _op6_sql(), "op7_warc_index": _op7_sql(), "op8_url_filter": _op8_sql(), "op9_minhash_near_dedup": _op9_sql(), "op10_secret_scan": _op10_sql()}
