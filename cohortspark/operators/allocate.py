@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +12,33 @@ from .checkpoints import saved, shared_dir
 from .kernel import Rules, allocate, nearest_first
 
 
-def components(edges: DataFrame) -> DataFrame:
+#: Up to so many edges (counted first) are labelled on the driver.
+DRIVER_EDGES = 500_000
+
+
+def _labels(edges: DataFrame) -> DataFrame:
+    """(query_id, component) of a small edge table, by the same rounds in NumPy."""
+    ids = edges.select("query_id", "ref_id").toPandas()
+    queries, q = np.unique(ids["query_id"].to_numpy(), return_inverse=True)
+    refs, r = np.unique(ids["ref_id"].to_numpy(), return_inverse=True)
+    label = np.arange(len(queries))
+    while True:
+        low = np.full(len(refs), len(queries))
+        np.minimum.at(low, r, label[q])
+        now = label.copy()
+        np.minimum.at(now, q, low[r])
+        now = now[now]
+        if np.array_equal(now, label):
+            break
+        label = now
+    kind = dict(edges.dtypes)["query_id"]
+    table = pa.table({"query_id": pa.array(queries.tolist()), "component": pa.array(queries[label].tolist())}) if len(queries) else None
+    spark = edges.sparkSession
+    found = spark.createDataFrame(table) if table is not None else spark.createDataFrame([], f"query_id {kind}, component {kind}")
+    return found.select(F.col("query_id").cast(kind), F.col("component").cast(kind))
+
+
+def components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
     """``edges`` (query_id, ref_id, ...) with ``component``: the least query of each connected part.
 
     Labels travel over controls to queries and back until nothing changes; each
@@ -19,6 +46,8 @@ def components(edges: DataFrame) -> DataFrame:
     label of their label, so long chains take few rounds.
     """
     shared_dir(edges.sparkSession)
+    if edges.count() <= driver_edges:
+        return edges.join(_labels(edges), "query_id")
     links = edges.select("query_id", "ref_id")
     label = links.select("query_id", F.col("query_id").alias("label")).distinct().checkpoint()
     while True:

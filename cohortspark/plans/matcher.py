@@ -208,8 +208,12 @@ def link(rows: DataFrame, pairs: DataFrame, spec: CohortSpec, include_unmatched:
     return out.unionByName(rest.select("*", none.alias("match_group"), F.lit(1).alias("is_exposed"), F.lit(0.0).alias("n_matches"), none.alias("match_distance")))
 
 
-def greedy_match(matcher: CohortMatcher, metric: str = "mahalanobis", caliper: float = float("inf"), ratio: int = 1, impute: bool = True, categorical_codes: bool = True) -> DataFrame:
-    """(query_id, ref_id, distance): plain nearest-first matching; missing values filled by medians and modes, categories coded over the whole population."""
+def greedy_match(matcher: CohortMatcher, metric: str = "mahalanobis", caliper: float = float("inf"), ratio: int = 1, impute: bool = True, categorical_codes: bool = True, band: float | None = None) -> DataFrame:
+    """(query_id, ref_id, distance): plain nearest-first matching; missing values filled by medians and modes, categories coded over the whole population.
+
+    Calipers on propensity, and ``band`` (only controls whose logit is that
+    near), are in standard deviations of the logit.
+    """
     s, rows = matcher.spec, matcher.cohort.rows
     if impute:
         rows = preprocess.impute(rows, s.numeric_features(), s.categorical)
@@ -230,7 +234,8 @@ def greedy_match(matcher: CohortMatcher, metric: str = "mahalanobis", caliper: f
     else:
         raise ValueError("metric has to be 'mahalanobis', 'scaled_euclidean' or 'propensity'")
     k = exposed.count() * ratio
-    return allocate.greedy(knn.top_k(exposed, controls, s.id_col, space, k, caliper), caliper, ratio)
+    near = None if band is None else knn.Band("propensity_logit", band * vectors.logit_sd(matcher.cohort.rows, "propensity_logit"))
+    return allocate.greedy(knn.top_k(exposed, controls, s.id_col, space, k, caliper, near), caliper, ratio)
 
 
 def two_stage(df: DataFrame, spec: CohortSpec, first: MatchSpec, second: MatchSpec, formula: str | None = None) -> MatchResult:

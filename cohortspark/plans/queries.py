@@ -13,6 +13,7 @@ from ..operators.cohort import Cohort
 from ..sources.synth import make_cohort
 from ..sources.tables import parquet
 from ..spec import CohortSpec, MatchSpec
+from . import validation
 from .matcher import CohortMatcher, greedy_match, link, two_stage
 
 SPEC = CohortSpec("unit_id", "exposure", ("c_acctbal", "n_orders", "spend"), ("region", "nation"), ("first_order",))
@@ -505,6 +506,13 @@ def propensity_fit(spark, d):
     return _rounded(CohortMatcher(customers(spark, d), _PLAIN).fit_propensity().propensity.scores, 4)
 
 
+def method_comparison(spark, d):
+    """Two methods side by side; the outcome is the balance on the account."""
+    spec = CohortSpec("unit_id", "exposure", ("n_orders", "spend"), ("region",), bin_method="scaler", onehot=True)
+    found = validation.compare(customers(spark, d).na.fill(0.0), spec, "c_acctbal", methods=("gower", "nearest_mahalanobis"))
+    return _rounded(found.drop("seconds"), 4)
+
+
 def explained_variance(spark, d):
     return _rounded(report.explained_variance(customers(spark, d).where("exposure = 1"), ("c_acctbal", "n_orders", "spend"))[0])
 
@@ -523,7 +531,7 @@ _QUERIES = (
     smd_numeric, smd_categorical, balance_table, before_after, mean_smd, baseline_sd, matched_pairs, pairwise_differences, pair_quality, mapd_pm,
     unadjusted_att, unadjusted_or, mcnemar, conditional_or, mantel_haenszel, att_ols_cluster, retention, match_counts, matching_summary, simulation_summary,
     feature_histogram, level_proportions, ecdf_support, hard_negatives,
-    match_gower, match_gower_fuzzy, match_mcf, match_mahalanobis, match_euclidean_pca, match_propensity, match_hybrid, match_greedy, match_two_stage, propensity_fit, explained_variance, synthetic_cohort,
+    match_gower, match_gower_fuzzy, match_mcf, match_mahalanobis, match_euclidean_pca, match_propensity, match_hybrid, match_greedy, match_two_stage, method_comparison, propensity_fit, explained_variance, synthetic_cohort,
 )
 
 

@@ -1,10 +1,13 @@
-"""Readers: Parquet, CSV, whitespace-delimited text and replicated tensors."""
+"""Readers: Parquet, CSV (plain or zipped), whitespace-delimited text and replicated tensors."""
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import io
+import zipfile
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,24 @@ def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
     return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
 
 
+def zipped_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The CSV members (with headers) of ZIP archives; each archive is unpacked by the task that read it."""
+
+    def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for content in frame["content"]:
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    for name in sorted(n for n in archive.namelist() if n.lower().endswith(".csv")):
+                        with archive.open(name) as member:
+                            text = io.TextIOWrapper(member, "utf-8", newline="")
+                            for part in pd.read_csv(text, dtype=str, keep_default_na=False, chunksize=50_000):
+                                yield pd.DataFrame({"fields": part.to_dict("records")})
+
+    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "fields map<string, string>")
+    kinds = spark.createDataFrame([], schema).schema.fields
+    return found.select(*(F.nullif(F.try_element_at("fields", F.lit(f.name)), F.lit("")).try_cast(f.dataType).alias(f.name) for f in kinds))
+
+
 def whitespace(spark: SparkSession, path: str, names: Sequence[str]) -> DataFrame:
     """Numbers separated by any whitespace, without a header; blank lines are left out, missing or bad fields are null."""
     lines = spark.read.text(path).where(F.trim("value") != "")

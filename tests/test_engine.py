@@ -155,6 +155,8 @@ def test_components_don_t_change_the_allocation(spark):
         edges = sorted({(q, r): (q, r, d) for q, r, d in edges}.values())
         df = spark.createDataFrame(edges, "query_id long, ref_id long, distance double")
         rules = Rules(0.5, 2, 2, 0.7)
+        small = {(x["query_id"], x["component"]) for x in allocate.components(df).collect()}
+        assert small == {(x["query_id"], x["component"]) for x in allocate.components(df, driver_edges=0).collect()}
         got = {(x[0], x[1]) for x in allocate.match(df, rules).select("query_id", "ref_id").collect()}
         rows, queries, refs = allocate._rows_of(pd.DataFrame([e for e in edges if e[2] <= 0.7], columns=["query_id", "ref_id", "distance"]))
         want = {(int(queries[i]), int(refs[rows[i][0][at]])) for i, x in enumerate(kernel(rows, len(refs), rules)[0]) for at, _ in x}
@@ -291,6 +293,27 @@ def test_sources(spark, tmp_path):
     assert report.wide_results(report.long_results(spark.createDataFrame([("a", 1.0, 2.0)], "m string, p double, q double"), ["m"], ["p", "q"]), "m", "metric", "value", ["p", "q"]).first().asDict() == {"m": "a", "p": 1.0, "q": 2.0}
 
 
+def test_zipped_csv(spark, tmp_path):
+    import zipfile
+
+    with zipfile.ZipFile(tmp_path / "a.zip", "w") as z:
+        z.writestr("x/one.csv", 'k,v\n1,"a, ""b"""\n2,\n')
+        z.writestr("notes.txt", "no table")
+        z.writestr("two.csv", "v,k\nq,3\n")
+    assert sorted(tuple(r) for r in tables.zipped_csv(spark, str(tmp_path / "a.zip"), "k int, v string").collect()) == [(1, 'a, "b"'), (2, None), (3, "q")]
+
+
+def test_all_methods_side_by_side(spark, cohort):
+    from cohortspark.plans.validation import METHODS, compare
+
+    full = cohort.na.fill({"age": 40.0, "area": "a"}).withColumn("y", F.col("score") + F.col("x"))
+    spec = CohortSpec("id", "x", ("age",), ("sex",), bin_method="scaler", onehot=True)
+    got = compare(full, spec, "y", truth=1.0).toPandas()
+    assert list(got["method"]) == list(METHODS) and got["error"].isna().all() and (got["retention"] > 0.9).all() and (got["bias"].abs() < 1.5).all()
+    bad = compare(full, CohortSpec("id", "x", ("age",), ("sex",)), "y", methods=("mahalanobis", "gower")).toPandas()
+    assert bad["error"].notna().tolist() == [True, False]
+
+
 def test_stream(spark, cohort, tmp_path):
     from cohortspark.streaming.arrivals import nearest_controls
 
