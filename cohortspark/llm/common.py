@@ -37,10 +37,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def temporary(spark: SparkSession, path: str) -> None:
+    """Have Hadoop remove the folder when the application ends."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write the rows as Parquet in the shared folder and read them again (columnar, so later reads can prune)."""
+    """Write the rows as Parquet in the shared folder and read them again (columnar, so later reads can prune); the files last as long as the application."""
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
+    temporary(df.sparkSession, path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import fold_of, saved, work_dir
+from .common import fold_of, saved, temporary, work_dir
 from .lmtrie import Trie
 
 U64 = np.uint64
@@ -331,6 +331,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     trie = Trie.build(hashes, word_counts, (part(k2, 20), part(k2, 0), n_of[kinds == 2]), (part(k3, 40), part(k3, 20), part(k3, 0), n_of[kinds == 3]), total)
     folder = work_dir(spark, "trie")
     trie.save(folder)
+    temporary(spark, folder)
     asked = rows.mapInArrow(_score(folder, shards, total), ASKED)
     model = counts.select(F.col("shard").alias("part"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("batch"), F.col("keys").alias("a"), F.col("counts").alias("b"))
     answered = model.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_answer, ASKED)
