@@ -145,12 +145,13 @@ def _spread(df: DataFrame) -> DataFrame:
 def _each_block(queries: DataFrame, refs: DataFrame, id_col: str, metric, band: Band | None, make, schema: str) -> DataFrame:
     left, p, s = _columns(queries, id_col, metric, band)
     right = _spread(_columns(refs, id_col, metric, band)[0])
-    n = left.count()
-    blocks = max(1, -(-n // QUERY_BLOCK))
+    # one job if the queries are few, which is the usual case
+    first = left.limit(QUERY_BLOCK + 1).toArrow()
+    blocks = 1 if first.num_rows <= QUERY_BLOCK else -(-left.count() // QUERY_BLOCK)
     out: DataFrame | None = None
     for b in range(blocks):
-        rows = left if blocks == 1 else left.where(F.pmod(F.xxhash64("id"), blocks) == b)
-        t = rows.orderBy("id").toArrow()
+        t = first if blocks == 1 else left.where(F.pmod(F.xxhash64("id"), blocks) == b).toArrow()
+        t = t.sort_by("id").combine_chunks()
         books = [{v: i for i, v in enumerate(sorted({x for x in t.column(1 + p + j).to_pylist() if x is not None}))} for j in range(s)]
         found = right.mapInArrow(make(_side(t, p, s, books), p, s, books), schema)
         if blocks > 1:

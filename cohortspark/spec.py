@@ -48,7 +48,7 @@ class CohortSpec:
         return tuple(dict.fromkeys((*self.numeric_features(), *self.categorical)))
 
     def validate(self, df: DataFrame) -> None:
-        """Raise ValueError for bad roles or columns; one aggregate looks at ids and exposures."""
+        """Raise ValueError for bad roles or columns; one job looks at ids and exposures."""
         if not isinstance(df, DataFrame):
             raise ValueError("the population has to be a DataFrame")
         for name in ("log", "bins"):
@@ -62,10 +62,12 @@ class CohortSpec:
         kinds = {f.name: f.dataType for f in df.schema.fields}
         if bad := [c for c in wanted if isinstance(kinds[c], (T.ArrayType, T.MapType, T.StructType, T.BinaryType))]:
             raise ValueError(f"columns of unsupported types: {bad}")
-        x = F.col(self.exposure)
-        got = df.agg(
-            F.count_if(F.col(self.id_col).isNull()).alias("no_id"), F.count_if(x.isNull()).alias("no_exposure"), F.count_if(~x.cast("double").isin(0.0, 1.0)).alias("other"),
-            F.count_if(x.cast("double") == 1).alias("exposed"), F.count_if(x.cast("double") == 0).alias("controls")).first()
+        x = F.col(self.exposure).cast("double")
+        # ids meet in partial aggregates first, so one shuffle of ids answers everything
+        by_id = df.groupBy(self.id_col).agg(F.count("*").alias("n"), F.count_if(F.col(self.exposure).isNull()).alias("none"), F.count_if(~x.isin(0.0, 1.0)).alias("other"), F.count_if(x == 1).alias("one"), F.count_if(x == 0).alias("zero"))
+        got = by_id.agg(
+            F.sum(F.when(F.col(self.id_col).isNull(), F.col("n")).otherwise(0)).alias("no_id"), F.max(F.when(F.col(self.id_col).isNotNull(), F.col("n"))).alias("most"), F.sum("none").alias("no_exposure"),
+            F.sum("other").alias("other"), F.sum("one").alias("exposed"), F.sum("zero").alias("controls")).first()
         if got["no_id"]:
             raise ValueError(f"{got['no_id']} rows have no {self.id_col}")
         if got["no_exposure"]:
@@ -74,8 +76,7 @@ class CohortSpec:
             raise ValueError(f"{self.exposure} has to be 0 or 1")
         if not got["exposed"] or not got["controls"]:
             raise ValueError("at least one exposed and one control row are needed")
-        # grouped, not count(distinct): the second shuffle of a distinct count would meet in one row
-        if df.groupBy(self.id_col).count().where("count > 1").limit(1).count():
+        if got["most"] > 1:
             raise ValueError(f"{self.id_col} isn't unique")
 
 
