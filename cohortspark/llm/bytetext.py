@@ -14,7 +14,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 BLOCK = 1 << 20
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _rng = np.random.Generator(np.random.PCG64(20240229))

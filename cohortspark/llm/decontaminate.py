@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import cut
+from .common import cut, tidy
 
 WORDS = 5
 LITERALS = 2
@@ -144,7 +144,7 @@ def windows(rows: DataFrame, id_col: str, text: str, known: np.ndarray | None =
     """(id, part, h, pos, slots): part tells rows of equal id but other text apart."""
     picked = rows.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("part"), F.col(text).alias("t"))
     kind = picked.schema["id"].dataType.simpleString()
-    return picked.mapInArrow(_windows(known), f"id {kind}, part long, h long, pos long, slots array<long>")
+    return picked.mapInArrow(tidy(_windows(known)), f"id {kind}, part long, h long, pos long, slots array<long>")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:

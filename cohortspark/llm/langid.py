@@ -23,10 +23,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bytetext import text_chunks
+from .common import tidy
 
 TOP = 300
 MAX_LANGUAGES = 2000
 UNKNOWN = "und"
+#: Texts are worked on in pieces of so many bytes; a byte takes up to a hundred while its n-grams are sorted.
+PIECE = 1 << 20
 
 _letters: np.ndarray | None = None
 
@@ -87,7 +90,7 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         langs = batch.column(1).to_pylist()
         held: dict[str, list[np.ndarray]] = {}
-        for lo, hi, buf, off, _ in text_chunks(batch.column(0)):
+        for lo, hi, buf, off, _ in text_chunks(batch.column(0), PIECE):
             c, begin, end = _grams(buf, off)
             for i in range(hi - lo):
                 keys = _row_keys(c, begin[i], end[i])
@@ -112,7 +115,7 @@ class RankProfiles:
         """Language, score and whether the text has a letter, for an Arrow string column."""
         names: list[str] = []
         scores: list[np.ndarray] = []
-        for lo, hi, buf, off, _ in text_chunks(column):
+        for lo, hi, buf, off, _ in text_chunks(column, PIECE):
             c, begin, end = _grams(buf, off)
             tops, sizes = [], np.zeros(hi - lo, np.int64)
             for i in range(hi - lo):
@@ -148,7 +151,7 @@ def fit(rows: DataFrame, text: str = "text", lang: str = "lang", top: int = TOP)
     What reaches the driver is at most ``MAX_LANGUAGES * top`` rows; more labels than that raise.
     """
     known = rows.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(text).alias("t"), F.col(lang).alias("l"))
-    counts = known.mapInArrow(_count_batches, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    counts = known.mapInArrow(tidy(_count_batches), "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
     best = counts.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < top)
     got = best.limit(MAX_LANGUAGES * top + 1).toArrow()
@@ -173,7 +176,7 @@ def predict(rows: DataFrame, profiles: RankProfiles, keep: tuple[str, ...], text
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(names, pa.string()), pa.array(score)], [*keep, "lang_pred", "score"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in picked.schema.fields[1:])
-    return picked.mapInArrow(run, f"{schema}, lang_pred string, score double")
+    return picked.mapInArrow(tidy(run), f"{schema}, lang_pred string, score double")
 
 
 def accepted(rows: DataFrame, profiles: RankProfiles, text: str = "text", least: float = 0.0) -> DataFrame:
@@ -185,4 +188,4 @@ def accepted(rows: DataFrame, profiles: RankProfiles, text: str = "text", least:
             names, score = profiles.predict(b.column(at))
             yield b.filter(pa.array([x != UNKNOWN for x in names]) if least <= 0 else pa.array([x != UNKNOWN and s >= least for x, s in zip(names, score)]))
 
-    return rows.mapInArrow(run, rows.schema)
+    return rows.mapInArrow(tidy(run), rows.schema)

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import fold_of, saved, temporary, work_dir
+from .common import fold_of, saved, temporary, tidy, work_dir
 from .lmtrie import Trie
 
 U64 = np.uint64
@@ -181,7 +181,7 @@ def _merge(least: dict[int, int] | None):
 
 
 def _together(packed: DataFrame, least: dict[int, int] | None = None) -> DataFrame:
-    return packed.repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(_merge(least), PACKED)
+    return packed.repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(tidy(_merge(least)), PACKED)
 
 
 def _only_frequent(least: int):
@@ -310,19 +310,19 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     train = rows.where(~F.col("held_out")).select("t")
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     shards = max(SHARDS[0], min(SHARDS[1], -(-size // SHARD_BYTES)))
-    counts = saved(_together(train.mapInArrow(_count_words(shards), PACKED)), "words")
-    v, n = counts.mapInArrow(_totals, "v long, n long").agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    counts = saved(_together(train.mapInArrow(tidy(_count_words(shards)), PACKED)), "words")
+    v, n = counts.mapInArrow(tidy(_totals), "v long, n long").agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     total = n + 0.5 * (v + 1)
     # at most 1 / word_share words and 1 / ngram_share pairs and triples, however large the corpus
     if word_share * 2**20 < 1:
         raise ValueError("word_share has to be at least 2**-20")
-    frequent = counts.mapInArrow(_only_frequent(max(2, int(np.ceil(n * word_share)))), "key long, n long").toArrow()
+    frequent = counts.mapInArrow(tidy(_only_frequent(max(2, int(np.ceil(n * word_share))))), "key long, n long").toArrow()
     hashes = frequent["key"].to_numpy().astype(np.int64).view(U64)
     order = np.argsort(hashes)
     hashes, word_counts = hashes[order], frequent["n"].to_numpy()[order].astype(np.int64)
     if len(hashes):
         least = max(2, int(np.ceil(n * ngram_share)))
-        kinds, keys, n_of = _plain(_together(train.mapInArrow(_count_ngrams(hashes, shards), PACKED), {2: least, 3: least}))
+        kinds, keys, n_of = _plain(_together(train.mapInArrow(tidy(_count_ngrams(hashes, shards)), PACKED), {2: least, 3: least}))
     else:
         kinds, keys, n_of = np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
     mask = U64(2**20 - 1)
@@ -332,8 +332,8 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     folder = work_dir(spark, "trie")
     trie.save(folder)
     temporary(spark, folder)
-    asked = rows.mapInArrow(_score(folder, shards, total), ASKED)
+    asked = rows.mapInArrow(tidy(_score(folder, shards, total)), ASKED)
     model = counts.select(F.col("shard").alias("part"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("batch"), F.col("keys").alias("a"), F.col("counts").alias("b"))
-    answered = model.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(_answer, ASKED)
+    answered = model.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(tidy(_answer), ASKED)
     kind = rows.schema["id"].dataType.simpleString()
-    return answered.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(_finish(n), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return answered.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(tidy(_finish(n)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

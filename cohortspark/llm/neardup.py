@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import cut, saved
+from .common import cut, saved, tidy
 
 WORDS = 5
 BANDS, ROWS = 20, 5
@@ -283,17 +283,17 @@ def components(links: DataFrame) -> DataFrame:
 def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets are similar enough."""
     wanted = pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct()
-    sets = rows.join(wanted, "id", "left_semi").mapInArrow(_sets, "id long, members binary")
+    sets = rows.join(wanted, "id", "left_semi").mapInArrow(tidy(_sets), "id long, members binary")
     sets = saved(sets, "sets")
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
     full = first.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b").select("a", "b", "ma", "mb")
-    return cut(full.mapInArrow(_linked(percent), "a long, b long").distinct())
+    return cut(full.mapInArrow(tidy(_linked(percent)), "a long, b long").distinct())
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, agree: int = AGREE, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each input row."""
     base = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("t"))
-    feats = saved(base.mapInArrow(_features(bands, rows), "id long, n long, f1 long, f2 long, bands array<long>, sample binary"), "features")
+    feats = saved(base.mapInArrow(tidy(_features(bands, rows)), "id long, n long, f1 long, f2 long, bands array<long>, sample binary"), "features")
     usable = feats.where("id is not null and n > 0")
     # equal sets are one class, named after its smallest id
     classes = usable.groupBy("f1", "f2", "n").agg(F.min("id").alias("rep"))
@@ -306,7 +306,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     sample = reps.select("id", "sample")
     star = members.where("id <> hub").select("id", "hub").distinct()
     star = star.join(sample.select(F.col("id").alias("hub"), F.col("sample").alias("hs")), "hub").join(sample, "id").select("id", "hub", "sample", "hs")
-    star = star.mapInArrow(_agreeing(agree), "a long, b long, same long")
+    star = star.mapInArrow(tidy(_agreeing(agree)), "a long, b long, same long")
     best = star.groupBy("a").agg(F.max_by("b", F.struct("same", "b")).alias("b"))
     texts = base.where("id is not null")
     links = _verified(cut(best), texts, percent)
@@ -317,9 +317,9 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     open_ = tally.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.max("size").alias("size")).where("most < size")
     at = grouped.drop("size").join(open_, "key").join(reps.select("id", "n", "sample"), "id")
     pool = cut(at.select("id").distinct())
-    sets = saved(texts.join(pool, "id", "left_semi").mapInArrow(_sets, "id long, members binary"), "pool")
-    own = sets.mapInArrow(_tokens, "id long, token long").groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
-    facts = sets.mapInArrow(_halves, "id long, half binary").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
+    sets = saved(texts.join(pool, "id", "left_semi").mapInArrow(tidy(_sets), "id long, members binary"), "pool")
+    own = sets.mapInArrow(tidy(_tokens), "id long, token long").groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
+    facts = sets.mapInArrow(tidy(_halves), "id long, half binary").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     at = at.join(facts, "id")
     parts = lambda rows_: F.greatest(F.lit(1), F.ceil(rows_ / block)).cast("int")
     n_out, n_all = parts(F.col("size") - F.col("most")), parts(F.col("size"))
@@ -327,7 +327,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     out = at.where("comp <> main").select("key", "id", "comp", "n", "own", "sample", "half", F.lit(0).alias("side"), mine(n_out).alias("i"), F.explode(F.sequence(F.lit(0), n_all - 1)).alias("j"))
     all_ = at.select("key", "id", "comp", "n", "own", "sample", "half", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), n_out - 1)).alias("i"), mine(n_all).alias("j"))
     cells = out.unionByName(all_).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "id")
-    more = cells.mapInArrow(_across(agree, percent), "a long, b long").distinct()
+    more = cells.mapInArrow(tidy(_across(agree, percent)), "a long, b long").distinct()
     links = links.unionByName(_verified(cut(more), texts, percent))
     comp = components(links)
     named = classes.join(comp, F.col("rep") == F.col("id"), "left").select("f1", "f2", "n", F.coalesce("comp", "rep").alias("comp"))

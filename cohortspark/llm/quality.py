@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import saved
+from .common import saved, tidy
 
 #: At most so many labelled rows reach the driver to fit the trees.
 SAMPLE = 20_000
@@ -178,7 +178,7 @@ def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     """id, base counts and features of every row, written once to the shared folder."""
     picked = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"))
     kind = picked.schema["id"].dataType.simpleString()
-    stats = picked.mapInArrow(_stats, f"id {kind}, " + ", ".join(f"{c} long" for c in BASE) + ", " + ", ".join(f"{c} double" for c in FEATURES))
+    stats = picked.mapInArrow(tidy(_stats), f"id {kind}, " + ", ".join(f"{c} long" for c in BASE) + ", " + ", ".join(f"{c} double" for c in FEATURES))
     return saved(stats, "statistics")
 
 
@@ -204,4 +204,4 @@ def judge(stats: DataFrame, trees: FlatTrees | None, keep_from: float = KEEP_FRO
             yield pa.RecordBatch.from_arrays([*b.columns[: 1 + len(BASE)], pa.array(failed), pa.array(~failed & (score >= keep_from)), pa.array(score)], ["doc_id", *BASE, "base_failed", "kept", "score"])
 
     kind = stats.schema["id"].dataType.simpleString()
-    return stats.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, kept boolean, score double")
+    return stats.mapInArrow(tidy(run), f"doc_id {kind}, " + ", ".join(f"{c} long" for c in BASE) + ", base_failed boolean, kept boolean, score double")
