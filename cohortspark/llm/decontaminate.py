@@ -6,10 +6,12 @@ is lower-cased.  Capitals may also be mere style (a title, a heading), so a
 window with names counts a second time with its names as lower-cased words.
 Windows of five canonical tokens (at least two of them literal) are hash-joined
 between documents and benchmark items.  Matches of one
-document and item are grouped by alignment (difference of positions); an
-alignment counts only if its slots are consistent: each filler of the item
-stands for one filler of the document.  A document is contaminated by an item
-when the consistent windows cover at least ``COVERAGE`` of the item's.
+document and item are grouped by alignment (difference of positions).  Within
+an alignment each filler of the item stands for one filler of the document, the
+one that most of its windows have (of equally many its own, else the smallest hash); a window
+counts if each of its slots has that filler or the item's own, so windows
+without slots and verbatim ones always count.  A document is contaminated by an
+item when the windows that count cover at least ``COVERAGE`` of the item's.
 
 So a question whose numbers, names or units were replaced throughout is caught,
 and a text that merely shares a sentence pattern with other fillers each time
@@ -31,7 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
@@ -41,6 +43,7 @@ WORDS = 5
 LITERALS = 2
 COVERAGE = 0.5
 BROADCAST_WINDOWS = 1_000_000
+ALIGNMENT = ("id", "part", "item_id", "item_part", "shift")
 #: Unit words that become a placeholder after a number.
 UNITS = (
     "mm cm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers kilometre kilometres "
@@ -159,9 +162,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
     items = items.select(F.col("id").alias("item_id"), F.col("part").alias("item_part"), "h", F.col("pos").alias("ipos"), F.col("slots").alias("islots"))
     sizes = items.groupBy("item_id", "item_part").agg(F.count_distinct("ipos").alias("n_windows"))
     pairs = found.join(F.broadcast(items) if small else items, "h")
-    aligned = pairs.groupBy("id", "part", "item_id", "item_part", (F.col("pos") - F.col("ipos")).alias("shift")).agg(
-        F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set(F.arrays_zip("islots", "slots")))).alias("fill"))
-    consistent = aligned.where(F.size("fill") == F.size(F.array_distinct(F.transform("fill", lambda p: p["islots"]))))
+    aligned = pairs.select(*ALIGNMENT[:-1], (F.col("pos") - F.col("ipos")).alias("shift"), "ipos", F.arrays_zip("islots", "slots").alias("fill"))
+    # dealt by alignment, so what follows needs no other shuffle
+    slots = aligned.repartition(*ALIGNMENT).distinct().select("*", F.explode_outer("fill").alias("f")).select(*ALIGNMENT, "ipos", "fill", F.col("f.islots").alias("own"), F.col("f.slots").alias("other"))
+    often = slots.withColumn("often", F.count(F.lit(1)).over(Window.partitionBy(*ALIGNMENT, "own", "other")))
+    judged = often.withColumn("stands", F.first("other").over(Window.partitionBy(*ALIGNMENT, "own").orderBy(F.desc("often"), F.col("other") != F.col("own"), "other")))
+    fits = F.col("own").isNull() | F.col("other").isin(F.col("own"), F.col("stands"))
+    counting = judged.groupBy(*ALIGNMENT, "ipos", "fill").agg(F.every(fits).alias("fits")).where("fits")
+    consistent = counting.groupBy(*ALIGNMENT).agg(F.collect_set("ipos").alias("at"), F.array_distinct(F.flatten(F.collect_set("fill"))).alias("fill"))
     covered = consistent.groupBy("id", "part", "item_id", "item_part").agg(F.size(F.array_distinct(F.flatten(F.collect_list("at")))).cast("long").alias("n_matched"), F.max(F.size("fill")).cast("long").alias("n_slots"))
     same_item = [covered[c].eqNullSafe(sizes[c]) for c in ("item_id", "item_part")]
     held = covered.join(F.broadcast(sizes) if small else sizes, same_item).where(F.col("n_matched") >= coverage * F.col("n_windows"))

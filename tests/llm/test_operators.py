@@ -105,6 +105,19 @@ def test_slots_have_to_be_consistent(spark):
     assert [r["doc_id"] for r in decontaminate.contaminated(docs, item).collect()] == [1]
 
 
+def test_a_conflicting_slot_drops_only_its_windows(spark):
+    """A near-verbatim copy with one of two equal years changed, and an item value that stands for two independent slots."""
+    long = "the bridge over the river was opened in 1931 by a mayor who had asked for it since the flood, and the toll that drivers paid there was lifted in 1931 after long protests by the town"
+    two = "a worker who earns 5 coins for every box that is carried up the stairs to the old store room has to rest for 5 breaths each time"
+    items = spark.createDataFrame([(1, long), (2, two)], "item_id long, text string")
+    docs = spark.createDataFrame([(1, long.replace("in 1931 after", "in 1935 after")), (2, two.replace("5 coins", "7 coins").replace("5 breaths", "9 breaths"))], "doc_id long, text string")
+    for limit in (10**6, 0):
+        found = {(r["doc_id"], r["item_id"]): r for r in decontaminate.contaminated(docs, items, broadcast_windows=limit).collect()}
+        assert set(found) == {(1, 1), (2, 2)}
+        assert [found[k]["n_windows"] - found[k]["n_matched"] for k in ((1, 1), (2, 2))] == [5, 4]
+    assert decontaminate.clean(docs, items).count() == 0
+
+
 def test_decontamination_against_brute_force(spark, docs):
     """Passages of the benchmark in the test documents, by plain containment of word windows."""
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
