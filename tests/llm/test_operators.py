@@ -273,6 +273,20 @@ def test_licenses(spark):
     assert licenses.scan(docs.limit(0), known).count() == 0 and licenses.scan(docs, known.limit(0)).where("license_id is not null").count() == 0
 
 
+def test_usual_licence_files_are_named(spark):
+    """Whole files as they lie in repositories: full licences, headings, filled-in notices, missing appendices, bullets."""
+    full = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0", "GFDL-1.3": "GFDL-1.3", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause"}
+    texts = {f: open(f"/usr/share/common-licenses/{f}", encoding="utf-8").read() for f in full}
+    cases = [(texts[f], name) for f, name in full.items()]
+    cases += [(f"{head}\n\nCopyright (c) 2021 Someone\n\n{licenses.REGISTRY[name]}\n", name) for head, name in (("MIT License", "MIT"), ("The MIT License (MIT)", "MIT"), ("BSD 3-Clause License", "BSD-3-Clause"), ("BSD 2-Clause License", "BSD-2-Clause"), ("ISC License", "ISC"), ("zlib License", "Zlib"))]
+    cases += [(texts["Apache-2.0"].replace("[yyyy] [name of copyright owner]", "2019 Someone Ltd."), "Apache-2.0"), (texts["Apache-2.0"].split("APPENDIX")[0], "Apache-2.0"), (texts["GPL-3"].split("How to Apply These")[0], "GPL-3.0")]
+    cases += [(texts["GPL-2"].replace("51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA  02111-1307  USA"), "GPL-2.0")]
+    cases += [(re.sub(r"(?m)^[123]\. ", "* ", licenses.REGISTRY["BSD-3-Clause"]), "BSD-3-Clause"), (texts["MPL-2.0"] + "\nAnd more.", None)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r["doc_id"]: r["license_id"] for r in licenses.scan(docs, licenses.registry(spark)).collect()}
+    assert [got[i] for i in range(len(cases))] == [name for _, name in cases]
+
+
 # -- 7 WARC
 
 
