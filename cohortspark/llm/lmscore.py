@@ -1,19 +1,24 @@
 """Language-model scores of whole texts, by a trigram model learned from the corpus.
 
-Counts of all training words are exact, kept in shards by hash range, and of
-any size.  What every executor gets is bounded by shares of the corpus: the
-model's words have at least ``WORD_SHARE`` of all tokens (so at most a million
-words whatever the input), its pairs and triples, of such words only, at least
-``NGRAM_SHARE`` (at most two million each).  That model is an Elias-Fano trie
-(``lmtrie``) in the shared folder, memory-mapped by the workers.
-
-Scoring reads each text once.  Tokens of the model are scored there and then;
-the others go, as packed arrays, to the shard that has their counts, and come
-back as sums for each document.  Common words are all in the model, so no shard
-is hot.
+Every word, pair and triple of the training rows is in the model, from a count
+of one on, whatever the size of the corpus.  The model lies in shards: a word in
+that of its hash, a pair in that of its first word, a triple in that of its
+first two words, so a shard knows how many words follow each of its contexts.
+The number of shards grows with the corpus.  A shard's pairs and triples are
+Elias-Fano levels (``lmtrie``) in the shared folder; no executor or driver ever
+holds more than a few of them.
+
+Scoring reads each text once and asks, for each piece of text, every shard
+once for the piece's distinct words, pairs, contexts and triples, so a common
+word makes no shard hot.  The answers come back in the order of the questions
+and meet the piece's tokens, where the probabilities are put together:
+interpolated absolute discounting down to the additive unigram model.
+
+An n-gram is known by a 64-bit key: 24 bits of its context's hash, 40 of both; a
+context by 56 bits.
 
 base_score adds up log10((c + 0.5) / (N + 0.5 * (V + 1))); score is the model's
-log10 probability, which comes to the same unigram terms where it lists no pair.
+log10 probability, which comes to the same where a context never occurred.
 
 Cases: a null text is empty and has one token, the end; a null id is in the
 training part; repeated rows count and score each; without training rows N and
@@ -22,27 +27,35 @@ V are 0; an empty table gives an empty result; other columns are never read.
 
 from __future__ import annotations
 
+import contextlib
+import functools
+import io
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .common import fold_of, saved, temporary, tidy, work_dir
-from .lmtrie import Trie
+from .lmtrie import DISCOUNT, EliasFano
 
 U64 = np.uint64
-WORD_SHARE = 1e-6
-NGRAM_SHARE = 5e-7
 SHARD_BYTES = 32 << 20
-SHARDS = (48, 4096)
+#: Powers of two, so that 24 bits of a context tell its shard.
+SHARDS = (64, 4096)
 HOLD = 500_000
+#: A counting task hands on its n-grams of a level when it has so many.
+FULL = 2_000_000
 #: The token that ends every document; words have hashes of their bytes, and this is none of an actual word's.
 END = U64(0xE0D0E0D0_5EED_0001)
-_WORD_BITS = U64(20)
+_CONTEXT_BITS = U64(0xFFFFFF_00000000_00)
+#: Counting goes over the text once for each range of shards, scoring once for each part of the documents, so that only that share is in shuffle files at a time.
+RANGES = 3
+PARTS = 8
 
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -128,70 +141,180 @@ def _count_words(shards: int):
     return run
 
 
-def _count_ngrams(words: np.ndarray, shards: int):
+def _grams(h: np.ndarray, begin: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]:
+    """(places of their last tokens, contexts, keys) of the pairs and of the triples."""
+    two = np.ones(len(h), bool)
+    two[begin[:-1]] = False
+    three = two.copy()
+    three[:1] = False
+    three[1:] &= two[:-1]
+    out, context, keys = [], h, np.zeros(len(h), U64)
+    for at in (np.flatnonzero(two), np.flatnonzero(three)):
+        before = context[at - 1]
+        own = before & _CONTEXT_BITS | bt.avalanche(before ^ bt.avalanche(h[at] + U64(0x9E3779B97F4A7C15))) >> U64(24)
+        out.append((at, before, own))
+        keys[at] = own
+        context = bt.avalanche(keys.copy())
+    return tuple(out)
+
+
+class _Grams:
+    """Sums of counts by key, with the 32 bits of each one's context that its key hasn't."""
+
+    def __init__(self):
+        self.parts, self.held, self.merged = [], 0, 0
+
+    def add(self, keys: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> None:
+        self.parts.append((keys, contexts, counts))
+        self.held += len(keys)
+        if self.held > HOLD + self.merged:
+            self.merge()
+
+    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        keys, contexts, counts = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
+        order = np.argsort(keys)
+        keys, contexts, counts = keys[order], contexts[order], counts[order]
+        if len(keys):
+            at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            keys, contexts, counts = keys[at], contexts[at], np.add.reduceat(counts, at)
+        self.parts, self.held, self.merged = [(keys, contexts, counts)], len(keys), len(keys)
+        return keys, contexts, counts
+
+
+def _edges(sorted_keys: np.ndarray, shards: int) -> np.ndarray:
+    """Where each shard begins in sorted keys, and the end."""
+    first = np.arange(shards, dtype=U64) << U64(64 - int(shards).bit_length() + 1)
+    return np.append(np.searchsorted(sorted_keys, first), len(sorted_keys))
+
+
+def _small(x: np.ndarray) -> bytes:
+    return x.astype(np.uint32 if not len(x) or x.max() < 2**32 else np.int64).tobytes()
+
+
+def _count_ngrams(shards: int, low: int, high: int):
+    """Pairs and triples of the shards in [low, high)."""
+    def packed(kind: int, total: _Grams) -> pa.RecordBatch:
+        k, x, c = total.merge()
+        e = _edges(k, shards)
+        some = np.flatnonzero(np.diff(e))
+        spans = [(e[i], e[i + 1]) for i in some]
+        return pa.RecordBatch.from_arrays(
+            [pa.array([kind] * len(some), pa.int32()), pa.array(some.astype(np.int32)), pa.array([k[a:z].tobytes() for a, z in spans], pa.binary()), pa.array([x[a:z].tobytes() for a, z in spans], pa.binary()), pa.array([_small(c[a:z]) for a, z in spans], pa.binary())],
+            ["kind", "shard", "keys", "contexts", "counts"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {2: _Counter(), 3: _Counter()}
+        totals = {2: _Grams(), 3: _Grams()}
         for b in batches:
             for _, _, buf, off, _ in bt.text_chunks(b.column(0)):
-                h, begin = tokens(buf, off)
-                at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                known = words[at] == h
-                ids = at.astype(U64)
-                opens = np.zeros(len(h), bool)
-                opens[begin[:-1]] = True
-                two = np.zeros(len(h), bool)
-                two[1:] = known[1:] & known[:-1] & ~opens[1:]
-                three = np.zeros(len(h), bool)
-                three[2:] = two[2:] & two[1:-1]
-                i = np.flatnonzero(two)
-                totals[2].add(*_counted(ids[i - 1] << _WORD_BITS | ids[i]))
-                i = np.flatnonzero(three)
-                totals[3].add(*_counted((ids[i - 2] << _WORD_BITS | ids[i - 1]) << _WORD_BITS | ids[i]))
+                for kind, (_, contexts, keys) in zip((2, 3), _grams(*tokens(buf, off))):
+                    shard = _shard(keys, shards)
+                    own = np.flatnonzero((shard >= low) & (shard < high))
+                    totals[kind].add(keys[own], (contexts[own] >> U64(8)).astype(np.uint32), np.ones(len(own), np.int64))
+                    if totals[kind].merged > FULL:
+                        yield packed(kind, totals[kind])
+                        totals[kind] = _Grams()
         for kind, total in totals.items():
-            k, c = total.merge()
-            if len(k):
-                yield _packed(kind, _shard(bt.avalanche(k.copy()), shards), k, c)
+            yield packed(kind, total)
 
     return run
 
 
-def _merge(least: dict[int, int] | None):
-    """Merge the rows of each (kind, shard), which come together; with ``least`` keep only counts from there on."""
+GRAMS = "kind int, shard int, keys binary, contexts binary, counts binary"
+
+
+def _place(folder: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+
+
+def _levels(folder: str):
+    """Write each (kind, shard), whose rows come together, as a level: keys with their counts, contexts with how many words follow."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, total = None, _Counter()
+        fs, path = _place(folder)
+        now, total = None, _Grams()
 
         def done() -> pa.RecordBatch:
-            k, c = total.merge()
-            if least is not None:
-                k, c = k[c >= least[now[0]]], c[c >= least[now[0]]]
-            return _packed(now[0], np.full(len(k), now[1]), k, c)
+            keys, contexts, counts = total.merge()
+            contexts, follow = np.unique((keys & _CONTEXT_BITS) >> U64(8) | contexts, return_counts=True)
+            parts = {"counts": np.frombuffer(_small(counts), np.uint32 if counts.max() < 2**32 else np.int64), "follow": follow.astype(np.uint32)}
+            for name, values, universe in (("keys", keys, 2**64), ("contexts", contexts, 2**56)):
+                ef = EliasFano.build(values, universe)
+                parts |= {f"{name}.{p}": getattr(ef, p) for p in EliasFano.PARTS}
+            for name in ("counts", "follow"):  # nearly all are small: a byte each, and the others apart
+                x = parts.pop(name)
+                big = np.flatnonzero(x > 255)
+                parts |= {name: np.minimum(x, 255).astype(np.uint8), f"{name}.at": big, f"{name}.big": x[big].astype(np.int64)}
+            data = io.BytesIO()
+            np.savez(data, **parts)
+            final = f"{path}/{now[0]}-{now[1]}.npz"
+            own = f"{final}.{TaskContext.get().taskAttemptId()}"
+            with fs.open_output_stream(own, compression=None) as out:
+                out.write(data.getvalue())
+            fs.move(own, final)
+            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([len(keys)])], ["kind", "n"])
 
         for b in batches:
-            for kind, shard, keys, counts in zip(*(c.to_pylist() for c in b.columns)):
+            for kind, shard, keys, contexts, counts in zip(*(c.to_pylist() for c in b.columns)):
                 if (kind, shard) != now:
                     if now is not None:
                         yield done()
-                    now, total = (kind, shard), _Counter()
-                total.add(*_unpack(keys, counts))
+                    now, total = (kind, shard), _Grams()
+                k, c = _unpack(keys, counts)
+                total.add(k, np.frombuffer(contexts, np.uint32), c)
         if now is not None:
             yield done()
 
     return run
 
 
-def _together(packed: DataFrame, least: dict[int, int] | None = None) -> DataFrame:
-    return packed.repartition("kind", "shard").sortWithinPartitions("kind", "shard").mapInArrow(tidy(_merge(least)), PACKED)
+class _Level:
+    """An opened level of a shard; one that was never written has nothing."""
 
+    def __init__(self, folder: str, kind: int, shard: int):
+        fs, path = _place(folder)
+        file = f"{path}/{kind}-{shard}.npz"
+        self.tables = {"keys": (np.zeros(0, U64), np.zeros(0, np.int64)), "contexts": (np.zeros(0, U64), np.zeros(0, np.int64))}
+        if fs.get_file_info(file).type != pafs.FileType.File:
+            return
+        with fs.open_input_stream(file, compression=None) as src:
+            parts = dict(np.load(io.BytesIO(src.read())))
+        for keys, values in (("keys", "counts"), ("contexts", "follow")):
+            x = parts[values].astype(np.int64)
+            x[parts[f"{values}.at"]] = parts[f"{values}.big"]
+            self.tables[keys] = EliasFano(*(parts[f"{keys}.{p}"] for p in EliasFano.PARTS)).all(), x
 
-def _only_frequent(least: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for keys, counts in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                k, c = _unpack(keys, counts)
-                yield pa.RecordBatch.from_arrays([pa.array(k[c >= least].view(np.int64)), pa.array(c[c >= least])], ["key", "n"])
+    def find(self, table: str, asked: np.ndarray) -> np.ndarray:
+        return _looked_up(*self.tables[table], asked >> U64(8) if table == "contexts" else asked)
 
-    return run
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    if not len(keys) or not len(asked):
+        return np.zeros(len(asked), np.int64)
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[at], 0)
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Merge the rows of each (kind, shard), which come together."""
+    now, total = None, _Counter()
+
+    def done() -> pa.RecordBatch:
+        k, c = total.merge()
+        return _packed(now[0], np.full(len(k), now[1]), k, c)
+
+    for b in batches:
+        for kind, shard, keys, counts in zip(*(c.to_pylist() for c in b.columns)):
+            if (kind, shard) != now:
+                if now is not None:
+                    yield done()
+                now, total = (kind, shard), _Counter()
+            total.add(*_unpack(keys, counts))
+    if now is not None:
+        yield done()
+
+
+def _together(packed: DataFrame) -> DataFrame:
+    return packed.repartition("kind", "shard").sortWithinPartitions("kind", "shard")
 
 
 def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,50 +324,37 @@ def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array([len(k)]), pa.array([int(c.sum())])], ["v", "n"])
 
 
-def _plain(df: DataFrame) -> tuple[np.ndarray, ...]:
-    """Kinds, keys and counts of packed rows, on the driver; only for results whose size the shares bound."""
-    t = df.toArrow()
-    parts = [_unpack(k, c) for k, c in zip(t["keys"].to_pylist(), t["counts"].to_pylist())]
-    kinds = np.repeat(np.array(t["kind"].to_pylist(), np.int64), [len(k) for k, _ in parts]) if parts else np.zeros(0, np.int64)
-    return kinds, np.concatenate([k for k, _ in parts]) if parts else np.zeros(0, U64), np.concatenate([c for _, c in parts]) if parts else np.zeros(0, np.int64)
+def _questions(h: np.ndarray, begin: np.ndarray):
+    """Sorted distinct words, pairs, contexts of triples and triples of a piece, with each one's place among them, and the places of the n-grams' last tokens."""
+    (at2, first, pairs), (at3, contexts, triples) = _grams(h, begin)
+    asked, back = zip(*(np.unique(x, return_inverse=True) for x in (h, pairs, contexts, triples)))
+    return asked, back, at2, at3
 
 
-def _score(folder: str, shards: int, total: float):
-    """Rows (part, kind, batch, a, b, c): kind 1 are tokens outside the model, packed by shard; kind 2 the documents of a batch with what is known of them so far."""
+def _ask(shards: int):
+    """Rows (part, kind, batch, a, b): kind 1 are a piece's questions to a shard; kind 2 its tokens, ids and lengths."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie, task, no = Trie.open(folder), TaskContext.get().partitionId(), 0
+        task, no = TaskContext.get().partitionId(), 0
         for b in batches:
             for lo, hi, buf, off, _ in bt.text_chunks(b.column(2)):
                 h, begin = tokens(buf, off)
                 batch = (task << 24) + no
                 no += 1
-                uniq, back = np.unique(h, return_inverse=True)
-                uid = trie.word_ids(uniq)
-                ids = uid[back]
-                lower = np.full(len(uniq), -np.log10(total))
-                lower[uid >= 0] += np.log10(trie.parts["counts"][uid[uid >= 0]] + 0.5)
-                lower = lower[back]
-                known = ids >= 0
-                n = np.diff(begin)
-                row = np.repeat(np.arange(hi - lo), n)
-                sums = [np.bincount(row, x, hi - lo) for x in (lower, trie.log10(ids, lower, begin), known)]
-                rest = np.flatnonzero(~known)
-                shard = _shard(h[rest], shards)
-                order = np.argsort(shard, kind="stable")
-                s = shard[order]
-                at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
-                ends = np.append(at[1:], len(s))
-                hs, rows = h[rest][order], row[rest][order].astype(np.uint32)
-                docs = np.column_stack([n, *sums]).astype(np.float64).tobytes()
-                ids_data = pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo)], ["id", "held_out"])
+                asked, back, _, _ = _questions(h, begin)
+                edges = [_edges(x, shards) for x in asked]
+                some = np.flatnonzero(sum(np.diff(e) for e in edges))
+                a = [b"".join(x[e[i] : e[i + 1]].tobytes() for x, e in zip(asked, edges)) for i in some]
+                sizes = [np.array([e[i + 1] - e[i] for e in edges], np.int64).tobytes() for i in some]
+                facts = np.array([len(asked[0]), hi - lo], np.int64).tobytes() + np.diff(begin).astype(np.int64).tobytes() + asked[0].tobytes() + back[0].astype(np.uint32).tobytes()
+                ids = pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo)], ["id", "held_out"])
                 sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, ids_data.schema) as w:
-                    w.write_batch(ids_data)
-                part = [*s[at].tolist(), batch % shards]
+                with pa.ipc.new_stream(sink, ids.schema) as w:
+                    w.write_batch(ids)
+                part = [*some.tolist(), batch % shards]
                 yield pa.RecordBatch.from_arrays([
-                    pa.array(part, pa.int32()), pa.array([1] * len(at) + [2], pa.int32()), pa.array([batch] * len(part), pa.int64()),
-                    pa.array([*(hs[x:z].tobytes() for x, z in zip(at, ends)), docs], pa.binary()), pa.array([*(rows[x:z].tobytes() for x, z in zip(at, ends)), sink.getvalue().to_pybytes()], pa.binary())], ["part", "kind", "batch", "a", "b"])
+                    pa.array(part, pa.int32()), pa.array([1] * len(some) + [2], pa.int32()), pa.array([batch] * len(part), pa.int64()),
+                    pa.array([*a, facts], pa.binary()), pa.array([*sizes, sink.getvalue().to_pybytes()], pa.binary())], ["part", "kind", "batch", "a", "b"])
 
     return run
 
@@ -252,88 +362,113 @@ def _score(folder: str, shards: int, total: float):
 ASKED = "part int, kind int, batch long, a binary, b binary"
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (part, kind): a shard's counts (kind 0) come before the questions to it (1); documents (2) pass through."""
-    now, words, counts = None, np.zeros(0, U64), np.zeros(0, np.int64)
-    for b in batches:
-        out = []
-        for part, kind, batch, x, y in zip(*(c.to_pylist() for c in b.columns)):
-            if part != now:
-                now, words, counts = part, np.zeros(0, U64), np.zeros(0, np.int64)
-            if kind == 0:
-                words, counts = _unpack(x, y)
-            elif kind == 2:
-                out.append((part, kind, batch, x, y))
-            else:
-                h, row = np.frombuffer(x, U64), np.frombuffer(y, np.uint32)
-                c = np.zeros(len(h), np.int64)
-                if len(words):
-                    at = np.minimum(np.searchsorted(words, h), len(words) - 1)
-                    c = np.where(words[at] == h, counts[at], 0)
-                rows, back = np.unique(row, return_inverse=True)
-                sums = np.column_stack([np.bincount(back, np.log10(c + 0.5)), np.bincount(back, c > 0)])
-                out.append((part, kind, batch, sums.tobytes(), rows.tobytes()))
-        if out:
-            p, k, n, x, y = zip(*out)
-            yield pa.RecordBatch.from_arrays([pa.array(p, pa.int32()), pa.array(k, pa.int32()), pa.array(n, pa.int64()), pa.array(x, pa.binary()), pa.array(y, pa.binary())], ["part", "kind", "batch", "a", "b"])
-
-
-def _finish(n_train: int):
-    """Rows sorted by (batch, kind): the answers of a batch (1), then its documents (2)."""
+def _answer(folder: str):
+    """Rows sorted by (part, kind): a shard's word counts (kind 0) come before the questions to it (1); documents (2) pass through."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, words, levels = None, (np.zeros(0, U64), np.zeros(0, np.int64)), None
+        for b in batches:
+            for part, kind, batch, x, y in zip(*(c.to_pylist() for c in b.columns)):
+                if part != now:
+                    now, words, levels = part, (np.zeros(0, U64), np.zeros(0, np.int64)), None
+                if kind == 0:
+                    words = _unpack(x, y)
+                    continue
+                if kind == 1:
+                    levels = levels or (_Level(folder, 2, part), _Level(folder, 3, part))
+                    sizes = np.frombuffer(y, np.int64)
+                    w, pairs, contexts, triples = np.split(np.frombuffer(x, U64), np.cumsum(sizes)[:-1])
+                    found = (_looked_up(*words, w), levels[0].find("contexts", w), levels[0].find("keys", pairs), levels[1].find("contexts", contexts), levels[1].find("keys", triples))
+                    every = np.concatenate(found)
+                    big = np.flatnonzero(every > 255)  # a byte each, and the few others apart
+                    x, y = np.minimum(every, 255).astype(np.uint8).tobytes(), np.concatenate([[len(f) for f in found], big, every[big]]).astype(np.int64).tobytes()
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([batch], pa.int64()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], ["part", "kind", "batch", "a", "b"])
+
+    return run
+
+
+def _discounted(count: np.ndarray, context: np.ndarray, follow: np.ndarray, lower: np.ndarray) -> np.ndarray:
+    """Interpolated probabilities; the lower ones where the context never occurred."""
+    of = np.maximum(context, 1)
+    return np.where(context > 0, np.maximum(count - DISCOUNT, 0) / of + DISCOUNT * follow / of * lower, lower)
+
+
+def _finish(n_train: int, total: float):
+    """Rows sorted by (batch, kind): the answers to a piece (1), then its documents (2)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for b in batches:
-            for _, kind, batch, x, y in zip(*(c.to_pylist() for c in b.columns)):
+            for part, kind, batch, x, y in zip(*(c.to_pylist() for c in b.columns)):
                 if batch != now:
                     now, held = batch, []
                 if kind == 1:
-                    held.append((np.frombuffer(x, np.float64).reshape(-1, 2), np.frombuffer(y, np.uint32)))
+                    every, more = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.int64)
+                    big = (len(more) - 5) // 2
+                    every[more[5 : 5 + big]] = more[5 + big :]
+                    held.append((part, np.split(every, np.cumsum(more[:5])[:-1])))
                     continue
-                facts = np.frombuffer(x, np.float64).reshape(-1, 4).copy()
-                for sums, rows in held:
-                    facts[rows, 1] += sums[:, 0]
-                    facts[rows, 2] += sums[:, 0]
-                    facts[rows, 3] += sums[:, 1]
+                u, rows = np.frombuffer(x[:16], np.int64)
+                n, words, ids = np.frombuffer(x, np.int64, rows, 16), np.frombuffer(x, U64, u, 16 + 8 * rows), np.frombuffer(x, np.uint32, -1, 16 + 8 * (rows + u))
+                begin = np.concatenate(([0], np.cumsum(n)))
+                _, (w, pair, context, triple), at2, at3 = _questions(words[ids], begin)
+                held.sort(key=lambda p: p[0])
+                count, follow, count2, follow2, count3 = (np.concatenate(f) for f in zip(*(f for _, f in held)))
                 held = []
-                ids = pa.ipc.open_stream(y).read_all().combine_chunks()
-                n = facts[:, 0].astype(np.int64)
-                yield pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in ids.columns), pa.array(n), pa.array(facts[:, 3].astype(np.int64)), pa.array(np.full(len(n), n_train)), pa.array(facts[:, 1]), pa.array(facts[:, 2])], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+                known = count[w]
+                p1 = (known + 0.5) / total
+                p, own2 = p1.copy(), np.zeros(len(w), np.int64)
+                own2[at2] = count2[pair]
+                p[at2] = _discounted(own2[at2], known[at2 - 1], follow[w][at2 - 1], p1[at2])
+                p[at3] = _discounted(count3[triple], own2[at3 - 1], follow2[context], p[at3])
+                row = np.repeat(np.arange(rows), n)
+                base, score, seen = (np.bincount(row, v, rows) for v in (np.log10(p1), np.log10(p), known > 0))
+                docs = pa.ipc.open_stream(y).read_all().combine_chunks()
+                yield pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in docs.columns), pa.array(n), pa.array(seen.astype(np.int64)), pa.array(np.full(rows, n_train)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     return run
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 5, held_out: int = 1, word_share: float = WORD_SHARE, ngram_share: float = NGRAM_SHARE) -> DataFrame:
+@contextlib.contextmanager
+def _no_shuffles_left(spark):
+    """Have every query's shuffle files removed at its end; for queries that aren't read a second time."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 5, held_out: int = 1) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each input row."""
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("id"), (fold_of(F.col(doc_id), folds) == held_out).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     train = rows.where(~F.col("held_out")).select("t")
     size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    shards = max(SHARDS[0], min(SHARDS[1], -(-size // SHARD_BYTES)))
-    counts = saved(_together(train.mapInArrow(tidy(_count_words(shards)), PACKED)), "words")
+    shards = 1 << (max(SHARDS[0], min(SHARDS[1], -(-size // SHARD_BYTES))) - 1).bit_length()
+    with _no_shuffles_left(spark):
+        counts = saved(_together(train.mapInArrow(tidy(_count_words(shards)), PACKED)).mapInArrow(tidy(_merge), PACKED), "words")
     v, n = counts.mapInArrow(tidy(_totals), "v long, n long").agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
     total = n + 0.5 * (v + 1)
-    # at most 1 / word_share words and 1 / ngram_share pairs and triples, however large the corpus
-    if word_share * 2**20 < 1:
-        raise ValueError("word_share has to be at least 2**-20")
-    frequent = counts.mapInArrow(tidy(_only_frequent(max(2, int(np.ceil(n * word_share))))), "key long, n long").toArrow()
-    hashes = frequent["key"].to_numpy().astype(np.int64).view(U64)
-    order = np.argsort(hashes)
-    hashes, word_counts = hashes[order], frequent["n"].to_numpy()[order].astype(np.int64)
-    if len(hashes):
-        least = max(2, int(np.ceil(n * ngram_share)))
-        kinds, keys, n_of = _plain(_together(train.mapInArrow(tidy(_count_ngrams(hashes, shards)), PACKED), {2: least, 3: least}))
-    else:
-        kinds, keys, n_of = np.zeros(0, np.int64), np.zeros(0, U64), np.zeros(0, np.int64)
-    mask = U64(2**20 - 1)
-    part = lambda k, shift: (k >> U64(shift) & mask).astype(np.int64)
-    k2, k3 = keys[kinds == 2], keys[kinds == 3]
-    trie = Trie.build(hashes, word_counts, (part(k2, 20), part(k2, 0), n_of[kinds == 2]), (part(k3, 40), part(k3, 20), part(k3, 0), n_of[kinds == 3]), total)
-    folder = work_dir(spark, "trie")
-    trie.save(folder)
+    folder = work_dir(spark, "levels")
+    fs, path = _place(folder)
+    fs.create_dir(path, recursive=True)
     temporary(spark, folder)
-    asked = rows.mapInArrow(tidy(_score(folder, shards, total)), ASKED)
-    model = counts.select(F.col("shard").alias("part"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("batch"), F.col("keys").alias("a"), F.col("counts").alias("b"))
-    answered = model.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(tidy(_answer), ASKED)
-    kind = rows.schema["id"].dataType.simpleString()
-    return answered.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(tidy(_finish(n)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    bounds = [shards * i // RANGES for i in range(RANGES + 1)]
+    with _no_shuffles_left(spark):
+        for low, high in zip(bounds, bounds[1:]):
+            _together(train.mapInArrow(tidy(_count_ngrams(shards, low, high)), GRAMS)).mapInArrow(tidy(_levels(folder)), "kind int, n long").agg(F.sum("n")).collect()
+        model = counts.select(F.col("shard").alias("part"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("batch"), F.col("keys").alias("a"), F.col("counts").alias("b"))
+        kind = rows.schema["id"].dataType.simpleString()
+        done = []
+        for i in range(PARTS):
+            asked = rows.where(F.pmod(F.xxhash64("t"), F.lit(PARTS)) == i).mapInArrow(tidy(_ask(shards)), ASKED)
+            answered = model.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(tidy(_answer(folder)), ASKED)
+            scored = answered.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(tidy(_finish(n, total)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            done.append(saved(scored, "scored"))
+    return functools.reduce(DataFrame.unionByName, done)

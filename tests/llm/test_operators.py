@@ -201,6 +201,28 @@ def test_lm_base_against_brute_force(spark, docs):
     assert held["score"].sum() > held["base_score"].sum() and (scored["score"] < 0).all()
 
 
+def test_lm_keeps_every_ngram(spark, docs):
+    """The model's probabilities from plain counts of all pairs and triples, however rare."""
+    rows = docs.unionByName(awkward(spark)).select("doc_id", "text").collect()
+    seqs = [(d, [*lower_words(t), None]) for d, t in rows]
+    one, two, three = (Counter(g for d, w in seqs if fold(d) != 1 for g in zip(*(w[k:] for k in range(size)))) for size in (1, 2, 3))
+    after1, after2 = Counter(g[:1] for g in two), Counter(g[:2] for g in three)
+    total = sum(one.values()) + 0.5 * (len(one) + 1)
+    blend = lambda c, of, follow, low: max(c - 0.5, 0) / of + 0.5 * follow / of * low if of else low
+
+    def logp(w, i):
+        p = (one[w[i],] + 0.5) / total
+        for size, seen, context, after in ((2, two, one, after1), (3, three, two, after2)):
+            if i >= size - 1:
+                g = tuple(w[i - size + 1 : i + 1])
+                p = blend(seen[g], context[g[:-1]], after[g[:-1]], p)
+        return math.log10(p)
+
+    want = sorted(((str(d), sum(logp(w, i) for i in range(len(w)))) for d, w in seqs))
+    got = sorted((str(r["doc_id"]), r["score"]) for r in lmscore.score(docs.unionByName(awkward(spark))).select("doc_id", "score").collect())
+    assert [d for d, _ in got] == [d for d, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-9, atol=1e-6)
+
+
 def test_lm_without_training_rows(spark):
     none = spark.createDataFrame([(d, "a b") for d in range(200) if fold(d) == 1][:3], "doc_id long, text string")
     got = lmscore.score(none).collect()
