@@ -1,35 +1,39 @@
 """Language-model scores of whole texts, by a trigram model learned from the corpus.
 
 Every word, pair and triple of the training rows is in the model, from a count
-of one on, whatever the size of the corpus.  The model lies in shards: a word in
-that of its hash, a pair in that of its first word, a triple in that of its
-first two words, so a shard knows how many words follow each of its contexts.
-The number of shards grows with the corpus.  A shard's pairs and triples are
-Elias-Fano levels (``lmtrie``) in the shared folder; no executor or driver ever
-holds more than a few of them.
-
-Scoring reads each text once and asks, for each piece of text, every shard
-once for the piece's distinct words, pairs, contexts and triples, so a common
-word makes no shard hot.  The answers come back in the order of the questions
-and meet the piece's tokens, where the probabilities are put together:
-interpolated absolute discounting down to the additive unigram model.
-
-An n-gram is known by a 64-bit key: 24 bits of its context's hash, 40 of both; a
-context by 56 bits.
-
-base_score adds up log10((c + 0.5) / (N + 0.5 * (V + 1))); score is the model's
+of one on, whatever the size of the corpus.  Smoothing is hierarchical: an
+n-gram has (count + MU * p) / (count of its context + MU), where p is the
+probability by the shorter context and, at the end, the additive unigram
+(c + 0.5) / (N + 0.5 * (V + 1)).  So an n-gram needs nothing of its context but
+a count that is known before, and the successors of a hot context can lie apart.
+
+Texts are tokenised once, into piece files in the shared folder.  Then, level by
+level, every piece sends each of its distinct n-grams once (with its training
+count in the piece, its context's count and its shorter probability) to the
+n-gram's shard.  A shard adds the counts up, builds an Elias-Fano level
+(``lmtrie``) of the n-grams that occur, memory-maps it and answers from it, with
+probabilities of 16 bits.  A piece writes the answers beside its file; those of
+the pairs go into the questions about the triples.  N-grams with the same
+context share a shard, unless the context has more than a quarter of a shard's
+tokens: then they are dealt by word, too.  The number of shards grows with the
+corpus, a level is worked on in ``RANGES`` ranges of shards, so that only that
+share of it is in shuffle files at a time, and a shard's level goes once it has
+answered, unless ``levels`` names a folder to keep them in.
+
+base_score adds up log10 of the unigram probabilities, score is the model's
 log10 probability, which comes to the same where a context never occurred.
 
 Cases: a null text is empty and has one token, the end; a null id is in the
 training part; repeated rows count and score each; without training rows N and
-V are 0; an empty table gives an empty result; other columns are never read.
+V are 0; an empty table gives an empty result; a very long text is a piece of
+its own, about a hundred bytes of memory for each of its words; other columns
+are never read.
 """
 
 from __future__ import annotations
 
 import contextlib
-import functools
-import io
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -41,21 +45,22 @@ from pyspark.sql import functions as F
 
 from . import bytetext as bt
 from .common import fold_of, saved, temporary, tidy, work_dir
-from .lmtrie import DISCOUNT, EliasFano
+from .lmtrie import Trie, place
 
 U64 = np.uint64
-SHARD_BYTES = 32 << 20
-#: Powers of two, so that 24 bits of a context tell its shard.
-SHARDS = (64, 4096)
-HOLD = 500_000
-#: A counting task hands on its n-grams of a level when it has so many.
-FULL = 2_000_000
+MU = 8.0
+#: Bytes of text in a piece; training tokens of a shard, about.
+PIECE = 4 << 20
+SHARD_TOKENS = 1_500_000
+MIN_SHARDS = 16
+#: Contexts with fewer tokens are never hot.
+HOT_LEAST = 1000
+RANGES = {2: 2, 3: 3}
 #: The token that ends every document; words have hashes of their bytes, and this is none of an actual word's.
 END = U64(0xE0D0E0D0_5EED_0001)
-_CONTEXT_BITS = U64(0xFFFFFF_00000000_00)
-#: Counting goes over the text once for each range of shards, scoring once for each part of the documents, so that only that share is in shuffle files at a time.
-RANGES = 3
-PARTS = 8
+#: Answers are -log10 p in steps of 1 / STEPS.
+STEPS = 4096
+_LOW40 = U64(2**40 - 1)
 
 
 def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -72,359 +77,413 @@ def tokens(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return out, begin
 
 
-def _shard(h: np.ndarray, shards: int) -> np.ndarray:
-    return ((h >> U64(32)) * U64(shards) >> U64(32)).astype(np.int64)
+def _ordered(keys: np.ndarray) -> np.ndarray:
+    """An order by the keys' leading bits, then by place: all bits but the few that a place takes."""
+    bits = U64(max(len(keys) - 1, 1).bit_length())
+    packed = keys >> bits << bits | np.arange(len(keys), dtype=U64)
+    packed.sort()
+    return (packed & U64(2 ** int(bits) - 1)).astype(np.int64)
 
 
-class _Counter:
-    """Sums of counts by key, merged whenever many have gathered."""
+def _runs(*columns: np.ndarray) -> np.ndarray:
+    """Where a new run of equal rows begins."""
+    if not len(columns[0]):
+        return np.zeros(0, np.int64)
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = False
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
 
-    def __init__(self):
-        self.keys, self.counts, self.held, self.merged = [], [], 0, 0
 
-    def add(self, keys: np.ndarray, counts: np.ndarray) -> None:
-        self.keys.append(keys)
-        self.counts.append(counts)
-        self.held += len(keys)
-        if self.held > HOLD + self.merged:
-            self.merge()
+def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values below 2**40 and each value's place among them."""
+    if len(values) < 1 << 24:
+        order = _ordered(values << U64(24))
+    else:
+        order = np.argsort(values, kind="stable")
+    s = values[order]
+    at = _runs(s)
+    back = np.empty(len(values), np.int64)
+    back[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(s))))
+    return s[at], back
 
-    def merge(self) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.keys) != 1:
-            keys = np.concatenate(self.keys) if self.keys else np.zeros(0, U64)
-            counts = np.concatenate(self.counts) if self.counts else np.zeros(0, np.int64)
-            order = np.argsort(keys, kind="stable")
-            keys, counts = keys[order], counts[order]
-            at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-            self.keys, self.counts = [keys[at]], [np.add.reduceat(counts, at) if len(at) else counts]
-        self.held = self.merged = len(self.keys[0])
-        return self.keys[0], self.counts[0]
 
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Arrays of whole numbers, each in the fewest bytes that hold its largest."""
+    parts = []
+    for x in arrays:
+        most = int(x.max()) if len(x) else 0
+        kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(k).max)
+        parts.append(np.asarray(x).astype(kind))
+    head = np.array([len(arrays), *(v for x in parts for v in (x.itemsize, len(x)))], np.uint32)
+    return head.tobytes() + b"".join(x.tobytes() for x in parts)
 
-def _counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.sort(keys)
-    at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[at], np.diff(np.append(at, len(keys)))
 
+def _unpack(data: bytes) -> list[np.ndarray]:
+    n = int(np.frombuffer(data, np.uint32, 1)[0])
+    head = np.frombuffer(data, np.uint32, 2 * n, 4)
+    out, at = [], 4 + 8 * n
+    for size, length in head.reshape(-1, 2).tolist():
+        out.append(np.frombuffer(data, f"<u{size}", length, at))
+        at += size * length
+    return out
 
-def _packed(kind: int, shard_of: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
-    """One row for each shard: its keys and counts as bytes."""
-    order = np.argsort(shard_of, kind="stable")
-    s = shard_of[order]
-    at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.zeros(0, np.int64)
-    ends = np.append(at[1:], len(s))
-    k, c = keys[order], counts[order].astype(np.int64)
-    small = np.uint32 if len(c) and c.max() < 2**32 else np.int64
-    return pa.RecordBatch.from_arrays(
-        [pa.array([kind] * len(at), pa.int32()), pa.array(s[at].astype(np.int32)), pa.array([k[a:z].tobytes() for a, z in zip(at, ends)], pa.binary()), pa.array([c[a:z].astype(small).tobytes() for a, z in zip(at, ends)], pa.binary())],
-        ["kind", "shard", "keys", "counts"])
 
+def _split40(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return (x & U64(0xFFFFFFFF)).astype(np.uint32), (x >> U64(32)).astype(np.uint8)
 
-PACKED = "kind int, shard int, keys binary, counts binary"
 
+def _join40(low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return high.astype(U64) << U64(32) | low
 
-def _unpack(keys: bytes, counts: bytes) -> tuple[np.ndarray, np.ndarray]:
-    k = np.frombuffer(keys, U64)
-    return k, np.frombuffer(counts, np.uint32 if len(counts) == 4 * len(k) else np.int64).astype(np.int64)
 
+def _store(fs: pafs.FileSystem, path: str, *columns: bytes) -> None:
+    """Write one file at once; a repeated task writes the same again."""
+    sink = pa.BufferOutputStream()
+    batch = pa.RecordBatch.from_arrays([pa.array([c], pa.large_binary()) for c in columns], [str(i) for i in range(len(columns))])
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    own = f"{path}.{uuid.uuid4().hex}"
+    with fs.open_output_stream(own, compression=None) as out:
+        out.write(sink.getvalue())
+    fs.move(own, path)
 
-def _count_words(shards: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = _Counter()
-        for b in batches:
-            for _, _, buf, off, _ in bt.text_chunks(b.column(0)):
-                total.add(*_counted(tokens(buf, off)[0]))
-        k, c = total.merge()
-        if len(k):
-            yield _packed(1, _shard(k, shards), k, c)
 
-    return run
+def _load(fs: pafs.FileSystem, path: str) -> list[bytes]:
+    with fs.open_input_stream(path, compression=None) as src:
+        batch = pa.ipc.open_stream(src.read()).read_next_batch()
+    return [c[0].as_buffer() for c in batch.columns]
+
+
+# -- pieces
 
 
-def _grams(h: np.ndarray, begin: np.ndarray) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], ...]:
-    """(places of their last tokens, contexts, keys) of the pairs and of the triples."""
-    two = np.ones(len(h), bool)
-    two[begin[:-1]] = False
-    three = two.copy()
-    three[:1] = False
-    three[1:] &= two[:-1]
-    out, context, keys = [], h, np.zeros(len(h), U64)
-    for at in (np.flatnonzero(two), np.flatnonzero(three)):
-        before = context[at - 1]
-        own = before & _CONTEXT_BITS | bt.avalanche(before ^ bt.avalanche(h[at] + U64(0x9E3779B97F4A7C15))) >> U64(24)
-        out.append((at, before, own))
-        keys[at] = own
-        context = bt.avalanche(keys.copy())
-    return tuple(out)
-
-
-class _Grams:
-    """Sums of counts by key, with the 32 bits of each one's context that its key hasn't."""
-
-    def __init__(self):
-        self.parts, self.held, self.merged = [], 0, 0
-
-    def add(self, keys: np.ndarray, contexts: np.ndarray, counts: np.ndarray) -> None:
-        self.parts.append((keys, contexts, counts))
-        self.held += len(keys)
-        if self.held > HOLD + self.merged:
-            self.merge()
-
-    def merge(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        keys, contexts, counts = (np.concatenate(x) for x in zip(*self.parts)) if self.parts else (np.zeros(0, U64), np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        order = np.argsort(keys)
-        keys, contexts, counts = keys[order], contexts[order], counts[order]
-        if len(keys):
-            at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-            keys, contexts, counts = keys[at], contexts[at], np.add.reduceat(counts, at)
-        self.parts, self.held, self.merged = [(keys, contexts, counts)], len(keys), len(keys)
-        return keys, contexts, counts
-
-
-def _edges(sorted_keys: np.ndarray, shards: int) -> np.ndarray:
-    """Where each shard begins in sorted keys, and the end."""
-    first = np.arange(shards, dtype=U64) << U64(64 - int(shards).bit_length() + 1)
-    return np.append(np.searchsorted(sorted_keys, first), len(sorted_keys))
-
-
-def _small(x: np.ndarray) -> bytes:
-    return x.astype(np.uint32 if not len(x) or x.max() < 2**32 else np.int64).tobytes()
-
-
-def _count_ngrams(shards: int, low: int, high: int):
-    """Pairs and triples of the shards in [low, high)."""
-    def packed(kind: int, total: _Grams) -> pa.RecordBatch:
-        k, x, c = total.merge()
-        e = _edges(k, shards)
-        some = np.flatnonzero(np.diff(e))
-        spans = [(e[i], e[i + 1]) for i in some]
-        return pa.RecordBatch.from_arrays(
-            [pa.array([kind] * len(some), pa.int32()), pa.array(some.astype(np.int32)), pa.array([k[a:z].tobytes() for a, z in spans], pa.binary()), pa.array([x[a:z].tobytes() for a, z in spans], pa.binary()), pa.array([_small(c[a:z]) for a, z in spans], pa.binary())],
-            ["kind", "shard", "keys", "contexts", "counts"])
+PIECES = "piece string, docs long, train long"
+
+
+def _cut_pieces(folder: str):
+    """Tokenise rows (id, held_out, text) and write a file for each piece."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        totals = {2: _Grams(), 3: _Grams()}
+        fs, path = place(folder)
         for b in batches:
-            for _, _, buf, off, _ in bt.text_chunks(b.column(0)):
-                for kind, (_, contexts, keys) in zip((2, 3), _grams(*tokens(buf, off))):
-                    shard = _shard(keys, shards)
-                    own = np.flatnonzero((shard >= low) & (shard < high))
-                    totals[kind].add(keys[own], (contexts[own] >> U64(8)).astype(np.uint32), np.ones(len(own), np.int64))
-                    if totals[kind].merged > FULL:
-                        yield packed(kind, totals[kind])
-                        totals[kind] = _Grams()
-        for kind, total in totals.items():
-            yield packed(kind, total)
+            for lo, hi, buf, off, _ in bt.text_chunks(b.column(2), PIECE):
+                h, begin = tokens(buf, off)
+                order = _ordered(h)
+                at = _runs(h[order])
+                number = np.empty(len(h), np.uint32)
+                number[order] = np.repeat(np.arange(len(at), dtype=np.uint32), np.diff(np.append(at, len(h))))
+                ids = pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo)], ["id", "held_out"])
+                held = ids.column(1).to_numpy(zero_copy_only=False)
+                n = np.diff(begin)
+                sink = pa.BufferOutputStream()
+                with pa.ipc.new_stream(sink, ids.schema) as w:
+                    w.write_batch(ids)
+                name = uuid.uuid4().hex
+                planes = np.ascontiguousarray(number.view(np.uint8).reshape(-1, 4).T)
+                _store(fs, f"{path}/{name}", sink.getvalue().to_pybytes(), n.astype(np.int64).tobytes(), held.tobytes(), h[order[at]].tobytes(), planes.tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([hi - lo]), pa.array([int(n[~held].sum())])], ["piece", "docs", "train"])
 
     return run
 
 
-GRAMS = "kind int, shard int, keys binary, contexts binary, counts binary"
+class _Piece:
+    """A piece's tokens, and what was answered about them so far."""
 
+    def __init__(self, folder: str, name: str):
+        self.fs, self.path = place(folder)
+        self.name = name
+        self.ids, n, held, words, planes = _load(self.fs, f"{self.path}/{name}")
+        self.n, self.words = np.frombuffer(n, np.int64), np.frombuffer(words, U64)
+        self.row_train = ~np.frombuffer(held, bool)
+        self.number = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0]
+        self.begin = np.concatenate(([0], np.cumsum(self.n)))
+        self.h = self.words[self.number]
+        self.train = np.repeat(self.row_train, self.n)
 
-def _place(folder: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+    def file(self, kind: str) -> str:
+        return f"{self.path}/{self.name}.{kind}"
 
+    def full(self, level: int) -> np.ndarray:
+        """Whether each token has level - 1 tokens before it in its row."""
+        out = np.ones(len(self.h), bool)
+        for k in range(level - 1):
+            out[self.begin[:-1][self.n > k] + k] = False
+        return out
 
-def _levels(folder: str):
-    """Write each (kind, shard), whose rows come together, as a level: keys with their counts, contexts with how many words follow."""
+    def word_counts(self) -> np.ndarray:
+        """Training counts of the piece's distinct words."""
+        return _unpack(_load(self.fs, self.file("1"))[0])[0].astype(np.int64)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = _place(folder)
-        now, total = None, _Grams()
-
-        def done() -> pa.RecordBatch:
-            keys, contexts, counts = total.merge()
-            contexts, follow = np.unique((keys & _CONTEXT_BITS) >> U64(8) | contexts, return_counts=True)
-            parts = {"counts": np.frombuffer(_small(counts), np.uint32 if counts.max() < 2**32 else np.int64), "follow": follow.astype(np.uint32)}
-            for name, values, universe in (("keys", keys, 2**64), ("contexts", contexts, 2**56)):
-                ef = EliasFano.build(values, universe)
-                parts |= {f"{name}.{p}": getattr(ef, p) for p in EliasFano.PARTS}
-            for name in ("counts", "follow"):  # nearly all are small: a byte each, and the others apart
-                x = parts.pop(name)
-                big = np.flatnonzero(x > 255)
-                parts |= {name: np.minimum(x, 255).astype(np.uint8), f"{name}.at": big, f"{name}.big": x[big].astype(np.int64)}
-            data = io.BytesIO()
-            np.savez(data, **parts)
-            final = f"{path}/{now[0]}-{now[1]}.npz"
-            own = f"{final}.{TaskContext.get().taskAttemptId()}"
-            with fs.open_output_stream(own, compression=None) as out:
-                out.write(data.getvalue())
-            fs.move(own, final)
-            return pa.RecordBatch.from_arrays([pa.array([now[0]], pa.int32()), pa.array([len(keys)])], ["kind", "n"])
+    def pairs(self, total: float, model: _Model) -> tuple[np.ndarray, np.ndarray]:
+        """For each token the count of the pair that it ends (0 at a row's beginning), and its probability after the word before."""
+        count, p = np.zeros(len(self.h), np.int64), (self.word_counts()[self.number] + 0.5) / total
+        for i in range(RANGES[2]):
+            at = np.flatnonzero(self.asked(2, i, model))
+            if len(at):
+                c, code = _unpack(_load(self.fs, self.file(f"2-{i}"))[0])
+                count[at], p[at] = c, 10.0 ** (code / -STEPS)
+        return count, p
 
-        for b in batches:
-            for kind, shard, keys, contexts, counts in zip(*(c.to_pylist() for c in b.columns)):
-                if (kind, shard) != now:
-                    if now is not None:
-                        yield done()
-                    now, total = (kind, shard), _Grams()
-                k, c = _unpack(keys, counts)
-                total.add(k, np.frombuffer(contexts, np.uint32), c)
-        if now is not None:
-            yield done()
+    def context(self, level: int) -> np.ndarray:
+        """Hash of each token's context (of what stands before, where the row has less)."""
+        out = np.empty_like(self.h)
+        out[:1] = 0
+        out[1:] = self.h[:-1]
+        if level == 3:
+            out[2:] = bt.avalanche(self.h[:-2] * bt._MIX[33] + self.h[1:-1] * bt._MIX[34])
+        return out
 
-    return run
+    def route(self, level: int, context: np.ndarray, count: np.ndarray, model: _Model) -> np.ndarray:
+        """Leading bits tell the shard; count: of each token's context."""
+        hot = np.flatnonzero(count > model.hot)
+        out = context.copy()
+        out[hot] = bt.avalanche(context[hot] ^ bt.avalanche(self.h[hot] + U64(level)))
+        return out
 
+    def asked(self, level: int, i: int, model: _Model) -> np.ndarray:
+        """Which tokens' pairs lie in the i-th range of shards."""
+        context = self.context(level)
+        count = np.zeros(len(self.h), np.int64)
+        count[1:] = self.word_counts()[self.number[:-1]]
+        return model.inside(self.route(level, context, count, model), level, i) & self.full(level)
 
-class _Level:
-    """An opened level of a shard; one that was never written has nothing."""
 
-    def __init__(self, folder: str, kind: int, shard: int):
-        fs, path = _place(folder)
-        file = f"{path}/{kind}-{shard}.npz"
-        self.tables = {"keys": (np.zeros(0, U64), np.zeros(0, np.int64)), "contexts": (np.zeros(0, U64), np.zeros(0, np.int64))}
-        if fs.get_file_info(file).type != pafs.FileType.File:
-            return
-        with fs.open_input_stream(file, compression=None) as src:
-            parts = dict(np.load(io.BytesIO(src.read())))
-        for keys, values in (("keys", "counts"), ("contexts", "follow")):
-            x = parts[values].astype(np.int64)
-            x[parts[f"{values}.at"]] = parts[f"{values}.big"]
-            self.tables[keys] = EliasFano(*(parts[f"{keys}.{p}"] for p in EliasFano.PARTS)).all(), x
+class _Model:
+    """Sizes that all parts of a run share."""
 
-    def find(self, table: str, asked: np.ndarray) -> np.ndarray:
-        return _looked_up(*self.tables[table], asked >> U64(8) if table == "contexts" else asked)
+    def __init__(self, n: int, shards: int):
+        self.n, self.shards, self.bits = n, shards, U64(64 - (shards.bit_length() - 1))
+        self.hot = max(n / shards / 4, HOT_LEAST)
+        self.total = 0.0
 
+    def inside(self, route: np.ndarray, level: int, i: int) -> np.ndarray:
+        shard = route >> self.bits
+        return (shard >= U64(self.shards * i // RANGES[level])) & (shard < U64(self.shards * (i + 1) // RANGES[level]))
 
-def _looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
-    if not len(keys) or not len(asked):
-        return np.zeros(len(asked), np.int64)
-    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
-    return np.where(keys[at] == asked, values[at], 0)
+    def edges(self, route: np.ndarray) -> np.ndarray:
+        """Where each shard begins in sorted routes, and the end."""
+        return np.append(np.searchsorted(route >> self.bits, np.arange(self.shards, dtype=U64)), len(route))
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Merge the rows of each (kind, shard), which come together."""
-    now, total = None, _Counter()
+# -- questions, answers
 
-    def done() -> pa.RecordBatch:
-        k, c = total.merge()
-        return _packed(now[0], np.full(len(k), now[1]), k, c)
 
-    for b in batches:
-        for kind, shard, keys, counts in zip(*(c.to_pylist() for c in b.columns)):
-            if (kind, shard) != now:
-                if now is not None:
-                    yield done()
-                now, total = (kind, shard), _Counter()
-            total.add(*_unpack(keys, counts))
-    if now is not None:
-        yield done()
+CELLS = "part int, piece string, cell binary"
 
 
-def _together(packed: DataFrame) -> DataFrame:
-    return packed.repartition("kind", "shard").sortWithinPartitions("kind", "shard")
+def _cells(part: list[int], piece: list[str], cell: list[bytes]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), pa.array(piece, pa.string()), pa.array(cell, pa.binary())], ["part", "piece", "cell"])
 
 
-def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _pieces(folder: str, batches: Iterator[pa.RecordBatch]) -> Iterator[_Piece]:
     for b in batches:
-        for keys, counts in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-            k, c = _unpack(keys, counts)
-            yield pa.RecordBatch.from_arrays([pa.array([len(k)]), pa.array([int(c.sum())])], ["v", "n"])
+        for name in b.column(0).to_pylist():
+            yield _Piece(folder, name)
 
 
-def _questions(h: np.ndarray, begin: np.ndarray):
-    """Sorted distinct words, pairs, contexts of triples and triples of a piece, with each one's place among them, and the places of the n-grams' last tokens."""
-    (at2, first, pairs), (at3, contexts, triples) = _grams(h, begin)
-    asked, back = zip(*(np.unique(x, return_inverse=True) for x in (h, pairs, contexts, triples)))
-    return asked, back, at2, at3
+def _ask_words(folder: str, model: _Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in _pieces(folder, batches):
+            count = np.bincount(p.number[p.train], minlength=len(p.words))
+            e = model.edges(p.words)
+            some = np.flatnonzero(np.diff(e)).tolist()
+            yield _cells(some, [p.name] * len(some), [_pack(p.words[e[i] : e[i + 1]], count[e[i] : e[i + 1]]) for i in some])
 
+    return run
 
-def _ask(shards: int):
-    """Rows (part, kind, batch, a, b): kind 1 are a piece's questions to a shard; kind 2 its tokens, ids and lengths."""
 
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[str], list[list[np.ndarray]]]]:
+    """The cells of each shard, whose rows come together."""
+    now, names, cells = None, [], []
+    for b in batches:
+        for part, name, cell in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            if part != now:
+                if names:
+                    yield now, names, cells
+                now, names, cells = part, [], []
+            names.append(name)
+            cells.append(_unpack(cell.as_buffer()))
+    if names:
+        yield now, names, cells
+
+
+#: The row of this name in a shard's answers about words says how many of its words occur.
+SHARD = ""
+
+
+def _answer_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part, names, cells in _shards(batches):
+        h, count = (np.concatenate([c[k] for c in cells]).astype(U64) for k in (0, 1))
+        order = np.argsort(h, kind="stable")
+        at = _runs(h[order])
+        sums = np.add.reduceat(count[order], at)
+        out = np.empty(len(h), U64)
+        out[order] = np.repeat(sums, np.diff(np.append(at, len(h))))
+        sizes = np.cumsum([len(c[0]) for c in cells])[:-1]
+        yield _cells([part] * (len(names) + 1), [*names, SHARD], [*map(_pack, np.split(out, sizes)), _pack(np.array([(sums > 0).sum()]))])
+
+
+def _by_piece(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[list[np.ndarray]]]]:
+    """The answers to each piece, in the order of the shards."""
+    now, held = None, []
+    for b in batches:
+        for part, name, cell in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+            if name != now:
+                if held:
+                    yield now, held
+                now, held = name, []
+            held.append(_unpack(cell.as_buffer()))
+    if held:
+        yield now, held
+
+
+def _finish_words(folder: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, no = TaskContext.get().partitionId(), 0
-        for b in batches:
-            for lo, hi, buf, off, _ in bt.text_chunks(b.column(2)):
-                h, begin = tokens(buf, off)
-                batch = (task << 24) + no
-                no += 1
-                asked, back, _, _ = _questions(h, begin)
-                edges = [_edges(x, shards) for x in asked]
-                some = np.flatnonzero(sum(np.diff(e) for e in edges))
-                a = [b"".join(x[e[i] : e[i + 1]].tobytes() for x, e in zip(asked, edges)) for i in some]
-                sizes = [np.array([e[i + 1] - e[i] for e in edges], np.int64).tobytes() for i in some]
-                facts = np.array([len(asked[0]), hi - lo], np.int64).tobytes() + np.diff(begin).astype(np.int64).tobytes() + asked[0].tobytes() + back[0].astype(np.uint32).tobytes()
-                ids = pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), b.column(1).slice(lo, hi - lo)], ["id", "held_out"])
-                sink = pa.BufferOutputStream()
-                with pa.ipc.new_stream(sink, ids.schema) as w:
-                    w.write_batch(ids)
-                part = [*some.tolist(), batch % shards]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(part, pa.int32()), pa.array([1] * len(some) + [2], pa.int32()), pa.array([batch] * len(part), pa.int64()),
-                    pa.array([*a, facts], pa.binary()), pa.array([*sizes, sink.getvalue().to_pybytes()], pa.binary())], ["part", "kind", "batch", "a", "b"])
+        fs, path = place(folder)
+        for name, held in _by_piece(batches):
+            every = np.concatenate([x[0] for x in held])
+            if name != SHARD:
+                _store(fs, f"{path}/{name}.1", _pack(every))
+            yield pa.RecordBatch.from_arrays([pa.array([int(every.sum()) if name == SHARD else 0])], ["v"])
 
     return run
 
 
-ASKED = "part int, kind int, batch long, a binary, b binary"
+def _questions(p: _Piece, level: int, i: int, model: _Model):
+    """(tokens asked about, order of them, where a new question begins in that order, route, context, its count, lower probability), in that order the last four."""
+    if level == 2:
+        at = np.flatnonzero(p.asked(2, i, model))
+        counts = p.word_counts()[p.number]
+        context, before, lower = p.context(2)[at], counts[at - 1], (counts[at] + 0.5) / model.total
+    else:
+        pair, prob = p.pairs(model.total, model)
+        context = p.context(3)
+        before = np.zeros(len(p.h), np.int64)
+        before[1:] = pair[:-1]
+        at = np.flatnonzero(p.full(3) & model.inside(p.route(3, context, before, model), 3, i))
+        context, before, lower = context[at], before[at], prob[at]
+    words = p.h[at]
+    hot = before > model.hot
+    route = np.where(hot, bt.avalanche(context ^ bt.avalanche(words + U64(level))), context)
+    order = _ordered(route & U64(0xFFFFFFFF_00000000) | words >> U64(32))
+    route, context, words = route[order], context[order] & _LOW40, words[order] & _LOW40
+    new = _runs(context, words)
+    return at, order, new, route, context, words, before[order], lower[order]
+
+
+def _ask(folder: str, level: int, i: int, model: _Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for p in _pieces(folder, batches):
+            at, order, new, route, context, words, before, lower = _questions(p, level, i, model)
+            if not len(new):
+                continue
+            count = np.add.reduceat(p.train[at][order].astype(np.int64), new)
+            code = np.minimum(np.rint(np.log10(lower[new]) * -STEPS), 65535).astype(np.uint16)
+            context, words, before = context[new], words[new], before[new]
+            e = model.edges(route[new])
+            some = np.flatnonzero(np.diff(e)).tolist()
+            cells = []
+            for k in some:
+                a, z = e[k], e[k + 1]
+                run_at = _runs(context[a:z])
+                cells.append(_pack(*_split40(context[a:z][run_at]), np.diff(np.append(run_at, z - a)), before[a:z][run_at], *_split40(words[a:z]), count[a:z], code[a:z]))
+            yield _cells(some, [p.name] * len(some), cells)
 
+    return run
 
-def _answer(folder: str):
-    """Rows sorted by (part, kind): a shard's word counts (kind 0) come before the questions to it (1); documents (2) pass through."""
+
+def _answer(folder: str, level: int, keep: bool):
+    """Add up, build, save and open a shard's level, and answer the questions from it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, words, levels = None, (np.zeros(0, U64), np.zeros(0, np.int64)), None
-        for b in batches:
-            for part, kind, batch, x, y in zip(*(c.to_pylist() for c in b.columns)):
-                if part != now:
-                    now, words, levels = part, (np.zeros(0, U64), np.zeros(0, np.int64)), None
-                if kind == 0:
-                    words = _unpack(x, y)
-                    continue
-                if kind == 1:
-                    levels = levels or (_Level(folder, 2, part), _Level(folder, 3, part))
-                    sizes = np.frombuffer(y, np.int64)
-                    w, pairs, contexts, triples = np.split(np.frombuffer(x, U64), np.cumsum(sizes)[:-1])
-                    found = (_looked_up(*words, w), levels[0].find("contexts", w), levels[0].find("keys", pairs), levels[1].find("contexts", contexts), levels[1].find("keys", triples))
-                    every = np.concatenate(found)
-                    big = np.flatnonzero(every > 255)  # a byte each, and the few others apart
-                    x, y = np.minimum(every, 255).astype(np.uint8).tobytes(), np.concatenate([[len(f) for f in found], big, every[big]]).astype(np.int64).tobytes()
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([kind], pa.int32()), pa.array([batch], pa.int64()), pa.array([x], pa.binary()), pa.array([y], pa.binary())], ["part", "kind", "batch", "a", "b"])
+        for part, names, cells in _shards(batches):
+            sizes = np.array([len(c[4]) for c in cells])
+            c_low, c_high, length, before, w_low, w_high, count, code = (np.concatenate([c[k] for c in cells]) for k in range(8))
+            contexts, run_no = _numbered(_join40(c_low, c_high))
+            words, word_no = _numbered(_join40(w_low, w_high))
+            of_context = np.zeros(len(contexts), np.int64)
+            of_context[run_no] = before
+            context_no = np.repeat(run_no, length.astype(np.int64))
+            key = context_no.astype(U64) * U64(len(words)) + word_no.astype(U64)
+            top = 64 - max(len(contexts) * len(words), 1).bit_length()
+            order = _ordered(key << U64(top)) if top >= max(len(key) - 1, 1).bit_length() else np.argsort(key, kind="stable")
+            at = _runs(key[order])
+            sums = np.add.reduceat(count[order].astype(np.int64), at)
+            first = order[at]
+            context_no, word_no = context_no[first], word_no[first]
+            of = of_context[context_no]
+            lower = 10.0 ** (code[first] / -STEPS)
+            there = np.flatnonzero(sums)
+            p = np.full(len(at), np.nan)
+            weight = p.copy()
+            if len(there):
+                used, used_no = np.unique(context_no[there], return_inverse=True)
+                some, some_no = np.unique(word_no[there], return_inverse=True)
+                logp = np.log10((sums[there] + MU * lower[there]) / (of[there] + MU))
+                file = f"{folder}/{level}-{part}.{'ef' if keep else TaskContext.get().taskAttemptId()}"
+                Trie.build(contexts[used], words[some], used_no, some_no, logp, np.log10(MU / (of_context[used] + MU))).save(file)
+                p, weight = Trie.open(file).find(contexts, words, context_no, word_no)
+                if not keep:
+                    fs, path = place(file)
+                    fs.delete_file(path)
+            # a context that occurs with none of this shard's words is only in other shards
+            weight = np.where(np.isnan(weight), np.log10(MU / (of + MU)), weight)
+            answer = np.where(np.isnan(p), weight + np.log10(lower), p)
+            answer = np.minimum(np.rint(answer * -STEPS), 65535).astype(np.uint16)
+            group = np.empty(len(order), np.int64)
+            group[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
+            ends = np.cumsum(sizes)[:-1]
+            answers = [_pack(x) if level == 3 else _pack(x, c) for x, c in zip(np.split(answer[group], ends), np.split(sums[group], ends))]
+            yield _cells([part] * len(names), names, answers)
 
     return run
 
 
-def _discounted(count: np.ndarray, context: np.ndarray, follow: np.ndarray, lower: np.ndarray) -> np.ndarray:
-    """Interpolated probabilities; the lower ones where the context never occurred."""
-    of = np.maximum(context, 1)
-    return np.where(context > 0, np.maximum(count - DISCOUNT, 0) / of + DISCOUNT * follow / of * lower, lower)
+def _finish(folder: str, level: int, i: int, model: _Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, held in _by_piece(batches):
+            p = _Piece(folder, name)
+            at, order, new, *_ = _questions(p, level, i, model)
+            times = np.diff(np.append(new, len(at)))
+            columns = []
+            for k in range(len(held[0])):
+                x = np.empty(len(at), np.int64)
+                x[order] = np.repeat(np.concatenate([c[k] for c in held]), times)
+                columns.append(x)
+            if level == 2:
+                code, count = columns
+                _store(p.fs, p.file(f"2-{i}"), _pack(count, code))
+            else:
+                row = np.repeat(np.arange(len(p.n)), p.n)[at]
+                _store(p.fs, p.file(f"3-{i}"), np.bincount(row, columns[0], len(p.n)).tobytes(), np.int64(len(at)).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([len(at)])], ["v"])
+
+    return run
 
 
-def _finish(n_train: int, total: float):
-    """Rows sorted by (batch, kind): the answers to a piece (1), then its documents (2)."""
+RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
 
+
+def _scored(folder: str, model: _Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for b in batches:
-            for part, kind, batch, x, y in zip(*(c.to_pylist() for c in b.columns)):
-                if batch != now:
-                    now, held = batch, []
-                if kind == 1:
-                    every, more = np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.int64)
-                    big = (len(more) - 5) // 2
-                    every[more[5 : 5 + big]] = more[5 + big :]
-                    held.append((part, np.split(every, np.cumsum(more[:5])[:-1])))
-                    continue
-                u, rows = np.frombuffer(x[:16], np.int64)
-                n, words, ids = np.frombuffer(x, np.int64, rows, 16), np.frombuffer(x, U64, u, 16 + 8 * rows), np.frombuffer(x, np.uint32, -1, 16 + 8 * (rows + u))
-                begin = np.concatenate(([0], np.cumsum(n)))
-                _, (w, pair, context, triple), at2, at3 = _questions(words[ids], begin)
-                held.sort(key=lambda p: p[0])
-                count, follow, count2, follow2, count3 = (np.concatenate(f) for f in zip(*(f for _, f in held)))
-                held = []
-                known = count[w]
-                p1 = (known + 0.5) / total
-                p, own2 = p1.copy(), np.zeros(len(w), np.int64)
-                own2[at2] = count2[pair]
-                p[at2] = _discounted(own2[at2], known[at2 - 1], follow[w][at2 - 1], p1[at2])
-                p[at3] = _discounted(count3[triple], own2[at3 - 1], follow2[context], p[at3])
-                row = np.repeat(np.arange(rows), n)
-                base, score, seen = (np.bincount(row, v, rows) for v in (np.log10(p1), np.log10(p), known > 0))
-                docs = pa.ipc.open_stream(y).read_all().combine_chunks()
-                yield pa.RecordBatch.from_arrays([*(c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in docs.columns), pa.array(n), pa.array(seen.astype(np.int64)), pa.array(np.full(rows, n_train)), pa.array(base), pa.array(score)], ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+        for p in _pieces(folder, batches):
+            known = p.word_counts()[p.number]
+            row = np.repeat(np.arange(len(p.n)), p.n)
+            lone = np.log10((known + 0.5) / model.total)
+            short = np.where(p.full(2), np.log10(p.pairs(model.total, model)[1]), lone) * ~p.full(3)
+            base, score, seen = (np.bincount(row, x, len(p.n)) for x in (lone, short, known > 0))
+            left = int(p.full(3).sum())
+            for i in range(RANGES[3]):
+                if p.fs.get_file_info(p.file(f"3-{i}")).type == pafs.FileType.File:  # else no triple lies there
+                    sums, n = _load(p.fs, p.file(f"3-{i}"))
+                    score -= np.frombuffer(sums, np.float64) / STEPS
+                    left -= int(np.frombuffer(n, np.int64)[0])
+            if left:
+                raise RuntimeError(f"{left} triples of piece {p.name} have no answer")
+            docs = pa.ipc.open_stream(p.ids).read_next_batch()
+            yield pa.RecordBatch.from_arrays([*docs.columns, pa.array(p.n), pa.array(seen.astype(np.int64)), pa.array(np.full(len(p.n), model.n)), pa.array(base), pa.array(score)], RESULT)
 
     return run
 
@@ -444,31 +503,35 @@ def _no_shuffles_left(spark):
             spark.conf.set(name, before)
 
 
-def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 5, held_out: int = 1) -> DataFrame:
-    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each input row."""
+def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: int = 5, held_out: int = 1, levels: str | None = None) -> DataFrame:
+    """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score), one row for each input row.
+
+    ``levels``: a folder, shared and existing, in which the shards' levels stay.
+    """
     spark = docs.sparkSession
     rows = docs.select(F.col(doc_id).alias("id"), (fold_of(F.col(doc_id), folds) == held_out).alias("held_out"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    train = rows.where(~F.col("held_out")).select("t")
-    size = rows.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    shards = 1 << (max(SHARDS[0], min(SHARDS[1], -(-size // SHARD_BYTES))) - 1).bit_length()
-    with _no_shuffles_left(spark):
-        counts = saved(_together(train.mapInArrow(tidy(_count_words(shards)), PACKED)).mapInArrow(tidy(_merge), PACKED), "words")
-    v, n = counts.mapInArrow(tidy(_totals), "v long, n long").agg(F.coalesce(F.sum("v"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    total = n + 0.5 * (v + 1)
-    folder = work_dir(spark, "levels")
-    fs, path = _place(folder)
+    kind = rows.schema["id"].dataType.simpleString()
+    folder = work_dir(spark, "pieces")
+    fs, path = place(folder)
     fs.create_dir(path, recursive=True)
     temporary(spark, folder)
-    bounds = [shards * i // RANGES for i in range(RANGES + 1)]
+    pieces = saved(rows.mapInArrow(tidy(_cut_pieces(folder)), PIECES), "piece-names")
+    n_pieces, n = pieces.agg(F.count("*"), F.coalesce(F.sum("train"), F.lit(0))).first()
+    model = _Model(n, 1 << (max(MIN_SHARDS, -(-n // SHARD_TOKENS)) - 1).bit_length())
+    # names are tiny and their pieces aren't: a task for every two of them
+    names = pieces.select("piece").repartition(max(1, n_pieces // 2), "piece")
+    to_shards = lambda asked, parts: asked.repartition(parts, "part").sortWithinPartitions("part", "piece")
+    to_pieces = lambda answered: answered.repartition(max(1, n_pieces // 2), "piece").sortWithinPartitions("piece", "part")
     with _no_shuffles_left(spark):
-        for low, high in zip(bounds, bounds[1:]):
-            _together(train.mapInArrow(tidy(_count_ngrams(shards, low, high)), GRAMS)).mapInArrow(tidy(_levels(folder)), "kind int, n long").agg(F.sum("n")).collect()
-        model = counts.select(F.col("shard").alias("part"), F.lit(0).alias("kind"), F.lit(-1).cast("long").alias("batch"), F.col("keys").alias("a"), F.col("counts").alias("b"))
-        kind = rows.schema["id"].dataType.simpleString()
-        done = []
-        for i in range(PARTS):
-            asked = rows.where(F.pmod(F.xxhash64("t"), F.lit(PARTS)) == i).mapInArrow(tidy(_ask(shards)), ASKED)
-            answered = model.unionByName(asked).repartition("part").sortWithinPartitions("part", "kind").mapInArrow(tidy(_answer(folder)), ASKED)
-            scored = answered.repartition("batch").sortWithinPartitions("batch", "kind").mapInArrow(tidy(_finish(n, total)), f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
-            done.append(saved(scored, "scored"))
-    return functools.reduce(DataFrame.unionByName, done)
+        answered = to_shards(names.mapInArrow(tidy(_ask_words(folder, model)), CELLS), model.shards).mapInArrow(tidy(_answer_words), CELLS)
+        v = to_pieces(answered).mapInArrow(tidy(_finish_words(folder)), "v long").agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
+        model.total = n + 0.5 * (v + 1)
+        for level, ranges in RANGES.items():
+            for i in range(ranges):
+                asked = to_shards(names.mapInArrow(tidy(_ask(folder, level, i, model)), CELLS), max(1, model.shards // ranges))
+                answered = asked.mapInArrow(tidy(_answer(levels or folder, level, levels is not None)), CELLS)
+                to_pieces(answered).mapInArrow(tidy(_finish(folder, level, i, model)), "v long").agg(F.sum("v")).collect()
+        fields = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+        done = saved(names.mapInArrow(tidy(_scored(folder, model)), fields), "scored")
+    fs.delete_dir(path)
+    return done

@@ -1,46 +1,35 @@
-"""An Elias-Fano n-gram trie: compact, memory-mapped levels of a smoothed trigram model.
+"""An Elias-Fano n-gram trie: one level of a smoothed n-gram model, compact and memory-mapped.
 
-Level 1 holds the model's words as sorted 64-bit hashes.  Level 2 holds, for
-each word, its successors; level 3, for each pair, its successors, each written
-as its rank among the successors of the pair's second word (a trigram's last
-two words are a pair of level 2), which keeps the numbers small.  The values of
-a level are made monotone by adding the context's number times a stride, and
-stored as an Elias-Fano sequence, as are the pointers that give each context
-its range.  A query searches only the range of its context.
+A level lists the n-grams that occur, by context: the contexts as sorted 40-bit
+hashes, monotone pointers that give each context the range of its successors,
+and the successors as word numbers, made monotone over the level by adding the
+context's number times the number of words.  Contexts, pointers, words and
+successors are Elias-Fano sequences.  A query finds its context and its word,
+then searches the successors relative to that context, within its range only.
 
-Smoothing is interpolated absolute discounting down to the additive unigram
-model, stored the back-off way: a listed n-gram has its interpolated
-probability, a context the weight of what it doesn't list; both quantised to
-256 levels.
+An n-gram has its smoothed probability, a context the weight of what it doesn't
+list, both as one of ``LEVELS`` levels of a codebook.
 """
 
 from __future__ import annotations
 
-import io
-import os
-import tempfile
+import json
 
 import numpy as np
 import pyarrow.fs as pafs
 
 U64 = np.uint64
-DISCOUNT = 0.5
-_POP = np.array([bin(i).count("1") for i in range(256)], np.uint8)
-_SELECT = np.zeros((256, 8), np.uint8)
-for _b in range(256):
-    _ones = [k for k in range(8) if _b >> k & 1]
-    _SELECT[_b, : len(_ones)] = _ones
 
 
 class EliasFano:
-    """A non-decreasing sequence of integers below 2**64: low bits packed, high bits unary, with a count of ones before each word."""
+    """A non-decreasing sequence of integers below 2**64: low bits packed, high bits unary."""
 
-    PARTS = ("head", "low", "high", "ones")
+    PARTS = ("head", "low", "high")
 
-    def __init__(self, head: np.ndarray, low: np.ndarray, high: np.ndarray, ones: np.ndarray):
-        self.head, self.low, self.high, self.ones = head, low, high, ones
+    def __init__(self, head: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.head, self.low, self.high = head, low, high
         self.n, self.bits = int(head[0]), int(head[1])
-        self.bytes = high.view(np.uint8)
+        self.starts: np.ndarray | None = None
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -52,206 +41,141 @@ class EliasFano:
             part = v & U64(2**bits - 1)
             pos = np.arange(n, dtype=U64) * U64(bits)
             word, off = (pos >> U64(6)).astype(np.int64), pos & U64(63)
-            np.bitwise_or.at(low, word, part << off)
-            over = off + U64(bits) > U64(64)
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (U64(64) - off[over]))
+            # equal words are neighbours, so each one's parts are or-ed as a run
+            at = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            low[word[at]] = np.bitwise_or.reduceat(part << off, at)
+            over = np.flatnonzero(off + U64(bits) > U64(64))  # at most one for each word
+            low[word[over] + 1] |= part[over] >> (U64(64) - off[over])
         at = (v >> U64(bits)).astype(np.int64) + np.arange(n)
         flags = np.zeros(((int(at[-1]) if n else 0) // 64 + 1) * 64, bool)
         flags[at] = True
-        high = np.packbits(flags, bitorder="little").view(U64)
-        ones = np.concatenate(([0], np.cumsum(flags.reshape(-1, 64).sum(axis=1)))).astype(np.uint32)
-        return cls(np.array([n, bits], np.int64), low, high, ones)
-
-    def get(self, i: np.ndarray) -> np.ndarray:
-        """The values at the given places."""
-        i = np.asarray(i, np.int64)
-        word = np.searchsorted(self.ones, i, "right") - 1
-        rest = (i - self.ones[word]).astype(np.int64)
-        eight = self.bytes.reshape(-1, 8)[word]
-        upto = np.cumsum(_POP[eight], axis=1, dtype=np.int64)
-        byte = (upto <= rest[:, None]).sum(axis=1)
-        row = np.arange(len(i))
-        before = np.where(byte > 0, upto[row, np.maximum(byte - 1, 0)], 0)
-        at = word * 64 + byte * 8 + _SELECT[eight[row, byte], rest - before]
-        value = (at - i).astype(U64)
-        if self.bits:
-            pos = i.astype(U64) * U64(self.bits)
-            w, off = (pos >> U64(6)).astype(np.int64), pos & U64(63)
-            low = self.low[w] >> off
-            over = off > 0
-            low[over] |= self.low[w[over] + 1] << (U64(64) - off[over])
-            value = value << U64(self.bits) | low & U64(2**self.bits - 1)
-        return value
+        return cls(np.array([n, bits], np.int64), low, np.packbits(flags, bitorder="little").view(U64))
+
+    def _lows(self, i: np.ndarray) -> np.ndarray:
+        """The low bits of the values at the given places."""
+        if not self.bits:
+            return np.zeros(len(i), U64)
+        pos = i.astype(U64) * U64(self.bits)
+        w, off = (pos >> U64(6)).astype(np.int64), pos & U64(63)
+        low = self.low[w] >> off
+        over = np.flatnonzero(off + U64(self.bits) > U64(64))
+        low[over] |= self.low[w[over] + 1] << (U64(64) - off[over])
+        return low & U64(2**self.bits - 1)
+
+    def _highs(self) -> np.ndarray:
+        at = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))[: self.n]
+        return at - np.arange(self.n)
 
     def all(self) -> np.ndarray:
-        """Every value in turn; quicker than asking for each."""
-        at = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.bytes), bitorder="little"))[: self.n]
-        value = (at - np.arange(self.n)).astype(U64)
-        if self.bits:
-            pos = np.arange(self.n, dtype=U64) * U64(self.bits)
-            w, off = (pos >> U64(6)).astype(np.int64), pos & U64(63)
-            low = self.low[w] >> off
-            over = off > 0
-            low[over] |= self.low[w[over] + 1] << (U64(64) - off[over])
-            value = value << U64(self.bits) | low & U64(2**self.bits - 1)
-        return value
-
-    def find(self, lo: np.ndarray, hi: np.ndarray, x: np.ndarray) -> np.ndarray:
-        """For each query the place of x in the range [lo, hi), or -1."""
-        lo, end, x = np.array(lo, np.int64), np.asarray(hi, np.int64), np.asarray(x, U64)
-        first, last = lo.copy(), end.copy()
+        """Every value in turn."""
+        return self._highs().astype(U64) << U64(self.bits) | self._lows(np.arange(self.n))
+
+    def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
+        """The place of each x, in the range [lo, hi) if given, or -1."""
+        x = np.asarray(x, U64)
+        if self.starts is None:  # where the values of each high part begin
+            self.starts = np.concatenate(([0], np.cumsum(np.bincount(self._highs(), minlength=1))))
+        top = (x >> U64(self.bits)).astype(np.int64)
+        inside = top < len(self.starts) - 1
+        top[~inside] = 0
+        first, end = self.starts[top], self.starts[top + 1]
+        if lo is not None:
+            first, end = np.maximum(first, lo), np.minimum(end, hi)
+        end = np.where(inside, end, first)
+        low, last = x & U64(2**self.bits - 1), end.copy()
         open_ = np.flatnonzero(first < last)
         while len(open_):
             mid = (first[open_] + last[open_]) >> 1
-            less = self.get(mid) < x[open_]
+            less = self._lows(mid) < low[open_]
             first[open_[less]] = mid[less] + 1
             last[open_[~less]] = mid[~less]
             open_ = open_[first[open_] < last[open_]]
         found = np.full(len(x), -1)
         there = np.flatnonzero(first < end)
-        if len(there):
-            there = there[self.get(first[there]) == x[there]]
-            found[there] = first[there]
+        there = there[self._lows(first[there]) == low[there]]
+        found[there] = first[there]
         return found
 
 
-def _quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codebook, codes): 256 levels at the quantiles of the values; the values themselves if they are no more."""
+LEVELS = 4096
+
+
+def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(codebook, codes): ``LEVELS`` levels, half at the quantiles of the values and half at even distances, which bounds the error; the values themselves if they are no more."""
     if not len(x):
-        return np.zeros(1), np.zeros(0, np.uint8)
-    book = np.unique(x)
-    if len(book) > 256:
-        book = np.unique(np.quantile(x, np.linspace(0, 1, 256)))
-    return book, np.searchsorted((book[1:] + book[:-1]) / 2, x).astype(np.uint8)
+        return np.zeros(1), np.zeros(0, np.uint16)
+    s = np.sort(x)
+    at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
+    book = s[at] if len(at) <= LEVELS else np.unique(np.concatenate((s[np.linspace(0, len(s) - 1, LEVELS // 2).astype(np.int64)], np.linspace(s[0], s[-1], LEVELS // 2))))
+    return book, np.searchsorted((book[1:] + book[:-1]) / 2, x).astype(np.uint16)
+
+
+def place(folder: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
 
 
 class Trie:
-    """Opened levels.  ``words``: Elias-Fano of the hashes; ``counts``: their exact training counts."""
+    """An opened level."""
+
+    SEQUENCES = ("words", "contexts", "pointers", "successors")
 
     def __init__(self, parts: dict[str, np.ndarray]):
         self.parts = parts
-        ef = lambda name: EliasFano(*(parts[f"{name}.{p}"] for p in EliasFano.PARTS))
-        self.words, self.pairs, self.triples, self.pair_at, self.triple_at = map(ef, ("words", "pairs", "triples", "pair_at", "triple_at"))
-        self.n, self.stride = (int(x) for x in parts["sizes"])
-        self.total = float(parts["total"][0])
+        self.words, self.contexts, self.pointers, self.successors = (EliasFano(*(parts[f"{s}.{p}"] for p in EliasFano.PARTS)) for s in self.SEQUENCES)
 
     @classmethod
-    def build(cls, hashes: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, ...], triples: tuple[np.ndarray, ...], total: float) -> Trie:
-        """hashes: sorted; pairs: (a, b, count) by word number; triples: (a, b, c, count), their pairs all listed; total: divisor of the unigram model."""
-        n = len(hashes)
-        p1 = (counts + 0.5) / total
-        a, b, c = pairs
-        order = np.lexsort((b, a))
-        a, b, c = a[order], b[order], c[order]
-        key2 = a.astype(U64) * U64(max(n, 1)) + b.astype(U64)
-        pair_at = np.searchsorted(a, np.arange(n + 1))
-        d2 = (c - DISCOUNT) / counts[a] if n else np.zeros(0)
-        weight2 = np.maximum(1 - np.bincount(a, d2, n), 1e-9)
-        p2 = d2 + weight2[a] * p1[b] if n else d2
-        x, y, z, c3 = triples
-        n2 = len(key2)
-        first = np.searchsorted(key2, x.astype(U64) * U64(max(n, 1)) + y.astype(U64))
-        last = np.searchsorted(key2, y.astype(U64) * U64(max(n, 1)) + z.astype(U64))
-        rank = last - pair_at[y] if len(y) else last
-        order = np.lexsort((rank, first))
-        first, last, rank, c3 = first[order], last[order], rank[order], c3[order]
-        stride = int(rank.max()) + 1 if len(rank) else 1
-        d3 = (c3 - DISCOUNT) / c[first] if len(first) else np.zeros(0)
-        weight3 = np.maximum(1 - np.bincount(first, d3, n2), 1e-9)
-        p3 = d3 + weight3[first] * p2[last] if len(first) else d3
-        parts: dict[str, np.ndarray] = {"sizes": np.array([n, stride]), "total": np.array([total]), "counts": counts.astype(np.int64)}
-        for name, values, universe in (
-            ("words", hashes, 2**64), ("pairs", key2, max(n * n, 1)), ("triples", first.astype(U64) * U64(stride) + rank.astype(U64), max(n2 * stride, 1)),
-            ("pair_at", pair_at, n2 + 1), ("triple_at", np.searchsorted(first, np.arange(n2 + 1)), len(first) + 1)):
-            ef = EliasFano.build(values, universe)
+    def build(cls, contexts: np.ndarray, words: np.ndarray, context_no: np.ndarray, word_no: np.ndarray, logp: np.ndarray, logw: np.ndarray) -> Trie:
+        """contexts, words: sorted 40-bit hashes; context_no, word_no, logp: of the n-grams, in that order; logw: of the contexts."""
+        n = len(context_no)
+        values = {
+            "words": (words, 2**40), "contexts": (contexts, 2**40), "pointers": (np.searchsorted(context_no, np.arange(len(contexts) + 1)), n + 1),
+            "successors": (context_no.astype(U64) * U64(len(words)) + word_no.astype(U64), max(len(contexts) * len(words), 1)),
+        }
+        parts = {}
+        for name, (v, universe) in values.items():
+            ef = EliasFano.build(v, universe)
             parts |= {f"{name}.{p}": getattr(ef, p) for p in EliasFano.PARTS}
-        for name, values in (("p2", p2), ("w2", weight2), ("p3", p3), ("w3", weight3)):
-            parts[f"{name}.book"], parts[f"{name}.code"] = _quantised(np.log10(values))
+        for name, v in (("p", logp), ("w", logw)):
+            parts[f"{name}.book"], parts[f"{name}.code"] = quantised(v)
         return cls(parts)
 
-    def save(self, folder: str) -> None:
-        """One .npy file for each part."""
-        fs, path = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-        fs.create_dir(path, recursive=True)
+    def save(self, file: str) -> None:
+        """One file: a line of JSON that says where each part lies, then the parts."""
+        fs, path = place(file)
+        head, at = {}, 0
         for name, x in self.parts.items():
-            data = io.BytesIO()
-            np.save(data, x)
-            with fs.open_output_stream(f"{path}/{name}.npy", compression=None) as out:
-                out.write(data.getvalue())
+            head[name] = (x.dtype.str, len(x), at)
+            at += -(-x.nbytes // 64) * 64
+        line = json.dumps(head).encode()
+        line += b" " * (-(len(line) + 1) % 64) + b"\n"
+        with fs.open_output_stream(path, compression=None) as out:
+            out.write(line)
+            for x in self.parts.values():
+                out.write(np.ascontiguousarray(x).tobytes() + bytes(-x.nbytes % 64))
 
     @classmethod
-    def open(cls, folder: str) -> Trie:
-        """Memory-map the parts; from a store without paths each part is first copied to a nameless temporary file."""
-        fs, path = pafs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
-        parts = {}
-        for info in fs.get_file_info(pafs.FileSelector(path)):
-            name = info.base_name.removesuffix(".npy")
-            if isinstance(fs, pafs.LocalFileSystem):
-                parts[name] = np.load(info.path, mmap_mode="r")
-                continue
-            handle, temp = tempfile.mkstemp()
-            try:
-                with fs.open_input_stream(info.path, compression=None) as src, os.fdopen(handle, "wb") as out:
-                    while piece := src.read(1 << 20):
-                        out.write(piece)
-                parts[name] = np.load(temp, mmap_mode="r")
-            finally:
-                os.unlink(temp)
-        return cls(parts)
-
-    def _level(self, name: str, at: np.ndarray) -> np.ndarray:
-        return self.parts[f"{name}.book"][self.parts[f"{name}.code"][at]]
-
-    def word_ids(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers of the words, -1 for those outside the model."""
-        return self.words.find(np.zeros(len(hashes), np.int64), np.full(len(hashes), self.n), hashes)
-
-    def log10(self, ids: np.ndarray, lower: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """log10 probability of every token, given up to two tokens before it in its row.
-
-        ids: word numbers (-1: outside the model); lower: the tokens' unigram
-        log10 probabilities; first: where each row begins, and the end.
-        Every distinct pair and triple is looked up once.
-        """
-        m = len(ids)
-        out = lower.copy()
-        if not m or not self.n:
-            return out
-        start = np.zeros(m, bool)
-        start[first[:-1][np.diff(first) > 0]] = True
-        prev = np.empty(m, np.int64)
-        prev[0], prev[1:] = -1, ids[:-1]
-        prev[start] = -1
-        has = np.flatnonzero(prev >= 0)
-        both = has[ids[has] >= 0]
-        pair = np.full(m, -1)
-        key, back = np.unique(prev[both] * self.n + ids[both], return_inverse=True)
-        if len(key):
-            a = key // self.n
-            ctx, ctx_back = np.unique(a, return_inverse=True)
-            lo, hi = self.pair_at.get(ctx).astype(np.int64)[ctx_back], self.pair_at.get(ctx + 1).astype(np.int64)[ctx_back]
-            place = self.pairs.find(lo, hi, key.astype(U64))
-            pair[both] = place[back]
-        out[has] += self._level("w2", prev[has])
-        listed = np.flatnonzero(pair >= 0)
-        out[listed] = self._level("p2", pair[listed])
-        before = np.empty(m, np.int64)
-        before[0], before[1:] = -1, pair[:-1]
-        before[start] = -1
-        has = np.flatnonzero(before >= 0)
-        out3 = out[has] + self._level("w3", before[has])
-        maybe = np.flatnonzero(pair[has] >= 0)
-        if len(maybe):
-            b, k, u = before[has][maybe], pair[has][maybe], prev[has][maybe]
-            uniq, u_back = np.unique(u, return_inverse=True)
-            rank = k - self.pair_at.get(uniq).astype(np.int64)[u_back]
-            ok = rank < self.stride
-            key, back = np.unique(b[ok] * self.stride + rank[ok], return_inverse=True)
-            if len(key):
-                ctx, ctx_back = np.unique(key // self.stride, return_inverse=True)
-                lo, hi = self.triple_at.get(ctx).astype(np.int64)[ctx_back], self.triple_at.get(ctx + 1).astype(np.int64)[ctx_back]
-                place = self.triples.find(lo, hi, key.astype(U64))[back]
-                hit = place >= 0
-                out3[maybe[ok][hit]] = self._level("p3", place[hit])
-        out[has] = out3
-        return out
+    def open(cls, file: str) -> Trie:
+        """Memory-map the file; from a store without paths it is read."""
+        fs, path = place(file)
+        if isinstance(fs, pafs.LocalFileSystem):
+            data = np.memmap(path, np.uint8, "r")
+        else:
+            with fs.open_input_stream(path, compression=None) as src:
+                data = np.frombuffer(src.read(), np.uint8)
+        size = 64
+        while data[size - 1] != 10:
+            size += 64
+        head = json.loads(bytes(data[:size]))
+        return cls({name: data[size + at : size + at + n * np.dtype(kind).itemsize].view(kind) for name, (kind, n, at) in head.items()})
+
+    def find(self, contexts: np.ndarray, words: np.ndarray, context_of: np.ndarray, word_of: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 (probability, NaN where the n-gram isn't listed; weight of its context, NaN where that isn't) of each n-gram (contexts[context_of], words[word_of])."""
+        c, w = self.contexts.find(contexts), self.words.find(words)
+        pointers = self.pointers.all().astype(np.int64)
+        known = np.flatnonzero((c[context_of] >= 0) & (w[word_of] >= 0))
+        at, word = c[context_of[known]], w[word_of[known]]
+        found = self.successors.find(at.astype(U64) * U64(self.words.n) + word.astype(U64), pointers[at], pointers[at + 1])
+        p, weight = np.full(len(context_of), np.nan), np.full(len(contexts), np.nan)
+        p[known[found >= 0]] = self.parts["p.book"][self.parts["p.code"][found[found >= 0]]]
+        weight[c >= 0] = self.parts["w.book"][self.parts["w.code"][c[c >= 0]]]
+        return p, weight[context_of]

@@ -201,26 +201,44 @@ def test_lm_base_against_brute_force(spark, docs):
     assert held["score"].sum() > held["base_score"].sum() and (scored["score"] < 0).all()
 
 
-def test_lm_keeps_every_ngram(spark, docs):
-    """The model's probabilities from plain counts of all pairs and triples, however rare."""
-    rows = docs.unionByName(awkward(spark)).select("doc_id", "text").collect()
+def brute_lm(rows):
+    """Each row's log10 probability from plain counts of all pairs and triples, however rare."""
     seqs = [(d, [*lower_words(t), None]) for d, t in rows]
     one, two, three = (Counter(g for d, w in seqs if fold(d) != 1 for g in zip(*(w[k:] for k in range(size)))) for size in (1, 2, 3))
-    after1, after2 = Counter(g[:1] for g in two), Counter(g[:2] for g in three)
     total = sum(one.values()) + 0.5 * (len(one) + 1)
-    blend = lambda c, of, follow, low: max(c - 0.5, 0) / of + 0.5 * follow / of * low if of else low
 
     def logp(w, i):
         p = (one[w[i],] + 0.5) / total
-        for size, seen, context, after in ((2, two, one, after1), (3, three, two, after2)):
+        for size, seen, context in ((2, two, one), (3, three, two)):
             if i >= size - 1:
                 g = tuple(w[i - size + 1 : i + 1])
-                p = blend(seen[g], context[g[:-1]], after[g[:-1]], p)
+                p = (seen[g] + lmscore.MU * p) / (context[g[:-1]] + lmscore.MU)
         return math.log10(p)
 
-    want = sorted(((str(d), sum(logp(w, i) for i in range(len(w)))) for d, w in seqs))
-    got = sorted((str(r["doc_id"]), r["score"]) for r in lmscore.score(docs.unionByName(awkward(spark))).select("doc_id", "score").collect())
-    assert [d for d, _ in got] == [d for d, _ in want] and np.allclose([x for _, x in got], [x for _, x in want], rtol=1e-9, atol=1e-6)
+    return sorted((str(d), sum(logp(w, i) for i in range(len(w))), len(w)) for d, w in seqs)
+
+
+def test_lm_keeps_every_ngram(spark, docs, monkeypatch):
+    """The model against plain counts; also with pieces of a row or two, many shards and hot contexts."""
+    rows = docs.unionByName(awkward(spark))
+    want = brute_lm(rows.select("doc_id", "text").collect())
+    close = lambda got, share: all(g[0] == w[0] and abs(g[1] - w[1]) <= share * w[2] for g, w in zip(got, want, strict=True))
+    scored = lambda: sorted((str(r["doc_id"]), r["score"]) for r in lmscore.score(rows).select("doc_id", "score").collect())
+    assert close(scored(), 1e-3)
+    monkeypatch.setattr(lmscore, "PIECE", 4000)
+    monkeypatch.setattr(lmscore, "MIN_SHARDS", 32)
+    monkeypatch.setattr(lmscore, "HOT_LEAST", 5)
+    assert close(scored(), 1e-3)
+
+
+def test_lm_keeps_levels_where_asked(spark, docs, tmp_path):
+    from cohortspark.llm.lmtrie import Trie
+
+    lmscore.score(docs, levels=str(tmp_path)).count()
+    files = sorted(tmp_path.iterdir())
+    assert {f.name[0] for f in files} == {"2", "3"} and len(files) == 2 * lmscore.MIN_SHARDS
+    pairs = {g for d, t in docs.select("doc_id", "text").collect() if fold(d) != 1 for w in [[*lower_words(t), None]] for g in zip(w, w[1:])}
+    assert sum(Trie.open(str(f)).successors.n for f in files if f.name[0] == "2") == len(pairs)
 
 
 def test_lm_without_training_rows(spark):

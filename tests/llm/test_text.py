@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from cohortspark.llm import bytetext as bt
-from cohortspark.llm.lmtrie import EliasFano, Trie
+from cohortspark.llm.lmtrie import LEVELS, EliasFano, Trie
 from cohortspark.llm.neardup import shingles, superminhash
 
 from helpers import WORDS, lower_words
@@ -64,55 +64,31 @@ def test_short_rows_are_one_shingle():
 def test_elias_fano(values, universe):
     values = np.sort(np.array([v % universe for v in values], np.uint64))
     ef = EliasFano.build(values, universe)
-    at = np.arange(len(values))
-    assert np.array_equal(ef.get(at), values)
+    assert np.array_equal(ef.all(), values)
     if len(values):
-        found = ef.find(np.zeros(len(values), int), np.full(len(values), len(values)), values)
-        assert np.array_equal(values[found], values)
+        assert np.array_equal(values[ef.find(values)], values)
         other = np.array([v for v in (5, universe - 1, int(values[0]) ^ 1) if v not in set(values.tolist())], np.uint64)
-        assert (ef.find(np.zeros(len(other), int), np.full(len(other), len(values)), other) == -1).all()
-
-
-@pytest.fixture
-def trie():
-    """Words 0..4, a few pairs and triples; word counts are context counts."""
-    counts = np.array([10, 8, 6, 5, 4])
-    pairs = tuple(map(np.array, ([0, 0, 1, 1, 2], [1, 2, 2, 3, 0], [4, 3, 5, 2, 6])))
-    triples = tuple(map(np.array, ([0, 0, 1], [1, 1, 2], [2, 3, 0], [3, 1, 4])))
-    hashes = np.array([3, 50, 900, 2**40, 2**63 + 5], np.uint64)
-    return Trie.build(hashes, counts, pairs, triples, float(counts.sum() + 3)), counts
-
-
-def test_trie_probabilities(trie, tmp_path):
-    t, counts = trie
-    t.save(str(tmp_path / "trie"))
-    t = Trie.open(str(tmp_path / "trie"))
-    assert isinstance(t.parts["pairs.high"], np.memmap)
-    assert t.word_ids(np.array([900, 901, 3], np.uint64)).tolist() == [2, -1, 0]
-    total = counts.sum() + 3
-    p1 = lambda w: (counts[w] + 0.5) / total if w >= 0 else 0.5 / total
-    two = {(0, 1): 4, (0, 2): 3, (1, 2): 5, (1, 3): 2, (2, 0): 6}
-    three = {(0, 1, 2): 3, (0, 1, 3): 1, (1, 2, 0): 4}
-
-    def p2(a, b):
-        if a < 0:
-            return p1(b)
-        rest = 1 - sum((c - 0.5) / counts[a] for (x, _), c in two.items() if x == a)
-        return (max(two.get((a, b), 0.5) - 0.5, 0)) / counts[a] + max(rest, 1e-9) * p1(b)
-
-    def p3(a, b, c):
-        if (a, b) not in two:
-            return p2(b, c)
-        rest = 1 - sum((n - 0.5) / two[a, b] for (x, y, _), n in three.items() if (x, y) == (a, b))
-        return max(three.get((a, b, c), 0.5) - 0.5, 0) / two[a, b] + max(rest, 1e-9) * p2(b, c)
-
-    for text in ([0, 1, 2, 0, 1, 3], [4, -1, 0, 1], [1, 2, 0, 2], [3]):
-        ids = np.array(text)
-        lower = np.log10([p1(w) for w in text])
-        want = [p1(text[0])] + [p2(*text[:2]) for _ in text[1:2]] + [p3(*text[i - 2 : i + 1]) for i in range(2, len(text))]
-        assert np.allclose(t.log10(ids, lower, np.array([0, len(ids)])), np.log10(want), atol=1e-9)
-    both = t.log10(np.array([0, 1, 2, 0, 1]), np.log10([p1(w) for w in (0, 1, 2, 0, 1)]), np.array([0, 3, 5]))
-    assert both[3] == pytest.approx(np.log10(p1(0)))
-    # after word 0 the five words and one unseen word share all of the probability
-    after = [t.log10(np.array([0, w]), np.log10([p1(0), p1(w)]), np.array([0, 2]))[1] for w in range(-1, 5)]
-    assert sum(10.0 ** np.array(after)) == pytest.approx(1)
+        assert (ef.find(other) == -1).all()
+        half = len(values) // 2
+        found = ef.find(values, np.full(len(values), half), np.full(len(values), len(values)))
+        assert all(f == -1 if v < values[half] else values[f] == v for f, v in zip(found, values))
+
+
+def test_level_round_trip(tmp_path):
+    """A saved level is memory-mapped and gives every listed n-gram's probability, and its context's weight for the others."""
+    rng = np.random.default_rng(7)
+    contexts, words = (np.unique(rng.integers(0, 2**40, n)).astype(np.uint64) for n in (400, 90))
+    listed = np.unique(np.concatenate((np.arange(len(contexts)) * len(words), rng.integers(0, len(contexts) * len(words), 12_000))))
+    no = np.divmod(listed, len(words))
+    logp, logw = -rng.random(len(listed)) * 4, -rng.random(len(contexts))
+    file = str(tmp_path / "level")
+    Trie.build(contexts, words, *no, logp, logw).save(file)
+    t = Trie.open(file)
+    assert isinstance(t.parts["successors.high"], np.memmap) and len(t.parts["p.book"]) <= LEVELS
+    every = np.divmod(np.arange(len(contexts) * len(words)), len(words))
+    p, w = t.find(contexts, words, *every)
+    there = np.isin(np.arange(len(contexts) * len(words)), listed)
+    assert np.isnan(p[~there]).all() and np.abs(p[there] - logp).max() <= 4 / (LEVELS // 2 - 1) / 2 and np.allclose(w, logw[every[0]])
+    p, w = t.find(np.append(contexts[:2], contexts[-1] + 1), np.append(words, words[-1] + 1), np.array([2, 0]), np.array([0, len(words)]))
+    assert np.isnan(p).all() and np.isnan(w[0]) and w[1] == pytest.approx(logw[0])
+    assert sum(x.nbytes for name, x in t.parts.items() if "book" not in name) < 6 * len(listed)
