@@ -44,8 +44,9 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    place = warc.write(table(spark, sf_dir, "pages"))
-    return warc.read(spark, place, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    pages = table(spark, sf_dir, "pages")
+    place = warc.write(pages)
+    return warc.lookup(spark, place, pages, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 #: A dated list for the hosts of ``pages``: (rule, verdict, op, days after the first of 2024).
@@ -137,7 +138,8 @@ FROM d JOIN m USING (payload_digest)"""
 
 def _op9_sql() -> str:
     return rf"""
-WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-]+') AS w FROM documents),
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^ 	-
+]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
 n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
 e AS (SELECT doc_id, unnest(s) AS x FROM s),
@@ -173,12 +175,13 @@ def _op10_sql() -> str:
     FROM (SELECT doc_id, source, hits, gaps, unnest(range(1, len(hits) + 1)) AS i
           FROM (SELECT doc_id, source, regexp_extract_all(text, {_q(pattern)}) AS hits, string_split_regex(text, {_q(pattern)}) AS gaps FROM documents))) WHERE {keep}"""
 
+    shaped = f"regexp_matches(m, '[0-9]') AND (regexp_matches(m, '[A-Z]') AND regexp_matches(m, '[a-z]') OR regexp_matches(m, {_q(secrets.ISSUED)})) AND 2 * length(regexp_replace(m, {_q(secrets.WORD_LIKE)}, '', 'g')) >= length(m)"
     names = "list_value(" + ", ".join(map(_q, secrets.KINDS)) + ")"
     text = f"{names}[k + 1] || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT)"
     return f"""
 WITH base AS ({found(secrets.ASSIGN, 0, f"length(v) >= {secrets.ASSIGN_LEAST}", f"regexp_extract(m, {_q(secrets.ASSIGN)}, 2)")}
   UNION ALL {found(secrets.ACCESS, 1, "true")} UNION ALL {found(secrets.HEX, 2, "true")}),
-broad AS ({found(secrets.BROAD, 3, "regexp_matches(m, '[0-9]') AND regexp_matches(m, '[A-Za-z]')")}),
+broad AS ({found(secrets.BROAD, 3, shaped)}),
 extra AS (SELECT * FROM broad x WHERE NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = x.doc_id AND b.s < x.e AND x.s < b.e)),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM extra),
 wide AS (SELECT v FROM every GROUP BY v HAVING count(DISTINCT source) > {secrets.EXAMPLE_OWNERS}),

@@ -5,7 +5,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from cohortspark.llm import queries
+from cohortspark.llm import langid, queries
+from cohortspark.llm.common import fold_of
 
 from helpers import SF, awkward, brute_components
 
@@ -20,7 +21,8 @@ def test_stages_against_brute_force(spark):
         after = stage(spark, docs, SF).cache()
         ids = {r[0] for r in after.select("doc_id").collect()}
         if name == "language_id":
-            assert ids == {d for d, t in before.items() if any(c.isalpha() for c in t)}
+            told = langid.predict(docs, langid.fit(docs.where(fold_of(F.col("doc_id")) != 0)), ("doc_id",)).collect()
+            assert ids == {r["doc_id"] for r in told if r["lang_pred"] != "und" and r["score"] >= langid.LEAST} == {d for d, t in before.items() if any(c.isalpha() for c in t)}
         elif name == "near_dedup":
             assert ids == {d for d, (_, c) in brute_components(before.items()).items() if d == c}
         elif name == "decontamination":
@@ -36,12 +38,28 @@ def test_stages_against_brute_force(spark):
     assert sorted(map(str, run.collect())) == sorted(map(str, docs.collect()))
 
 
+def test_language_stage_rejects_what_no_profile_fits(spark):
+    """Random letters, other scripts and languages that the labels don't teach go; documents of the tables stay."""
+    import random
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    noise = random.Random(3)
+    junk = ["".join(noise.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n)) for n in (100, 900, 5000)]
+    junk += ["Привет, как дела сегодня, мы пойдем гулять", "漢字漢字漢字", "12 34 !!", "Łódź żaneta jest w domu i nie ma go tu wcale" * 5, "QUJDREVGR0hJSktMTU5PUFFSU1RVVldYWVo" * 30]
+    rows = docs.unionByName(spark.createDataFrame([(10**6 + i, t, None, "src1", len(t)) for i, t in enumerate(junk)], "doc_id long, text string, lang string, source string, n_chars int"), allowMissingColumns=True)
+    kept = {r[0] for r in corpus_pipeline.language_id(spark, rows, SF).select("doc_id").collect()}
+    assert not kept & set(range(10**6, 10**6 + len(junk)))
+    assert kept == {r[0] for r in docs.where(F.col("text").rlike("[A-Za-zÀ-ÿ]")).select("doc_id").collect()}
+
+
 def test_stages_on_awkward_rows(spark):
     for rows in (awkward(spark, "id part mix_slot kept spans"), awkward(spark, "id").limit(0)):
+        profiles = langid.fit(rows.where(fold_of(F.col("doc_id")) != 0))
+        told = sum(r["lang_pred"] != "und" and r["score"] >= langid.LEAST for r in langid.predict(rows, profiles, ("doc_id",)).collect())
         docs = rows
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, SF).cache()
-        assert docs.count() == (6 if rows.count() else 0)
+        assert docs.count() == told
         assert set(rows.columns) <= set(docs.columns)
 
 
