@@ -17,7 +17,7 @@ from cohortspark.llm.queries import MIX_WEIGHTS
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (no letter at all, or no text) go."""
+    """Documents without a letter go, and those too far from the profile of every language that the labels teach (``langid.LEAST``)."""
     profiles = langid.fit(docs.where(fold_of(F.col("doc_id")) != 0))
     return langid.accepted(docs, profiles)
 
@@ -34,7 +34,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents stay; secrets in them are replaced by a mask, and n_chars follows."""
+    """All documents stay; what looks like a credential in them is replaced by a mask, and n_chars follows."""
     return secrets.redact(docs)
 
 
