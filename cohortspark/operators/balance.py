@@ -110,3 +110,17 @@ def worst_pairs(pairs: DataFrame, numeric: Sequence[str], categorical: Sequence[
     worst: Column = F.greatest(*gaps) if len(gaps) > 1 else gaps[0] if gaps else F.lit(None).cast("double")
     share = sum(off, F.lit(0.0)) / len(off) if off else F.lit(None).cast("double")
     return pairs.agg(F.avg(worst).alias("mapd"), F.avg(share).alias("pm"))
+
+
+def worst_features(pairs: DataFrame, numeric: Sequence[str], categorical: Sequence[str], ranges: dict[str, float]) -> DataFrame:
+    """(feature, mean_gap, max_gap): of each numeric its range-scaled difference over the pairs, of each categorical the share of mismatches (as mean_gap)."""
+    none = F.lit(None).cast("double")
+    cells = [F.struct(F.lit(c).alias("feature"), (F.abs(F.col(f"{c}_t").cast("double") - F.col(f"{c}_c").cast("double")) / F.lit(float(ranges[c] or 1.0))).alias("gap"), F.lit(True).alias("number")) for c in numeric]
+    cells += [F.struct(F.lit(c).alias("feature"), F.when(F.col(f"{c}_t").eqNullSafe(F.col(f"{c}_c")), 0.0).otherwise(1.0).alias("gap"), F.lit(False).alias("number")) for c in categorical]
+    long = pairs.select(F.explode(F.array(*cells)).alias("x")).select("x.*")
+    return long.groupBy("feature").agg(F.avg("gap").alias("mean_gap"), F.when(F.first("number"), F.max("gap")).otherwise(none).alias("max_gap"))
+
+
+def by_absolute_smd(table: DataFrame) -> DataFrame:
+    """A balance table (one row for each feature), worst first; ties by feature."""
+    return table.orderBy(F.desc_nulls_last(F.abs("smd")), "feature")

@@ -59,6 +59,24 @@ def mcnemar(pairs: DataFrame, outcome: str) -> DataFrame:
     return got.select("n_pairs", "b", "c", ratio.alias("odds_ratio"), F.exp(F.log(ratio) - 1.96 * se).alias("ci_low"), F.exp(F.log(ratio) + 1.96 * se).alias("ci_high"), chi2.alias("chi2"))
 
 
+def mcnemar_test(pairs: DataFrame, outcome: str) -> DataFrame:
+    """``mcnemar`` with ``p``, the upper tail of the continuity-corrected statistic: one row, so the tail is worked out on the driver."""
+    got = mcnemar(pairs, outcome)
+    row = got.first()
+    return got.withColumn("p", F.lit(p_value(row["chi2"])))
+
+
+def breslow_odds_ratio(df: DataFrame, outcome: str, exposure: str) -> DataFrame:
+    """(odds_ratio): proportional hazards of a 0/1 outcome at one common time, no strata, ties by Breslow, exposure as the only covariate.
+
+    With all rows at risk at once the likelihood is b * d1 - (d1 + d0) * log(n1 * exp(b) + n0)
+    for d1, d0 events among n1 exposed and n0 others, whose maximum is at exp(b) = d1 * n0 / (d0 * n1).
+    """
+    n = lambda e, y: F.count_if((F.col(exposure) == e) & ((F.col(outcome) == y) if y is not None else F.col(outcome).isNotNull())).cast("double")
+    got = df.agg(n(1, 1).alias("d1"), n(0, 1).alias("d0"), n(1, None).alias("n1"), n(0, None).alias("n0"))
+    return got.select(F.try_divide(F.col("d1") * F.col("n0"), F.col("d0") * F.col("n1")).alias("odds_ratio"))
+
+
 def p_value(chi2: float) -> float:
     """Upper tail of the chi-square distribution with one degree of freedom."""
     return math.erfc(math.sqrt(max(chi2, 0.0) / 2))

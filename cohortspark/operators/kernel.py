@@ -90,7 +90,7 @@ def _greedy(rows, cats: Categories, rules: Rules, taken: np.ndarray, chosen: lis
             chosen[i].append((at, "safe"))
             taken[rows[i][0][at]] = True
     wanting: dict[int, list[int]] = {}
-    options = {kind: {i: {int(rows[i][0][at]) for at in lists[i]} - set(np.flatnonzero(taken)) for i in limited} for kind, lists in (("competitive", cats.competitive), ("fuzzy", cats.fuzzy))}
+    options = {kind: {i: {c for at in lists[i] if not taken[c := int(rows[i][0][at])]} for i in limited} for kind, lists in (("competitive", cats.competitive), ("fuzzy", cats.fuzzy))}
     for kind in options:
         for i, cs in options[kind].items():
             for c in cs:

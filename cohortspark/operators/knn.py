@@ -1,7 +1,8 @@
 """Exact nearest-neighbour joins.
 
 The query side (exposed rows, few by nature) is taken in blocks of at most
-``QUERY_BLOCK`` rows, whose values go to the executors; the reference side
+``QUERY_BLOCK`` rows (fewer with a large k, see ``HELD``), whose values go to the
+executors; the reference side
 streams past in Arrow batches.  Each task keeps the k best of its partition for
 every query, NumPy computing a bounded tile of distances at a time, and a window
 over those partial results leaves the k best of all.  No pair is materialised
@@ -17,12 +18,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .checkpoints import saved
 
 QUERY_BLOCK = 20_000
+#: What a task keeps at most: so many (query, reference) pairs.
+HELD = 20_000_000
 TILE = 1 << 21
 
 
@@ -50,15 +54,16 @@ def _columns(df: DataFrame, id_col: str, metric, band: Band | None) -> tuple[Dat
     return picked, len(numbers), len(strings)
 
 
-def _side(t: pa.Table | pa.RecordBatch, p: int, q: int, books: list[dict]) -> _Side:
+def _side(t: pa.Table | pa.RecordBatch, p: int, q: int, books: list[pa.Array]) -> _Side:
     n = t.num_rows
     numbers = np.full((n, p), np.nan)
     for i in range(p):
         numbers[:, i] = t.column(1 + i).to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else t.column(1 + i).to_numpy()
     codes = np.full((n, q), -2, np.int64)
     for i in range(q):
-        book = books[i]
-        codes[:, i] = [-1 if v is None else book.get(v, -2) for v in t.column(1 + p + i).to_pylist()]
+        column = t.column(1 + p + i)
+        found, null = pc.fill_null(pc.index_in(column, books[i]), -2), pc.is_null(column)
+        codes[:, i] = np.where(null.to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else null.to_numpy(), -1, found.to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else found.to_numpy())
     ids = t.column(0)
     ids = ids.to_numpy(zero_copy_only=False) if isinstance(t, pa.RecordBatch) else ids.to_numpy()
     band = None
@@ -80,7 +85,7 @@ def _tiles(q: _Side, r: _Side, metric, width: float | None) -> Iterator[tuple[in
         yield lo, d
 
 
-def _best(q: _Side, p: int, s: int, books: list[dict], metric, k: int, limit: float, width: float | None):
+def _best(q: _Side, p: int, s: int, books: list[pa.Array], metric, k: int, limit: float, width: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(q.ids)
         dist: list[np.ndarray] = [np.zeros(0)] * n
@@ -116,11 +121,11 @@ def _best(q: _Side, p: int, s: int, books: list[dict], metric, k: int, limit: fl
     return run
 
 
-def _stats(q: _Side, p: int, s: int, books: list[dict], metric, threshold: float, width: float | None):
+def _stats(q: _Side, p: int, s: int, books: list[pa.Array], metric, threshold: float, width: float | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = len(q.ids)
         eligible, within = np.zeros(n, np.int64), np.zeros(n, np.int64)
-        low, high = np.full(n, np.inf), np.full(n, -np.inf)
+        low, high, total = np.full(n, np.inf), np.full(n, -np.inf), np.zeros(n)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -131,7 +136,8 @@ def _stats(q: _Side, p: int, s: int, books: list[dict], metric, threshold: float
                 within[part] += (d <= threshold).sum(1) if math.isfinite(threshold) else ok.sum(1)
                 low[part] = np.minimum(low[part], d.min(1, initial=np.inf))
                 high[part] = np.maximum(high[part], np.where(ok, d, -np.inf).max(1, initial=-np.inf))
-        yield pa.RecordBatch.from_arrays([pa.array(q.ids), pa.array(eligible), pa.array(within), pa.array(low), pa.array(high)], ["query_id", "eligible", "within_threshold", "low", "high"])
+                total[part] += np.where(ok, d, 0.0).sum(1)
+        yield pa.RecordBatch.from_arrays([pa.array(q.ids), pa.array(eligible), pa.array(within), pa.array(low), pa.array(high), pa.array(total)], ["query_id", "eligible", "within_threshold", "low", "high", "total"])
 
     return run
 
@@ -142,17 +148,17 @@ def _spread(df: DataFrame) -> DataFrame:
     return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
 
 
-def _each_block(queries: DataFrame, refs: DataFrame, id_col: str, metric, band: Band | None, make, schema: str) -> DataFrame:
+def _each_block(queries: DataFrame, refs: DataFrame, id_col: str, metric, band: Band | None, make, schema: str, block: int = QUERY_BLOCK) -> DataFrame:
     left, p, s = _columns(queries, id_col, metric, band)
     right = _spread(_columns(refs, id_col, metric, band)[0])
     # one job if the queries are few, which is the usual case
-    first = left.limit(QUERY_BLOCK + 1).toArrow()
-    blocks = 1 if first.num_rows <= QUERY_BLOCK else -(-left.count() // QUERY_BLOCK)
+    first = left.limit(block + 1).toArrow()
+    blocks = 1 if first.num_rows <= block else -(-left.count() // block)
     out: DataFrame | None = None
     for b in range(blocks):
         t = first if blocks == 1 else left.where(F.pmod(F.xxhash64("id"), blocks) == b).toArrow()
         t = t.sort_by("id").combine_chunks()
-        books = [{v: i for i, v in enumerate(sorted({x for x in t.column(1 + p + j).to_pylist() if x is not None}))} for j in range(s)]
+        books = [pa.array(sorted({x for x in t.column(1 + p + j).unique().to_pylist() if x is not None}), pa.string()) for j in range(s)]
         found = right.mapInArrow(make(_side(t, p, s, books), p, s, books), schema)
         if blocks > 1:
             found = saved(found, "knn")
@@ -165,21 +171,34 @@ def top_k(queries: DataFrame, refs: DataFrame, id_col: str, metric, k: int, limi
     kind = refs.schema[id_col].dataType.simpleString()
     other = queries.schema[id_col].dataType.simpleString()
     schema = f"query_id {other}, ref_id {kind}, distance double"
-    found = _each_block(queries, refs, id_col, metric, band, lambda q, p, s, books: _best(q, p, s, books, metric, k, limit, band.width if band else None), schema)
+    found = _each_block(queries, refs, id_col, metric, band, lambda q, p, s, books: _best(q, p, s, books, metric, k, limit, band.width if band else None), schema, max(1, min(QUERY_BLOCK, HELD // max(k, 1))))
     order = Window.partitionBy("query_id").orderBy("distance", "ref_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def _tallied(queries: DataFrame, refs: DataFrame, id_col: str, metric, threshold: float, band: Band | None) -> DataFrame:
+    """(query_id, eligible, within_threshold, low, high, total), one row for each query and task."""
+    schema = f"query_id {queries.schema[id_col].dataType.simpleString()}, eligible long, within_threshold long, low double, high double, total double"
+    return _each_block(queries, refs, id_col, metric, band, lambda q, p, s, books: _stats(q, p, s, books, metric, threshold, band.width if band else None), schema)
+
+
+def _finite(c) -> Column:
+    return F.when(F.abs(c) < float("inf"), c)
+
+
 def diagnostics(queries: DataFrame, refs: DataFrame, id_col: str, metric, k: int, threshold: float, band: Band | None = None) -> DataFrame:
     """For each query: how many references are eligible and within the threshold, extreme distances, and whether k cuts either off."""
-    other = queries.schema[id_col].dataType.simpleString()
-    schema = f"query_id {other}, eligible long, within_threshold long, low double, high double"
-    parts = _each_block(queries, refs, id_col, metric, band, lambda q, p, s, books: _stats(q, p, s, books, metric, threshold, band.width if band else None), schema)
-    some = lambda c: F.when(F.abs(c) < float("inf"), c)
-    got = parts.groupBy("query_id").agg(F.sum("eligible").alias("eligible"), F.sum("within_threshold").alias("within_threshold"), some(F.min("low")).alias("min_distance"), some(F.max("high")).alias("max_distance"))
+    parts = _tallied(queries, refs, id_col, metric, threshold, band)
+    got = parts.groupBy("query_id").agg(F.sum("eligible").alias("eligible"), F.sum("within_threshold").alias("within_threshold"), _finite(F.min("low")).alias("min_distance"), _finite(F.max("high")).alias("max_distance"))
     return got.select("query_id", "eligible", F.least("eligible", F.lit(k).cast("long")).alias("retained"), "within_threshold", "min_distance", "max_distance", (F.col("eligible") > k).alias("truncated_by_k"), (F.col("within_threshold") > k).alias("within_threshold_truncated_by_k"))
 
 
+def summary(queries: DataFrame, refs: DataFrame, id_col: str, metric, band: Band | None = None) -> DataFrame:
+    """(query_id, n, low, mean, high) of each query's distances to all references, summed up within the tiles."""
+    got = _tallied(queries, refs, id_col, metric, math.inf, band).groupBy("query_id").agg(F.sum("eligible").alias("n"), _finite(F.min("low")).alias("low"), F.sum("total").alias("total"), _finite(F.max("high")).alias("high"))
+    return got.select("query_id", "n", "low", F.try_divide(F.col("total"), F.col("n")).alias("mean"), "high")
+
+
 def band_join(queries: DataFrame, refs: DataFrame, id_col: str, column: str, width: float) -> DataFrame:
     """(query_id, ref_id, gap): pairs within ``width`` (inclusive) of each other in ``column``.
 

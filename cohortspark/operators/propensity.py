@@ -157,13 +157,26 @@ class PropensityResult:
     metadata: dict = field(default_factory=dict)
 
 
-def _ordered(rows: DataFrame, id_col: str, seed: int) -> Column:
-    """A seeded pseudo-random order that doesn't hang on partitioning."""
-    return F.xxhash64(F.lit(seed), F.col(id_col).cast("string"))
+def _ordered(id_col: str, seed: int) -> Column:
+    """A seeded pseudo-random number below 2**60 that doesn't hang on partitioning."""
+    return F.conv(F.substr(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_col).cast("string"))), F.lit(1), F.lit(15)), 16, 10).cast("long")
 
 
 def downsample(controls: DataFrame, id_col: str, n: int, seed: int) -> DataFrame:
-    return controls.orderBy(_ordered(controls, id_col, seed), id_col).limit(n)
+    """The n rows with the least numbers of ``_ordered``: whole stretches of numbers by their counts, and a sort within the last stretch only."""
+    rows = controls.withColumn("_number", _ordered(id_col, seed))
+    stretch = F.shiftright("_number", 44)
+    sizes = sorted((r["s"], r["n"]) for r in rows.groupBy(stretch.alias("s")).agg(F.count("*").alias("n")).collect())
+    whole, last = 0, None
+    for s, size in sizes:
+        if whole + size > n:
+            last = s
+            break
+        whole += size
+    if last is None:
+        return rows.drop("_number")
+    rest = rows.where(stretch == last).orderBy("_number", id_col).limit(n - whole)
+    return rows.where(stretch < last).unionByName(rest).drop("_number")
 
 
 def fit_propensity(df: DataFrame, spec: CohortSpec, formula: str | None = None, seed: int = 404, downsample_ratio: float | None = None, n_bags: int | None = None, n_hard_mining: int | None = None, estimator=None) -> PropensityResult:
@@ -196,7 +209,7 @@ def fit_propensity(df: DataFrame, spec: CohortSpec, formula: str | None = None,
     if downsample_ratio is not None:
         scored = trained(cases.unionByName(downsample(controls, "id", int(n_cases * downsample_ratio), seed)), rows)
     elif n_bags is not None:
-        bag = F.pmod(_ordered(controls, "id", seed), F.lit(n_bags))
+        bag = F.pmod(_ordered("id", seed), F.lit(n_bags))
         every = [trained(cases.unionByName(controls.where(bag == b)), rows).select("id", "p", "z") for b in range(n_bags)]
         union = every[0]
         for x in every[1:]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -59,3 +59,25 @@ def long_results(results: DataFrame, keys: Sequence[str], metrics: Sequence[str]
 def wide_results(results: DataFrame, key: str, column: str, value: str, columns: Sequence[str]) -> DataFrame:
     """(key, one mean column for each of ``columns``)."""
     return results.groupBy(key).pivot(column, list(columns)).agg(F.avg(value))
+
+
+def pair_records(results: DataFrame, column: str, keys: Sequence[str], fields: Mapping[str, str]) -> DataFrame:
+    """(keys, the fields of each record): a column of stored pair records, as JSON or as a list of literals in single quotes, row by row.
+
+    ``fields``: name and type of each.  A cell that isn't a list of records gives no row, a missing field is null.
+    """
+    text = F.col(column)
+    for word, json in (("None", "null"), ("nan", "null"), ("True", "true"), ("False", "false")):
+        text = F.regexp_replace(text, rf"(?<=[:,\[]\s?){word}(?=\s*[,}}\]])", json)
+    kind = "array<struct<" + ", ".join(f"`{n}`: {t}" for n, t in fields.items()) + ">>"
+    parsed = F.from_json(text, kind, {"allowSingleQuotes": "true", "mode": "PERMISSIVE"})
+    rows = results.select(*keys, F.explode(parsed).alias("_x")).where(F.col("_x").isNotNull())
+    return rows.select(*keys, *(F.col(f"_x.{n}").alias(n) for n in fields))
+
+
+def metric_table(results: DataFrame, metrics: Sequence[str], by: str = "method") -> DataFrame:
+    """(method, metric, n, mean, sd, low, high) over replications: the data of the simulation plots, low and high being the normal 95 % limits of the mean."""
+    long = long_results(results, [by], metrics).where(F.col("value").isNotNull() & ~F.isnan("value"))
+    got = long.groupBy(by, "metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    half = 1.96 * F.col("sd") / F.sqrt("n")
+    return got.withColumn("low", F.col("mean") - half).withColumn("high", F.col("mean") + half)

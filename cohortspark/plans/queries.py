@@ -102,8 +102,7 @@ _KNN = f"SELECT query_id, ref_id, {_r('distance', 'distance')}, rank FROM ranked
 
 
 def _pair_stats(cohort: Cohort, model: gower.GowerModel) -> DataFrame:
-    found = knn.pairs(cohort.exposed, cohort.controls, "unit_id", model.distance(), [c for c in (*NUMERIC, *CATEGORICAL)])
-    return _rounded(found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("distance").alias("low"), F.avg("distance").alias("mean"), F.max("distance").alias("high")))
+    return _rounded(knn.summary(cohort.exposed, cohort.controls, "unit_id", model))
 
 
 def gower_pairs(spark, d):
@@ -507,9 +506,9 @@ def propensity_fit(spark, d):
 
 
 def method_comparison(spark, d):
-    """Two methods side by side; the outcome is the balance on the account."""
+    """All methods side by side; the outcome is the balance on the account."""
     spec = CohortSpec("unit_id", "exposure", ("n_orders", "spend"), ("region",), bin_method="scaler", onehot=True)
-    found = validation.compare(customers(spark, d).na.fill(0.0), spec, "c_acctbal", methods=("gower", "nearest_mahalanobis"))
+    found = validation.compare(customers(spark, d).na.fill(0.0), spec, "c_acctbal")
     return _rounded(found.drop("seconds"), 4)
 
 

@@ -47,22 +47,44 @@ def whitespace(spark: SparkSession, path: str, names: Sequence[str]) -> DataFram
     return lines.select(*(F.try_element_at(parts, F.lit(i + 1)).try_cast("double").alias(n) for i, n in enumerate(names)))
 
 
+def _study_schema(numeric: Sequence[str], binary: Sequence[str]) -> str:
+    return "patient_id string, exposure_status int, outcome double, mu0 double, mu1 double, rep int, " + ", ".join([f"`{c}` double" for c in numeric] + [f"`{c}` string" for c in binary])
+
+
+def _study_frame(split: str, a: Mapping[str, np.ndarray], r: int, numeric: Sequence[str], binary: Sequence[str], prefix: str) -> pd.DataFrame:
+    """One replication of one split."""
+    x = a["x"][:, :, r]
+    out = {"patient_id": [f"{prefix}-{split}-{i}" for i in range(len(x))], "exposure_status": a["t"][:, r].astype(np.int32)}
+    out |= {c: a[k][:, r].astype(float) for c, k in (("outcome", "yf"), ("mu0", "mu0"), ("mu1", "mu1"))}
+    out["rep"] = np.full(len(x), r, np.int32)
+    out |= {c: x[:, j].astype(float) for j, c in enumerate(numeric)}
+    out |= {c: x[:, len(numeric) + j].astype(np.int64).astype(str) for j, c in enumerate(binary)}
+    return pd.DataFrame(out)
+
+
 def tensors(spark: SparkSession, splits: Mapping[str, Mapping[str, np.ndarray]], numeric: Sequence[str], binary: Sequence[str], replication: int | None = None, prefix: str = "IHDP") -> DataFrame:
     """Replicated studies from arrays x (rows, features, replications), t, yf, mu0, mu1 (rows, replications).
 
     All splits are stacked; ids are <prefix>-<split>-<row>; binary features are
     strings.  One replication, or all with their number in ``rep``.
     """
-    frames = []
-    names = [*numeric, *binary]
-    for split, a in splits.items():
-        reps = range(a["x"].shape[2]) if replication is None else [replication]
-        for r in reps:
-            n = a["x"].shape[0]
-            rows = [
-                (f"{prefix}-{split}-{i}", int(a["t"][i, r]), float(a["yf"][i, r]), float(a["mu0"][i, r]), float(a["mu1"][i, r]), int(r), *(float(a["x"][i, j, r]) if j < len(numeric) else str(int(a["x"][i, j, r])) for j in range(len(names))))
-                for i in range(n)
-            ]
-            frames += rows
-    schema = "patient_id string, exposure_status int, outcome double, mu0 double, mu1 double, rep int, " + ", ".join([f"`{c}` double" for c in numeric] + [f"`{c}` string" for c in binary])
-    return spark.createDataFrame(frames, schema)
+    frames = [_study_frame(split, a, r, numeric, binary, prefix) for split, a in splits.items() for r in (range(a["x"].shape[2]) if replication is None else [replication])]
+    return spark.createDataFrame(pd.concat(frames), _study_schema(numeric, binary))
+
+
+def npz(spark: SparkSession, paths: Mapping[str, str], numeric: Sequence[str], binary: Sequence[str], replication: int | None = None, prefix: str = "IHDP") -> DataFrame:
+    """``tensors`` from .npz files, one for each split; a file is opened by the task that read it, and replications come one after another."""
+    out: DataFrame | None = None
+    for split, path in paths.items():
+
+        def rows(frames: Iterator[pd.DataFrame], split: str = split) -> Iterator[pd.DataFrame]:
+            for frame in frames:
+                for content in frame["content"]:
+                    with np.load(io.BytesIO(content)) as file:
+                        a = {k: file[k] for k in ("x", "t", "yf", "mu0", "mu1")}
+                    for r in range(a["x"].shape[2]) if replication is None else [replication]:
+                        yield _study_frame(split, a, r, numeric, binary, prefix)
+
+        found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, _study_schema(numeric, binary))
+        out = found if out is None else out.unionByName(found)
+    return out

@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from cohortspark.plans import more_queries as more
 from cohortspark.plans import queries as core
 
 DATA = "/root/testdata/sf0.001"
@@ -25,11 +26,14 @@ def plain(v):
     return f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(core.oracle_sql()))
+QUERIES, SQL = core.queries() | more.queries(), core.oracle_sql() | more.oracle_sql()
+
+
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_against_sql(spark, duck, name):
-    df = core.queries()[name](spark, DATA)
+    df = QUERIES[name](spark, DATA)
     columns = sorted(df.columns)
-    found = duck.execute(core.oracle_sql()[name])
+    found = duck.execute(SQL[name])
     names = [x[0] for x in found.description]
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
