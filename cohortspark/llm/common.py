@@ -52,8 +52,7 @@ def work_dir(spark: SparkSession, name: str) -> str:
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage: the rows are written to the shared folder once and survive lost executors."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return saved(df, "cut")
 
 
 def temporary(spark: SparkSession, path: str) -> None:
@@ -67,7 +66,15 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     path = work_dir(df.sparkSession, name)
     df.write.parquet(path)
     temporary(df.sparkSession, path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._written_to = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a ``saved`` table that nothing reads any more."""
+    path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._written_to)
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def fold_of(doc_id: Column, folds: int = 5) -> Column:

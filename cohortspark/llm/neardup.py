@@ -22,11 +22,17 @@ How it stays linear in hot groups:
   lost is only what shares no band (under 1e-5 of the pairs at a similarity of
   0.85) or falls short in the sample (likewise).
 * Groups are found by alternating large-star and small-star steps; every step
-  is a partial aggregation and a join, checkpointed in the shared folder.
-
-Cases: null ids are linked with nothing (component null, kept); rows that share
-an id are one document and stay or go together; null and empty texts are linked
-with nothing; other columns are never read.
+  is a partial aggregation and a join, written to the shared folder; older steps
+  are removed.
+* Joins on bucket keys read written tables on both sides, so adaptive execution
+  can split a bucket that is hot.
+
+Cases: ids are whole numbers (other kinds are cast to them); null ids are linked
+with nothing (component null, kept); rows that share an id are one document,
+with one component, linked with what any of them with words is; null and empty
+texts are linked with nothing; ties of similarity go to the larger id; a very
+long text is compared whole; an empty table gives an empty result; other columns
+are never read.
 """
 
 from __future__ import annotations
@@ -39,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import cut, saved, tidy
+from .common import cut, discard, saved, tidy
 
 WORDS = 5
 BANDS, ROWS = 20, 5
@@ -269,9 +275,11 @@ def components(links: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = cut(large.distinct())
+        discard(edges)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         now = cut(small.where("u > v").distinct())
+        discard(large)
         # stars only: no centre is itself a leaf, no leaf has two centres
         leaves = now.select(F.col("u").alias("x"))
         moved = now.join(leaves, F.col("v") == F.col("x"), "left_semi").limit(1).count() or now.groupBy("u").count().where("count > 1").limit(1).count()
@@ -287,7 +295,18 @@ def _verified(pairs: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     sets = saved(sets, "sets")
     first = pairs.join(sets.select(F.col("id").alias("a"), F.col("members").alias("ma")), "a")
     full = first.join(sets.select(F.col("id").alias("b"), F.col("members").alias("mb")), "b").select("a", "b", "ma", "mb")
-    return cut(full.mapInArrow(tidy(_linked(percent)), "a long, b long").distinct())
+    found = cut(full.mapInArrow(tidy(_linked(percent)), "a long, b long").distinct())
+    discard(sets)
+    return found
+
+
+def _same_id(usable: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links between the classes that hold texts of one id."""
+    one = F.struct("f1", "f2", "n")
+    several = usable.groupBy("id").agg(F.min(one).alias("lo"), F.max(one).alias("hi")).where("lo <> hi").select("id")
+    held = usable.join(several, "id", "left_semi").select("id", "f1", "f2", "n").distinct().join(classes, ["f1", "f2", "n"]).select("id", "rep")
+    least = held.groupBy("id").agg(F.min("rep").alias("b"))
+    return held.join(least, "id").select(F.col("rep").alias("a"), "b").where("a <> b").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", percent: int = PERCENT, bands: int = BANDS, rows: int = ROWS, agree: int = AGREE, block: int = BLOCK) -> DataFrame:
@@ -302,6 +321,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     # buckets with two members or more; one hub each, by turns the smallest and the largest id
     members = reps.select("id", F.explode("bands").alias("key"))
     buckets = members.groupBy("key").agg(F.count("*").alias("size"), F.when(F.col("key") % 2 == 0, F.min("id")).otherwise(F.max("id")).alias("hub")).where("size > 1")
+    buckets = cut(buckets)
     members = cut(members.join(buckets, "key").select("key", "id", "hub", "size"))
     sample = reps.select("id", "sample")
     star = members.where("id <> hub").select("id", "hub").distinct()
@@ -315,10 +335,13 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     grouped = members.join(comp, "id", "left").select("key", "id", "size", F.coalesce("comp", "id").alias("comp"))
     tally = grouped.groupBy("key", "comp").agg(F.count("*").alias("n"), F.first("size").alias("size"))
     open_ = tally.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("most"), F.max("size").alias("size")).where("most < size")
+    open_ = cut(open_)
     at = grouped.drop("size").join(open_, "key").join(reps.select("id", "n", "sample"), "id")
     pool = cut(at.select("id").distinct())
     sets = saved(texts.join(pool, "id", "left_semi").mapInArrow(tidy(_sets), "id long, members binary"), "pool")
     own = sets.mapInArrow(tidy(_tokens), "id long, token long").groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("id")).where("c = 1").groupBy("id").agg(F.count("*").alias("own"))
+    # the bound is of one set, so it doesn't hold for an id with several
+    own = own.join(sets.groupBy("id").count().where("count > 1").select("id"), "id", "left_anti")
     facts = sets.mapInArrow(tidy(_halves), "id long, half binary").join(own, "id", "left").withColumn("own", F.coalesce("own", F.lit(0)))
     at = at.join(facts, "id")
     parts = lambda rows_: F.greatest(F.lit(1), F.ceil(rows_ / block)).cast("int")
@@ -328,7 +351,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     all_ = at.select("key", "id", "comp", "n", "own", "sample", "half", F.lit(1).alias("side"), F.explode(F.sequence(F.lit(0), n_out - 1)).alias("i"), mine(n_all).alias("j"))
     cells = out.unionByName(all_).repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "id")
     more = cells.mapInArrow(tidy(_across(agree, percent)), "a long, b long").distinct()
-    links = links.unionByName(_verified(cut(more), texts, percent))
+    links = links.unionByName(_verified(cut(more), texts, percent)).unionByName(_same_id(usable, classes))
     comp = components(links)
     named = classes.join(comp, F.col("rep") == F.col("id"), "left").select("f1", "f2", "n", F.coalesce("comp", "rep").alias("comp"))
     named = cut(named)

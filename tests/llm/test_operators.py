@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm import decontaminate, langid, licenses, lmscore, mixing, neardup, quality, queries, secrets, urlfilter, warc
 
-from helpers import DOCS, SF, WORDS, awkward, brute_components, fold, lower_words
+from helpers import DOCS, SF, WORDS, awkward, brute_components, fold, lower_words, shingle_set
 
 CLASH = "id part h s row kept score lang_pred mix_slot spans base rule"
 
@@ -419,6 +419,31 @@ def test_near_duplicate_edges(spark):
     assert neardup.near_duplicates(rows.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id_are_one_document(spark):
+    x, y, z = (" ".join(f"{c}{i}" for i in range(40)) for c in "xyz")
+    rows = [(3, x), (5, x), (5, y), (9, y), (11, z), (11, z), (12, z + " more"), (20, y + " " + x), (21, None), (21, x + " end")]
+    got = {(r["doc_id"], r["component_id"], r["kept"]) for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got >= {(3, 3, True), (5, 3, False), (9, 3, False), (11, 11, True), (12, 11, False), (20, 20, True)}
+    assert {c for d, c, _ in got if d == 21} == {3, 21}
+
+
+def test_recall_near_the_threshold(spark):
+    """Two thousand planted pairs at 0.85 to 0.90: every one is found."""
+    noise, rows, near = __import__("random").Random(11), [], 0
+    for i in range(2000):
+        words = [f"w{noise.randrange(10**9)}" for _ in range(300)]
+        other = list(words)
+        for at in noise.sample(range(300), noise.choice((3, 4))):
+            other[at] = "changed"
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        a, b = shingle_set(rows[-2][1]), shingle_set(rows[-1][1])
+        near += 0.85 <= len(a & b) / len(a | b) < 0.9
+    assert near > 1000
+    got = {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {d: c for d, (_, c) in brute_components(rows).items()}
+    assert got == want
+
+
 # -- 10 secrets
 
 
