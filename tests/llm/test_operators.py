@@ -118,6 +118,22 @@ def test_a_conflicting_slot_drops_only_its_windows(spark):
     assert decontaminate.clean(docs, items).count() == 0
 
 
+def test_reworded_names_and_numbers(spark):
+    """Names of several words, at the beginning of sentences, in capitals and in other letters; numbers in words."""
+    cases = [
+        ("The train from London to York takes three hours and costs 40 pounds for one passenger with a bag.", "The train from New York to Salt Lake City takes five hours and costs 75 pounds for one passenger with a bag."),
+        ("Anna has 12 marbles. Anna gives half of them to her brother and then finds 7 more in the old box.", "Boris has 30 marbles. Boris gives half of them to her brother and then finds 9 more in the old box."),
+        ("When Miller opened the shop he had 20 chairs to sell and every week he sold two of them to people.", "When SMITH opened the shop he had 90 chairs to sell and every week he sold three of them to people."),
+        ("On Monday Peter walked around the lake for twenty minutes before the rain began to fall on him.", "On Monday Łukasz walked around the lake for fifty minutes before the rain began to fall on him."),
+        ("A farmer named Ivan sold 15 sheep at the market and bought 3 cows with what he got for them.", "A farmer named Żaneta sold 25 sheep at the market and bought 6 cows with what he got for them."),
+    ]
+    items = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(cases)], "item_id long, text string")
+    other = ["The train was late again and the passengers had to wait for three hours in the cold.", "Anna walked to the market and bought 3 loaves of bread.", "A farmer sold his sheep at the market."]
+    docs = spark.createDataFrame([(i, f"Some lines before it.\n{b}\nAnd after.") for i, (_, b) in enumerate(cases)] + [(100 + i, t) for i, t in enumerate(other)], "doc_id long, text string")
+    for limit in (10**6, 0):
+        assert sorted((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(docs, items, broadcast_windows=limit).collect()) == [(i, i) for i in range(len(cases))]
+
+
 def test_decontamination_against_brute_force(spark, docs):
     """Passages of the benchmark in the test documents, by plain containment of word windows."""
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
