@@ -17,7 +17,8 @@ the schedule, whose size the weights bound, is broadcast to the rows.  Ranks
 within a source come from hash buckets, their counts and prefix sums, so a
 source with a third of all rows is spread over many tasks.
 
-Cases: sources without a weight, null included, form one pooled source ``*``;
+Cases: weights that add up to more than ``MOST_WEIGHT`` raise; texts aren't
+looked at, however long; sources without a weight, null included, form one pooled source ``*``;
 weights of sources without rows count for nothing; rows that repeat get a place
 each; an empty table gives an empty result.  Rows of equal id are ordered by the
 hash of all their columns; columns of the result that the input already has get
@@ -36,6 +37,8 @@ from .common import free_name
 
 POOLED = "*"
 BLOCK_ROWS = 8
+#: A period has as many blocks as the weights add up to; it is scheduled in one task and its schedule is broadcast.
+MOST_WEIGHT = 4096
 
 
 def _sum(array: Column, value) -> Column:
@@ -86,6 +89,8 @@ def mix(rows: DataFrame, weights: Mapping[str, int], source: str = "source", doc
     """The rows with all their columns and four more: mix_block (number within its source), mix_slot, mix_rank (within the block) and mix_position (slot * block_rows + rank)."""
     if pooled_weight < 1 or any(int(w) != w or w < 1 for w in weights.values()) or POOLED in weights or block_rows < 1:
         raise ValueError("weights and block_rows have to be positive whole numbers; '*' names the pooled source")
+    if sum(map(int, weights.values())) + pooled_weight > MOST_WEIGHT:
+        raise ValueError(f"the weights add up to more than {MOST_WEIGHT}; give them as smaller whole numbers")
     names = {c: free_name(rows, c) for c in ("mix_block", "mix_slot", "mix_rank", "mix_position")}
     n = rows.count()
     buckets = 2 ** max(6, math.ceil(math.log2(math.sqrt(max(n, 1)))))

@@ -56,6 +56,7 @@ URL_LIST = (
     ("d:tionsh.example.com", "allow", "add", 110), ("p:blog.tionsh.example.com/en/", "block", "add", 60), ("p:blog.tionsh.example.com/en/", "block", "remove", 200), ("p:blog.tionsh.example.com/fr/", "block", "add", 120),
     ("d:tionble.example.org", "block", "add", 10), ("d:tionble.example.org", "block", "add", 40), ("d:tionble.example.org", "block", "remove", 300), ("d:m.ththth.example.net", "allow", "add", 0),
     ("d:ththth.example.net", "block", "add", 30), ("d:example.net", "block", "add", 340), ("p:www.ththon.example.org/de/", "block", "add", 200), ("d:ththon.example.org", "allow", "add", 0), ("d:ththon.example.org", "allow", "remove", 220),
+    ("d:blog.tionsh.example.net", "block", "add", -20), ("d:blog.tionsh.example.net", "allow", "add", 120), ("d:blog.tionsh.example.net", "block", "remove", 150), ("d:blog.tionsh.example.net", "block", "add", 240),
 )
 FIRST_DAY = 1_704_067_200
 
@@ -154,7 +155,7 @@ def _op8_sql() -> str:
     entries = ", ".join(f"({i}, {_q(rule)}, {_q(verdict)}, {_q(op)}, {FIRST_DAY + 86_400 * day})" for i, (rule, verdict, op, day) in enumerate(URL_LIST))
     return rf"""
 WITH log(entry_id, rule, verdict, op, ts) AS (VALUES {entries}),
-dated AS (SELECT *, lead(ts) OVER (PARTITION BY rule, verdict ORDER BY ts, entry_id) AS until FROM log),
+dated AS (SELECT a.*, (SELECT min(b.ts) FROM log b WHERE b.rule = a.rule AND (b.ts, b.entry_id) > (a.ts, a.entry_id) AND (b.op = 'add' OR b.verdict = a.verdict)) AS until FROM log a),
 live AS (SELECT * FROM dated WHERE op = 'add' AND (until IS NULL OR until > ts)),
 p AS (SELECT page_id, url, page_id * 7919 % 31536000 + {FIRST_DAY} AS fetched,
              regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '\.?(:[0-9]*)?$', '') AS h,

@@ -2,12 +2,12 @@
 
 A list is a log of dated entries: a rule (a domain with its subdomains, or a
 host with a path prefix), a verdict (block or allow), and whether it was added
-or removed.  For each rule the log becomes validity intervals, from an entry to
-the next one of that rule; an added rule is active in its interval.  A capture
-is looked up by the keys its URL has (every domain suffix, every path prefix)
-and as of its fetch time, so each key meets at most one interval.  The longest
-active rule decides; between a path and a domain of one length the path, and
-between equal rules block.
+or removed.  For each rule the log becomes validity intervals: an added entry is
+active until the rule is added again, with either verdict, or this verdict is
+removed.  So a rule has one active entry at most.  A capture is looked up by the
+keys its URL has (every domain suffix, every path prefix) and as of its fetch
+time, so each key is decided by one interval at most.  The longest active rule
+decides; between a path and a domain of one length the path.
 
 Scale: only keys are joined, never texts.  Captures are salted over ``SALTS``
 tasks for each key, since one host may have a third of all rows; the list is
@@ -15,8 +15,9 @@ repeated for each salt.
 
 Cases: a null or hostless URL and a null time match nothing and pass; entries
 of one rule at one time count in the order of their ids (the largest last);
-entries with a null rule or time are void; rows that repeat are judged alike;
-other columns are never read.
+entries with a null rule or time are void; rows that repeat are judged alike; a
+very long URL has a key for each of its path's parts; empty tables give no
+match; other columns are never read.
 """
 
 from __future__ import annotations
@@ -47,8 +48,10 @@ def keys(url: Column) -> Column:
 
 def intervals(entries: DataFrame) -> DataFrame:
     """(rule, entry_id, verdict, since, until) of the active intervals of a log (entry_id, rule, verdict, op, ts)."""
-    log = Window.partitionBy("rule", "verdict").orderBy("ts", "entry_id")
-    dated = entries.where("rule is not null and ts is not null").withColumn("until", F.lead("ts").over(log))
+    order = ("ts", "entry_id")
+    added = F.min(F.when(F.col("op") == "add", F.col("ts"))).over(Window.partitionBy("rule").orderBy(*order).rowsBetween(1, Window.unboundedFollowing))
+    removed = F.min(F.when(F.col("op") != "add", F.col("ts"))).over(Window.partitionBy("rule", "verdict").orderBy(*order).rowsBetween(1, Window.unboundedFollowing))
+    dated = entries.where("rule is not null and ts is not null").withColumn("until", F.least(added, removed))
     return dated.where((F.col("op") == "add") & (F.col("until").isNull() | (F.col("until") > F.col("ts")))).select("rule", "entry_id", "verdict", F.col("ts").alias("since"), "until")
 
 
@@ -59,7 +62,7 @@ def evaluate(captures: DataFrame, entries: DataFrame, salts: int = SALTS) -> Dat
     distinct = rows.where("url is not null and fetched is not null").distinct()
     asked = distinct.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "fetched"), F.lit(salts)).cast("int")).withColumn("rule", F.explode(keys(F.col("url"))))
     met = asked.join(live, ["rule", "salt"]).where("fetched >= since and (until is null or fetched < until)")
-    # longest rule, then path before domain ('p' > 'd'), then block before allow
+    # longest rule, then path before domain ('p' > 'd')
     rank = F.struct(F.length("rule").alias("n"), "rule", (F.col("verdict") == "block").alias("block"), "entry_id")
     best = met.groupBy("page_id", "url", "fetched").agg(F.max(rank).alias("best"))
     best = best.select(F.col("page_id").alias("_p"), F.col("url").alias("_u"), F.col("fetched").alias("_f"), "best")

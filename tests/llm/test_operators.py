@@ -77,6 +77,8 @@ def test_mixing_edges(spark):
     for bad in ({"a": 0}, {"a": 1.5}, {"*": 1}):
         with pytest.raises(ValueError):
             mixing.mix(rows, bad)
+    with pytest.raises(ValueError):
+        mixing.mix(spark.createDataFrame([(1, "a")], "doc_id long, source string"), {"a": mixing.MOST_WEIGHT})
 
 
 # -- 2 decontamination
@@ -388,16 +390,20 @@ def test_url_filter_by_hand(spark):
     log = [
         (1, "d:bad.org", "block", "add", 10), (2, "d:bad.org", "block", "remove", 20), (3, "d:bad.org", "block", "add", 30), (4, "d:ok.bad.org", "allow", "add", 0), (5, "p:x.com/a/", "block", "add", 0),
         (6, "d:x.com", "allow", "add", 5), (7, None, "block", "add", 0), (8, "d:tie.net", "block", "add", 7), (9, "d:tie.net", "block", "remove", 7),
+        (10, "d:both.net", "block", "add", 10), (11, "d:both.net", "allow", "add", 20), (12, "d:both.net", "block", "remove", 25), (13, "d:both.net", "block", "add", 30), (14, "d:both.net", "allow", "remove", 35),
     ]
     entries = spark.createDataFrame(log, "entry_id long, rule string, verdict string, op string, ts long")
     asked = [
         (1, "http://bad.org/", 9, False), (2, "http://bad.org/", 10, True), (3, "http://www.BAD.org:80/q", 19, True), (4, "http://bad.org", 20, False), (5, "https://u@bad.org./x", 35, True), (6, "http://ok.bad.org/", 15, False),
         (7, "http://x.com/a/b?q", 9, True), (8, "http://x.com/ab", 9, False), (9, None, 9, False), (10, "nonsense", 9, False), (11, "http://bad.org/", None, False), (12, "http://notbad.org/", 15, False), (13, "http://tie.net/", 8, False),
         (1, "http://bad.org/", 9, False), (None, "http://bad.org/", 15, True),
+        (20, "http://both.net/", 15, True), (21, "http://both.net/", 20, False), (22, "http://both.net/", 27, False), (23, "http://both.net/", 40, True),
     ]
     captures = spark.createDataFrame([x[:3] for x in asked], "page_id long, url string, fetched long").withColumn("salt", F.lit(1))
     got = sorted(((r["page_id"], r["url"], r["fetched"], r["blocked"]) for r in urlfilter.evaluate(captures, entries).collect()), key=str)
     assert got == sorted(asked, key=str)
+    ids = {(r["page_id"], r["fetched"]): r["entry_id"] for r in urlfilter.evaluate(captures, entries).collect()}
+    assert [ids[k] for k in ((20, 15), (21, 20), (22, 27), (23, 40), (12, 15))] == [10, 11, 11, 13, None]
     assert urlfilter.evaluate(captures.limit(0), entries).count() == 0 and urlfilter.evaluate(captures, entries.limit(0)).where("blocked").count() == 0
 
 
