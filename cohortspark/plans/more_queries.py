@@ -17,7 +17,7 @@ from ..operators import balance, effects, propensity, report
 from ..operators.checkpoints import saved, shared_dir
 from ..sources import sinks, studies, tables
 from ..sources.tables import parquet
-from ..spec import CohortSpec
+from ..spec import CohortSpec, MatchSpec
 from . import queries as q
 from .matcher import CohortMatcher, greedy_match
 
@@ -202,6 +202,79 @@ run(i, query_id, pick, taken) AS (SELECT CAST(0 AS BIGINT), CAST(NULL AS BIGINT)
 SELECT run.query_id, ref_id, round(distance, 6) AS distance FROM run JOIN near ON near.query_id = run.query_id AND ref_id = pick"""
 
 
+# -- allocation where each exposed row has one candidate ------------------------------------------------------------
+
+
+def _single(spark, d, spec: CohortSpec, formula: str | None = None, **options) -> DataFrame:
+    matcher = CohortMatcher(q.customers(spark, d), spec)
+    if formula:
+        matcher = matcher.fit_propensity(formula)
+    return q._pairs_out(matcher.match(MatchSpec(k_candidates=1, **options)).pairs)
+
+
+def match_single(spark, d):
+    """Contested controls go to the worst-off row, of equals the one with the least id; rows with a safe control are served last."""
+    return _single(spark, d, q.SPEC, threshold=0.05)
+
+
+def match_single_optimal(spark, d):
+    """Contested controls go where the total is least."""
+    return _single(spark, d, q.SPEC, threshold=0.05, competitive_match=False)
+
+
+def match_single_flow(spark, d):
+    return _single(spark, d, q.SPEC, threshold=0.05, competitive_match=False, mcf=True)
+
+
+def match_single_fuzzy(spark, d):
+    """Rows without a control within the threshold take one within the fuzzy limit."""
+    return _single(spark, d, q.SPEC, threshold=0.02, fuzzy_limit=0.05)
+
+
+def match_single_mahalanobis(spark, d):
+    return _single(spark, d, CohortSpec("unit_id", "exposure", ("c_acctbal", "n_orders")), metric="mahalanobis", threshold=0.3, competitive_match=False)
+
+
+def match_single_propensity(spark, d):
+    """Nearest logit within a hundredth of its deviation."""
+    return _single(spark, d, _ONE, "c_acctbal", method="propensity", metric="euclidean", propensity_caliper=0.01)
+
+
+_PLACE = CohortSpec("unit_id", "exposure", ("c_acctbal",), ("region",))
+
+
+def match_single_hybrid(spark, d):
+    """Nearest by Gower's distance among those within a fifth of the logit's deviation."""
+    return _single(spark, d, _PLACE, "c_acctbal", ps_hybrid=True, ps_caliper=0.2, threshold=0.02)
+
+
+def _single_sql() -> dict[str, str]:
+    # ranked: one row for each exposed unit and control
+    near = lambda limit: f"near AS (SELECT *, count(*) OVER (PARTITION BY ref_id) AS users, row_number() OVER (PARTITION BY ref_id ORDER BY query_id) AS turn, row_number() OVER (PARTITION BY ref_id ORDER BY distance, query_id) AS least FROM ranked WHERE rank = 1 AND distance <= {limit})"
+    greedy = "SELECT query_id, ref_id, round(distance, 6) AS distance, CASE WHEN users = 1 THEN 'optimal' ELSE 'competitive' END AS phase FROM near WHERE turn = 1"
+    optimal = "SELECT query_id, ref_id, round(distance, 6) AS distance, 'optimal' AS phase FROM near WHERE least = 1"
+    fuzzy = """, met AS (SELECT *, distance <= 0.02 AS inside FROM ranked WHERE rank = 1 AND distance <= 0.05), users AS (SELECT ref_id, count(*) FILTER (inside) AS n FROM met GROUP BY ref_id),
+kinds AS (SELECT met.*, CASE WHEN NOT inside THEN 2 WHEN n = 1 THEN 0 ELSE 1 END AS kind FROM met JOIN users USING (ref_id)),
+first AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY CASE kind WHEN 2 THEN 0 WHEN 1 THEN 1 ELSE 2 END, query_id) AS turn FROM kinds)
+SELECT query_id, ref_id, round(distance, 6) AS distance, ['optimal', 'competitive', 'fuzzy'][kind + 1] AS phase FROM first WHERE turn = 1"""
+    logit = f"{_X}, {_newton('x', 's')}, z AS (SELECT unit_id, y, a + b * x AS z FROM x, s WHERE i = 20), sd AS (SELECT stddev_samp(z) AS sd FROM z)"
+    rank = "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) AS rank FROM pairs)"
+    two = f"""WITH {q.C1} k AS (SELECT unit_id, exposure, (coalesce(c_acctbal, 0)) AS c_acctbal, coalesce(n_orders, 0) AS n_orders FROM base), s AS (SELECT var_samp(c_acctbal) + 1e-6 AS a, var_samp(n_orders) + 1e-6 AS b, covar_samp(c_acctbal, n_orders) AS ab FROM k),
+pairs AS (SELECT t.unit_id AS query_id, r.unit_id AS ref_id, sqrt(greatest(0, (b * (t.c_acctbal - r.c_acctbal) ** 2 - 2 * ab * (t.c_acctbal - r.c_acctbal) * (t.n_orders - r.n_orders) + a * (t.n_orders - r.n_orders) ** 2) / (a * b - ab * ab))) AS distance
+  FROM k t, k r, s WHERE t.exposure = 1 AND r.exposure = 0)"""
+    return {
+        "match_single": f"{q._gower_sql()}, {near(0.05)} {greedy}",
+        "match_single_optimal": f"{q._gower_sql()}, {near(0.05)} {optimal}",
+        "match_single_flow": f"{q._gower_sql()}, {near(0.05)} {optimal}",
+        "match_single_fuzzy": f"{q._gower_sql()}{fuzzy}",
+        "match_single_mahalanobis": f"{two}, {rank}, {near(0.3)} {optimal}",
+        "match_single_propensity": f"{logit}, pairs AS (SELECT t.unit_id AS query_id, r.unit_id AS ref_id, abs(t.z - r.z) AS distance FROM z t, z r WHERE t.y = 1 AND r.y = 0), {rank}, {near('(SELECT 0.01 * sd FROM sd)')} {greedy}",
+        "match_single_hybrid": f"""{logit}, g AS (SELECT max(c_acctbal) - min(c_acctbal) AS g FROM base WHERE exposure = 0),
+pairs AS (SELECT t.unit_id AS query_id, r.unit_id AS ref_id, (abs(t.c_acctbal - r.c_acctbal) / g + CASE WHEN t.region = r.region THEN 0.0 ELSE 1.0 END) / 2 AS distance
+  FROM base t JOIN z zt ON zt.unit_id = t.unit_id, base r JOIN z zr ON zr.unit_id = r.unit_id, g, sd WHERE t.exposure = 1 AND r.exposure = 0 AND abs(zt.z - zr.z) <= 0.2 * sd), {rank}, {near(0.02)} {greedy}""",
+    }
+
+
 # -- effects and report tables ---------------------------------------------------------------------------------------
 
 
@@ -240,6 +313,17 @@ def smd_order(spark, d):
     return q._rounded(spark.createDataFrame([(i + 1, r["feature"], r["smd"]) for i, r in enumerate(got)], "place long, feature string, smd double"))
 
 
+def explained_variance_two(spark, d):
+    """Explained variance of two features of the exposed: the eigenvalues of a 2 by 2 matrix."""
+    return q._rounded(report.explained_variance(q.customers(spark, d).where("exposure = 1"), ("c_acctbal", "n_orders"))[0])
+
+
+def synthetic_counts(spark, d):
+    """What holds of any synthetic cohort: sizes, distinct ids, no negative number, only the levels asked for."""
+    rows = q.synthetic_cohort(spark, d)
+    return q._rounded(rows.groupBy("exposure_status").agg(F.count("*").alias("n"), F.count_distinct("patient_id").alias("ids"), F.count_if(F.col("age") < 0).alias("negative"), F.count_if(~F.col("sex").isin("f", "m")).alias("other")))
+
+
 def score_coverage(spark, d):
     """Histograms of document lengths, of all documents and of those of good quality."""
     rows = q.documents(spark, d)
@@ -269,7 +353,7 @@ def pair_records(spark, d):
 
 _QUERIES = (
     source_csv, source_zipped_csv, source_whitespace, source_replications, study_rhc, study_lalonde, study_vlbw, sink_chunks, unmatched_ids, propensity_full, propensity_downsampled, propensity_bagged, propensity_hard_mined,
-    greedy_mahalanobis, greedy_scaled_euclidean, true_att, pairwise_prevalence, mcnemar_p, breslow_or, mapd_pm_features, smd_order, score_coverage, melted_and_pivoted, metric_intervals, pair_records,
+    greedy_mahalanobis, greedy_scaled_euclidean, match_single, match_single_optimal, match_single_flow, match_single_fuzzy, match_single_mahalanobis, match_single_propensity, match_single_hybrid, true_att, pairwise_prevalence, mcnemar_p, breslow_or, mapd_pm_features, smd_order, explained_variance_two, synthetic_counts, score_coverage, melted_and_pivoted, metric_intervals, pair_records,
 )
 
 
@@ -288,7 +372,7 @@ def oracle_sql() -> dict[str, str]:
     gaps += [f"SELECT '{c}', round(avg(CASE WHEN {c}_t = {c}_c THEN 0.0 ELSE 1.0 END), 6), CAST(NULL AS DOUBLE) FROM p" for c in q.CATEGORICAL]
     stage = "SELECT '{0}' AS stage, CAST(exposure AS BIGINT) AS exposure, bin, round(lo + bin * w, 6) AS low, round(lo + (bin + 1) * w, 6) AS high, count(*) AS n FROM (SELECT *, CAST(least(floor((n_chars - lo) / w), 9) AS BIGINT) AS bin FROM {1}, {2}) GROUP BY exposure, bin, lo, w"
     bins = lambda source: f"(SELECT min(n_chars) AS lo, (max(n_chars) - min(n_chars)) / 10 AS w FROM {source})"
-    return _propensity_sql() | {
+    return _propensity_sql() | _single_sql() | {
         "source_csv": "SELECT c_custkey, c_name, c_acctbal, c_mktsegment FROM customer",
         "source_zipped_csv": "SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey, CAST(NULL AS BIGINT) AS r_regionkey, CAST(NULL AS VARCHAR) AS r_name FROM nation UNION ALL SELECT NULL, NULL, NULL, r_regionkey, r_name FROM region",
         "source_whitespace": "SELECT CAST(s_suppkey AS DOUBLE) AS suppkey, round(s_acctbal, 2) AS acctbal, CAST(s_nationkey AS DOUBLE) AS nationkey FROM supplier",
@@ -307,6 +391,8 @@ SELECT 'P' || (row_number() OVER (ORDER BY treat DESC, unit_id) - 1) AS patient_
         "breslow_or": f"{q.C2} SELECT round(CAST(count(*) FILTER (exposure = 1 AND quality = 1) AS DOUBLE) * count(*) FILTER (exposure = 0) / (count(*) FILTER (exposure = 0 AND quality = 1) * count(*) FILTER (exposure = 1)), 6) AS odds_ratio FROM c",
         "mapd_pm_features": f"{q._MATCHED} " + " UNION ALL ".join(gaps),
         "smd_order": f"{q._cohort()}, t AS ({q._one_level('c')}) SELECT row_number() OVER (ORDER BY abs(smd) DESC, feature) AS place, feature, round(smd, 6) AS smd FROM t",
+        "explained_variance_two": f"WITH {q.C1} m AS (SELECT var_samp(c_acctbal) AS a, var_samp(coalesce(n_orders, 0)) AS b, covar_samp(c_acctbal, coalesce(n_orders, 0)) AS ab FROM base WHERE exposure = 1), e AS (SELECT ((a + b) + sqrt((a - b) ** 2 + 4 * ab ** 2)) / 2 / (a + b) AS x FROM m) SELECT 1 AS component, round(x, 6) AS explained, round(x, 6) AS cumulative FROM e UNION ALL SELECT 2, round(1 - x, 6), 1.0 FROM e",
+        "synthetic_counts": "SELECT CAST(1 AS BIGINT) AS exposure_status, 50 AS n, 50 AS ids, 0 AS negative, 0 AS other UNION ALL SELECT 0, 450, 450, 0, 0",
         "score_coverage": f"{q.C2}, good AS (SELECT * FROM c WHERE quality = 1) {stage.format('before', 'c', bins('c'))} UNION ALL {stage.format('after', 'good', bins('good'))}",
         "melted_and_pivoted": f"WITH {q.C1} x AS (SELECT * FROM base) SELECT region, round(avg(c_acctbal), 6) AS mean, CAST(count(*) AS DOUBLE) AS n FROM x GROUP BY region",
         "metric_intervals": f"WITH {q.C1} r AS (SELECT region, nation, avg(c_acctbal) AS mean_account, avg(n_orders) AS mean_orders FROM base GROUP BY region, nation), l AS (SELECT region, 'mean_account' AS metric, mean_account AS v FROM r UNION ALL SELECT region, 'mean_orders', mean_orders FROM r), m AS (SELECT region, metric, count(v) AS n, avg(v) AS mean, stddev_samp(v) AS sd FROM l WHERE v IS NOT NULL GROUP BY region, metric) SELECT region, metric, n, round(mean, 4) AS mean, round(sd, 4) AS sd, round(mean - 1.96 * sd / sqrt(n), 4) AS low, round(mean + 1.96 * sd / sqrt(n), 4) AS high FROM m",
