@@ -14,6 +14,8 @@ from .kernel import Rules, allocate, nearest_first
 
 #: Up to so many edges (counted first) are labelled on the driver.
 DRIVER_EDGES = 500_000
+#: A component is one task's; one with more edges raises before it is gathered.
+COMPONENT_EDGES = 20_000_000
 
 
 def _labels(edges: DataFrame) -> DataFrame:
@@ -58,7 +60,11 @@ def components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
         moved = now.where("next < label").limit(1).count()
         label = now.select("query_id", F.col("next").alias("label"))
         if not moved:
-            return edges.join(label.withColumnRenamed("label", "component"), "query_id")
+            found = edges.join(label.withColumnRenamed("label", "component"), "query_id")
+            most = found.groupBy("component").count().agg(F.max("count")).first()[0] or 0
+            if most > COMPONENT_EDGES:
+                raise ValueError(f"a connected component has {most} candidate edges, more than {COMPONENT_EDGES}: lower the threshold or k_candidates")
+            return found
 
 
 def _rows_of(pdf: pd.DataFrame):

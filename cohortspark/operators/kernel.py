@@ -9,6 +9,7 @@ always the worst-off first; an assignment of least cost serves the rest.
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
 import numpy as np
@@ -156,6 +157,58 @@ def assign(cost: np.ndarray, unmatched: float) -> np.ndarray:
     return np.where(col_of < m, col_of, -1)
 
 
+#: Larger cost matrices aren't built; their edges are kept as lists.
+DENSE_CELLS = 30_000_000
+
+
+def assign_sparse(edges: list[tuple[np.ndarray, np.ndarray]], n_columns: int, unmatched: float) -> np.ndarray:
+    """``assign`` over edge lists (columns, costs) of each row: the same augmenting paths, by a heap over the columns that a search meets."""
+    row_of, col_of = np.full(n_columns, -1), np.full(len(edges), -1)
+    u, v = np.zeros(len(edges)), np.zeros(n_columns)
+    for start in range(len(edges)):
+        reach: dict[int, float] = {}
+        via: dict[int, int] = {}
+        done: set[int] = set()
+        heap: list[tuple[float, int]] = []
+        seen, i, base, out, out_row, sink = [start], start, 0.0, np.inf, -1, -1
+        while True:
+            if base + unmatched - u[i] < out:
+                out, out_row = base + unmatched - u[i], i
+            for c, d in zip(edges[i][0].tolist(), (base + edges[i][1] - u[i] - v[edges[i][0]]).tolist()):
+                if c not in done and d < reach.get(c, np.inf):
+                    reach[c], via[c] = d, i
+                    heapq.heappush(heap, (d, c))
+            while heap and (heap[0][1] in done or heap[0][0] > reach[heap[0][1]]):
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= out:
+                base = out
+                break
+            base, c = heapq.heappop(heap)
+            done.add(c)
+            if row_of[c] < 0:
+                sink = c
+                break
+            i = int(row_of[c])
+            seen.append(i)
+        for i in seen:
+            u[i] += base - (reach[int(col_of[i])] if i != start else 0.0)
+        for c in done:
+            v[c] -= base - reach[c]
+        if sink < 0:  # a row of the search stays out, and hands on its column
+            sink, col_of[out_row] = int(col_of[out_row]), -1
+            if out_row == start:
+                continue
+        while True:
+            i = via[sink]
+            row_of[sink] = i
+            held = int(col_of[i])
+            col_of[i] = sink
+            if i == start:
+                break
+            sink = held
+    return col_of
+
+
 def _optimal(rows, cats: Categories, rules: Rules, taken: np.ndarray, chosen: list[list[tuple[int, str]]]) -> None:
     short = [i for i in range(len(rows)) if len(chosen[i]) < rules.n_neighbors]
     edges = {i: [at for at in sorted(cats.safe[i] + cats.competitive[i]) if not taken[rows[i][0][at]]] for i in short}
@@ -163,15 +216,21 @@ def _optimal(rows, cats: Categories, rules: Rules, taken: np.ndarray, chosen: li
     if not places:
         return
     columns = np.unique([rows[i][0][at] for i in edges for at in edges[i]])
-    cost = np.full((len(places), len(columns)), np.inf)
-    for p, i in enumerate(places):
-        for at in edges[i]:
-            d = rows[i][1][at]
-            cost[p, np.searchsorted(columns, rows[i][0][at])] = round(d * FLOW_SCALE / rules.largest) if rules.flow else d
-    finite = cost[np.isfinite(cost)]
-    unmatched = FLOW_SCALE + FLOW_UNMATCHED if rules.flow else 1.0 + (len(places) + 1) * float(finite.max())
+    lists = {}
+    for i in short:
+        c, d = rows[i][0][edges[i]], rows[i][1][edges[i]]
+        lists[i] = (np.searchsorted(columns, c), np.rint(d * FLOW_SCALE / rules.largest) if rules.flow else d)
+    dearest = max(float(lists[i][1].max()) for i in places)
+    unmatched = FLOW_SCALE + FLOW_UNMATCHED if rules.flow else 1.0 + (len(places) + 1) * dearest
     place_of = {i: {int(rows[i][0][at]): at for at in edges[i]} for i in edges}
-    for i, col in zip(places, assign(cost, unmatched)):
+    if len(places) * (len(places) + len(columns)) <= DENSE_CELLS:
+        cost = np.full((len(places), len(columns)), np.inf)
+        for p, i in enumerate(places):
+            cost[p, lists[i][0]] = lists[i][1]
+        found = assign(cost, unmatched)
+    else:
+        found = assign_sparse([lists[i] for i in places], len(columns), unmatched)
+    for i, col in zip(places, found):
         if col >= 0:
             chosen[i].append((place_of[i][int(columns[col])], "optimal"))
             taken[columns[col]] = True

@@ -4,7 +4,7 @@ import math
 import numpy as np
 import pytest
 
-from cohortspark.operators.kernel import FLOW_SCALE, FLOW_UNMATCHED, Rules, allocate, assign, categorise, nearest_first
+from cohortspark.operators.kernel import FLOW_SCALE, FLOW_UNMATCHED, Rules, allocate, assign, assign_sparse, categorise, nearest_first
 
 
 def rows_of(matrix, k=None):
@@ -132,3 +132,16 @@ def test_greedy_takes_the_nearest_free():
 
 def test_flow_constants():
     assert FLOW_SCALE == 1_000_000 and FLOW_UNMATCHED == 10_000
+
+
+def test_sparse_assignment_costs_what_the_dense_one_does():
+    rng = np.random.default_rng(5)
+    for _ in range(60):
+        n, m = rng.integers(1, 25, 2)
+        cost = np.where(rng.random((n, m)) < 0.4, rng.integers(0, 40, (n, m)).astype(float), np.inf)
+        lists = [(np.flatnonzero(np.isfinite(r)), r[np.isfinite(r)]) for r in cost]
+        for unmatched in (10.0, 5000.0):
+            total = lambda cols: sum(unmatched if c < 0 else cost[i, c] for i, c in enumerate(cols))
+            found = assign_sparse(lists, m, unmatched)
+            used = found[found >= 0]
+            assert len(set(used.tolist())) == len(used) and total(found) == total(assign(cost, unmatched))
