@@ -15,7 +15,8 @@ many documents share.
 
 Cases: a null text has a null digest and no licence; an empty canonical text
 has the digest of nothing and no licence; of registry texts with the same
-canonical form the least identifier counts; repeated rows are judged alike;
+canonical form the least identifier counts; repeated rows are judged alike; a very
+long text is made canonical whole; empty tables give empty results;
 other columns are never read.
 """
 
