@@ -66,6 +66,16 @@ class GowerModel:
         active = set(self._active())
         return [F.col(c) for c in self.numeric if c in active], [F.col(c) for c in self.categorical if c in active]
 
+    def floor(self, qc: np.ndarray, rc: np.ndarray) -> np.ndarray:
+        """What the categories alone make the distances of a block at least, missing values included."""
+        active = self._active()
+        total = sum(self.weights[c] for c in active) or 1.0
+        out = np.zeros((len(qc), len(rc)))
+        for j, c in enumerate(c for c in self.categorical if c in active):
+            apart = (qc[:, j, None] != -1) & (rc[None, :, j] != -1) & (qc[:, j, None] != rc[None, :, j])
+            out += self.weights[c] / total * apart
+        return out
+
     def block(self, qn: np.ndarray, qc: np.ndarray, rn: np.ndarray, rc: np.ndarray) -> np.ndarray:
         """Distances of a block: numerics as (rows, features) with NaN for null, categories coded with -1 for null and -2 for unseen."""
         active = set(self._active())

@@ -6,8 +6,9 @@ executors; the reference side
 streams past in Arrow batches.  Each task keeps the k best of its partition for
 every query, NumPy computing a bounded tile of distances at a time, and a window
 over those partial results leaves the k best of all.  No pair is materialised
-that isn't among the best of its partition.  Order is (distance, reference id),
-so results don't hang on partitioning.
+that isn't among the best of its partition, and references whose categories alone
+put them beyond a query's k-th best aren't compared with it.  Order is (distance,
+reference id), so results don't hang on partitioning.
 """
 
 from __future__ import annotations
@@ -73,6 +74,40 @@ def _side(t: pa.Table | pa.RecordBatch, p: int, q: int, books: list[pa.Array]) -
     return _Side(ids, numbers, codes, band)
 
 
+@dataclass
+class _Part:
+    """Some rows of a side, and their places in it."""
+
+    side: _Side
+    at: np.ndarray
+
+
+def _taken(side: _Side, at: np.ndarray) -> _Side:
+    return _Side(side.ids[at], side.numbers[at], side.codes[at], None if side.band is None else side.band[at])
+
+
+def _promising(q: _Side, r: _Side, metric, worst: np.ndarray) -> Iterator[tuple[_Part, _Side]]:
+    """Queries and references to compare: where the metric has a floor by categories, references go by their categories.
+
+    Those with the query's own categories come first; after that a group is held
+    only against queries whose k-th best so far is no nearer than the floor, so
+    nothing that could be among the best is left out.
+    """
+    if not hasattr(metric, "floor") or not q.codes.shape[1]:
+        yield _Part(q, np.arange(len(q.ids))), r
+        return
+    kinds, kind_of = np.unique(r.codes, axis=0, return_inverse=True)
+    order = np.argsort(kind_of.ravel(), kind="stable")
+    groups = np.split(order, np.cumsum(np.bincount(kind_of.ravel()))[:-1])
+    floor = metric.floor(q.codes, kinds)
+    own = floor == floor.min(axis=1, keepdims=True)
+    for first in (True, False):
+        for g, members in enumerate(groups):
+            at = np.flatnonzero(own[:, g] if first else ~own[:, g] & (floor[:, g] <= worst * (1 + 1e-9) + 1e-12))
+            if len(at):
+                yield _Part(_taken(q, at), at), _taken(r, members)
+
+
 def _tiles(q: _Side, r: _Side, metric, width: float | None) -> Iterator[tuple[int, np.ndarray]]:
     step = max(1, TILE // max(len(r.ids), 1))
     for lo in range(0, len(q.ids), step):
@@ -92,26 +127,30 @@ def _best(q: _Side, p: int, s: int, books: list[pa.Array], metric, k: int, limit
         ids: list[np.ndarray | None] = [None] * n
         worst = np.full(n, limit)
         kind = None
+
+        def offer(i: int, row: np.ndarray, of: np.ndarray) -> None:
+            at = np.flatnonzero((row <= worst[i]) & (row < np.inf))
+            if not len(at):
+                return
+            if len(at) > k:
+                at = at[row[at] <= np.partition(row[at], k - 1)[k - 1]]
+            dd, ii = row[at], of[at]
+            if ids[i] is not None:
+                dd, ii = np.concatenate((dist[i], dd)), np.concatenate((ids[i], ii))
+            order = np.lexsort((ii, dd))[:k]
+            dist[i], ids[i] = dd[order], ii[order]
+            if len(order) == k:
+                worst[i] = dd[order[-1]]
+
         for batch in batches:
             if not batch.num_rows:
                 continue
             kind = batch.column(0).type
             r = _side(batch, p, s, books)
-            for lo, d in _tiles(q, r, metric, width):
-                for i in range(len(d)):
-                    row = d[i]
-                    at = np.flatnonzero((row <= worst[lo + i]) & (row < np.inf))
-                    if not len(at):
-                        continue
-                    if len(at) > k:
-                        at = at[row[at] <= np.partition(row[at], k - 1)[k - 1]]
-                    dd, ii = row[at], r.ids[at]
-                    if ids[lo + i] is not None:
-                        dd, ii = np.concatenate((dist[lo + i], dd)), np.concatenate((ids[lo + i], ii))
-                    order = np.lexsort((ii, dd))[:k]
-                    dist[lo + i], ids[lo + i] = dd[order], ii[order]
-                    if len(order) == k:
-                        worst[lo + i] = dd[order[-1]]
+            for queries, part in _promising(q, r, metric, worst):
+                for lo, d in _tiles(queries.side, part, metric, width):
+                    for i in range(len(d)):
+                        offer(int(queries.at[lo + i]), d[i], part.ids)
         full = [i for i in range(n) if len(dist[i])]
         for a in range(0, len(full), 1000):
             part = full[a : a + 1000]
