@@ -10,12 +10,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.weights import resolve_weights
+from .knn import Metric
 
 FLOOR = 1e-8
 
 
 @dataclass(frozen=True)
-class GowerModel:
+class GowerModel(Metric):
     """Features with ranges (of the reference rows) and weights.
 
     d = sum(w m delta) / sum(w m): delta is the range-scaled difference or the

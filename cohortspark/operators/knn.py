@@ -238,6 +238,36 @@ def summary(queries: DataFrame, refs: DataFrame, id_col: str, metric, band: Band
     return got.select("query_id", "n", "low", F.try_divide(F.col("total"), F.col("n")).alias("mean"), "high")
 
 
+def _every(q: _Side, p: int, s: int, books: list[pa.Array], metric):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            r = _side(batch, p, s, books)
+            for lo, d in _tiles(q, r, metric, None):
+                n = len(d)
+                ids = batch.column(0).take(pa.array(np.tile(np.arange(len(r.ids)), n)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.ids[lo : lo + n], len(r.ids))), ids, pa.array(d.ravel())], ["query_id", "ref_id", "distance"])
+
+    return run
+
+
+def all_pairs(queries: DataFrame, refs: DataFrame, id_col: str, metric) -> DataFrame:
+    """(query_id, ref_id, distance) of every pair, tile by tile: meant for a bounded query side, whose values go to the executors."""
+    schema = f"query_id {queries.schema[id_col].dataType.simpleString()}, ref_id {refs.schema[id_col].dataType.simpleString()}, distance double"
+    return _each_block(queries, refs, id_col, metric, None, lambda q, p, s, books: _every(q, p, s, books, metric), schema)
+
+
+class Metric:
+    """What every fitted distance offers over two tables with the same columns."""
+
+    def kneighbors(self, queries: DataFrame, refs: DataFrame, id_col: str, k: int, limit: float = math.inf, band: Band | None = None) -> DataFrame:
+        return top_k(queries, refs, id_col, self, k, limit, band)
+
+    def cdist(self, queries: DataFrame, refs: DataFrame, id_col: str) -> DataFrame:
+        return all_pairs(queries, refs, id_col, self)
+
+
 def band_join(queries: DataFrame, refs: DataFrame, id_col: str, column: str, width: float) -> DataFrame:
     """(query_id, ref_id, gap): pairs within ``width`` (inclusive) of each other in ``column``.
 

@@ -10,6 +10,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .knn import Metric
+
 
 def moments(df: DataFrame, columns: Sequence[Column]) -> tuple[int, np.ndarray, np.ndarray]:
     """Count, means and sample covariance of complete rows, by one aggregate of p(p+1)/2 covariances."""
@@ -95,7 +97,7 @@ def fit_mahalanobis(reference: DataFrame, columns: Sequence[str], pooled: DataFr
 
 
 @dataclass(frozen=True)
-class VectorMetric:
+class VectorMetric(Metric):
     """Euclidean ("l2"), cosine or absolute ("l1", one column) distance over numeric expressions that both sides have."""
 
     kind: str

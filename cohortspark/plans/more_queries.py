@@ -110,6 +110,13 @@ def sink_chunks(spark, d):
     return found.select("year", "status", "n", F.round("total", 2).alias("total"))
 
 
+def cdist_euclidean(spark, d):
+    """Every pair's distance, summed up by query."""
+    left, right, columns = q._vector_sides(spark, d)
+    found = q.vectors.VectorMetric("l2", columns).cdist(left, right, "unit_id")
+    return q._rounded(found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("distance").alias("low"), F.avg("distance").alias("mean"), F.max("distance").alias("high")), 5)
+
+
 def unmatched_ids(spark, d):
     """Exposed customers without a control of the same region within 25 of their account."""
     c = q.customers(spark, d)
@@ -352,7 +359,7 @@ def pair_records(spark, d):
 
 
 _QUERIES = (
-    source_csv, source_zipped_csv, source_whitespace, source_replications, study_rhc, study_lalonde, study_vlbw, sink_chunks, unmatched_ids, propensity_full, propensity_downsampled, propensity_bagged, propensity_hard_mined,
+    source_csv, source_zipped_csv, source_whitespace, source_replications, study_rhc, study_lalonde, study_vlbw, sink_chunks, cdist_euclidean, unmatched_ids, propensity_full, propensity_downsampled, propensity_bagged, propensity_hard_mined,
     greedy_mahalanobis, greedy_scaled_euclidean, match_single, match_single_optimal, match_single_flow, match_single_fuzzy, match_single_mahalanobis, match_single_propensity, match_single_hybrid, true_att, pairwise_prevalence, mcnemar_p, breslow_or, mapd_pm_features, smd_order, explained_variance_two, synthetic_counts, score_coverage, melted_and_pivoted, metric_intervals, pair_records,
 )
 
@@ -382,6 +389,7 @@ def oracle_sql() -> dict[str, str]:
 SELECT 'P' || (row_number() OVER (ORDER BY treat DESC, unit_id) - 1) AS patient_id, CAST(treat AS BIGINT) AS exposure_status, round(re78, 6) AS outcome, CAST(unit_id AS DOUBLE) AS age, CAST(12 AS DOUBLE) AS education, CAST(re75 AS DOUBLE) AS "RE75", {flags(four)} FROM x""",
         "study_vlbw": f"WITH {q.C1} x AS (SELECT * FROM base) SELECT CAST(unit_id AS VARCHAR) AS patient_id, CAST(exposure AS BIGINT) AS exposure_status, CAST(unit_id % 2 AS BIGINT) AS outcome, round(c_acctbal, 6) AS bwt, n_orders AS gest, CAST(7 AS DOUBLE) AS apg1, CAST(80 AS DOUBLE) AS year, region AS race, 'male' AS sex, 'born at' AS inout, '0' AS twn, 'vaginal' AS delivery FROM x WHERE unit_id % 11 <> 0 AND unit_id % 13 <> 0 AND n_orders IS NOT NULL AND c_acctbal IS NOT NULL AND region IS NOT NULL",
         "sink_chunks": "SELECT CAST(year(o_orderdate) AS BIGINT) AS year, o_orderstatus AS status, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY ALL",
+        "cdist_euclidean": "WITH v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings), x AS (SELECT a.vec_id AS query_id, list_distance(a.e, b.e) AS z FROM v a, v b WHERE a.label = 0 AND b.label <> 0) SELECT query_id, count(*) AS n, round(min(z), 5) AS low, round(avg(z), 5) AS mean, round(max(z), 5) AS high FROM x GROUP BY query_id",
         "unmatched_ids": f"WITH {q.C1} x AS (SELECT * FROM base) SELECT unit_id FROM x t WHERE exposure = 1 AND NOT EXISTS (SELECT 1 FROM x k WHERE k.exposure = 0 AND k.region = t.region AND floor(k.c_acctbal / 25) = floor(t.c_acctbal / 25))",
         "greedy_mahalanobis": _greedy_sql("sqrt(greatest(0, (b * (t.c_acctbal - r.c_acctbal) ** 2 - 2 * ab * (t.c_acctbal - r.c_acctbal) * (t.n_orders - r.n_orders) + a * (t.n_orders - r.n_orders) ** 2) / (a * b - ab * ab)))", 0.5),
         "greedy_scaled_euclidean": _greedy_sql("sqrt((t.c_acctbal - r.c_acctbal) ** 2 / v1 + (t.n_orders - r.n_orders) ** 2 / v2)", 0.5),
