@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..spec import BIN_METHODS, CohortSpec
+from .quantiles import ONE_BUFFER, quantile
 
 #: More levels than this in one categorical feature aren't encoded as columns.
 MAX_LEVELS = 2000
@@ -117,9 +118,11 @@ def label_codes(df: DataFrame, columns) -> dict[str, Column]:
 
 def impute(df: DataFrame, numeric=(), categorical=(), how: str = "median") -> DataFrame:
     """Fill numeric columns by exact median or mean, categorical ones by the mode (ties: the smallest)."""
-    stat = {"median": lambda c: F.percentile(F.col(c), F.lit(0.5)), "mean": lambda c: F.avg(c)}[how]
+    if how not in ("median", "mean"):
+        raise ValueError("how has to be 'median' or 'mean'")
     if numeric:
-        got = df.agg(*(stat(c).alias(c) for c in numeric)).first()
+        few = how == "mean" or df.count() <= ONE_BUFFER
+        got = df.agg(*((F.avg(c) if how == "mean" else F.percentile(F.col(c), F.lit(0.5))).alias(c) for c in numeric)).first() if few else {c: quantile(df, c, 0.5) for c in numeric}
         df = df.withColumns({c: F.coalesce(F.col(c).cast("double"), F.lit(got[c])) for c in numeric})
     for c in categorical:
         top = df.where(F.col(c).isNotNull()).groupBy(F.col(c).cast("string").alias("v")).count().orderBy(F.desc("count"), "v").limit(1).collect()

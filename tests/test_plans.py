@@ -38,3 +38,17 @@ def test_balance_reads_its_table_once(spark):
 def test_filters_reach_the_scan(spark):
     text = plan(core.parquet(spark, DATA, "customer").where("c_nationkey = 3").select("c_custkey"))
     assert re.search(r"PushedFilters: \[[^\]]*EqualTo\(c_nationkey,3\)", text) and "c_acctbal" not in text.split("ReadSchema")[1]
+
+
+def test_exact_quantiles_by_narrowing(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from cohortspark.operators.quantiles import quantile
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 50 == 7, None).when(F.col("id") % 3 == 0, 4.5).otherwise(F.exp((F.col("id") * 7919 % 3001) / 200.0)).alias("x"))
+    values = np.array([r[0] for r in rows.where("x is not null").collect()])
+    for share in (0.0, 0.1, 0.35, 0.5, 0.731, 1.0):
+        want = np.quantile(values, share)
+        assert abs(quantile(rows, "x", share) - want) <= 1e-9 * want and abs(quantile(rows, "x", share, one_buffer=20) - want) <= 1e-9 * want
+    assert quantile(rows.where("x is null"), "x", 0.5) is None
