@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import bytetext as bt
-from .common import cut, tidy
+from .common import cut, free_name, tidy
 
 WORDS = 5
 LITERALS = 2
@@ -227,5 +227,6 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id",
 
 def clean(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows, with all their columns, that no benchmark item contaminates."""
-    bad = contaminated(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias("_bad"), F.col("part").alias("_part")).distinct()
-    return docs.join(cut(bad), docs[doc_id].eqNullSafe(F.col("_bad")) & (F.xxhash64(docs[text]) == F.col("_part")), "left_anti")
+    own_id, own_part = free_name(docs, "_bad"), free_name(docs, "_part")
+    bad = contaminated(docs, benchmark, doc_id, text, **options).select(F.col("doc_id").alias(own_id), F.col("part").alias(own_part)).distinct()
+    return docs.join(cut(bad), docs[doc_id].eqNullSafe(F.col(own_id)) & (F.xxhash64(docs[text]) == F.col(own_part)), "left_anti")

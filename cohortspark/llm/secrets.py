@@ -30,7 +30,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved
+from .common import free_name, saved
 
 KINDS = ("assign", "access", "hex", "live")
 EXAMPLE_OWNERS = 3
@@ -165,13 +165,15 @@ def redact(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", owner: s
     got = classified(candidates(docs, doc_id, text, owner))
     digest = lambda x: (x["k"] == 2) & ((x["e"] - x["s"]).isin(*DIGESTS) | F.array_contains(F.col("examples"), x["v"]))
     got = got.select("id", "part", F.filter("spans", lambda x: ~digest(x)).alias("spans")).where(F.size("spans") > 0)
-    got = got.groupBy(F.col("id").alias("_id"), F.col("part").alias("_part")).agg(F.first("spans").alias("_spans"))
-    both = docs.join(got, docs[doc_id].eqNullSafe(F.col("_id")) & (F.xxhash64(docs[text]) == F.col("_part")), "left")
-    new = F.when(F.col("_spans").isNull(), docs[text]).otherwise(_masked(docs[text], F.col("_spans"), mask))
+    own_id, own_part, own_spans = (free_name(docs, c) for c in ("_id", "_part", "_spans"))
+    got = got.groupBy(F.col("id").alias(own_id), F.col("part").alias(own_part)).agg(F.first("spans").alias(own_spans))
+    both = docs.join(got, docs[doc_id].eqNullSafe(F.col(own_id)) & (F.xxhash64(docs[text]) == F.col(own_part)), "left")
+    spans = F.col(own_spans)
+    new = F.when(spans.isNull(), docs[text]).otherwise(_masked(docs[text], spans, mask))
     kinds = dict(docs.dtypes)
     cols = {text: new}
     if n_chars in kinds:
-        cols[n_chars] = F.when(F.col("_spans").isNull(), docs[n_chars]).otherwise(F.length(new).cast(kinds[n_chars]))
+        cols[n_chars] = F.when(spans.isNull(), docs[n_chars]).otherwise(F.length(new).cast(kinds[n_chars]))
     return both.select(*((cols[c] if c in cols else docs[c]).alias(c) for c in docs.columns))
 
 

@@ -24,7 +24,7 @@ Recovery: file names carry a random part for each attempt, and lines are
 written as a table, so a repeated task writes new files and only the winning
 attempt's lines count.
 
-Cases: a null html is an empty payload, a null URL an empty one; a null id is
+Cases: page ids are whole numbers (other kinds are cast to them); a null html is an empty payload, a null URL an empty one; a null id is
 written empty, is never referred to, and its records are responses unless an id
 refers them elsewhere; rows with equal id and payload are all responses if that
 id is the largest (and share a record id); a very long payload is one record;

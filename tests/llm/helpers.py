@@ -45,6 +45,17 @@ def brute_components(docs, percent=85):
     return {d: (len(s), root(d)) for d, s in sets.items()}
 
 
+def brute_contaminated(docs, items, share=0.5):
+    """(doc, item) pairs of (id, text) rows where the document has at least ``share`` of the item's windows of five words, by plain containment."""
+
+    def windows(t):
+        w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", (t or "").translate(LOWER))
+        return {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
+
+    grams = {i: windows(t) for i, t in items}
+    return {(d, i) for d, t in docs for own in [windows(t)] for i, g in grams.items() if g and len(g & own) >= share * len(g)}
+
+
 def awkward(spark, extra=""):
     """Nulls in every column, empty, long, one-word and repeated rows."""
     long_text = " ".join(f"word{i % 977}x{i % 31}" for i in range(60_000))

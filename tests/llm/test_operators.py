@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from cohortspark.llm import decontaminate, langid, licenses, lmscore, mixing, neardup, quality, queries, secrets, urlfilter, warc
 
-from helpers import DOCS, SF, WORDS, awkward, brute_components, fold, lower_words, shingle_set
+from helpers import DOCS, SF, WORDS, awkward, brute_components, brute_contaminated, fold, lower_words, shingle_set
 
 CLASH = "id part h s row kept score lang_pred mix_slot spans base rule"
 
@@ -139,13 +139,7 @@ def test_reworded_names_and_numbers(spark):
 def test_decontamination_against_brute_force(spark, docs):
     """Passages of the benchmark in the test documents, by plain containment of word windows."""
     items = spark.read.parquet(f"{SF}/benchmark.parquet")
-    strip = lambda t: re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")))
-    grams = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, w in ((r[0], strip(r[1])) for r in items.collect())}
-    want = set()
-    for d, t in docs.select("doc_id", "text").collect():
-        w = strip(t)
-        own = {tuple(w[k : k + 5]) for k in range(len(w) - 4)}
-        want |= {(d, i) for i, g in grams.items() if g and len(g & own) >= 0.5 * len(g)}
+    want = brute_contaminated(docs.select("doc_id", "text").collect(), items.select("item_id", "text").collect())
     got = {(r["doc_id"], r["item_id"]) for r in queries.op2_benchmark_decontamination(spark, SF).collect()}
     assert want and got == want
 
@@ -544,3 +538,47 @@ def test_very_many_hits(spark):
             want += [text[at:a], secrets.MASK]
         at = max(at, b)
     assert secrets.redact(df).first()["text"] == "".join(want) + text[at:]
+
+
+# -- rows that are awkward for those that the tests above don't cover
+
+
+def test_secrets_on_awkward_rows(spark):
+    rows = awkward(spark, "id part owner base extra spans examples v _id _part _spans")
+    assert secrets.report(rows).count() == 10 and secrets.report(rows.limit(0)).count() == 0
+    red = secrets.redact(rows)
+    assert red.columns == rows.columns and sorted(map(str, red.collect())) == sorted(map(str, rows.collect()))
+
+
+def test_decontamination_on_awkward_rows(spark):
+    rows = awkward(spark, "id part kind h pos origin slots item_id shift _bad _part")
+    items = spark.createDataFrame([(1, "repeat me exactly once more please"), (1, None), (None, "some words without any id here today"), (2, "word0x0 word1x1 word2x2 word3x3 word4x4 word5x5 word6x6")], "item_id long, text string")
+    assert sorted(((r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(rows, items).drop("part").distinct().collect()), key=str) == [(5, 2), (6, 1), (None, None)]
+    kept = decontaminate.clean(rows, items)
+    assert kept.columns == rows.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 2, 3, 4, 7, 8]
+
+
+def test_licences_on_awkward_rows(spark):
+    rows = awkward(spark, "form digest license_id n_canonical")
+    got = licenses.scan(rows, licenses.registry(spark))
+    assert got.count() == 10 and got.where("license_id is not null").count() == 0 and got.where("digest is null").count() == 1
+    long = licenses.REGISTRY["MIT"] + " and more of it" * 100_000
+    assert licenses.scan(spark.createDataFrame([(1, long)], "doc_id long, text string"), licenses.registry(spark)).first()["license_id"] is None
+
+
+def test_warc_on_awkward_rows(spark):
+    """A very long payload, repeated rows, nulls in every column and clashing names."""
+    long = "é<p>" * 1_000_000
+    pages = spark.createDataFrame([(1, "http://a.b/", long), (2, None, long), (3, "http://a.b/", None), (3, "http://a.b/", None), (None, None, None)], "page_id long, url string, html string")
+    for c in ("key", "archive", "offset", "length", "first", "n", "refers_to", "u", "block_file"):
+        pages = pages.withColumn(c, F.lit("x"))
+    place = warc.write(pages)
+    got = sorted(((r["page_id"], r["payload_bytes"], r["record_type"], r["refers_to"]) for r in warc.lookup(spark, place, pages, payloads=False).collect()), key=str)
+    size = len(long.encode())
+    assert got == [(1, size, "revisit", 2), (2, size, "response", None), (3, 0, "response", None), (3, 0, "response", None), (None, 0, "revisit", 3)]
+
+
+def test_languages_that_tie(spark):
+    rows = spark.createDataFrame([("abc abd", "zz"), ("abc abd", "yy"), ("abc abd", None)], "text string, lang string")
+    profiles = langid.fit(rows)
+    assert [r["lang_pred"] for r in langid.predict(rows, profiles, ("lang",)).collect()] == ["yy"] * 3

@@ -8,7 +8,7 @@ import corpus_pipeline
 from cohortspark.llm import langid, queries
 from cohortspark.llm.common import fold_of
 
-from helpers import SF, awkward, brute_components
+from helpers import SF, awkward, brute_components, brute_contaminated
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
 
@@ -27,9 +27,8 @@ def test_stages_against_brute_force(spark):
             assert ids == {d for d, (_, c) in brute_components(before.items()).items() if d == c}
         elif name == "decontamination":
             items = spark.read.parquet(f"{SF}/benchmark.parquet")
-            from cohortspark.llm import decontaminate
-
-            assert ids == set(before) - {r[0] for r in decontaminate.contaminated(docs, items).select("doc_id").collect()} and len(ids) < len(before)
+            bad = {d for d, _ in brute_contaminated(before.items(), items.select("item_id", "text").collect())}
+            assert ids == set(before) - bad and bad
         else:
             assert ids == set(before)
         assert after.columns == columns if name != "source_mixing" else after.columns[: len(columns)] == columns
