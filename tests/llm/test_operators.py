@@ -449,7 +449,7 @@ def test_recall_near_the_threshold(spark):
     for i in range(2000):
         words = [f"w{noise.randrange(10**9)}" for _ in range(300)]
         other = list(words)
-        for at in noise.sample(range(300), noise.choice((3, 4))):
+        for at in noise.sample(range(300), 4):
             other[at] = "changed"
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
         a, b = shingle_set(rows[-2][1]), shingle_set(rows[-1][1])
