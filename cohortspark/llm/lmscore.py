@@ -33,13 +33,13 @@ are never read.
 from __future__ import annotations
 
 import contextlib
+import functools
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -51,7 +51,7 @@ U64 = np.uint64
 MU = 8.0
 #: Bytes of text in a piece; training tokens of a shard, about.
 PIECE = 4 << 20
-SHARD_TOKENS = 1_500_000
+SHARD_TOKENS = 1_000_000
 MIN_SHARDS = 16
 #: Contexts with fewer tokens are never hot.
 HOT_LEAST = 1000
@@ -109,6 +109,13 @@ def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return s[at], back
 
 
+def _renumbered(numbers: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers below n that occur, and each one's place among them."""
+    flags = np.zeros(n, bool)
+    flags[numbers] = True
+    return np.flatnonzero(flags), (np.cumsum(flags) - 1)[numbers]
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Arrays of whole numbers, each in the fewest bytes that hold its largest."""
     parts = []
@@ -212,19 +219,26 @@ class _Piece:
             out[self.begin[:-1][self.n > k] + k] = False
         return out
 
-    def word_counts(self) -> np.ndarray:
-        """Training counts of the piece's distinct words."""
-        return _unpack(_load(self.fs, self.file("1"))[0])[0].astype(np.int64)
+    @functools.cached_property
+    def counts(self) -> np.ndarray:
+        """Training counts of the tokens' words."""
+        return _unpack(_load(self.fs, self.file("1"))[0])[0].astype(np.int64)[self.number]
+
+    def latest(self, ranges: int) -> int:
+        """The last of the first ranges of shards that answered about the piece's pairs, or -1."""
+        return next((i for i in reversed(range(ranges)) if self.fs.get_file_info(self.file(f"2-{i}")).type == pafs.FileType.File), -1)
+
+    def forget(self, *kinds: str) -> None:
+        for kind in kinds:
+            with contextlib.suppress(FileNotFoundError):
+                self.fs.delete_file(self.file(kind))
 
-    def pairs(self, total: float, model: _Model) -> tuple[np.ndarray, np.ndarray]:
-        """For each token the count of the pair that it ends (0 at a row's beginning), and its probability after the word before."""
-        count, p = np.zeros(len(self.h), np.int64), (self.word_counts()[self.number] + 0.5) / total
-        for i in range(RANGES[2]):
-            at = np.flatnonzero(self.asked(2, i, model))
-            if len(at):
-                c, code = _unpack(_load(self.fs, self.file(f"2-{i}"))[0])
-                count[at], p[at] = c, 10.0 ** (code / -STEPS)
-        return count, p
+    def pairs(self, ranges: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each token the count of the pair that it ends and its probability's code, as far as the first ranges of shards told."""
+        i = self.latest(ranges)
+        if i < 0:
+            return np.zeros(len(self.h), np.uint8), np.zeros(len(self.h), np.uint8)
+        return tuple(_unpack(_load(self.fs, self.file(f"2-{i}"))[0]))
 
     def context(self, level: int) -> np.ndarray:
         """Hash of each token's context (of what stands before, where the row has less)."""
@@ -235,20 +249,6 @@ class _Piece:
             out[2:] = bt.avalanche(self.h[:-2] * bt._MIX[33] + self.h[1:-1] * bt._MIX[34])
         return out
 
-    def route(self, level: int, context: np.ndarray, count: np.ndarray, model: _Model) -> np.ndarray:
-        """Leading bits tell the shard; count: of each token's context."""
-        hot = np.flatnonzero(count > model.hot)
-        out = context.copy()
-        out[hot] = bt.avalanche(context[hot] ^ bt.avalanche(self.h[hot] + U64(level)))
-        return out
-
-    def asked(self, level: int, i: int, model: _Model) -> np.ndarray:
-        """Which tokens' pairs lie in the i-th range of shards."""
-        context = self.context(level)
-        count = np.zeros(len(self.h), np.int64)
-        count[1:] = self.word_counts()[self.number[:-1]]
-        return model.inside(self.route(level, context, count, model), level, i) & self.full(level)
-
 
 class _Model:
     """Sizes that all parts of a run share."""
@@ -259,8 +259,9 @@ class _Model:
         self.total = 0.0
 
     def inside(self, route: np.ndarray, level: int, i: int) -> np.ndarray:
-        shard = route >> self.bits
-        return (shard >= U64(self.shards * i // RANGES[level])) & (shard < U64(self.shards * (i + 1) // RANGES[level]))
+        """Whether the shard that the leading bits tell is in the i-th range."""
+        first, end = (self.shards * k // RANGES[level] << int(self.bits) for k in (i, i + 1))
+        return route - U64(first) <= U64(end - first - 1)
 
     def edges(self, route: np.ndarray) -> np.ndarray:
         """Where each shard begins in sorted routes, and the end."""
@@ -352,35 +353,35 @@ def _finish_words(folder: str):
 
 
 def _questions(p: _Piece, level: int, i: int, model: _Model):
-    """(tokens asked about, order of them, where a new question begins in that order, route, context, its count, lower probability), in that order the last four."""
+    """(tokens asked about, order of them, where a new question begins in that order); in that order their routes, contexts, words, contexts' counts and shorter probabilities."""
+    context = p.context(level)
     if level == 2:
-        at = np.flatnonzero(p.asked(2, i, model))
-        counts = p.word_counts()[p.number]
-        context, before, lower = p.context(2)[at], counts[at - 1], (counts[at] + 0.5) / model.total
+        count, lower = p.counts, lambda at: np.log10((p.counts[at] + 0.5) / model.total) * -STEPS
     else:
-        pair, prob = p.pairs(model.total, model)
-        context = p.context(3)
-        before = np.zeros(len(p.h), np.int64)
-        before[1:] = pair[:-1]
-        at = np.flatnonzero(p.full(3) & model.inside(p.route(3, context, before, model), 3, i))
-        context, before, lower = context[at], before[at], prob[at]
-    words = p.h[at]
-    hot = before > model.hot
-    route = np.where(hot, bt.avalanche(context ^ bt.avalanche(words + U64(level))), context)
+        count, code = p.pairs(RANGES[2])
+        lower = lambda at: code[at]
+    route = context
+    hot = np.flatnonzero(count[:-1] > model.hot) + 1
+    if len(hot):
+        route = context.copy()
+        route[hot] = bt.avalanche(context[hot] ^ bt.avalanche(p.h[hot] + U64(level)))
+    at = np.flatnonzero(model.inside(route, level, i) & p.full(level))
+    route, context, words = route[at], context[at] & _LOW40, p.h[at]
     order = _ordered(route & U64(0xFFFFFFFF_00000000) | words >> U64(32))
-    route, context, words = route[order], context[order] & _LOW40, words[order] & _LOW40
-    new = _runs(context, words)
-    return at, order, new, route, context, words, before[order], lower[order]
+    route, context, words, at = route[order], context[order], words[order] & _LOW40, at[order]
+    return at, _runs(context, words), route, context, words, count[at - 1], lower(at)
 
 
 def _ask(folder: str, level: int, i: int, model: _Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in _pieces(folder, batches):
-            at, order, new, route, context, words, before, lower = _questions(p, level, i, model)
+            if level == 3 and i == 0:  # all pairs have answers, so no task needs those of a part of them again
+                p.forget(*(f"2-{k}" for k in range(p.latest(RANGES[2]))))
+            at, new, route, context, words, before, lower = _questions(p, level, i, model)
             if not len(new):
                 continue
-            count = np.add.reduceat(p.train[at][order].astype(np.int64), new)
-            code = np.minimum(np.rint(np.log10(lower[new]) * -STEPS), 65535).astype(np.uint16)
+            count = np.add.reduceat(p.train[at], new, dtype=np.int64)
+            code = np.minimum(np.rint(lower[new]), 65535).astype(np.uint16)
             context, words, before = context[new], words[new], before[new]
             e = model.edges(route[new])
             some = np.flatnonzero(np.diff(e)).tolist()
@@ -419,14 +420,16 @@ def _answer(folder: str, level: int, keep: bool):
             p = np.full(len(at), np.nan)
             weight = p.copy()
             if len(there):
-                used, used_no = np.unique(context_no[there], return_inverse=True)
-                some, some_no = np.unique(word_no[there], return_inverse=True)
+                used, used_no = _renumbered(context_no[there], len(contexts))
+                some, some_no = _renumbered(word_no[there], len(words))
                 logp = np.log10((sums[there] + MU * lower[there]) / (of[there] + MU))
-                file = f"{folder}/{level}-{part}.{'ef' if keep else TaskContext.get().taskAttemptId()}"
+                file = f"{folder}/{level}-{part}.{uuid.uuid4().hex}"
                 Trie.build(contexts[used], words[some], used_no, some_no, logp, np.log10(MU / (of_context[used] + MU))).save(file)
                 p, weight = Trie.open(file).find(contexts, words, context_no, word_no)
-                if not keep:
-                    fs, path = place(file)
+                fs, path = place(file)
+                if keep:
+                    fs.move(path, f"{path.rpartition('.')[0]}.ef")
+                else:
                     fs.delete_file(path)
             # a context that occurs with none of this shard's words is only in other shards
             weight = np.where(np.isnan(weight), np.log10(MU / (of + MU)), weight)
@@ -445,19 +448,16 @@ def _finish(folder: str, level: int, i: int, model: _Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for name, held in _by_piece(batches):
             p = _Piece(folder, name)
-            at, order, new, *_ = _questions(p, level, i, model)
+            at, new, *_ = _questions(p, level, i, model)
             times = np.diff(np.append(new, len(at)))
-            columns = []
-            for k in range(len(held[0])):
-                x = np.empty(len(at), np.int64)
-                x[order] = np.repeat(np.concatenate([c[k] for c in held]), times)
-                columns.append(x)
+            code, *count = (np.repeat(np.concatenate([c[k] for c in held]), times) for k in range(len(held[0])))
             if level == 2:
-                code, count = columns
-                _store(p.fs, p.file(f"2-{i}"), _pack(count, code))
+                both = [np.zeros(len(p.h), np.int64) + x for x in p.pairs(i)]
+                both[0][at], both[1][at] = count[0], code
+                _store(p.fs, p.file(f"2-{i}"), _pack(*both))
             else:
-                row = np.repeat(np.arange(len(p.n)), p.n)[at]
-                _store(p.fs, p.file(f"3-{i}"), np.bincount(row, columns[0], len(p.n)).tobytes(), np.int64(len(at)).tobytes())
+                row = np.searchsorted(p.begin, at, "right") - 1
+                _store(p.fs, p.file(f"3-{i}"), np.bincount(row, code, len(p.n)).tobytes(), np.int64(len(at)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array([len(at)])], ["v"])
 
     return run
@@ -469,10 +469,10 @@ RESULT = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_sco
 def _scored(folder: str, model: _Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in _pieces(folder, batches):
-            known = p.word_counts()[p.number]
+            known = p.counts
             row = np.repeat(np.arange(len(p.n)), p.n)
             lone = np.log10((known + 0.5) / model.total)
-            short = np.where(p.full(2), np.log10(p.pairs(model.total, model)[1]), lone) * ~p.full(3)
+            short = np.where(p.full(2), p.pairs(RANGES[2])[1] / -STEPS, lone) * ~p.full(3)
             base, score, seen = (np.bincount(row, x, len(p.n)) for x in (lone, short, known > 0))
             left = int(p.full(3).sum())
             for i in range(RANGES[3]):
@@ -520,8 +520,9 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     model = _Model(n, 1 << (max(MIN_SHARDS, -(-n // SHARD_TOKENS)) - 1).bit_length())
     # names are tiny and their pieces aren't: a task for every two of them
     names = pieces.select("piece").repartition(max(1, n_pieces // 2), "piece")
-    to_shards = lambda asked, parts: asked.repartition(parts, "part").sortWithinPartitions("part", "piece")
-    to_pieces = lambda answered: answered.repartition(max(1, n_pieces // 2), "piece").sortWithinPartitions("piece", "part")
+    # twice as many partitions as shards, as two shards can fall together
+    to_shards = lambda asked, shards: asked.repartition(2 * shards, "part").sortWithinPartitions("part", "piece")
+    to_pieces = lambda answered: answered.repartition(max(1, n_pieces), "piece").sortWithinPartitions("piece", "part")
     with _no_shuffles_left(spark):
         answered = to_shards(names.mapInArrow(tidy(_ask_words(folder, model)), CELLS), model.shards).mapInArrow(tidy(_answer_words), CELLS)
         v = to_pieces(answered).mapInArrow(tidy(_finish_words(folder)), "v long").agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]

@@ -8,7 +8,7 @@ successors are Elias-Fano sequences.  A query finds its context and its word,
 then searches the successors relative to that context, within its range only.
 
 An n-gram has its smoothed probability, a context the weight of what it doesn't
-list, both as one of ``LEVELS`` levels of a codebook.
+list, both quantised to ``LEVELS`` even levels between the least and the largest.
 """
 
 from __future__ import annotations
@@ -97,17 +97,15 @@ class EliasFano:
         return found
 
 
-LEVELS = 4096
+LEVELS = 1 << 16
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(codebook, codes): ``LEVELS`` levels, half at the quantiles of the values and half at even distances, which bounds the error; the values themselves if they are no more."""
+    """(least value and distance of the ``LEVELS`` levels, the values' levels)."""
     if not len(x):
-        return np.zeros(1), np.zeros(0, np.uint16)
-    s = np.sort(x)
-    at = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1])))
-    book = s[at] if len(at) <= LEVELS else np.unique(np.concatenate((s[np.linspace(0, len(s) - 1, LEVELS // 2).astype(np.int64)], np.linspace(s[0], s[-1], LEVELS // 2))))
-    return book, np.searchsorted((book[1:] + book[:-1]) / 2, x).astype(np.uint16)
+        return np.zeros(2), np.zeros(0, np.uint16)
+    least, step = x.min(), (x.max() - x.min()) / (LEVELS - 1)
+    return np.array([least, step]), np.rint((x - least) / (step or 1)).astype(np.uint16)
 
 
 def place(folder: str) -> tuple[pafs.FileSystem, str]:
@@ -136,7 +134,7 @@ class Trie:
             ef = EliasFano.build(v, universe)
             parts |= {f"{name}.{p}": getattr(ef, p) for p in EliasFano.PARTS}
         for name, v in (("p", logp), ("w", logw)):
-            parts[f"{name}.book"], parts[f"{name}.code"] = quantised(v)
+            parts[f"{name}.scale"], parts[f"{name}.code"] = quantised(v)
         return cls(parts)
 
     def save(self, file: str) -> None:
@@ -176,6 +174,10 @@ class Trie:
         at, word = c[context_of[known]], w[word_of[known]]
         found = self.successors.find(at.astype(U64) * U64(self.words.n) + word.astype(U64), pointers[at], pointers[at + 1])
         p, weight = np.full(len(context_of), np.nan), np.full(len(contexts), np.nan)
-        p[known[found >= 0]] = self.parts["p.book"][self.parts["p.code"][found[found >= 0]]]
-        weight[c >= 0] = self.parts["w.book"][self.parts["w.code"][c[c >= 0]]]
+        p[known[found >= 0]] = self._value("p", found[found >= 0])
+        weight[c >= 0] = self._value("w", c[c >= 0])
         return p, weight[context_of]
+
+    def _value(self, name: str, at: np.ndarray) -> np.ndarray:
+        least, step = self.parts[f"{name}.scale"]
+        return least + step * self.parts[f"{name}.code"][at]

@@ -84,11 +84,11 @@ def test_level_round_trip(tmp_path):
     file = str(tmp_path / "level")
     Trie.build(contexts, words, *no, logp, logw).save(file)
     t = Trie.open(file)
-    assert isinstance(t.parts["successors.high"], np.memmap) and len(t.parts["p.book"]) <= LEVELS
+    assert isinstance(t.parts["successors.high"], np.memmap)
     every = np.divmod(np.arange(len(contexts) * len(words)), len(words))
     p, w = t.find(contexts, words, *every)
     there = np.isin(np.arange(len(contexts) * len(words)), listed)
-    assert np.isnan(p[~there]).all() and np.abs(p[there] - logp).max() <= 4 / (LEVELS // 2 - 1) / 2 and np.allclose(w, logw[every[0]])
+    assert np.isnan(p[~there]).all() and np.abs(p[there] - logp).max() <= 4 / (LEVELS - 1) / 2 + 1e-12 and np.allclose(w, logw[every[0]], atol=1e-4)
     p, w = t.find(np.append(contexts[:2], contexts[-1] + 1), np.append(words, words[-1] + 1), np.array([2, 0]), np.array([0, len(words)]))
-    assert np.isnan(p).all() and np.isnan(w[0]) and w[1] == pytest.approx(logw[0])
-    assert sum(x.nbytes for name, x in t.parts.items() if "book" not in name) < 6 * len(listed)
+    assert np.isnan(p).all() and np.isnan(w[0]) and w[1] == pytest.approx(logw[0], abs=1e-4)
+    assert sum(x.nbytes for name, x in t.parts.items() if "scale" not in name) < 6 * len(listed)
