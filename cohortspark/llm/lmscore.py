@@ -224,21 +224,19 @@ class _Piece:
         """Training counts of the tokens' words."""
         return _unpack(_load(self.fs, self.file("1"))[0])[0].astype(np.int64)[self.number]
 
-    def latest(self, ranges: int) -> int:
-        """The last of the first ranges of shards that answered about the piece's pairs, or -1."""
-        return next((i for i in reversed(range(ranges)) if self.fs.get_file_info(self.file(f"2-{i}")).type == pafs.FileType.File), -1)
-
-    def forget(self, *kinds: str) -> None:
-        for kind in kinds:
-            with contextlib.suppress(FileNotFoundError):
-                self.fs.delete_file(self.file(kind))
-
-    def pairs(self, ranges: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each token the count of the pair that it ends and its probability's code, as far as the first ranges of shards told."""
-        i = self.latest(ranges)
-        if i < 0:
-            return np.zeros(len(self.h), np.uint8), np.zeros(len(self.h), np.uint8)
-        return tuple(_unpack(_load(self.fs, self.file(f"2-{i}"))[0]))
+    def pairs(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each token the count of the pair that it ends and its probability's code; 0 for a row's first token."""
+        count, code = np.zeros(len(self.h), np.int64), np.zeros(len(self.h), np.uint16)
+        left = int(self.full(2).sum())
+        for i in range(RANGES[2]):
+            if self.fs.get_file_info(self.file(f"2-{i}")).type == pafs.FileType.File:  # else no pair lies there
+                bits, data = _load(self.fs, self.file(f"2-{i}"))
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(self.h)))
+                count[at], code[at] = _unpack(data)
+                left -= len(at)
+        if left:
+            raise RuntimeError(f"{left} pairs of piece {self.name} have no answer")
+        return count, code
 
     def context(self, level: int) -> np.ndarray:
         """Hash of each token's context (of what stands before, where the row has less)."""
@@ -358,7 +356,7 @@ def _questions(p: _Piece, level: int, i: int, model: _Model):
     if level == 2:
         count, lower = p.counts, lambda at: np.log10((p.counts[at] + 0.5) / model.total) * -STEPS
     else:
-        count, code = p.pairs(RANGES[2])
+        count, code = p.pairs()
         lower = lambda at: code[at]
     route = context
     hot = np.flatnonzero(count[:-1] > model.hot) + 1
@@ -375,8 +373,6 @@ def _questions(p: _Piece, level: int, i: int, model: _Model):
 def _ask(folder: str, level: int, i: int, model: _Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in _pieces(folder, batches):
-            if level == 3 and i == 0:  # all pairs have answers, so no task needs those of a part of them again
-                p.forget(*(f"2-{k}" for k in range(p.latest(RANGES[2]))))
             at, new, route, context, words, before, lower = _questions(p, level, i, model)
             if not len(new):
                 continue
@@ -452,9 +448,10 @@ def _finish(folder: str, level: int, i: int, model: _Model):
             times = np.diff(np.append(new, len(at)))
             code, *count = (np.repeat(np.concatenate([c[k] for c in held]), times) for k in range(len(held[0])))
             if level == 2:
-                both = [np.zeros(len(p.h), np.int64) + x for x in p.pairs(i)]
-                both[0][at], both[1][at] = count[0], code
-                _store(p.fs, p.file(f"2-{i}"), _pack(*both))
+                asked = np.zeros(len(p.h), bool)
+                asked[at] = True
+                order = np.argsort(at)
+                _store(p.fs, p.file(f"2-{i}"), np.packbits(asked).tobytes(), _pack(count[0][order], code[order]))
             else:
                 row = np.searchsorted(p.begin, at, "right") - 1
                 _store(p.fs, p.file(f"3-{i}"), np.bincount(row, code, len(p.n)).tobytes(), np.int64(len(at)).tobytes())
@@ -472,7 +469,7 @@ def _scored(folder: str, model: _Model):
             known = p.counts
             row = np.repeat(np.arange(len(p.n)), p.n)
             lone = np.log10((known + 0.5) / model.total)
-            short = np.where(p.full(2), p.pairs(RANGES[2])[1] / -STEPS, lone) * ~p.full(3)
+            short = np.where(p.full(2), p.pairs()[1] / -STEPS, lone) * ~p.full(3)
             base, score, seen = (np.bincount(row, x, len(p.n)) for x in (lone, short, known > 0))
             left = int(p.full(3).sum())
             for i in range(RANGES[3]):
