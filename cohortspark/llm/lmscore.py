@@ -12,8 +12,10 @@ level, every piece sends each of its distinct n-grams once (with its training
 count in the piece, its context's count and its shorter probability) to the
 n-gram's shard.  A shard adds the counts up, builds an Elias-Fano level
 (``lmtrie``) of the n-grams that occur, memory-maps it and answers from it, with
-probabilities of 16 bits.  A piece writes the answers beside its file; those of
-the pairs go into the questions about the triples.  N-grams with the same
+probabilities of 16 bits.  A piece notes which tokens its questions were about,
+so that the answers find their way without the questions being put together
+again, and writes the answers beside its file; those of the pairs go into the
+questions about the triples.  N-grams with the same
 context share a shard, unless the context has more than a quarter of a shard's
 tokens: then they are dealt by word, too.  The number of shards grows with the
 corpus, a level is worked on in ``RANGES`` ranges of shards, so that only that
@@ -96,13 +98,20 @@ def _runs(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _sorted(values: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """An order of whole numbers below 2**top, and them in it."""
+    bits = U64(max(len(values) - 1, 1).bit_length())
+    if top + int(bits) > 64:
+        order = np.argsort(values, kind="stable")
+        return order, values[order]
+    packed = values << bits | np.arange(len(values), dtype=U64)
+    packed.sort()
+    return (packed & U64(2 ** int(bits) - 1)).astype(np.int64), packed >> bits
+
+
 def _numbered(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct values below 2**40 and each value's place among them."""
-    if len(values) < 1 << 24:
-        order = _ordered(values << U64(24))
-    else:
-        order = np.argsort(values, kind="stable")
-    s = values[order]
+    order, s = _sorted(values, 40)
     at = _runs(s)
     back = np.empty(len(values), np.int64)
     back[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(s))))
@@ -137,6 +146,20 @@ def _unpack(data: bytes) -> list[np.ndarray]:
     return out
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Whole numbers below 2**32 byte by byte, in as few bytes as hold the largest."""
+    n = max(1, -(-int(x.max(initial=0)).bit_length() // 8))
+    return np.ascontiguousarray(x.astype(np.uint32).view(np.uint8).reshape(-1, 4).T[:n]).tobytes()
+
+
+def _from_planes(data: bytes, n: int) -> np.ndarray:
+    """The n numbers that ``_planes`` wrote."""
+    out = np.zeros(n, np.uint32)
+    for k, plane in enumerate(np.frombuffer(data, np.uint8).reshape(-1, n) if n else ()):
+        out |= plane.astype(np.uint32) << np.uint32(8 * k)
+    return out
+
+
 def _split40(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return (x & U64(0xFFFFFFFF)).astype(np.uint32), (x >> U64(32)).astype(np.uint8)
 
@@ -188,8 +211,7 @@ def _cut_pieces(folder: str):
                 with pa.ipc.new_stream(sink, ids.schema) as w:
                     w.write_batch(ids)
                 name = uuid.uuid4().hex
-                planes = np.ascontiguousarray(number.view(np.uint8).reshape(-1, 4).T)
-                _store(fs, f"{path}/{name}", sink.getvalue().to_pybytes(), n.astype(np.int64).tobytes(), held.tobytes(), h[order[at]].tobytes(), planes.tobytes())
+                _store(fs, f"{path}/{name}", sink.getvalue().to_pybytes(), n.astype(np.int64).tobytes(), held.tobytes(), h[order[at]].tobytes(), _planes(number))
                 yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([hi - lo]), pa.array([int(n[~held].sum())])], ["piece", "docs", "train"])
 
     return run
@@ -204,17 +226,28 @@ class _Piece:
         self.ids, n, held, words, planes = _load(self.fs, f"{self.path}/{name}")
         self.n, self.words = np.frombuffer(n, np.int64), np.frombuffer(words, U64)
         self.row_train = ~np.frombuffer(held, bool)
-        self.number = np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(4, -1).T).view(np.uint32)[:, 0]
         self.begin = np.concatenate(([0], np.cumsum(self.n)))
-        self.h = self.words[self.number]
-        self.train = np.repeat(self.row_train, self.n)
+        self.number = _from_planes(planes, int(self.begin[-1]))
+
+    @functools.cached_property
+    def h(self) -> np.ndarray:
+        return self.words[self.number]
+
+    @functools.cached_property
+    def train(self) -> np.ndarray:
+        return np.repeat(self.row_train, self.n)
+
+    @functools.cached_property
+    def row(self) -> np.ndarray:
+        """Each token's row."""
+        return np.repeat(np.arange(len(self.n), dtype=np.uint32), self.n)
 
     def file(self, kind: str) -> str:
         return f"{self.path}/{self.name}.{kind}"
 
     def full(self, level: int) -> np.ndarray:
         """Whether each token has level - 1 tokens before it in its row."""
-        out = np.ones(len(self.h), bool)
+        out = np.ones(len(self.number), bool)
         for k in range(level - 1):
             out[self.begin[:-1][self.n > k] + k] = False
         return out
@@ -226,13 +259,17 @@ class _Piece:
 
     def pairs(self) -> tuple[np.ndarray, np.ndarray]:
         """For each token the count of the pair that it ends and its probability's code; 0 for a row's first token."""
-        count, code = np.zeros(len(self.h), np.int64), np.zeros(len(self.h), np.uint16)
-        left = int(self.full(2).sum())
+        size = len(self.number)
+        count, code = np.zeros(size, np.uint32), np.zeros(size, np.uint16)
+        left = int(np.maximum(self.n - 1, 0).sum())
         for i in range(RANGES[2]):
             if self.fs.get_file_info(self.file(f"2-{i}")).type == pafs.FileType.File:  # else no pair lies there
                 bits, data = _load(self.fs, self.file(f"2-{i}"))
-                at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=len(self.h)))
-                count[at], code[at] = _unpack(data)
+                at = np.flatnonzero(np.unpackbits(np.frombuffer(bits, np.uint8), count=size).view(bool))
+                some = _unpack(data)
+                if some[0].itemsize > count.itemsize:
+                    count = count.astype(U64)
+                count[at], code[at] = some
                 left -= len(at)
         if left:
             raise RuntimeError(f"{left} pairs of piece {self.name} have no answer")
@@ -370,12 +407,23 @@ def _questions(p: _Piece, level: int, i: int, model: _Model):
     return at, _runs(context, words), route, context, words, count[at - 1], lower(at)
 
 
+def _asked(path: str, level: int, i: int) -> str:
+    """The folder of the pieces' notes about the questions of a range."""
+    return f"{path}/asked-{level}-{i}"
+
+
 def _ask(folder: str, level: int, i: int, model: _Model):
+    """Put a piece's questions, and note in their order which tokens (of triples: tokens of which rows) they are about."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in _pieces(folder, batches):
             at, new, route, context, words, before, lower = _questions(p, level, i, model)
             if not len(new):
                 continue
+            begins = np.zeros(len(at), bool)
+            begins[new] = True
+            sizes = np.array([len(p.number), len(p.n), len(at)])
+            _store(p.fs, f"{_asked(p.path, level, i)}/{p.name}", sizes.tobytes(), np.packbits(begins).tobytes(), _planes(at if level == 2 else p.row[at]))
             count = np.add.reduceat(p.train[at], new, dtype=np.int64)
             code = np.minimum(np.rint(lower[new]), 65535).astype(np.uint16)
             context, words, before = context[new], words[new], before[new]
@@ -403,22 +451,20 @@ def _answer(folder: str, level: int, keep: bool):
             of_context = np.zeros(len(contexts), np.int64)
             of_context[run_no] = before
             context_no = np.repeat(run_no, length.astype(np.int64))
-            key = context_no.astype(U64) * U64(len(words)) + word_no.astype(U64)
-            top = 64 - max(len(contexts) * len(words), 1).bit_length()
-            order = _ordered(key << U64(top)) if top >= max(len(key) - 1, 1).bit_length() else np.argsort(key, kind="stable")
-            at = _runs(key[order])
+            order, key = _sorted(context_no.astype(U64) * U64(len(words)) + word_no.astype(U64), max(len(contexts) * len(words), 1).bit_length())
+            at = _runs(key)
             sums = np.add.reduceat(count[order].astype(np.int64), at)
             first = order[at]
             context_no, word_no = context_no[first], word_no[first]
             of = of_context[context_no]
-            lower = 10.0 ** (code[first] / -STEPS)
+            code = code[first]
             there = np.flatnonzero(sums)
             p = np.full(len(at), np.nan)
             weight = p.copy()
             if len(there):
                 used, used_no = _renumbered(context_no[there], len(contexts))
                 some, some_no = _renumbered(word_no[there], len(words))
-                logp = np.log10((sums[there] + MU * lower[there]) / (of[there] + MU))
+                logp = np.log10((sums[there] + MU * 10.0 ** (code[there] / -STEPS)) / (of[there] + MU))
                 file = f"{folder}/{level}-{part}.{uuid.uuid4().hex}"
                 Trie.build(contexts[used], words[some], used_no, some_no, logp, np.log10(MU / (of_context[used] + MU))).save(file)
                 p, weight = Trie.open(file).find(contexts, words, context_no, word_no)
@@ -428,9 +474,10 @@ def _answer(folder: str, level: int, keep: bool):
                 else:
                     fs.delete_file(path)
             # a context that occurs with none of this shard's words is only in other shards
-            weight = np.where(np.isnan(weight), np.log10(MU / (of + MU)), weight)
-            answer = np.where(np.isnan(p), weight + np.log10(lower), p)
-            answer = np.minimum(np.rint(answer * -STEPS), 65535).astype(np.uint16)
+            apart = np.flatnonzero(np.isnan(weight))
+            weight[apart] = np.log10(MU / (of[apart] + MU))
+            answer = np.where(np.isnan(p), weight * -STEPS + code, p * -STEPS)
+            answer = np.minimum(np.rint(answer), 65535).astype(np.uint16)
             group = np.empty(len(order), np.int64)
             group[order] = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(order))))
             ends = np.cumsum(sizes)[:-1]
@@ -440,22 +487,28 @@ def _answer(folder: str, level: int, keep: bool):
     return run
 
 
-def _finish(folder: str, level: int, i: int, model: _Model):
+def _finish(folder: str, level: int, i: int):
+    """Write the answers beside the piece: of pairs by token, of triples added up by row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, path = place(folder)
         for name, held in _by_piece(batches):
-            p = _Piece(folder, name)
-            at, new, *_ = _questions(p, level, i, model)
-            times = np.diff(np.append(new, len(at)))
-            code, *count = (np.repeat(np.concatenate([c[k] for c in held]), times) for k in range(len(held[0])))
+            sizes, begins, planes = _load(fs, f"{_asked(path, level, i)}/{name}")
+            tokens, rows, n = np.frombuffer(sizes, np.int64).tolist()
+            question = np.cumsum(np.unpackbits(np.frombuffer(begins, np.uint8), count=n), dtype=np.int64) - 1
+            about = _from_planes(planes, n)
+            code, *count = (np.concatenate([c[k] for c in held]) for k in range(len(held[0])))
+            if question[-1] + 1 != len(code):
+                raise RuntimeError(f"{len(code)} answers to {question[-1] + 1} questions of piece {name}")
             if level == 2:
-                asked = np.zeros(len(p.h), bool)
-                asked[at] = True
-                order = np.argsort(at)
-                _store(p.fs, p.file(f"2-{i}"), np.packbits(asked).tobytes(), _pack(count[0][order], code[order]))
+                of_token = np.full(tokens, -1)
+                of_token[about] = question
+                asked = of_token >= 0
+                question = of_token[np.flatnonzero(asked)]
+                _store(fs, f"{path}/{name}.2-{i}", np.packbits(asked).tobytes(), _pack(count[0][question], code[question]))
             else:
-                row = np.searchsorted(p.begin, at, "right") - 1
-                _store(p.fs, p.file(f"3-{i}"), np.bincount(row, code, len(p.n)).tobytes(), np.int64(len(at)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array([len(at)])], ["v"])
+                _store(fs, f"{path}/{name}.3-{i}", np.bincount(about, code[question], rows).tobytes(), np.int64(n).tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array([n])], ["v"])
 
     return run
 
@@ -467,7 +520,7 @@ def _scored(folder: str, model: _Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for p in _pieces(folder, batches):
             known = p.counts
-            row = np.repeat(np.arange(len(p.n)), p.n)
+            row = p.row
             lone = np.log10((known + 0.5) / model.total)
             short = np.where(p.full(2), p.pairs()[1] / -STEPS, lone) * ~p.full(3)
             base, score, seen = (np.bincount(row, x, len(p.n)) for x in (lone, short, known > 0))
@@ -526,9 +579,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
         model.total = n + 0.5 * (v + 1)
         for level, ranges in RANGES.items():
             for i in range(ranges):
+                fs.create_dir(_asked(path, level, i))
                 asked = to_shards(names.mapInArrow(tidy(_ask(folder, level, i, model)), CELLS), max(1, model.shards // ranges))
                 answered = asked.mapInArrow(tidy(_answer(levels or folder, level, levels is not None)), CELLS)
-                to_pieces(answered).mapInArrow(tidy(_finish(folder, level, i, model)), "v long").agg(F.sum("v")).collect()
+                to_pieces(answered).mapInArrow(tidy(_finish(folder, level, i)), "v long").agg(F.sum("v")).collect()
+                fs.delete_dir(_asked(path, level, i))
         fields = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
         done = saved(names.mapInArrow(tidy(_scored(folder, model)), fields), "scored")
     fs.delete_dir(path)

@@ -62,9 +62,12 @@ class EliasFano:
         low[over] |= self.low[w[over] + 1] << (U64(64) - off[over])
         return low & U64(2**self.bits - 1)
 
+    def _flags(self) -> np.ndarray:
+        """The high bits in unary: the i-th value's flag lies at its high part plus i."""
+        return np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little").view(bool)
+
     def _highs(self) -> np.ndarray:
-        at = np.flatnonzero(np.unpackbits(np.ascontiguousarray(self.high).view(np.uint8), bitorder="little"))[: self.n]
-        return at - np.arange(self.n)
+        return np.flatnonzero(self._flags())[: self.n] - np.arange(self.n)
 
     def all(self) -> np.ndarray:
         """Every value in turn."""
@@ -73,27 +76,29 @@ class EliasFano:
     def find(self, x: np.ndarray, lo: np.ndarray | None = None, hi: np.ndarray | None = None) -> np.ndarray:
         """The place of each x, in the range [lo, hi) if given, or -1."""
         x = np.asarray(x, U64)
-        if self.starts is None:  # where the values of each high part begin
-            self.starts = np.concatenate(([0], np.cumsum(np.bincount(self._highs(), minlength=1))))
+        if self.starts is None:  # where the values of each high part begin: the h-th gap follows all whose high part is h at most
+            gaps = np.flatnonzero(~self._flags())
+            self.starts = np.concatenate(([0], gaps - np.arange(len(gaps)), [self.n]))
         top = (x >> U64(self.bits)).astype(np.int64)
         inside = top < len(self.starts) - 1
         top[~inside] = 0
         first, end = self.starts[top], self.starts[top + 1]
         if lo is not None:
             first, end = np.maximum(first, lo), np.minimum(end, hi)
-        end = np.where(inside, end, first)
-        low, last = x & U64(2**self.bits - 1), end.copy()
-        open_ = np.flatnonzero(first < last)
-        while len(open_):
-            mid = (first[open_] + last[open_]) >> 1
-            less = self._lows(mid) < low[open_]
-            first[open_[less]] = mid[less] + 1
-            last[open_[~less]] = mid[~less]
-            open_ = open_[first[open_] < last[open_]]
+        # for many questions all low bits are unpacked once, else those that are met
+        lows = self._lows if 4 * len(x) < self.n else self._lows(np.arange(self.n)).__getitem__
         found = np.full(len(x), -1)
-        there = np.flatnonzero(first < end)
-        there = there[self._lows(first[there]) == low[there]]
-        found[there] = first[there]
+        open_ = np.flatnonzero(inside & (first < end))
+        first, end, low = first[open_], end[open_], x[open_] & U64(2**self.bits - 1)
+        while len(open_):
+            mid = (first + end) >> 1
+            met = lows(mid)
+            same = np.flatnonzero(met == low)
+            found[open_[same]] = mid[same]  # an equal value before it, if any, is met later
+            less = met < low
+            first, end = np.where(less, mid + 1, first), np.where(less, end, mid)
+            on = np.flatnonzero(first < end)
+            open_, first, end, low = open_[on], first[on], end[on], low[on]
         return found
 
 
@@ -170,11 +175,13 @@ class Trie:
         """log10 (probability, NaN where the n-gram isn't listed; weight of its context, NaN where that isn't) of each n-gram (contexts[context_of], words[word_of])."""
         c, w = self.contexts.find(contexts), self.words.find(words)
         pointers = self.pointers.all().astype(np.int64)
-        known = np.flatnonzero((c[context_of] >= 0) & (w[word_of] >= 0))
-        at, word = c[context_of[known]], w[word_of[known]]
+        at, word = c[context_of], w[word_of]
+        known = np.flatnonzero((at >= 0) & (word >= 0))
+        at, word = at[known], word[known]
         found = self.successors.find(at.astype(U64) * U64(self.words.n) + word.astype(U64), pointers[at], pointers[at + 1])
         p, weight = np.full(len(context_of), np.nan), np.full(len(contexts), np.nan)
-        p[known[found >= 0]] = self._value("p", found[found >= 0])
+        hit = np.flatnonzero(found >= 0)
+        p[known[hit]] = self._value("p", found[hit])
         weight[c >= 0] = self._value("w", c[c >= 0])
         return p, weight[context_of]
 

@@ -6,6 +6,7 @@ from collections import Counter, defaultdict
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -243,6 +244,33 @@ def test_lm_keeps_every_ngram(spark, docs, monkeypatch):
     assert close(scored(), 1e-3)
 
 
+def test_lm_puts_each_question_once(docs, tmp_path, monkeypatch):
+    """Answers find their tokens by the note that the questions left, without the questions being put together again."""
+    monkeypatch.setattr(lmscore, "PIECE", 4000)
+    monkeypatch.setattr(lmscore, "HOT_LEAST", 5)
+    folder, rows = str(tmp_path), docs.select("doc_id", "text").toPandas()
+    batch = pa.RecordBatch.from_arrays([pa.array(rows["doc_id"]), pa.array([fold(d) == 1 for d in rows["doc_id"]]), pa.array(rows["text"], pa.string())], ["id", "held_out", "t"])
+    cut = list(lmscore._cut_pieces(folder)(iter([batch])))
+    pieces, n = [b.column(0)[0].as_py() for b in cut], sum(b.column(2)[0].as_py() for b in cut)
+    names = lambda: iter([pa.RecordBatch.from_arrays([pa.array(pieces)], ["piece"])])
+    dealt = lambda batches, *keys: iter(pa.Table.from_batches(batches).sort_by([(k, "ascending") for k in keys]).to_batches())
+    model = lmscore._Model(n, 16)
+    answers = lmscore._answer_words(dealt(lmscore._ask_words(folder, model)(names()), "part", "piece"))
+    v = sum(b.column(0)[0].as_py() for b in lmscore._finish_words(folder)(dealt(answers, "piece", "part")))
+    model.total, held = n + 0.5 * (v + 1), {}
+    for i in range(lmscore.RANGES[2]):
+        (tmp_path / f"asked-2-{i}").mkdir()
+        held[i] = list(lmscore._answer(folder, 2, False)(dealt(lmscore._ask(folder, 2, i, model)(names()), "part", "piece")))
+    monkeypatch.setattr(lmscore, "_questions", None)
+    for i, answers in held.items():
+        assert list(lmscore._finish(folder, 2, i)(dealt(answers, "piece", "part")))
+    read = [lmscore._Piece(folder, name) for name in pieces]
+    # only pairs within a row count; both tokens of such a pair are in training or neither is
+    pairs = [[(p.h[k - 1], p.h[k]) for k in np.flatnonzero(p.full(2))] for p in read]
+    seen = Counter(g for p, found in zip(read, pairs) for g, k in zip(found, np.flatnonzero(p.full(2))) if p.train[k])
+    assert len(read) > 5 and all(p.pairs()[0][p.full(2)].tolist() == [seen[g] for g in found] for p, found in zip(read, pairs))
+
+
 def test_lm_keeps_levels_where_asked(spark, docs, tmp_path):
     from cohortspark.llm.lmtrie import Trie
 

@@ -74,6 +74,19 @@ def test_elias_fano(values, universe):
         assert all(f == -1 if v < values[half] else values[f] == v for f, v in zip(found, values))
 
 
+def test_many_questions_unpack_a_sequence_once(monkeypatch):
+    """Many questions unpack all low bits once, few only those that they meet; both find the first place of a value."""
+    values = np.sort(np.random.default_rng(3).integers(0, 2**40, 5000).astype(np.uint64))
+    values[1000:1004] = values[1000]
+    ef, unpacked, lows = EliasFano.build(values, 2**40), [], EliasFano._lows
+    monkeypatch.setattr(EliasFano, "_lows", lambda self, i: unpacked.append(len(i)) or lows(self, i))
+    want = np.searchsorted(values, values)
+    assert np.array_equal(ef.find(values), want) and unpacked == [5000]
+    unpacked.clear()
+    few = np.arange(0, 5000, 500)
+    assert np.array_equal(ef.find(values[few]), want[few]) and sum(unpacked) < 100
+
+
 def test_level_round_trip(tmp_path):
     """A saved level is memory-mapped and gives every listed n-gram's probability, and its context's weight for the others."""
     rng = np.random.default_rng(7)
