@@ -57,7 +57,7 @@ SHARD_TOKENS = 1_000_000
 MIN_SHARDS = 16
 #: Contexts with fewer tokens are never hot.
 HOT_LEAST = 1000
-RANGES = {2: 2, 3: 3}
+RANGES = {2: 3, 3: 3}
 #: The token that ends every document; words have hashes of their bytes, and this is none of an actual word's.
 END = U64(0xE0D0E0D0_5EED_0001)
 #: Answers are -log10 p in steps of 1 / STEPS.
@@ -568,11 +568,11 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", folds: in
     pieces = saved(rows.mapInArrow(tidy(_cut_pieces(folder)), PIECES), "piece-names")
     n_pieces, n = pieces.agg(F.count("*"), F.coalesce(F.sum("train"), F.lit(0))).first()
     model = _Model(n, 1 << (max(MIN_SHARDS, -(-n // SHARD_TOKENS)) - 1).bit_length())
-    # names are tiny and their pieces aren't: a task for every two of them
-    names = pieces.select("piece").repartition(max(1, n_pieces // 2), "piece")
+    # names are tiny and their pieces aren't: a task for every four of them, which it works on in turn, as every task costs
+    names = pieces.select("piece").repartition(max(1, n_pieces // 4), "piece")
     # twice as many partitions as shards, as two shards can fall together
     to_shards = lambda asked, shards: asked.repartition(2 * shards, "part").sortWithinPartitions("part", "piece")
-    to_pieces = lambda answered: answered.repartition(max(1, n_pieces), "piece").sortWithinPartitions("piece", "part")
+    to_pieces = lambda answered: answered.repartition(max(1, n_pieces // 3), "piece").sortWithinPartitions("piece", "part")
     with _no_shuffles_left(spark):
         answered = to_shards(names.mapInArrow(tidy(_ask_words(folder, model)), CELLS), model.shards).mapInArrow(tidy(_answer_words), CELLS)
         v = to_pieces(answered).mapInArrow(tidy(_finish_words(folder)), "v long").agg(F.coalesce(F.sum("v"), F.lit(0))).first()[0]
