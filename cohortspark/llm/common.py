@@ -85,6 +85,20 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def own_session(spark: SparkSession) -> SparkSession:
+    """A session with the same settings, in which every query's shuffle files go at its end; for steps that save what they make and read it once."""
+    own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
+    return own
+
+
+def handed(df: DataFrame, spark: SparkSession) -> DataFrame:
+    """A ``saved`` table, in another session."""
+    out = spark.read.schema(df.schema).parquet(df._written_to)
+    out._written_to = df._written_to
+    return out
+
+
 def fold_of(doc_id: Column, folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id counts as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds

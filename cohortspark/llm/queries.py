@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, langid, licenses, lmscore, mixing, neardup, quality, secrets, urlfilter, warc
+from . import decontaminate, langid, lexical, licenses, lmscore, mixing, neardup, quality, runs, secrets, suffix, urlfilter, warc
 from .common import fold_of, table
 
 
@@ -76,6 +76,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = suffix.remove_repeats(table(spark, sf_dir, "documents"))
+    return cut.select("doc_id", "n_bytes", (F.col("n_bytes") - F.length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every tenth document, by its id's crc32, is given a repeating tail first."""
+    return runs.periodic_runs(table(spark, sf_dir, "documents"), change=runs.planted)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name[:2] == "op" and name[2].isdigit()}
 
@@ -193,5 +207,60 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN b ON b.doc_id = d.doc_id LEFT JOIN a ON a.doc_id = d.doc_id"""
 
 
+def _op11_sql() -> str:
+    w = suffix.LEAST
+    return f"""
+WITH d AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+e AS (SELECT doc_id, unnest(range(CAST(length(x) // 2 - {w - 1} AS BIGINT))) AS i, x FROM d WHERE length(x) >= {2 * w}),
+k AS (SELECT doc_id, i, md5_number(substring(x, 2 * i + 1, {2 * w})) AS h FROM e),
+r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM k) WHERE c > 1),
+g AS (SELECT doc_id, i, sum(CASE WHEN i <= before + {w} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id ORDER BY i) AS part
+      FROM (SELECT doc_id, i, coalesce(lag(i) OVER (PARTITION BY doc_id ORDER BY i), -1 - {w}) AS before FROM r)),
+s AS (SELECT doc_id, min(i) AS a, max(i) + {w} AS b FROM g GROUP BY doc_id, part),
+o AS (SELECT doc_id, b AS lo, lead(a) OVER (PARTITION BY doc_id ORDER BY a) AS hi FROM s UNION ALL SELECT doc_id, 0, min(a) FROM s GROUP BY doc_id),
+rest AS (SELECT doc_id, string_agg(substring(x, 2 * lo + 1, 2 * (coalesce(hi, length(x) // 2) - lo)), '' ORDER BY lo) AS x FROM o JOIN d USING (doc_id) GROUP BY doc_id),
+n AS (SELECT doc_id, count(*) AS n_spans, sum(b - a) AS n_removed FROM s GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(d.x) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(rest.x, d.x))) AS kept_sha256
+FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN rest ON rest.doc_id = d.doc_id"""
+
+
+def _op12_sql() -> str:
+    terms = lambda text: rf"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+    return rf"""
+WITH d AS (SELECT doc_id, {terms("text")} AS w FROM documents),
+docs AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n FROM d WHERE len(w) > 0),
+total AS (SELECT count(*) AS nd, CAST(sum(n) AS BIGINT) AS l FROM docs),
+tf AS (SELECT doc_id, n, term, count(*) AS tf FROM (SELECT doc_id, n, unnest(w) AS term FROM docs) GROUP BY ALL),
+df AS (SELECT term, CAST(floor(1000 * ln((2 * nd + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM tf, total GROUP BY term, nd),
+q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({terms("text")}) AS term FROM benchmark) GROUP BY ALL),
+scored AS (SELECT item_id, doc_id, CAST(sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * nd) // l)))) AS BIGINT) AS score
+           FROM q JOIN df USING (term) JOIN tf USING (term), total GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0) WHERE rank <= 10"""
+
+
+def _op13_sql() -> str:
+    least, periods = runs.LEAST_LENGTH, runs.LEAST_PERIODS
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w, coalesce(CAST(doc_id AS VARCHAR), '') AS t FROM documents),
+h AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(8 * length(t)), lambda i: CAST((ascii(t[i // 8 + 1]) >> (i % 8)) & 1 AS BIGINT))),
+        lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END), CAST(4294967295 AS BIGINT)) AS h FROM d),
+a AS (SELECT doc_id, w, n, h, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM h),
+p AS (SELECT doc_id, w, n, a, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM a),
+v AS (SELECT doc_id, n, list_transform(range(n), lambda i: w[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % p END]) AS w FROM p),
+t AS (SELECT doc_id, n, unnest(range(n)) AS i, unnest(w) AS w FROM v),
+pairs AS (SELECT x.doc_id, y.i - x.i AS q, x.i FROM t x JOIN t y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND {periods} * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, q, min(i) AS s, count(*) + q AS len FROM (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS g FROM pairs) GROUP BY doc_id, q, g),
+r AS (SELECT doc_id, s, len, min(q) AS q FROM islands WHERE len >= greatest({least}, {periods} * q) GROUP BY doc_id, s, len),
+every AS (SELECT doc_id, count(*) AS n_runs, arg_min((s, len, q), (-len, s, q)) AS top, string_agg(s || ',' || len || ',' || q || chr(10), '' ORDER BY s, q) AS listed FROM r GROUP BY doc_id),
+stay AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS c FROM t WHERE NOT EXISTS (SELECT 1 FROM r WHERE r.doc_id = t.doc_id AND r.s + r.q <= t.i AND t.i < r.s + r.len) GROUP BY doc_id)
+SELECT v.doc_id, n AS n_words, coalesce(n_runs, 0) AS n_runs, CAST(top[1] AS BIGINT) AS start, CAST(top[2] AS BIGINT) AS length, CAST(top[3] AS BIGINT) AS period, CAST(1000 * top[2] // top[3] AS BIGINT) AS exponent_milli,
+       sha256(coalesce(listed, '')) AS runs_sha256, sha256(coalesce(c, '')) AS collapsed_sha256
+FROM v LEFT JOIN every ON every.doc_id = v.doc_id LEFT JOIN stay ON stay.doc_id = v.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_source_mixing": _op1_sql(), "op6_license_scan": _op6_sql(), "op7_warc_index": _op7_sql(), "op8_url_filter": _op8_sql(), "op9_minhash_near_dedup": _op9_sql(), "op10_secret_scan": _op10_sql()}
+    return {
+        "op1_source_mixing": _op1_sql(), "op6_license_scan": _op6_sql(), "op7_warc_index": _op7_sql(), "op8_url_filter": _op8_sql(), "op9_minhash_near_dedup": _op9_sql(), "op10_secret_scan": _op10_sql(),
+        "op11_suffix_dedup": _op11_sql(), "op12_lexical_search": _op12_sql(), "op13_periodic_runs": _op13_sql(),
+    }
