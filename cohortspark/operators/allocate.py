@@ -1,21 +1,30 @@
-"""Allocation over the whole candidate graph: components, then one kernel call for each."""
+"""Allocation over the whole candidate graph.
+
+Horizons grow first, on all edges at once, in shards (``grown``): a shard grows
+its rows as far as they need with what other rows hold at the moment, and
+rounds repeat for rows that lost a safe control meanwhile.  Only edges within
+the final horizons matter afterwards, few for each row, and only shared
+controls tie rows together; each connected component of that graph is one
+kernel call.
+"""
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .checkpoints import saved, shared_dir
-from .kernel import Rules, allocate, nearest_first
+from .checkpoints import discard, saved
+from .kernel import Categories, Rules, allocate, horizons, nearest_first
 
 
 #: Up to so many edges (counted first) are labelled on the driver.
 DRIVER_EDGES = 500_000
-#: A component is one task's; one with more edges raises before it is gathered.
-COMPONENT_EDGES = 20_000_000
+#: How many further edges of a row a round of growing looks at, and about how many edges a shard holds.
+LOOK_AHEAD = 64
+SHARD_EDGES = 1_000_000
 
 
 def _labels(edges: DataFrame) -> DataFrame:
@@ -45,26 +54,86 @@ def components(edges: DataFrame, driver_edges: int = DRIVER_EDGES) -> DataFrame:
 
     Labels travel over controls to queries and back until nothing changes; each
     round is two partial aggregations and two joins, and labels jump to the
-    label of their label, so long chains take few rounds.
+    label of their label, so long chains take few rounds.  A round's labels are
+    written, and the last round's removed.
     """
-    shared_dir(edges.sparkSession)
     if edges.count() <= driver_edges:
         return edges.join(_labels(edges), "query_id")
     links = edges.select("query_id", "ref_id")
-    label = links.select("query_id", F.col("query_id").alias("label")).distinct().checkpoint()
+    label = saved(links.select("query_id", F.col("query_id").alias("label")).distinct(), "labels")
     while True:
         at_ref = links.join(label, "query_id").groupBy("ref_id").agg(F.min("label").alias("label"))
         low = links.join(at_ref, "ref_id").groupBy("query_id").agg(F.min("label").alias("low"))
         jump = label.select(F.col("query_id").alias("low"), F.col("label").alias("jump"))
-        now = label.join(low, "query_id").join(jump, "low", "left").select("query_id", "label", F.least("label", "low", "jump").alias("next")).checkpoint()
-        moved = now.where("next < label").limit(1).count()
-        label = now.select("query_id", F.col("next").alias("label"))
-        if not moved:
-            found = edges.join(label.withColumnRenamed("label", "component"), "query_id")
-            most = found.groupBy("component").count().agg(F.max("count")).first()[0] or 0
-            if most > COMPONENT_EDGES:
-                raise ValueError(f"a connected component has {most} candidate edges, more than {COMPONENT_EDGES}: lower the threshold or k_candidates")
-            return found
+        now = saved(label.join(low, "query_id").join(jump, "low", "left").select("query_id", F.least("label", "low", "jump").alias("label"), (F.least("low", "jump") < F.col("label")).alias("moved")), "labels")
+        discard(label)
+        label = now
+        if not now.where("moved").limit(1).count():
+            return edges.join(now.select("query_id", F.col("label").alias("component")), "query_id")
+
+
+def _ranked(edges: DataFrame, rules: Rules) -> DataFrame:
+    """The edges within reach of the rules, with their rank, written once."""
+    limit = rules.threshold if rules.fuzzy_limit is None else max(rules.threshold, rules.fuzzy_limit)
+    order = Window.partitionBy("query_id").orderBy("distance", "ref_id")
+    edges = edges.where(F.col("distance") <= limit).select("query_id", "ref_id", "distance", F.row_number().over(order).alias("rank"))
+    return saved(edges if rules.k is None else edges.where(F.col("rank") <= rules.k), "edges")
+
+
+def _grow_shard(rules: Rules):
+    """(query_id, horizon) of a shard's rows after they have grown by their next edges, with ``users`` holding each control elsewhere."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["query_id", "rank"], kind="stable")
+        queries, first = np.unique(pdf["query_id"].to_numpy(), return_index=True)
+        refs, codes = np.unique(pdf["ref_id"].to_numpy(), return_inverse=True)
+        users = np.zeros(len(refs), np.int64)
+        users[codes] = pdf["users"].to_numpy()
+        cuts = [*first[1:], len(pdf)]
+        d = pdf["distance"].to_numpy()
+        steps, _ = horizons([(codes[a:z], d[a:z]) for a, z in zip(first, cuts)], len(refs), Rules(rules.threshold, safe_matches=rules.safe_matches), users, pdf["needs"].to_numpy()[first])
+        return pd.DataFrame({"query_id": queries, "horizon": pdf["horizon"].to_numpy()[first] + steps})
+
+    return run
+
+
+def grown(ranked: DataFrame, rules: Rules, look_ahead: int = LOOK_AHEAD, shard_edges: int = SHARD_EDGES) -> DataFrame:
+    """(query_id, horizon, length): how far each row of the ranked edges takes part, and how many edges it has.
+
+    What a row needs is never less after others have grown, so growing in any
+    order, with whatever of the others is known, ends at the same least
+    horizons as growing all rows by one edge at a time.
+    """
+    kind = dict(ranked.dtypes)["query_id"]
+    state = saved(ranked.groupBy("query_id").agg(F.max("rank").cast("long").alias("length")).select("query_id", F.lit(0).cast("long").alias("horizon"), "length"), "horizons")
+    while True:
+        held = ranked.join(state, "query_id").where((F.col("rank") <= F.col("horizon")) & (F.col("distance") <= rules.threshold)).select("query_id", "ref_id")
+        users = saved(held.groupBy("ref_id").agg(F.count("*").alias("users"), F.min("query_id").alias("query_id")), "users")
+        safe = users.where("users = 1").groupBy("query_id").agg(F.count("*").alias("safe"))
+        needs = F.lit(rules.safe_matches) - F.coalesce("safe", F.lit(0))
+        growing = state.join(safe, "query_id", "left").select("query_id", "horizon", needs.alias("needs")).where((F.col("horizon") == 0) | (F.col("needs") > 0))
+        ahead = ranked.join(growing, "query_id").where((F.col("rank") > F.col("horizon")) & (F.col("rank") <= F.col("horizon") + look_ahead))
+        ahead = saved(ahead.join(users.select("ref_id", "users"), "ref_id", "left").select("query_id", "ref_id", "distance", "rank", "horizon", "needs", F.coalesce("users", F.lit(0)).alias("users")), "ahead")
+        n = ahead.count()
+        if n:
+            shard = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // shard_edges))))
+            new = ahead.groupBy(shard.alias("shard")).applyInPandas(_grow_shard(rules), f"query_id {kind}, horizon long")
+            now = saved(state.join(new.withColumnRenamed("horizon", "next"), "query_id", "left").select("query_id", F.coalesce("next", "horizon").alias("horizon"), "length"), "horizons")
+            discard(state)
+            state = now
+        discard(users)
+        discard(ahead)
+        if not n:
+            return state
+
+
+def categorised(ranked: DataFrame, state: DataFrame, rules: Rules) -> DataFrame:
+    """(query_id, ref_id, distance, rank, category) of the edges within the horizons: safe, competitive or fuzzy."""
+    inside = ranked.join(state.select("query_id", "horizon"), "query_id").where(F.col("rank") <= F.col("horizon")).drop("horizon")
+    within = F.col("distance") <= rules.threshold
+    users = inside.where(within).groupBy("ref_id").agg(F.count("*").alias("users"))
+    kind = F.when(~within, "fuzzy").when(F.col("users") > 1, "competitive").otherwise("safe")
+    return inside.join(users, "ref_id", "left").select("query_id", "ref_id", "distance", "rank", kind.alias("category"))
 
 
 def _rows_of(pdf: pd.DataFrame):
@@ -79,35 +148,61 @@ def _rows_of(pdf: pd.DataFrame):
 
 def match(edges: DataFrame, rules: Rules) -> DataFrame:
     """(query_id, ref_id, distance, phase): the chosen pairs; no control twice."""
-    limit = rules.threshold if rules.fuzzy_limit is None else max(rules.threshold, rules.fuzzy_limit)
-    edges = saved(edges.where(F.col("distance") <= limit).select("query_id", "ref_id", "distance"), "edges")
+    ranked = _ranked(edges, rules)
+    return _match_ranked(ranked, grown(ranked, rules), rules)
+
+
+def match_growing(candidates, rules: Rules, most: int, first: int = LOOK_AHEAD, factor: int = 8) -> tuple[DataFrame, DataFrame]:
+    """``match`` without the full candidate lists: (pairs, the edges that were made).
+
+    ``candidates(k, queries)`` gives the k nearest edges of the queries (a
+    table of query_id, or None for all).  Lists start at ``first`` edges; rows
+    that grow to the end of theirs get longer ones, up to ``most``, until no
+    row meets the end of a list that was cut.  What the lists leave out then
+    can't have a part in the horizons, so the pairs are those of full lists.
+    """
+    edges, k = saved(candidates(min(first, most), None).select("query_id", "ref_id", "distance"), "candidates"), min(first, most)
+    while True:
+        ranked = _ranked(edges, rules)
+        state = grown(ranked, rules)
+        cut_off = edges.groupBy("query_id").count().where(F.col("count") >= k)
+        short = state.where("horizon = length").select("query_id").join(cut_off.select("query_id"), "query_id", "left_semi")
+        if k >= most or not short.limit(1).count():
+            return _match_ranked(ranked, state, rules), edges
+        k = min(most, k * factor)
+        short = saved(short, "short")
+        longer = candidates(k, short).select("query_id", "ref_id", "distance")
+        edges = saved(edges.join(short, "query_id", "left_anti").unionByName(longer), "candidates")
+
+
+def _match_ranked(ranked: DataFrame, state: DataFrame, rules: Rules) -> DataFrame:
+    used = saved(categorised(ranked, state, rules), "horizon-edges")
     if rules.flow:
-        top = edges.agg(F.max("distance")).first()[0]
-        rules = Rules(**{**rules.__dict__, "largest": top or 1.0})
+        rules = Rules(**{**rules.__dict__, "largest": ranked.agg(F.max("distance")).first()[0] or 1.0})
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["query_id", "rank"], kind="stable")
         rows, queries, refs = _rows_of(pdf)
-        chosen, _ = allocate(rows, len(refs), rules)
+        kinds = iter(pdf["category"])
+        cats = Categories([[] for _ in rows], [[] for _ in rows], [[] for _ in rows], np.array([len(c) for c, _ in rows]))
+        for i, (c, _) in enumerate(rows):
+            for at in range(len(c)):
+                getattr(cats, next(kinds))[i].append(at)
+        chosen, _ = allocate(rows, len(refs), rules, cats)
         out = [(queries[i], refs[rows[i][0][at]], rows[i][1][at], phase) for i, picks in enumerate(chosen) for at, phase in picks]
         return pd.DataFrame(out, columns=["query_id", "ref_id", "distance", "phase"])
 
-    kinds = dict(edges.dtypes)
-    return components(edges).groupBy("component").applyInPandas(run, f"query_id {kinds['query_id']}, ref_id {kinds['ref_id']}, distance double, phase string")
+    kinds = dict(used.dtypes)
+    return components(used).groupBy("component").applyInPandas(run, f"query_id {kinds['query_id']}, ref_id {kinds['ref_id']}, distance double, phase string")
 
 
 def categories(edges: DataFrame, rules: Rules) -> DataFrame:
     """(query_id, horizon, n_safe, n_competitive, n_fuzzy) of every query with an edge."""
-    from .kernel import categorise
-
-    limit = rules.threshold if rules.fuzzy_limit is None else max(rules.threshold, rules.fuzzy_limit)
-    edges = saved(edges.where(F.col("distance") <= limit).select("query_id", "ref_id", "distance"), "edges")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, queries, refs = _rows_of(pdf)
-        cats = categorise(rows, len(refs), rules)
-        return pd.DataFrame({"query_id": queries, "horizon": cats.horizon, "n_safe": list(map(len, cats.safe)), "n_competitive": list(map(len, cats.competitive)), "n_fuzzy": list(map(len, cats.fuzzy))})
-
-    return components(edges).groupBy("component").applyInPandas(run, f"query_id {dict(edges.dtypes)['query_id']}, horizon long, n_safe long, n_competitive long, n_fuzzy long")
+    ranked = _ranked(edges, rules)
+    state = grown(ranked, rules)
+    n = lambda kind: F.count(F.when(F.col("category") == kind, 1)).alias(f"n_{kind}")
+    counts = categorised(ranked, state, rules).groupBy("query_id").agg(n("safe"), n("competitive"), n("fuzzy"))
+    return state.join(counts, "query_id").select("query_id", "horizon", "n_safe", "n_competitive", "n_fuzzy")
 
 
 def greedy(edges: DataFrame, caliper: float, ratio: int = 1) -> DataFrame:

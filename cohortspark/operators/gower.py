@@ -67,15 +67,24 @@ class GowerModel(Metric):
         active = set(self._active())
         return [F.col(c) for c in self.numeric if c in active], [F.col(c) for c in self.categorical if c in active]
 
-    def floor(self, qc: np.ndarray, rc: np.ndarray) -> np.ndarray:
-        """What the categories alone make the distances of a block at least, missing values included."""
-        active = self._active()
-        total = sum(self.weights[c] for c in active) or 1.0
-        out = np.zeros((len(qc), len(rc)))
+    def scales(self, p: int) -> np.ndarray:
+        return np.array([self.weights[c] / self.ranges[c] for c in self.numeric if self.weights[c] > 0])
+
+    def box_floor(self, qn: np.ndarray, qc: np.ndarray, low: np.ndarray, high: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The least distance of each query to anything in each box; a box lacks a number wholly (NaN) or nowhere."""
+        active = set(self._active())
+        top, bottom = np.zeros((len(qn), len(low))), np.zeros((len(qn), len(low)))
+        for j, c in enumerate(c for c in self.numeric if c in active):
+            q = qn[:, j, None]
+            gap = np.maximum(np.maximum(low[None, :, j] - q, q - high[None, :, j]), 0.0) * (self.weights[c] / self.ranges[c])
+            seen = ~np.isnan(gap)
+            top += np.where(seen, gap, 0.0)
+            bottom += np.where(seen, self.weights[c], 0.0)
         for j, c in enumerate(c for c in self.categorical if c in active):
-            apart = (qc[:, j, None] != -1) & (rc[None, :, j] != -1) & (qc[:, j, None] != rc[None, :, j])
-            out += self.weights[c] / total * apart
-        return out
+            seen = (qc[:, j, None] != -1) & (codes[None, :, j] != -1)
+            top += np.where(seen, self.weights[c] * (qc[:, j, None] != codes[None, :, j]), 0.0)
+            bottom += np.where(seen, self.weights[c], 0.0)
+        return np.where(bottom > 0, top / np.where(bottom > 0, bottom, 1.0), 1.0)
 
     def block(self, qn: np.ndarray, qc: np.ndarray, rn: np.ndarray, rc: np.ndarray) -> np.ndarray:
         """Distances of a block: numerics as (rows, features) with NaN for null, categories coded with -1 for null and -2 for unseen."""

@@ -1,10 +1,15 @@
-"""Allocation within one connected component of the candidate graph, in NumPy.
+"""Allocation within one connected component of the horizon graph, in NumPy.
 
 Rows are exposed subjects, columns controls.  Every row has its candidate edges
-in order of (distance, control).  Steps: horizons grow in synchronous rounds
-until a row has its safe controls; edges in the final horizons are safe,
-competitive or fuzzy; a greedy phase serves the rows short of safe controls,
-always the worst-off first; an assignment of least cost serves the rest.
+in order of (distance, control).  Steps: horizons grow until a row has its safe
+controls; edges in the final horizons are safe, competitive or fuzzy; a greedy
+phase serves the rows short of safe controls, always the worst-off first; an
+assignment of least cost serves the rest.
+
+Growing is monotone: what a row needs is never less when other rows have grown
+further.  So the final horizons are the least ones that leave nobody growing,
+whatever the order in which rows grow, and ``operators.allocate`` can grow them
+in shards.
 """
 
 from __future__ import annotations
@@ -39,15 +44,20 @@ class Categories:
     horizon: np.ndarray
 
 
-def horizons(rows: list[tuple[np.ndarray, np.ndarray]], n_controls: int, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
-    """(horizon of each row, users of each control): rows short of safe edges take their next edge, all at once, until nothing can grow."""
+def horizons(rows: list[tuple[np.ndarray, np.ndarray]], n_controls: int, rules: Rules, users: np.ndarray | None = None, needs: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(horizon of each row, users of each control): rows short of safe edges take their next edge, all at once, until nothing can grow.
+
+    ``users``: how many outside rows hold each control already; ``needs``: how many safe edges each row is short of.
+    """
     horizon = np.zeros(len(rows), np.int64)
-    users = np.zeros(n_controls, np.int64)
+    users = np.zeros(n_controls, np.int64) if users is None else users.copy()
+    needs = np.full(len(rows), rules.safe_matches) if needs is None else needs
     owner = np.full(n_controls, -1)
     safe = np.zeros(len(rows), np.int64)
-    growing = [i for i, (c, _) in enumerate(rows) if len(c)]
     most = [len(c) if rules.k is None else min(len(c), rules.k) for c, _ in rows]
+    growing = [i for i, (c, _) in enumerate(rows) if most[i]]
     while growing:
+        hit = []
         for i in growing:
             c, d = rows[i][0][horizon[i]], rows[i][1][horizon[i]]
             horizon[i] += 1
@@ -57,9 +67,10 @@ def horizons(rows: list[tuple[np.ndarray, np.ndarray]], n_controls: int, rules:
             if users[c] == 1:
                 owner[c] = i
                 safe[i] += 1
-            elif users[c] == 2:
+            elif users[c] == 2 and owner[c] >= 0:
                 safe[owner[c]] -= 1
-        growing = [i for i in range(len(rows)) if safe[i] < rules.safe_matches and 0 < horizon[i] < most[i]]
+                hit.append(int(owner[c]))
+        growing = [i for i in sorted({*growing, *hit}) if safe[i] < needs[i] and 0 < horizon[i] < most[i]]
     return horizon, users
 
 
@@ -84,161 +95,140 @@ def categorise(rows, n_controls: int, rules: Rules) -> Categories:
 
 
 def _greedy(rows, cats: Categories, rules: Rules, taken: np.ndarray, chosen: list[list[tuple[int, str]]]) -> None:
-    """Serve the limited rows: their safe controls first, then one match at a time for the row with the fewest matches, competitive and fuzzy options."""
+    """Serve the limited rows: their safe controls first, then one match at a time for the row with the fewest matches, competitive and fuzzy options.
+
+    Rows wait in a heap under (matches, competitive, fuzzy, row).  A row whose
+    options change enters anew; the old entry is passed over when it comes up.
+    """
     limited = [i for i in range(len(rows)) if len(cats.safe[i]) < rules.safe_matches]
     for i in limited:
         for at in cats.safe[i][: rules.n_neighbors]:
             chosen[i].append((at, "safe"))
             taken[rows[i][0][at]] = True
-    wanting: dict[int, list[int]] = {}
-    options = {kind: {i: {c for at in lists[i] if not taken[c := int(rows[i][0][at])]} for i in limited} for kind, lists in (("competitive", cats.competitive), ("fuzzy", cats.fuzzy))}
-    for kind in options:
-        for i, cs in options[kind].items():
-            for c in cs:
-                wanting.setdefault(c, []).append(i)
-    open_rows = {i for i in limited if len(chosen[i]) < rules.n_neighbors and (options["competitive"][i] or options["fuzzy"][i])}
-    while open_rows:
-        i = min(open_rows, key=lambda x: (len(chosen[x]), len(options["competitive"][x]), len(options["fuzzy"][x]), x))
-        kind = "competitive" if options["competitive"][i] else "fuzzy"
-        at = next(at for at in getattr(cats, kind)[i] if int(rows[i][0][at]) in options[kind][i])
-        c = int(rows[i][0][at])
-        chosen[i].append((at, kind))
+    lists = {"competitive": cats.competitive, "fuzzy": cats.fuzzy}
+    wanting: dict[int, list[tuple[str, int]]] = {}
+    left = {kind: dict.fromkeys(limited, 0) for kind in lists}
+    upto = {kind: dict.fromkeys(limited, 0) for kind in lists}  # how far the list is known to be taken
+    for kind, of in lists.items():
+        for i in limited:
+            for at in of[i]:
+                if not taken[c := int(rows[i][0][at])]:
+                    left[kind][i] += 1
+                    wanting.setdefault(c, []).append((kind, i))
+    key = lambda i: (len(chosen[i]), left["competitive"][i], left["fuzzy"][i], i)
+    waits = lambda i: len(chosen[i]) < rules.n_neighbors and (left["competitive"][i] or left["fuzzy"][i])
+    heap = [key(i) for i in limited if waits(i)]
+    heapq.heapify(heap)
+    while heap:
+        entry = heapq.heappop(heap)
+        i = entry[-1]
+        if not waits(i) or entry != key(i):
+            continue
+        kind = "competitive" if left["competitive"][i] else "fuzzy"
+        of, k = lists[kind][i], upto[kind][i]
+        while taken[rows[i][0][of[k]]]:
+            k += 1
+        upto[kind][i] = k
+        c = int(rows[i][0][of[k]])
+        chosen[i].append((of[k], kind))
         taken[c] = True
-        for j in wanting[c]:
-            for kinds in options.values():
-                kinds[j].discard(c)
-            if not options["competitive"][j] and not options["fuzzy"][j]:
-                open_rows.discard(j)
-        if len(chosen[i]) >= rules.n_neighbors:
-            open_rows.discard(i)
+        for other, j in wanting[c]:
+            left[other][j] -= 1
+        for j in {i, *(j for _, j in wanting[c])}:
+            if waits(j):
+                heapq.heappush(heap, key(j))
 
 
-def assign(cost: np.ndarray, unmatched: float) -> np.ndarray:
-    """Column of each row, or -1, at least total cost; infinite cells can't be used and a row may stay unmatched at ``unmatched``.
+def assign(edges: list[tuple[np.ndarray, np.ndarray]], places: list[int], n_columns: int, unmatched: float) -> list[list[int]]:
+    """Columns of each row at least total cost: row i takes up to ``places[i]`` columns of its (columns, costs), and every place left empty costs ``unmatched``.
 
-    Rows enter one by one; each finds the cheapest augmenting path over reduced
-    costs (successive shortest paths with potentials), every row having a
-    private spare column for staying out.
+    A flow with capacities by successive shortest paths: for each place a heap
+    search over reduced costs (a cost plus its start's potential less its end's)
+    finds the cheapest way to a free column, or to a row that leaves a place
+    empty; holders hand their columns on along the way.
     """
-    n, m = cost.shape
-    full = np.full((n, m + n), np.inf)
-    full[:, :m] = cost
-    full[np.arange(n), m + np.arange(n)] = unmatched
-    row_of = np.full(m + n, -1)
-    col_of = np.full(n, -1)
-    u, v = np.zeros(n), np.zeros(m + n)
-    for start in range(n):
-        reach = np.full(m + n, np.inf)
-        via = np.full(m + n, -1)
-        done = np.zeros(m + n, bool)
-        seen_rows, i, base, sink = [start], start, 0.0, -1
-        while sink < 0:
-            step = base + full[i] - u[i] - v
-            better = ~done & (step < reach)
-            reach[better] = step[better]
-            via[better] = i
-            j = int(np.argmin(np.where(done, np.inf, reach)))
-            base = reach[j]
-            done[j] = True
-            if row_of[j] < 0:
-                sink = j
-            else:
-                i = int(row_of[j])
-                seen_rows.append(i)
-        for i in seen_rows:
-            u[i] += base - (reach[col_of[i]] if i != start else 0.0)
-        v[done] -= base - reach[done]
-        while True:
-            i = int(via[sink])
-            row_of[sink] = i
-            col_of[i], sink = sink, col_of[i]
-            if i == start:
-                break
-    return np.where(col_of < m, col_of, -1)
-
-
-#: Larger cost matrices aren't built; their edges are kept as lists.
-DENSE_CELLS = 30_000_000
-
-
-def assign_sparse(edges: list[tuple[np.ndarray, np.ndarray]], n_columns: int, unmatched: float) -> np.ndarray:
-    """``assign`` over edge lists (columns, costs) of each row: the same augmenting paths, by a heap over the columns that a search meets."""
-    row_of, col_of = np.full(n_columns, -1), np.full(len(edges), -1)
-    u, v = np.zeros(len(edges)), np.zeros(n_columns)
-    for start in range(len(edges)):
-        reach: dict[int, float] = {}
-        via: dict[int, int] = {}
-        done: set[int] = set()
-        heap: list[tuple[float, int]] = []
-        seen, i, base, out, out_row, sink = [start], start, 0.0, np.inf, -1, -1
-        while True:
-            if base + unmatched - u[i] < out:
-                out, out_row = base + unmatched - u[i], i
-            for c, d in zip(edges[i][0].tolist(), (base + edges[i][1] - u[i] - v[edges[i][0]]).tolist()):
-                if c not in done and d < reach.get(c, np.inf):
-                    reach[c], via[c] = d, i
-                    heapq.heappush(heap, (d, c))
-            while heap and (heap[0][1] in done or heap[0][0] > reach[heap[0][1]]):
-                heapq.heappop(heap)
-            if not heap or heap[0][0] >= out:
-                base = out
-                break
-            base, c = heapq.heappop(heap)
-            done.add(c)
-            if row_of[c] < 0:
-                sink = c
-                break
-            i = int(row_of[c])
-            seen.append(i)
-        for i in seen:
-            u[i] += base - (reach[int(col_of[i])] if i != start else 0.0)
-        for c in done:
-            v[c] -= base - reach[c]
-        if sink < 0:  # a row of the search stays out, and hands on its column
-            sink, col_of[out_row] = int(col_of[out_row]), -1
-            if out_row == start:
+    cost_of = [dict(zip(c.tolist(), d.tolist())) for c, d in edges]
+    held: list[set[int]] = [set() for _ in edges]
+    holder = [-1] * n_columns
+    of_row, of_column = [0.0] * len(edges), np.zeros(n_columns)
+    for start in (i for i, n in enumerate(places) for _ in range(n)):
+        row_at, column_at = {start: 0.0}, {}
+        to_row: dict[int, int] = {}
+        to_column: dict[int, int] = {}
+        heap = [(0.0, n_columns + start)]
+        best, end_row, end_column = np.inf, -1, -1
+        while heap and heap[0][0] < best:
+            base, node = heapq.heappop(heap)
+            if node < n_columns:
+                if base > column_at[node]:
+                    continue
+                h = holder[node]
+                back = max(base, base - cost_of[h][node] + of_column[node] - of_row[h])
+                if back < row_at.get(h, np.inf):
+                    row_at[h], to_row[h] = back, node
+                    heapq.heappush(heap, (back, n_columns + h))
+                continue
+            i = node - n_columns
+            if base > row_at[i]:
+                continue
+            if base + unmatched + of_row[i] < best:
+                best, end_row, end_column = base + unmatched + of_row[i], i, -1
+            columns, costs = edges[i]
+            reach = base + np.maximum(costs + of_row[i] - of_column[columns], 0.0)
+            for k in np.flatnonzero(reach < best).tolist():
+                c, d = int(columns[k]), float(reach[k])
+                if d < best and d < column_at.get(c, np.inf) and c not in held[i]:
+                    column_at[c], to_column[c] = d, i
+                    if holder[c] < 0:
+                        best, end_row, end_column = d, -1, c
+                    else:
+                        heapq.heappush(heap, (d, c))
+        for i, d in row_at.items():
+            if d < best:
+                of_row[i] += d - best
+        for c, d in column_at.items():
+            if d < best:
+                of_column[c] += d - best
+        c = end_column
+        if c < 0:
+            if end_row == start:
                 continue
+            c = to_row[end_row]
+            held[end_row].remove(c)
         while True:
-            i = via[sink]
-            row_of[sink] = i
-            held = int(col_of[i])
-            col_of[i] = sink
+            i = to_column[c]
+            held[i].add(c)
+            holder[c] = i
             if i == start:
                 break
-            sink = held
-    return col_of
+            c = to_row[i]
+            held[i].remove(c)
+    return [sorted(h) for h in held]
 
 
 def _optimal(rows, cats: Categories, rules: Rules, taken: np.ndarray, chosen: list[list[tuple[int, str]]]) -> None:
     short = [i for i in range(len(rows)) if len(chosen[i]) < rules.n_neighbors]
-    edges = {i: [at for at in sorted(cats.safe[i] + cats.competitive[i]) if not taken[rows[i][0][at]]] for i in short}
-    places = [i for i in short for _ in range(min(rules.n_neighbors - len(chosen[i]), len(edges[i])))]
-    if not places:
+    open_ = {i: [at for at in sorted(cats.safe[i] + cats.competitive[i]) if not taken[rows[i][0][at]]] for i in short}
+    short = [i for i in short if open_[i]]
+    if not short:
         return
-    columns = np.unique([rows[i][0][at] for i in edges for at in edges[i]])
-    lists = {}
+    columns = np.unique([rows[i][0][at] for i in short for at in open_[i]])
+    edges = []
     for i in short:
-        c, d = rows[i][0][edges[i]], rows[i][1][edges[i]]
-        lists[i] = (np.searchsorted(columns, c), np.rint(d * FLOW_SCALE / rules.largest) if rules.flow else d)
-    dearest = max(float(lists[i][1].max()) for i in places)
-    unmatched = FLOW_SCALE + FLOW_UNMATCHED if rules.flow else 1.0 + (len(places) + 1) * dearest
-    place_of = {i: {int(rows[i][0][at]): at for at in edges[i]} for i in edges}
-    if len(places) * (len(places) + len(columns)) <= DENSE_CELLS:
-        cost = np.full((len(places), len(columns)), np.inf)
-        for p, i in enumerate(places):
-            cost[p, lists[i][0]] = lists[i][1]
-        found = assign(cost, unmatched)
-    else:
-        found = assign_sparse([lists[i] for i in places], len(columns), unmatched)
-    for i, col in zip(places, found):
-        if col >= 0:
-            chosen[i].append((place_of[i][int(columns[col])], "optimal"))
-            taken[columns[col]] = True
-
-
-def allocate(rows: list[tuple[np.ndarray, np.ndarray]], n_controls: int, rules: Rules) -> tuple[list[list[tuple[int, str]]], Categories]:
+        c, d = rows[i][0][open_[i]], rows[i][1][open_[i]]
+        edges.append((np.searchsorted(columns, c), np.rint(d * FLOW_SCALE / rules.largest) if rules.flow else d))
+    places = [min(rules.n_neighbors - len(chosen[i]), len(open_[i])) for i in short]
+    unmatched = FLOW_SCALE + FLOW_UNMATCHED if rules.flow else 1.0 + (sum(places) + 1) * max(float(d.max()) for _, d in edges)
+    for i, found in zip(short, assign(edges, places, len(columns), unmatched)):
+        place_of = {int(rows[i][0][at]): at for at in open_[i]}
+        for c in columns[found].tolist():
+            chosen[i].append((place_of[c], "optimal"))
+            taken[c] = True
+
+
+def allocate(rows: list[tuple[np.ndarray, np.ndarray]], n_controls: int, rules: Rules, cats: Categories | None = None) -> tuple[list[list[tuple[int, str]]], Categories]:
     """For each row the chosen edges (place in its list, phase), and the categories."""
-    cats = categorise(rows, n_controls, rules)
+    cats = cats or categorise(rows, n_controls, rules)
     chosen: list[list[tuple[int, str]]] = [[] for _ in rows]
     taken = np.zeros(n_controls, bool)
     if rules.competitive:

@@ -2,13 +2,13 @@
 
 The query side (exposed rows, few by nature) is taken in blocks of at most
 ``QUERY_BLOCK`` rows (fewer with a large k, see ``HELD``), whose values go to the
-executors; the reference side
-streams past in Arrow batches.  Each task keeps the k best of its partition for
-every query, NumPy computing a bounded tile of distances at a time, and a window
+executors; the reference side streams past in blocks that are cut into cells
+(``operators.cells``).  A cell is compared with the queries whose k-th best so
+far its floor doesn't exceed, NumPy computing a bounded tile of distances at a
+time.  Each task keeps the k best of its partition for every query, and a window
 over those partial results leaves the k best of all.  No pair is materialised
-that isn't among the best of its partition, and references whose categories alone
-put them beyond a query's k-th best aren't compared with it.  Order is (distance,
-reference id), so results don't hang on partitioning.
+that isn't among the best of its partition.  Order is (distance, reference id),
+so results don't hang on partitioning.
 """
 
 from __future__ import annotations
@@ -23,12 +23,15 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import cells
 from .checkpoints import saved
 
 QUERY_BLOCK = 20_000
 #: What a task keeps at most: so many (query, reference) pairs.
 HELD = 20_000_000
 TILE = 1 << 21
+#: References that are cut into cells at a time.
+CELL_BLOCK = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -74,38 +77,25 @@ def _side(t: pa.Table | pa.RecordBatch, p: int, q: int, books: list[pa.Array]) -
     return _Side(ids, numbers, codes, band)
 
 
-@dataclass
-class _Part:
-    """Some rows of a side, and their places in it."""
-
-    side: _Side
-    at: np.ndarray
-
-
 def _taken(side: _Side, at: np.ndarray) -> _Side:
     return _Side(side.ids[at], side.numbers[at], side.codes[at], None if side.band is None else side.band[at])
 
 
-def _promising(q: _Side, r: _Side, metric, worst: np.ndarray) -> Iterator[tuple[_Part, _Side]]:
-    """Queries and references to compare: where the metric has a floor by categories, references go by their categories.
+def _joined(sides: list[_Side]) -> _Side:
+    return _Side(*(np.concatenate([getattr(s, n) for s in sides]) for n in ("ids", "numbers", "codes")), None if sides[0].band is None else np.concatenate([s.band for s in sides]))
 
-    Those with the query's own categories come first; after that a group is held
-    only against queries whose k-th best so far is no nearer than the floor, so
-    nothing that could be among the best is left out.
-    """
-    if not hasattr(metric, "floor") or not q.codes.shape[1]:
-        yield _Part(q, np.arange(len(q.ids))), r
-        return
-    kinds, kind_of = np.unique(r.codes, axis=0, return_inverse=True)
-    order = np.argsort(kind_of.ravel(), kind="stable")
-    groups = np.split(order, np.cumsum(np.bincount(kind_of.ravel()))[:-1])
-    floor = metric.floor(q.codes, kinds)
-    own = floor == floor.min(axis=1, keepdims=True)
-    for first in (True, False):
-        for g, members in enumerate(groups):
-            at = np.flatnonzero(own[:, g] if first else ~own[:, g] & (floor[:, g] <= worst * (1 + 1e-9) + 1e-12))
-            if len(at):
-                yield _Part(_taken(q, at), at), _taken(r, members)
+
+def _blocks(batches: Iterator[pa.RecordBatch], p: int, s: int, books: list[pa.Array]) -> Iterator[_Side]:
+    """The references in blocks of about ``CELL_BLOCK``."""
+    kept: list[_Side] = []
+    for batch in batches:
+        if batch.num_rows:
+            kept.append(_side(batch, p, s, books))
+            if sum(len(x.ids) for x in kept) >= CELL_BLOCK:
+                yield _joined(kept)
+                kept = []
+    if kept:
+        yield _joined(kept)
 
 
 def _tiles(q: _Side, r: _Side, metric, width: float | None) -> Iterator[tuple[int, np.ndarray]]:
@@ -120,42 +110,82 @@ def _tiles(q: _Side, r: _Side, metric, width: float | None) -> Iterator[tuple[in
         yield lo, d
 
 
-def _best(q: _Side, p: int, s: int, books: list[pa.Array], metric, k: int, limit: float, width: float | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = len(q.ids)
-        dist: list[np.ndarray] = [np.zeros(0)] * n
-        ids: list[np.ndarray | None] = [None] * n
-        worst = np.full(n, limit)
-        kind = None
-
-        def offer(i: int, row: np.ndarray, of: np.ndarray) -> None:
-            at = np.flatnonzero((row <= worst[i]) & (row < np.inf))
-            if not len(at):
-                return
-            if len(at) > k:
-                at = at[row[at] <= np.partition(row[at], k - 1)[k - 1]]
-            dd, ii = row[at], of[at]
-            if ids[i] is not None:
-                dd, ii = np.concatenate((dist[i], dd)), np.concatenate((ids[i], ii))
-            order = np.lexsort((ii, dd))[:k]
-            dist[i], ids[i] = dd[order], ii[order]
-            if len(order) == k:
-                worst[i] = dd[order[-1]]
+class _Lists:
+    """The k best references of every query so far; ``worst`` is what a further one must not exceed."""
 
-        for batch in batches:
-            if not batch.num_rows:
+    def __init__(self, n: int, k: int, limit: float) -> None:
+        self.k, self.dist, self.ids, self.worst = k, [np.zeros(0)] * n, [None] * n, np.full(n, limit)
+
+    def offer(self, at: np.ndarray, d: np.ndarray, of: np.ndarray) -> None:
+        for i in np.flatnonzero(d.min(axis=1, initial=np.inf) <= self.worst[at]):
+            q, row = int(at[i]), d[i]
+            near = np.flatnonzero((row <= self.worst[q]) & (row < np.inf))
+            if not len(near):
                 continue
-            kind = batch.column(0).type
-            r = _side(batch, p, s, books)
-            for queries, part in _promising(q, r, metric, worst):
-                for lo, d in _tiles(queries.side, part, metric, width):
-                    for i in range(len(d)):
-                        offer(int(queries.at[lo + i]), d[i], part.ids)
-        full = [i for i in range(n) if len(dist[i])]
+            if len(near) > self.k:
+                near = near[row[near] <= np.partition(row[near], self.k - 1)[self.k - 1]]
+            dd, ii = row[near], of[near]
+            if self.ids[q] is not None:
+                dd, ii = np.concatenate((self.dist[q], dd)), np.concatenate((self.ids[q], ii))
+            order = np.lexsort((ii, dd))[: self.k]
+            self.dist[q], self.ids[q] = dd[order], ii[order]
+            if len(order) == self.k:
+                self.worst[q] = dd[order[-1]]
+
+    def batches(self, ids: np.ndarray, kind: pa.DataType) -> Iterator[list[pa.Array]]:
+        full = [i for i in range(len(self.dist)) if len(self.dist[i])]
         for a in range(0, len(full), 1000):
             part = full[a : a + 1000]
-            sizes = [len(dist[i]) for i in part]
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q.ids[part], sizes)), pa.array(np.concatenate([ids[i] for i in part]), kind), pa.array(np.concatenate([dist[i] for i in part]))], ["query_id", "ref_id", "distance"])
+            yield [pa.array(np.repeat(ids[part], [len(self.dist[i]) for i in part])), pa.array(np.concatenate([self.ids[i] for i in part]), kind), pa.array(np.concatenate([self.dist[i] for i in part]))]
+
+
+def _best(q: _Side, p: int, s: int, books: list[pa.Array], metric, k: int, limit: float, width: float | None, kind: pa.DataType, compared=None):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = _Lists(len(q.ids), k, limit)
+        for r in _blocks(batches, p, s, books):
+            found = cells.build(r.numbers, r.codes, r.band, metric.scales(p))
+            for at, members in cells.worth_comparing(q.numbers, q.codes, q.band, found, metric, lists.worst, width):
+                side, part = _taken(q, at), _taken(r, members)
+                if compared is not None:
+                    compared.add(len(at) * len(members))
+                for lo, d in _tiles(side, part, metric, width):
+                    lists.offer(at[lo : lo + len(d)], d, part.ids)
+        for columns in lists.batches(q.ids, kind):
+            yield pa.RecordBatch.from_arrays(columns, ["query_id", "ref_id", "distance"])
+
+    return run
+
+
+_EDGE_AND_TALLY = "ref_id {0}, distance double, eligible long, within_threshold long, low double, high double"
+
+
+def _swept(q: _Side, p: int, s: int, books: list[pa.Array], metric, k: int, limit: float, threshold: float, width: float, kind: pa.DataType, compared=None):
+    """Edges and tallies from one sweep along the caliper; a tally has no reference."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = len(q.ids)
+        lists, every = _Lists(n, k, limit), np.full(n, np.inf)
+        eligible, within = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        low, high = np.full(n, np.inf), np.full(n, -np.inf)
+        names = ["query_id", "ref_id", "distance", "eligible", "within_threshold", "low", "high"]
+        for r in _blocks(batches, p, s, books):
+            found = cells.build(r.numbers, r.codes, r.band, metric.scales(p))
+            for at, members in cells.worth_comparing(q.numbers, q.codes, q.band, found, metric, every, width, every=True):
+                side, part = _taken(q, at), _taken(r, members)
+                if compared is not None:
+                    compared.add(len(at) * len(members))
+                for lo, d in _tiles(side, part, metric, width):
+                    own, ok = at[lo : lo + len(d)], np.isfinite(d)
+                    eligible[own] += ok.sum(1)
+                    within[own] += (d <= threshold).sum(1) if math.isfinite(threshold) else ok.sum(1)
+                    low[own] = np.minimum(low[own], d.min(1, initial=np.inf))
+                    high[own] = np.maximum(high[own], np.where(ok, d, -np.inf).max(1, initial=-np.inf))
+                    lists.offer(own, d, part.ids)
+        none = lambda x, n: pa.nulls(n, x)
+        for columns in lists.batches(q.ids, kind):
+            m = len(columns[0])
+            yield pa.RecordBatch.from_arrays([*columns, none(pa.int64(), m), none(pa.int64(), m), none(pa.float64(), m), none(pa.float64(), m)], names)
+        yield pa.RecordBatch.from_arrays([pa.array(q.ids), none(kind, n), none(pa.float64(), n), *map(pa.array, (eligible, within, low, high))], names)
 
     return run
 
@@ -205,16 +235,34 @@ def _each_block(queries: DataFrame, refs: DataFrame, id_col: str, metric, band:
     return out
 
 
-def top_k(queries: DataFrame, refs: DataFrame, id_col: str, metric, k: int, limit: float = math.inf, band: Band | None = None) -> DataFrame:
-    """(query_id, ref_id, distance, rank): the k nearest references of each query within ``limit`` and, if given, the band."""
+def top_k(queries: DataFrame, refs: DataFrame, id_col: str, metric, k: int, limit: float = math.inf, band: Band | None = None, compared=None) -> DataFrame:
+    """(query_id, ref_id, distance, rank): the k nearest references of each query within ``limit`` and, if given, the band.
+
+    ``compared``: an accumulator that counts the pairs whose distance was computed.
+    """
     kind = refs.schema[id_col].dataType.simpleString()
     other = queries.schema[id_col].dataType.simpleString()
     schema = f"query_id {other}, ref_id {kind}, distance double"
-    found = _each_block(queries, refs, id_col, metric, band, lambda q, p, s, books: _best(q, p, s, books, metric, k, limit, band.width if band else None), schema, max(1, min(QUERY_BLOCK, HELD // max(k, 1))))
+    arrow = refs.select(id_col).limit(0).toArrow().schema.field(0).type
+    found = _each_block(queries, refs, id_col, metric, band, lambda q, p, s, books: _best(q, p, s, books, metric, k, limit, band.width if band else None, arrow, compared), schema, max(1, min(QUERY_BLOCK, HELD // max(k, 1))))
+    return _first_k(found, k)
+
+
+def _first_k(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy("distance", "ref_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
+def swept(queries: DataFrame, refs: DataFrame, id_col: str, metric, k: int, threshold: float, band: Band, limit: float | None = None, compared=None) -> tuple[DataFrame, DataFrame]:
+    """(edges as of ``top_k``, diagnostics) within a caliper, from one pass that computes the eligible pairs and, at the ends of cells, few others."""
+    kind = refs.schema[id_col].dataType.simpleString()
+    arrow = refs.select(id_col).limit(0).toArrow().schema.field(0).type
+    schema = f"query_id {queries.schema[id_col].dataType.simpleString()}, {_EDGE_AND_TALLY.format(kind)}"
+    make = lambda q, p, s, books: _swept(q, p, s, books, metric, k, threshold if limit is None else limit, threshold, band.width, arrow, compared)
+    both = saved(_each_block(queries, refs, id_col, metric, band, make, schema, max(1, min(QUERY_BLOCK, HELD // max(k, 1)))), "swept")
+    return _first_k(both.where("ref_id is not null").select("query_id", "ref_id", "distance"), k), _summed_up(both.where("eligible is not null"), k)
+
+
 def _tallied(queries: DataFrame, refs: DataFrame, id_col: str, metric, threshold: float, band: Band | None) -> DataFrame:
     """(query_id, eligible, within_threshold, low, high, total), one row for each query and task."""
     schema = f"query_id {queries.schema[id_col].dataType.simpleString()}, eligible long, within_threshold long, low double, high double, total double"
@@ -227,9 +275,29 @@ def _finite(c) -> Column:
 
 def diagnostics(queries: DataFrame, refs: DataFrame, id_col: str, metric, k: int, threshold: float, band: Band | None = None) -> DataFrame:
     """For each query: how many references are eligible and within the threshold, extreme distances, and whether k cuts either off."""
-    parts = _tallied(queries, refs, id_col, metric, threshold, band)
+    return _summed_up(_tallied(queries, refs, id_col, metric, threshold, band), k)
+
+
+def _summed_up(parts: DataFrame, k: int) -> DataFrame:
     got = parts.groupBy("query_id").agg(F.sum("eligible").alias("eligible"), F.sum("within_threshold").alias("within_threshold"), _finite(F.min("low")).alias("min_distance"), _finite(F.max("high")).alias("max_distance"))
-    return got.select("query_id", "eligible", F.least("eligible", F.lit(k).cast("long")).alias("retained"), "within_threshold", "min_distance", "max_distance", (F.col("eligible") > k).alias("truncated_by_k"), (F.col("within_threshold") > k).alias("within_threshold_truncated_by_k"))
+    return judged(got, k)
+
+
+def judged(tallies: DataFrame, k: int) -> DataFrame:
+    """Diagnostics of lists of k, from tallies or from diagnostics of other lists."""
+    return tallies.select("query_id", "eligible", F.least("eligible", F.lit(k).cast("long")).alias("retained"), "within_threshold", "min_distance", "max_distance", (F.col("eligible") > k).alias("truncated_by_k"), (F.col("within_threshold") > k).alias("within_threshold_truncated_by_k"))
+
+
+#: Fixed shares of the caliper report.
+PERCENTILES = (0, 25, 50, 75, 100)
+
+
+def percentiles(found: DataFrame, columns=("eligible", "retained", "within_threshold", "min_distance", "max_distance")) -> DataFrame:
+    """(measure, percentile, value): exact percentiles over the queries with an eligible reference, by linear interpolation."""
+    long = found.where("eligible > 0").select(F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x")).select("x.*")
+    counted = long.where("value is not null").groupBy("measure", "value").agg(F.count("*").alias("n"))
+    got = counted.groupBy("measure").agg(F.percentile("value", [p / 100 for p in PERCENTILES], F.col("n")).alias("values"))
+    return got.select("measure", F.explode(F.arrays_zip(F.array(*map(F.lit, PERCENTILES)).alias("percentile"), F.col("values").alias("value"))).alias("x")).select("measure", "x.percentile", "x.value")
 
 
 def summary(queries: DataFrame, refs: DataFrame, id_col: str, metric, band: Band | None = None) -> DataFrame:
@@ -261,6 +329,10 @@ def all_pairs(queries: DataFrame, refs: DataFrame, id_col: str, metric) -> DataF
 class Metric:
     """What every fitted distance offers over two tables with the same columns."""
 
+    def scales(self, p: int) -> np.ndarray:
+        """What a step of each of the p numbers weighs in the distance; only the choice of cells hangs on it."""
+        return np.ones(p)
+
     def kneighbors(self, queries: DataFrame, refs: DataFrame, id_col: str, k: int, limit: float = math.inf, band: Band | None = None) -> DataFrame:
         return top_k(queries, refs, id_col, self, k, limit, band)
 

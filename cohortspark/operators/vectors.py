@@ -110,6 +110,16 @@ class VectorMetric(Metric):
     def side(self, df: DataFrame) -> tuple[list[Column], list[Column]]:
         return list(self.expressions), []
 
+    def box_floor(self, qn: np.ndarray, qc: np.ndarray, low: np.ndarray, high: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The least distance of each query to anything in each box; 0 where the kind of distance or a missing number gives none."""
+        total = np.zeros((len(qn), len(low)))
+        if self.kind == "cosine":
+            return total
+        for j in range(1 if self.kind == "l1" else qn.shape[1]):
+            gap = np.maximum(np.maximum(low[None, :, j] - qn[:, j, None], qn[:, j, None] - high[None, :, j]), 0.0)
+            total += np.nan_to_num(gap if self.kind == "l1" else gap * gap)
+        return total if self.kind == "l1" else np.sqrt(total)
+
     def block(self, qn: np.ndarray, qc: np.ndarray, rn: np.ndarray, rc: np.ndarray) -> np.ndarray:
         if self.kind == "cosine":
             norms = np.sqrt((qn**2).sum(1))[:, None] * np.sqrt((rn**2).sum(1))[None]

@@ -134,8 +134,11 @@ class CohortMatcher:
             return rows, vectors.VectorMetric("l2", tuple(model.whitened())), dict(zip(names, weights))
         return rows, vectors.VectorMetric("l2" if m.metric == "euclidean" else "cosine", tuple(F.col(c) for c in flat)), dict(zip(names, weights))
 
-    def candidates(self, m: MatchSpec) -> tuple[DataFrame, DataFrame | None, dict[str, float], float]:
-        """(edges with rank, hybrid diagnostics, weights, threshold in force)."""
+    def _search(self, m: MatchSpec):
+        """(edges of the k nearest for all or some exposed rows, hybrid diagnostics for the k of a full list, weights, threshold in force, length of a full list).
+
+        The first is a function of k and a table of query_id (None: all exposed rows).
+        """
         s = self.spec
         needs = m.method == "propensity" or m.ps_hybrid or m.propensity_caliper is not None
         if needs and m.propensity_col not in self.cohort.rows.columns:
@@ -145,28 +148,51 @@ class CohortMatcher:
             threshold = m.propensity_caliper * vectors.logit_sd(self.cohort.rows, m.propensity_col)
         rows, metric, weights = self._metric(m)
         exposed, controls = rows.where(F.col(s.exposure) == 1), rows.where(F.col(s.exposure) == 0)
-        k = m.k_candidates or exposed.count() * m.n_neighbors
+        most = m.k_candidates or max(1, exposed.count() * m.n_neighbors)
         limit = max(threshold, m.fuzzy_limit if m.fuzzy_limit is not None else threshold) + m.distance_eps
+        of = lambda queries: exposed if queries is None else exposed.join(queries.select(F.col("query_id").alias(s.id_col)), s.id_col, "left_semi")
         if not m.ps_hybrid:
-            return knn.top_k(exposed, controls, s.id_col, metric, k, limit), None, weights, threshold + m.distance_eps
+            return lambda k, queries=None: knn.top_k(of(queries), controls, s.id_col, metric, k, limit), None, weights, threshold + m.distance_eps, most
         width = m.ps_caliper * vectors.logit_sd(self.cohort.rows, m.propensity_col)
-        band = knn.Band(m.propensity_col, width)
-        info = saved(knn.diagnostics(exposed, controls, s.id_col, metric, k, threshold, band), "hybrid")
-        edges = knn.top_k(exposed, controls, s.id_col, metric, k, limit, band)
-        if not m.ps_caliper_strict:
-            alone = info.where("eligible = 0").select(F.col("query_id").alias(s.id_col))
-            if alone.limit(1).count():
-                wide = knn.Band(m.propensity_col, 2 * width)
-                edges = edges.unionByName(knn.top_k(exposed.join(alone, s.id_col, "left_semi"), controls, s.id_col, metric, k, limit, wide))
-        return edges, info, weights, threshold + m.distance_eps
+        first = m.k_candidates or min(most, allocate.LOOK_AHEAD)
+        edges, info = knn.swept(exposed, controls, s.id_col, metric, first, threshold, knn.Band(m.propensity_col, width), limit)
+        if first < most:
+            info = knn.judged(info, most)
+        info = saved(info, "hybrid")
+        alone = info.where("eligible = 0").select("query_id") if not m.ps_caliper_strict else None
+        if alone is not None and not alone.limit(1).count():
+            alone = None
+
+        def search(k: int, queries=None) -> DataFrame:
+            near = edges if queries is None and k == first else knn.top_k(of(queries), controls, s.id_col, metric, k, limit, knn.Band(m.propensity_col, width))
+            if alone is None:
+                return near
+            again = alone if queries is None else alone.join(queries.select("query_id"), "query_id", "left_semi")
+            return near.unionByName(knn.top_k(of(again), controls, s.id_col, metric, k, limit, knn.Band(m.propensity_col, 2 * width)))
+
+        return search, info, weights, threshold + m.distance_eps, most
+
+    def candidates(self, m: MatchSpec) -> tuple[DataFrame, DataFrame | None, dict[str, float], float]:
+        """(edges with rank, hybrid diagnostics, weights, threshold in force), with lists of full length."""
+        search, info, weights, threshold, most = self._search(m)
+        return search(most), info, weights, threshold
 
     def match(self, m: MatchSpec | None = None, **options) -> MatchResult:
-        """Match exposed rows to controls without replacement."""
+        """Match exposed rows to controls without replacement.
+
+        Without ``k_candidates`` lists have no end, but only the edges that the
+        allocation can use are made: short lists first, longer ones for the rows
+        that need them.
+        """
         m = m or MatchSpec(**options)
-        edges, info, weights, threshold = self.candidates(m)
-        edges = saved(edges, "candidates")
+        search, info, weights, threshold, most = self._search(m)
         rules = Rules(threshold, m.n_neighbors, m.safe, m.fuzzy_limit, m.competitive_match, m.global_optimal, m.mcf)
-        pairs = saved(allocate.match(edges, rules), "pairs")
+        if m.k_candidates is None and not m.mcf:  # the flow scales costs by the dearest edge of full lists
+            pairs, edges = allocate.match_growing(search, rules, most)
+        else:
+            edges = saved(search(most), "candidates")
+            pairs = allocate.match(edges, rules)
+        pairs = saved(pairs, "pairs")
         return MatchResult(pairs, link(self.cohort.rows, pairs, self.spec, m.include_unmatched), self.spec, edges, weights, info, threshold)
 
 

@@ -4,7 +4,7 @@ import math
 import numpy as np
 import pytest
 
-from cohortspark.operators.kernel import FLOW_SCALE, FLOW_UNMATCHED, Rules, allocate, assign, assign_sparse, categorise, nearest_first
+from cohortspark.operators.kernel import FLOW_SCALE, FLOW_UNMATCHED, Rules, allocate, assign, categorise, nearest_first
 
 
 def rows_of(matrix, k=None):
@@ -51,22 +51,73 @@ def test_flow_objective_may_leave_a_row_out():
     assert set(picked(rows, allocate(rows, 2, Rules(1.0, safe_matches=2, competitive=False, flow=True, largest=1.0))[0])) == {(0, 0)}
 
 
-def best_total(cost, unmatched):
-    n, m = cost.shape
-    return min(sum(unmatched if c >= m else cost[i, c] for i, c in enumerate(p)) for p in itertools.permutations(range(m + n), n))
+def best_total(cost, places, unmatched):
+    """The least total cost over all ways to fill the places, by enumeration."""
+    of = [i for i, n in enumerate(places) for _ in range(n)]
+    m = cost.shape[1]
+    return min((sum(unmatched if c >= m else cost[i, c] for i, c in zip(of, p)) for p in itertools.permutations(range(m + len(of)), len(of))), default=0.0)
+
+
+def lists_of(cost):
+    return [(np.flatnonzero(np.isfinite(r)), r[np.isfinite(r)]) for r in cost]
 
 
 def test_assignment_is_optimal():
     rng = np.random.default_rng(5)
     for _ in range(150):
         n, m = rng.integers(1, 4), rng.integers(1, 4)
+        places = [1] * n if rng.random() < 0.6 else rng.integers(0, 3, n).tolist()
+        if sum(places) > 4:
+            places = [1] * n
         cost = np.round(rng.random((n, m)) * 4) / 4
         cost[rng.random((n, m)) < 0.3] = np.inf
         unmatched = float(rng.choice([0.3, 100.0]))
-        got = assign(cost, unmatched)
-        used = [c for c in got if c >= 0]
-        assert len(used) == len(set(used))
-        assert sum(cost[i, c] if c >= 0 else unmatched for i, c in enumerate(got)) == pytest.approx(best_total(cost, unmatched))
+        got = assign(lists_of(cost), places, m, unmatched)
+        used = [c for row in got for c in row]
+        assert len(used) == len(set(used)) and all(len(row) <= k for row, k in zip(got, places))
+        assert sum(cost[i, c] for i, row in enumerate(got) for c in row) + unmatched * (sum(places) - len(used)) == pytest.approx(best_total(cost, places, unmatched))
+
+
+def test_assignment_with_capacities_costs_what_copies_cost():
+    """A row with n places is n copies of it."""
+    rng = np.random.default_rng(6)
+    for _ in range(60):
+        n, m = rng.integers(1, 15, 2)
+        cost = np.where(rng.random((n, m)) < 0.4, rng.integers(0, 40, (n, m)).astype(float), np.inf)
+        places = rng.integers(0, 4, n).tolist()
+        lists = lists_of(cost)
+        copies = [i for i, k in enumerate(places) for _ in range(k)]
+        for unmatched in (10.0, 5000.0):
+            total = lambda rows, of: sum(cost[i, c] for i, row in zip(of, rows) for c in row) + unmatched * (sum(places) - sum(map(len, rows)))
+            assert total(assign(lists, places, m, unmatched), range(n)) == total(assign([lists[i] for i in copies], [1] * len(copies), m, unmatched), copies)
+
+
+def greedy_by_rescan(rows, cats, rules):
+    """The greedy phase restated: all limited rows are looked at anew before every match."""
+    limited = [i for i in range(len(rows)) if len(cats.safe[i]) < rules.safe_matches]
+    got = {i: [(at, "safe") for at in cats.safe[i][: rules.n_neighbors]] for i in limited}
+    taken = {int(rows[i][0][at]) for i in limited for at, _ in got[i]}
+    while True:
+        left = {i: [[at for at in of[i] if int(rows[i][0][at]) not in taken] for of in (cats.competitive, cats.fuzzy)] for i in limited if len(got[i]) < rules.n_neighbors}
+        ready = [(len(got[i]), len(k), len(f), i) for i, (k, f) in left.items() if k or f]
+        if not ready:
+            return got
+        i = min(ready)[-1]
+        k, f = left[i]
+        got[i].append((k[0], "competitive") if k else (f[0], "fuzzy"))
+        taken.add(int(rows[i][0][got[i][-1][0]]))
+
+
+def test_greedy_heap_picks_what_a_rescan_picks():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        n, m = rng.integers(1, 9), rng.integers(1, 12)
+        d = np.round(rng.random((n, m)) * 8) / 8
+        rules = Rules(0.5, int(rng.integers(1, 4)), int(rng.integers(1, 4)), 0.75 if rng.random() < 0.5 else None, True, False)
+        rows = rows_of(np.where(d <= (rules.fuzzy_limit or rules.threshold), d, np.inf))
+        chosen, cats = allocate(rows, m, rules)
+        want = greedy_by_rescan(rows, cats, rules)
+        assert [x for x in chosen] == [want.get(i, []) for i in range(n)]
 
 
 def literal_categories(rows, n, rules):
@@ -132,16 +183,3 @@ def test_greedy_takes_the_nearest_free():
 
 def test_flow_constants():
     assert FLOW_SCALE == 1_000_000 and FLOW_UNMATCHED == 10_000
-
-
-def test_sparse_assignment_costs_what_the_dense_one_does():
-    rng = np.random.default_rng(5)
-    for _ in range(60):
-        n, m = rng.integers(1, 25, 2)
-        cost = np.where(rng.random((n, m)) < 0.4, rng.integers(0, 40, (n, m)).astype(float), np.inf)
-        lists = [(np.flatnonzero(np.isfinite(r)), r[np.isfinite(r)]) for r in cost]
-        for unmatched in (10.0, 5000.0):
-            total = lambda cols: sum(unmatched if c < 0 else cost[i, c] for i, c in enumerate(cols))
-            found = assign_sparse(lists, m, unmatched)
-            used = found[found >= 0]
-            assert len(set(used.tolist())) == len(used) and total(found) == total(assign(cost, unmatched))
