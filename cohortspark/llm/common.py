@@ -85,9 +85,10 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def own_session(spark: SparkSession) -> SparkSession:
-    """A session with the same settings, in which every query's shuffle files go at its end; for steps that save what they make and read it once."""
+def own_session(spark: SparkSession, batch_rows: int) -> SparkSession:
+    """A session with the same settings but ``batch_rows`` rows in an Arrow batch, in which every query's shuffle files go at its end; for steps that save what they make and read it once."""
     own = SparkSession(spark.sparkContext, spark._jsparkSession.cloneSession())
+    own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
     own.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     return own
 

@@ -53,9 +53,11 @@ TRIM = 64
 HOT = 1000
 LONGEST = 2048
 #: Bytes of text that fill one array, and that one task is meant to read.
-ARRAY_BYTES = 256 << 10
+ARRAY_BYTES = 128 << 10
 TASK_BYTES = 1 << 20
-_STRETCH = 1 << 20
+_STRETCH = 1 << 18
+#: Rows of an Arrow batch: texts and pieces lie in it several times over.
+_BATCH_ROWS = 1000
 _PIECES = "m long, d1 long, d2 long, row long, at int, n int, twice boolean"
 
 
@@ -340,9 +342,8 @@ def _by_strings(texts: DataFrame) -> DataFrame:
 def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, n_bytes, kept, spans), one row for each input row: what is left of its UTF-8 bytes, and the (start, end) of what was removed."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    own = own_session(docs.sparkSession)
-    here = saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("t")), "rows")
-    rows = handed(here, own)
+    own = own_session(docs.sparkSession, _BATCH_ROWS)
+    rows = handed(saved(docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("id"), F.col(text).alias("t")), "rows"), own)
 
     pieces = saved(rows.select("row", "t").mapInArrow(tidy(_make_pieces), _PIECES), "pieces")
     met = pieces.groupBy("m").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("c")).where(F.col("c") > 1).select("m")
@@ -367,6 +368,9 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     discard(texts)
     discard(judged)
 
-    found = handed(spans, docs.sparkSession).groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("found"))
-    rows = here.join(found, "row", "left").select("id", "t", "found")
-    return rows.mapInArrow(tidy(_cut_out), f"doc_id {kind}, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
+    found = spans.groupBy("row").agg(F.collect_list(F.struct("at", "n")).alias("found"))
+    done = rows.join(found, "row", "left").select("id", "t", "found").mapInArrow(tidy(_cut_out), f"doc_id {kind}, n_bytes long, kept binary, spans array<struct<start: long, end: long>>")
+    done = saved(done, "kept")
+    discard(spans)
+    discard(rows)
+    return handed(done, docs.sparkSession)
