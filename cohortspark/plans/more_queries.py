@@ -255,6 +255,20 @@ def match_single_hybrid(spark, d):
     return _single(spark, d, _PLACE, "c_acctbal", ps_hybrid=True, ps_caliper=0.2, threshold=0.02)
 
 
+def ranked_sql() -> dict[str, str]:
+    """Common tables that end in ranked(query_id, ref_id, distance, rank): by Mahalanobis distance, by logit (with sd, the logit's deviation), and by Gower's distance within a fifth of that."""
+    logit = f"{_X}, {_newton('x', 's')}, z AS (SELECT unit_id, y, a + b * x AS z FROM x, s WHERE i = 20), sd AS (SELECT stddev_samp(z) AS sd FROM z)"
+    rank = "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) AS rank FROM pairs)"
+    two = f"""WITH {q.C1} k AS (SELECT unit_id, exposure, (coalesce(c_acctbal, 0)) AS c_acctbal, coalesce(n_orders, 0) AS n_orders FROM base), s AS (SELECT var_samp(c_acctbal) + 1e-6 AS a, var_samp(n_orders) + 1e-6 AS b, covar_samp(c_acctbal, n_orders) AS ab FROM k),
+pairs AS (SELECT t.unit_id AS query_id, r.unit_id AS ref_id, sqrt(greatest(0, (b * (t.c_acctbal - r.c_acctbal) ** 2 - 2 * ab * (t.c_acctbal - r.c_acctbal) * (t.n_orders - r.n_orders) + a * (t.n_orders - r.n_orders) ** 2) / (a * b - ab * ab))) AS distance
+  FROM k t, k r, s WHERE t.exposure = 1 AND r.exposure = 0)"""
+    hybrid = f"""{logit}, g AS (SELECT max(c_acctbal) - min(c_acctbal) AS g FROM base WHERE exposure = 0),
+pairs AS (SELECT t.unit_id AS query_id, r.unit_id AS ref_id, (abs(t.c_acctbal - r.c_acctbal) / g + CASE WHEN t.region = r.region THEN 0.0 ELSE 1.0 END) / 2 AS distance
+  FROM base t JOIN z zt ON zt.unit_id = t.unit_id, base r JOIN z zr ON zr.unit_id = r.unit_id, g, sd WHERE t.exposure = 1 AND r.exposure = 0 AND abs(zt.z - zr.z) <= 0.2 * sd)"""
+    propensity = f"{logit}, pairs AS (SELECT t.unit_id AS query_id, r.unit_id AS ref_id, abs(t.z - r.z) AS distance FROM z t, z r WHERE t.y = 1 AND r.y = 0)"
+    return {"mahalanobis": f"{two}, {rank}", "propensity": f"{propensity}, {rank}", "hybrid": f"{hybrid}, {rank}"}
+
+
 def _single_sql() -> dict[str, str]:
     # ranked: one row for each exposed unit and control
     near = lambda limit: f"near AS (SELECT *, count(*) OVER (PARTITION BY ref_id) AS users, row_number() OVER (PARTITION BY ref_id ORDER BY query_id) AS turn, row_number() OVER (PARTITION BY ref_id ORDER BY distance, query_id) AS least FROM ranked WHERE rank = 1 AND distance <= {limit})"
@@ -264,21 +278,15 @@ def _single_sql() -> dict[str, str]:
 kinds AS (SELECT met.*, CASE WHEN NOT inside THEN 2 WHEN n = 1 THEN 0 ELSE 1 END AS kind FROM met JOIN users USING (ref_id)),
 first AS (SELECT *, row_number() OVER (PARTITION BY ref_id ORDER BY CASE kind WHEN 2 THEN 0 WHEN 1 THEN 1 ELSE 2 END, query_id) AS turn FROM kinds)
 SELECT query_id, ref_id, round(distance, 6) AS distance, ['optimal', 'competitive', 'fuzzy'][kind + 1] AS phase FROM first WHERE turn = 1"""
-    logit = f"{_X}, {_newton('x', 's')}, z AS (SELECT unit_id, y, a + b * x AS z FROM x, s WHERE i = 20), sd AS (SELECT stddev_samp(z) AS sd FROM z)"
-    rank = "ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) AS rank FROM pairs)"
-    two = f"""WITH {q.C1} k AS (SELECT unit_id, exposure, (coalesce(c_acctbal, 0)) AS c_acctbal, coalesce(n_orders, 0) AS n_orders FROM base), s AS (SELECT var_samp(c_acctbal) + 1e-6 AS a, var_samp(n_orders) + 1e-6 AS b, covar_samp(c_acctbal, n_orders) AS ab FROM k),
-pairs AS (SELECT t.unit_id AS query_id, r.unit_id AS ref_id, sqrt(greatest(0, (b * (t.c_acctbal - r.c_acctbal) ** 2 - 2 * ab * (t.c_acctbal - r.c_acctbal) * (t.n_orders - r.n_orders) + a * (t.n_orders - r.n_orders) ** 2) / (a * b - ab * ab))) AS distance
-  FROM k t, k r, s WHERE t.exposure = 1 AND r.exposure = 0)"""
+    ranked = ranked_sql()
     return {
         "match_single": f"{q._gower_sql()}, {near(0.05)} {greedy}",
         "match_single_optimal": f"{q._gower_sql()}, {near(0.05)} {optimal}",
         "match_single_flow": f"{q._gower_sql()}, {near(0.05)} {optimal}",
         "match_single_fuzzy": f"{q._gower_sql()}{fuzzy}",
-        "match_single_mahalanobis": f"{two}, {rank}, {near(0.3)} {optimal}",
-        "match_single_propensity": f"{logit}, pairs AS (SELECT t.unit_id AS query_id, r.unit_id AS ref_id, abs(t.z - r.z) AS distance FROM z t, z r WHERE t.y = 1 AND r.y = 0), {rank}, {near('(SELECT 0.01 * sd FROM sd)')} {greedy}",
-        "match_single_hybrid": f"""{logit}, g AS (SELECT max(c_acctbal) - min(c_acctbal) AS g FROM base WHERE exposure = 0),
-pairs AS (SELECT t.unit_id AS query_id, r.unit_id AS ref_id, (abs(t.c_acctbal - r.c_acctbal) / g + CASE WHEN t.region = r.region THEN 0.0 ELSE 1.0 END) / 2 AS distance
-  FROM base t JOIN z zt ON zt.unit_id = t.unit_id, base r JOIN z zr ON zr.unit_id = r.unit_id, g, sd WHERE t.exposure = 1 AND r.exposure = 0 AND abs(zt.z - zr.z) <= 0.2 * sd), {rank}, {near(0.02)} {greedy}""",
+        "match_single_mahalanobis": f"{ranked['mahalanobis']}, {near(0.3)} {optimal}",
+        "match_single_propensity": f"{ranked['propensity']}, {near('(SELECT 0.01 * sd FROM sd)')} {greedy}",
+        "match_single_hybrid": f"{ranked['hybrid']}, {near(0.02)} {greedy}",
     }
 
 

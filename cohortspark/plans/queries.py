@@ -86,7 +86,7 @@ def _gower(spark, d, gaps=False, weights=None):
 def _gower_sql(weights: dict | None = None, gaps: bool = False) -> str:
     w = weights or dict.fromkeys((*NUMERIC, *CATEGORICAL), 1.0)
     delta = {c: f"abs(q.{c} - r.{c}) / g.{c}" for c in NUMERIC} | {c: f"CASE WHEN q.{c} = r.{c} THEN 0.0 ELSE 1.0 END" for c in CATEGORICAL}
-    used = [c for c in delta if w[c] > 0]
+    used = [c for c in delta if isinstance(w[c], str) or w[c] > 0]  # a text is SQL of its own
     both = {c: f"q.{c} IS NOT NULL AND r.{c} IS NOT NULL" for c in used}
     top = " + ".join(f"CASE WHEN {both[c]} THEN CAST({w[c]} AS DOUBLE) * ({delta[c]}) ELSE 0.0 END" for c in used)
     bottom = " + ".join(f"CASE WHEN {both[c]} THEN CAST({w[c]} AS DOUBLE) ELSE CAST(0 AS DOUBLE) END" for c in used)
