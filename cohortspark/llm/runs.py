@@ -139,6 +139,7 @@ def runs(w: list | array, least_length: int = LEAST_LENGTH, least_periods: int =
         raise ValueError("a run has two periods at least")
     found: set[tuple[int, int, int]] = set()
     if len(w) >= max(least_length, 2):
+        w = w if len(w) < _LONG else array("i", w)
         _roots(w, found, least_length, least_periods)
         _roots([-x for x in w] if len(w) < _LONG else array("i", (-np.frombuffer(w, np.int32)).tobytes()), found, least_length, least_periods)
     return sorted(found, key=lambda r: (r[0], r[2]))
