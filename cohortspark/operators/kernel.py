@@ -147,14 +147,13 @@ def assign(edges: list[tuple[np.ndarray, np.ndarray]], places: list[int], n_colu
     finds the cheapest way to a free column, or to a row that leaves a place
     empty; holders hand their columns on along the way.
     """
-    cost_of = [dict(zip(c.tolist(), d.tolist())) for c, d in edges]
-    held: list[set[int]] = [set() for _ in edges]
+    held: list[dict[int, float]] = [{} for _ in edges]  # the columns of each row, with their costs
     holder = [-1] * n_columns
     of_row, of_column = [0.0] * len(edges), np.zeros(n_columns)
     for start in (i for i, n in enumerate(places) for _ in range(n)):
         row_at, column_at = {start: 0.0}, {}
         to_row: dict[int, int] = {}
-        to_column: dict[int, int] = {}
+        to_column: dict[int, tuple[int, float]] = {}
         heap = [(0.0, n_columns + start)]
         best, end_row, end_column = np.inf, -1, -1
         while heap and heap[0][0] < best:
@@ -163,7 +162,7 @@ def assign(edges: list[tuple[np.ndarray, np.ndarray]], places: list[int], n_colu
                 if base > column_at[node]:
                     continue
                 h = holder[node]
-                back = max(base, base - cost_of[h][node] + of_column[node] - of_row[h])
+                back = max(base, base - held[h][node] + of_column[node] - of_row[h])
                 if back < row_at.get(h, np.inf):
                     row_at[h], to_row[h] = back, node
                     heapq.heappush(heap, (back, n_columns + h))
@@ -178,7 +177,7 @@ def assign(edges: list[tuple[np.ndarray, np.ndarray]], places: list[int], n_colu
             for k in np.flatnonzero(reach < best).tolist():
                 c, d = int(columns[k]), float(reach[k])
                 if d < best and d < column_at.get(c, np.inf) and c not in held[i]:
-                    column_at[c], to_column[c] = d, i
+                    column_at[c], to_column[c] = d, (i, float(costs[k]))
                     if holder[c] < 0:
                         best, end_row, end_column = d, -1, c
                     else:
@@ -194,15 +193,15 @@ def assign(edges: list[tuple[np.ndarray, np.ndarray]], places: list[int], n_colu
             if end_row == start:
                 continue
             c = to_row[end_row]
-            held[end_row].remove(c)
+            del held[end_row][c]
         while True:
-            i = to_column[c]
-            held[i].add(c)
+            i, cost = to_column[c]
+            held[i][c] = cost
             holder[c] = i
             if i == start:
                 break
             c = to_row[i]
-            held[i].remove(c)
+            del held[i][c]
     return [sorted(h) for h in held]
 
 
