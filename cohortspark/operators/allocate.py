@@ -10,6 +10,8 @@ kernel call.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -175,10 +177,56 @@ def match_growing(candidates, rules: Rules, most: int, first: int = LOOK_AHEAD,
         edges = saved(edges.join(short, "query_id", "left_anti").unionByName(longer), "candidates")
 
 
-def _match_ranked(ranked: DataFrame, state: DataFrame, rules: Rules) -> DataFrame:
+def _match_ranked(ranked: DataFrame, state: DataFrame, rules: Rules, peel_from: int = DRIVER_EDGES) -> DataFrame:
+    """The greedy phase over the rows short of safe controls, which alone take part in it; then the assignment over what is left."""
     used = saved(categorised(ranked, state, rules), "horizon-edges")
     if rules.flow:
-        rules = Rules(**{**rules.__dict__, "largest": ranked.agg(F.max("distance")).first()[0] or 1.0})
+        rules = replace(rules, largest=ranked.agg(F.max("distance")).first()[0] or 1.0)
+    done = []
+    if rules.competitive:
+        limited = used.groupBy("query_id").agg(F.count(F.when(F.col("category") == "safe", 1)).alias("n")).where(F.col("n") < rules.safe_matches).select("query_id")
+        done.append(saved(_by_component(used.join(limited, "query_id", "left_semi"), replace(rules, global_optimal=False)), "greedy"))
+    if rules.global_optimal:
+        rest = used.where("category <> 'fuzzy'").withColumn("room", F.lit(rules.n_neighbors))
+        if done:
+            got = done[0].groupBy("query_id").agg(F.count("*").cast("int").alias("got"))
+            rest = rest.join(done[0].select("ref_id"), "ref_id", "left_anti").join(got, "query_id", "left").withColumn("room", F.col("room") - F.coalesce("got", F.lit(0))).where("room > 0").drop("got")
+        decided, rest = _peeled(saved(rest, "open-edges"), peel_from)
+        done += [decided, _by_component(rest, replace(rules, competitive=False))]
+    if not done:
+        return used.where("false").select("query_id", "ref_id", "distance", F.lit("").alias("phase"))
+    out = done[0]
+    for x in done[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def _peeled(rest: DataFrame, peel_from: int) -> tuple[DataFrame, DataFrame]:
+    """(decided pairs, open edges): rows whose nearest controls are wanted by nobody else take them, in any least-cost assignment.
+
+    Once they are gone their other controls have fewer who want them, so more
+    rows can be decided; on large graphs (``peel_from`` edges, counted) rounds go
+    on until nothing moves, and only the contested core is left to be split
+    into components and assigned.
+    """
+    order = Window.partitionBy("query_id").orderBy("rank")
+    pairs = lambda x: x.select("query_id", "ref_id", "distance", F.lit("optimal").alias("phase"))
+    decided = pairs(rest.where("false"))
+    while rest.count() > peel_from:
+        wanted = rest.groupBy("ref_id").agg(F.count("*").alias("users"))
+        places = rest.join(wanted, "ref_id").withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("room"))
+        sure = saved(places.withColumn("most", F.max("users").over(Window.partitionBy("query_id"))).where("most = 1"), "decided")
+        if not sure.limit(1).count():
+            break
+        decided = decided.unionByName(pairs(sure))
+        left = saved(rest.join(sure.select("query_id").distinct(), "query_id", "left_anti"), "open-edges")
+        discard(rest)
+        rest = left
+    return decided, rest
+
+
+def _by_component(edges: DataFrame, rules: Rules) -> DataFrame:
+    """Pairs of the categorised ``edges``, one kernel call for each connected component; ``room``, if given, is how many controls a row still takes."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["query_id", "rank"], kind="stable")
@@ -188,12 +236,13 @@ def _match_ranked(ranked: DataFrame, state: DataFrame, rules: Rules) -> DataFram
         for i, (c, _) in enumerate(rows):
             for at in range(len(c)):
                 getattr(cats, next(kinds))[i].append(at)
-        chosen, _ = allocate(rows, len(refs), rules, cats)
+        room = pdf.drop_duplicates("query_id")["room"].to_numpy() if "room" in pdf else None
+        chosen, _ = allocate(rows, len(refs), rules, cats, room)
         out = [(queries[i], refs[rows[i][0][at]], rows[i][1][at], phase) for i, picks in enumerate(chosen) for at, phase in picks]
         return pd.DataFrame(out, columns=["query_id", "ref_id", "distance", "phase"])
 
-    kinds = dict(used.dtypes)
-    return components(used).groupBy("component").applyInPandas(run, f"query_id {kinds['query_id']}, ref_id {kinds['ref_id']}, distance double, phase string")
+    kinds = dict(edges.dtypes)
+    return components(edges).groupBy("component").applyInPandas(run, f"query_id {kinds['query_id']}, ref_id {kinds['ref_id']}, distance double, phase string")
 
 
 def categories(edges: DataFrame, rules: Rules) -> DataFrame:

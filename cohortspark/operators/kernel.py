@@ -205,8 +205,9 @@ def assign(edges: list[tuple[np.ndarray, np.ndarray]], places: list[int], n_colu
     return [sorted(h) for h in held]
 
 
-def _optimal(rows, cats: Categories, rules: Rules, taken: np.ndarray, chosen: list[list[tuple[int, str]]]) -> None:
-    short = [i for i in range(len(rows)) if len(chosen[i]) < rules.n_neighbors]
+def _optimal(rows, cats: Categories, rules: Rules, taken: np.ndarray, chosen: list[list[tuple[int, str]]], room: np.ndarray | None) -> None:
+    room = [int(n) - len(chosen[i]) for i, n in enumerate(np.full(len(rows), rules.n_neighbors) if room is None else room)]
+    short = [i for i in range(len(rows)) if room[i] > 0]
     open_ = {i: [at for at in sorted(cats.safe[i] + cats.competitive[i]) if not taken[rows[i][0][at]]] for i in short}
     short = [i for i in short if open_[i]]
     if not short:
@@ -216,7 +217,7 @@ def _optimal(rows, cats: Categories, rules: Rules, taken: np.ndarray, chosen: li
     for i in short:
         c, d = rows[i][0][open_[i]], rows[i][1][open_[i]]
         edges.append((np.searchsorted(columns, c), np.rint(d * FLOW_SCALE / rules.largest) if rules.flow else d))
-    places = [min(rules.n_neighbors - len(chosen[i]), len(open_[i])) for i in short]
+    places = [min(room[i], len(open_[i])) for i in short]
     unmatched = FLOW_SCALE + FLOW_UNMATCHED if rules.flow else 1.0 + (sum(places) + 1) * max(float(d.max()) for _, d in edges)
     for i, found in zip(short, assign(edges, places, len(columns), unmatched)):
         place_of = {int(rows[i][0][at]): at for at in open_[i]}
@@ -225,15 +226,15 @@ def _optimal(rows, cats: Categories, rules: Rules, taken: np.ndarray, chosen: li
             taken[c] = True
 
 
-def allocate(rows: list[tuple[np.ndarray, np.ndarray]], n_controls: int, rules: Rules, cats: Categories | None = None) -> tuple[list[list[tuple[int, str]]], Categories]:
-    """For each row the chosen edges (place in its list, phase), and the categories."""
+def allocate(rows: list[tuple[np.ndarray, np.ndarray]], n_controls: int, rules: Rules, cats: Categories | None = None, room: np.ndarray | None = None) -> tuple[list[list[tuple[int, str]]], Categories]:
+    """For each row the chosen edges (place in its list, phase), and the categories; ``room``: how many controls the assignment may give each row, where that isn't the same for all."""
     cats = cats or categorise(rows, n_controls, rules)
     chosen: list[list[tuple[int, str]]] = [[] for _ in rows]
     taken = np.zeros(n_controls, bool)
     if rules.competitive:
         _greedy(rows, cats, rules, taken, chosen)
     if rules.global_optimal:
-        _optimal(rows, cats, rules, taken, chosen)
+        _optimal(rows, cats, rules, taken, chosen, room)
     return chosen, cats
 
 
