@@ -50,7 +50,7 @@ LEAST = 200
 ANCHOR = 64
 TRIM = 64
 #: Different pieces of a bucket that still go to one task, and strings of a piece at most.
-HOT = 1000
+HOT = 300
 LONGEST = 2048
 #: Bytes of text that fill one array, and that one task is meant to read.
 ARRAY_BYTES = 128 << 10
