@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import quantiles
+
 BAD_FROM = 0.1
 LABEL = 15
 
@@ -100,7 +102,9 @@ def pair_quality(pairs: DataFrame, numeric: Sequence[str], categorical: Sequence
     cells = [F.struct(F.lit(c).alias("feature"), (F.abs(F.col(f"{c}_t").cast("double") - F.col(f"{c}_c").cast("double")) / F.lit(float(sds[c]))).alias("d"), F.lit(None).cast("double").alias("m")) for c in numeric]
     cells += [F.struct(F.lit(c).alias("feature"), F.lit(None).cast("double").alias("d"), F.when(F.col(f"{c}_t").eqNullSafe(F.col(f"{c}_c")), 0.0).otherwise(1.0).alias("m")) for c in categorical]
     long = pairs.select(F.explode(F.array(*cells)).alias("x")).select("x.feature", "x.d", "x.m")
-    return long.groupBy("feature").agg(F.avg("d").alias("mean_diff"), F.percentile("d", F.lit(0.5)).alias("median_diff"), F.max("d").alias("max_diff"), F.avg("m").alias("mismatch_rate"))
+    got = long.groupBy("feature").agg(F.avg("d").alias("mean_diff"), F.max("d").alias("max_diff"), F.avg("m").alias("mismatch_rate"))
+    medians = quantiles.grouped(long, "feature", "d", [0.5]).select("feature", F.col("value").alias("median_diff"))
+    return got.join(F.broadcast(medians), "feature", "left").select("feature", "mean_diff", "median_diff", "max_diff", "mismatch_rate")
 
 
 def worst_pairs(pairs: DataFrame, numeric: Sequence[str], categorical: Sequence[str], ranges: dict[str, float]) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import cells
+from . import cells, quantiles
 from .checkpoints import saved
 
 QUERY_BLOCK = 20_000
@@ -295,9 +295,8 @@ PERCENTILES = (0, 25, 50, 75, 100)
 def percentiles(found: DataFrame, columns=("eligible", "retained", "within_threshold", "min_distance", "max_distance")) -> DataFrame:
     """(measure, percentile, value): exact percentiles over the queries with an eligible reference, by linear interpolation."""
     long = found.where("eligible > 0").select(F.explode(F.array(*(F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("value")) for c in columns))).alias("x")).select("x.*")
-    counted = long.where("value is not null").groupBy("measure", "value").agg(F.count("*").alias("n"))
-    got = counted.groupBy("measure").agg(F.percentile("value", [p / 100 for p in PERCENTILES], F.col("n")).alias("values"))
-    return got.select("measure", F.explode(F.arrays_zip(F.array(*map(F.lit, PERCENTILES)).alias("percentile"), F.col("values").alias("value"))).alias("x")).select("measure", "x.percentile", "x.value")
+    got = quantiles.grouped(long, "measure", "value", [p / 100 for p in PERCENTILES])
+    return got.select("measure", F.round(F.col("share") * 100).cast("int").alias("percentile"), "value")
 
 
 def summary(queries: DataFrame, refs: DataFrame, id_col: str, metric, band: Band | None = None) -> DataFrame:

@@ -74,77 +74,124 @@ class LogisticModel:
         return F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(float(self.coefficients[0])), lambda acc, v: acc + v)
 
 
-def _sums(beta: np.ndarray):
+def _sums(betas: np.ndarray):
+    """Of each group (rows of group -1 are in all) Hessian, gradient, likelihood and widest predictor, one row a task."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p = len(beta)
-        total = np.zeros(p * p + p + 2)
+        p = betas.shape[1]
+        total = np.zeros((len(betas), p * p + p + 2))
         for b in batches:
             if not len(b):
                 continue
-            x = np.column_stack([np.ones(len(b)), b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)])
-            y = b.column(1).to_numpy(zero_copy_only=False)
-            eta = x @ beta
-            mu = 1 / (1 + np.exp(-eta))
-            w = mu * (1 - mu)
-            total[: p * p] += ((x * w[:, None]).T @ x).ravel()
-            total[p * p : -2] += x.T @ (y - mu)
-            total[-2] += np.sum(y * eta - np.logaddexp(0, eta))
-            total[-1] = max(total[-1], np.abs(eta).max())
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
+            every = np.column_stack([np.ones(len(b)), b.column(0).flatten().to_numpy(zero_copy_only=False).reshape(len(b), -1)])
+            labels, group = b.column(1).to_numpy(zero_copy_only=False), b.column(2).to_numpy(zero_copy_only=False)
+            for k, beta in enumerate(betas):
+                own = (group == k) | (group < 0)
+                if not own.any():
+                    continue
+                x, y = every[own], labels[own]
+                eta = x @ beta
+                mu = 1 / (1 + np.exp(-eta))
+                w = mu * (1 - mu)
+                total[k, : p * p] += ((x * w[:, None]).T @ x).ravel()
+                total[k, p * p : -2] += x.T @ (y - mu)
+                total[k, -2] += np.sum(y * eta - np.logaddexp(0, eta))
+                total[k, -1] = max(total[k, -1], np.abs(eta).max())
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["s"])
 
     return run
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = None
-    for b in batches:
-        for row in b.column(0).to_pylist():
-            x = np.array(row)
-            total = x if total is None else np.append(total[:-1] + x[:-1], max(total[-1], x[-1]))
-    if total is not None:
-        yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["s"])
+def _plus(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Sums of two tasks; the last column is a largest value."""
+    return np.column_stack([a[:, :-1] + b[:, :-1], np.maximum(a[:, -1], b[:, -1])])
+
+
+def _added(groups: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for b in batches:
+            for row in b.column(0).to_pylist():
+                x = np.array(row).reshape(groups, -1)
+                total = x if total is None else _plus(total, x)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["s"])
+
+    return run
 
 
 def fit_logistic(rows: DataFrame, tolerance: float = TOLERANCE, most: int = MAX_ITERATIONS) -> LogisticModel:
-    """Unpenalised maximum likelihood by Newton steps on (x array<double>, y double).
+    """Unpenalised maximum likelihood by Newton steps on (x array<double>, y double)."""
+    return fit_groups(rows.withColumn("g", F.lit(-1)), 1, tolerance, most)[0]
+
+
+@dataclass
+class _Fit:
+    """One group's Newton iteration between two passes."""
+
+    beta: np.ndarray
+    hessian: np.ndarray | None = None
+    gradient: np.ndarray | None = None
+    value: float = -math.inf
+    step: np.ndarray | None = None
+    halved: int = 0
+    iterations: int = 0
+    done: bool = False
+
+    def tried(self) -> np.ndarray:
+        return self.beta if self.step is None or self.done else self.beta + self.step
+
+    def take(self, hessian: np.ndarray, gradient: np.ndarray, value: float, widest: float, tolerance: float) -> None:
+        """What the last pass found at ``tried``."""
+        if self.done:
+            return
+        if self.step is not None:
+            if not value >= self.value - 1e-9 * abs(self.value) - 1e-12 and self.halved < 29:
+                self.step, self.halved = self.step / 2, self.halved + 1
+                return
+            new = self.beta + self.step
+            if not np.all(np.isfinite(new)) or widest > SEPARATED:
+                raise RuntimeError("the logistic fit diverges: exposure is separable by the features")
+            self.iterations += 1
+            gain = abs(value - self.value)
+            self.done = gain <= tolerance * (abs(value) + tolerance) and np.abs(self.step).max() < 1e-6
+            self.beta, self.halved = new, 0
+        self.hessian, self.gradient, self.value = hessian, gradient, value
+        if not self.done:
+            try:
+                self.step = np.linalg.solve(hessian, gradient)
+            except np.linalg.LinAlgError:
+                self.step = np.linalg.lstsq(hessian, gradient, rcond=None)[0]
+
 
-    A pass sums gradients and Hessians by partition, then over at most 64 tasks;
-    the driver gets p by p numbers from each of those.  Steps that lower the
-    likelihood are halved.
+def fit_groups(rows: DataFrame, groups: int, tolerance: float = TOLERANCE, most: int = MAX_ITERATIONS) -> list[LogisticModel]:
+    """A maximum-likelihood fit of each of the groups 0, 1, ... of (x array<double>, y double, g int); rows with g = -1 are in all.
+
+    All groups take their Newton steps in the same pass over the rows.  A pass
+    sums gradients and Hessians by partition, then over at most 64 tasks; the
+    driver gets p by p numbers for each group from each of those.  Steps that
+    lower a group's likelihood are halved.
     """
-    rows = rows.select("x", F.col("y").cast("double").alias("y")).persist()
+    rows = rows.select("x", F.col("y").cast("double").alias("y"), F.col("g").cast("int").alias("g")).persist()
     try:
         p = (rows.select(F.size("x")).first() or [0])[0] + 1
         parts = min(64, max(1, rows.rdd.getNumPartitions() // 16))
-
-        def at(beta: np.ndarray):
-            sums = rows.mapInArrow(_sums(beta), "s array<double>")
+        fits = [_Fit(np.zeros(p)) for _ in range(groups)]
+        passes = 0
+        while not all(f.done for f in fits):
+            if passes > most and min(f.iterations for f in fits if not f.done) >= most or passes > 31 * most:
+                raise RuntimeError("the logistic fit doesn't converge")
+            sums = rows.mapInArrow(_sums(np.array([f.tried() for f in fits])), "s array<double>")
             if parts > 1 or rows.rdd.getNumPartitions() > 64:
-                sums = sums.repartition(parts).mapInArrow(_added, "s array<double>")
-            total = [np.array(r[0]) for r in sums.collect()]
-            s = sum(x[:-1] for x in total)
-            return s[: p * p].reshape(p, p), s[p * p : -1], s[-1], max(x[-1] for x in total)
-
-        beta = np.zeros(p)
-        h, g, value, _ = at(beta)
-        for i in range(1, most + 1):
-            try:
-                step = np.linalg.solve(h, g)
-            except np.linalg.LinAlgError:
-                step = np.linalg.lstsq(h, g, rcond=None)[0]
-            for _ in range(30):
-                new = beta + step
-                h2, g2, value2, widest = at(new)
-                if value2 >= value - 1e-9 * abs(value) - 1e-12:
-                    break
-                step = step / 2
-            if not np.all(np.isfinite(new)) or widest > SEPARATED:
-                raise RuntimeError("the logistic fit diverges: exposure is separable by the features")
-            gain = abs(value2 - value)
-            beta, h, g, value = new, h2, g2, value2
-            if gain <= tolerance * (abs(value) + tolerance) and np.abs(step).max() < 1e-6:
-                return LogisticModel(beta, i)
-        raise RuntimeError("the logistic fit doesn't converge")
+                sums = sums.repartition(parts).mapInArrow(_added(groups), "s array<double>")
+            total = None
+            for r in sums.collect():
+                x = np.array(r[0]).reshape(groups, -1)
+                total = x if total is None else _plus(total, x)
+            for f, s in zip(fits, total):
+                f.take(s[: p * p].reshape(p, p), s[p * p : -2], s[-2], s[-1], tolerance)
+            passes += 1
+        return [LogisticModel(f.beta, f.iterations) for f in fits]
     finally:
         rows.unpersist()
 
@@ -210,11 +257,17 @@ def fit_propensity(df: DataFrame, spec: CohortSpec, formula: str | None = None,
         scored = trained(cases.unionByName(downsample(controls, "id", int(n_cases * downsample_ratio), seed)), rows)
     elif n_bags is not None:
         bag = F.pmod(_ordered("id", seed), F.lit(n_bags))
-        every = [trained(cases.unionByName(controls.where(bag == b)), rows).select("id", "p", "z") for b in range(n_bags)]
-        union = every[0]
-        for x in every[1:]:
-            union = union.unionByName(x)
-        scored = union.groupBy("id").agg(F.avg("p").alias("p"), F.avg("z").alias("z"))
+        if estimator is None:
+            fits += fit_groups(rows.withColumn("g", F.when(F.col("y") == 1, -1).otherwise(bag)), n_bags)
+            logits = [m.logit(F.col("x")) for m in fits]
+            mean = lambda values: sum(values[1:], values[0]) / n_bags
+            scored = rows.select("id", mean([1 / (1 + F.exp(-z)) for z in logits]).alias("p"), mean(logits).alias("z"))
+        else:
+            every = [_with_estimator(estimator, cases.unionByName(controls.where(bag == b)), rows).select("id", "p", "z") for b in range(n_bags)]
+            union = every[0]
+            for x in every[1:]:
+                union = union.unionByName(x)
+            scored = union.groupBy("id").agg(F.avg("p").alias("p"), F.avg("z").alias("z"))
     elif n_hard_mining is not None:
         scout = trained(cases.unionByName(downsample(controls, "id", 10 * n_cases, seed)), controls)
         hard = scout.orderBy(F.desc("p"), "id").limit(n_hard_mining).select("id", "y", "x")

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ranges import ONE_SORT, running_sums
 from .vectors import PcaModel, fit_pca
 
 
@@ -27,11 +28,10 @@ def histogram(df: DataFrame, feature: str, exposure: str, bins: int = 30) -> Dat
     return got.select("exposure", "bin", (F.lit(lo) + F.col("bin") * width).alias("low"), (F.lit(lo) + (F.col("bin") + 1) * width).alias("high"), "n")
 
 
-def ecdf(df: DataFrame, value: str, exposure: str) -> DataFrame:
-    """(exposure, value, cumulative share): of each distinct value, from counts, so equal values meet before any sort."""
+def ecdf(df: DataFrame, value: str, exposure: str, one_sort: int = ONE_SORT) -> DataFrame:
+    """(exposure, value, cumulative share): of each distinct value, from counts, so equal values meet before any sort; many values are summed range by range."""
     counts = df.where(F.col(value).isNotNull()).groupBy(F.col(exposure).alias("exposure"), F.col(value).alias("value")).agg(F.count("*").alias("n"))
-    group = Window.partitionBy("exposure")
-    return counts.select("exposure", "value", (F.sum("n").over(group.orderBy("value")) / F.sum("n").over(group)).alias("share"))
+    return running_sums(counts, "exposure", "value", "n", one_sort).select("exposure", "value", (F.col("running") / F.col("whole")).alias("share"))
 
 
 def coverage(before: DataFrame, after: DataFrame, value: str, exposure: str, bins: int = 30) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import logging
 from dataclasses import dataclass, field, replace
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.naming import feature_maps
@@ -13,6 +13,7 @@ from ..operators import allocate, balance, effects, gower, knn, preprocess, prop
 from ..operators.checkpoints import saved
 from ..operators.cohort import Cohort
 from ..operators.kernel import Rules
+from ..operators.ranges import numbered
 from ..spec import CohortSpec, MatchSpec
 
 log = logging.getLogger("cohortspark")
@@ -196,25 +197,6 @@ class CohortMatcher:
         return MatchResult(pairs, link(self.cohort.rows, pairs, self.spec, m.include_unmatched), self.spec, edges, weights, info, threshold)
 
 
-#: Up to so many rows are numbered by one sort in one task.
-ONE_SORT = 1_000_000
-
-
-def numbered(rows: DataFrame, key: str, one_sort: int = ONE_SORT) -> DataFrame:
-    """``rows`` with ``number``: the place of the (unique) key in order, from 0.
-
-    Beyond ``one_sort`` rows (counted first) keys are dealt out by ranges,
-    written, ranked within each range, and shifted by the ranges before it.
-    """
-    if rows.count() <= one_sort:
-        return rows.withColumn("number", F.row_number().over(Window.orderBy(key)) - 1)
-    dealt = saved(rows.repartitionByRange(key).withColumn("_range", F.spark_partition_id()), "ranges")
-    sizes = dealt.groupBy("_range").agg(F.count("*").alias("n"))
-    before = sizes.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    place = F.row_number().over(Window.partitionBy("_range").orderBy(key)) - 1
-    return dealt.withColumn("_place", place).join(F.broadcast(before), "_range").withColumn("number", (F.col("before") + F.col("_place")).cast("int")).drop("_range", "_place", "before")
-
-
 def link(rows: DataFrame, pairs: DataFrame, spec: CohortSpec, include_unmatched: bool = True) -> DataFrame:
     """The population's rows that take part, with their match columns.
 

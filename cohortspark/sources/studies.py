@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.ranges import numbered
 from .tables import npz, whitespace
 
 #: Column order of the labour-market files (the older ones have no 1974 earnings), and features of the studies.
@@ -54,16 +55,17 @@ def lalonde(treated: DataFrame, *controls: DataFrame) -> DataFrame:
     for c in controls:
         rows = rows.unionByName(c.where("treat = 0"), allowMissingColumns=True)
     order = [c for c in LALONDE_COLUMNS[1:] if c in rows.columns]
-    number = F.row_number().over(Window.orderBy(F.desc("treat"), *order)) - 1
+    rows = numbered(rows, F.desc("treat"), *order)
     return rows.select(
-        F.concat(F.lit("P"), number.cast("string")).alias("patient_id"), F.col("treat").cast("int").alias("exposure_status"), F.col("RE78").alias("outcome"),
+        F.concat(F.lit("P"), F.col("number").cast("string")).alias("patient_id"), F.col("treat").cast("int").alias("exposure_status"), F.col("RE78").alias("outcome"),
         *(c for c in LALONDE_NUMERIC if c in order), *(F.col(c).cast("int").cast("string").alias(c) for c in LALONDE_BINARY))
 
 
 def vlbw(raw: DataFrame, id_col: str | None = None) -> DataFrame:
     """Very low birth weight: pneumothorax as exposure, death as outcome, complete rows only."""
     rows = raw.where(F.col("pneumo").isNotNull())
-    key = F.col(id_col).cast("string") if id_col else F.concat(F.lit("V"), (F.row_number().over(Window.orderBy(*rows.columns)) - 1).cast("string"))
+    rows = rows if id_col else numbered(rows, *rows.columns)
+    key = F.col(id_col).cast("string") if id_col else F.concat(F.lit("V"), F.col("number").cast("string"))
     picked = rows.select(
         key.alias("patient_id"), F.col("pneumo").cast("int").alias("exposure_status"), F.col("dead").cast("int").alias("outcome"),
         *(F.col(c).try_cast("double").alias(c) for c in VLBW_NUMERIC), *(F.col(c).cast("string").alias(c) for c in VLBW_CATEGORICAL))
