@@ -20,13 +20,27 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def fresh_dir(spark: SparkSession, name: str) -> str:
+    """A new empty folder in the shared folder; Hadoop removes it when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    where, fs = _hadoop(spark, path)
+    fs.mkdirs(where)
+    fs.deleteOnExit(where)
+    return path
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """The rows, written once as Parquet in the shared folder and read again; Hadoop removes them when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    where, fs = _hadoop(spark, path)
+    fs.deleteOnExit(where)
     out = spark.read.schema(df.schema).parquet(path)
     out._written_to = path
     return out
@@ -34,6 +48,5 @@ def saved(df: DataFrame, name: str) -> DataFrame:
 
 def discard(df: DataFrame) -> None:
     """Remove the files of a ``saved`` table that nothing reads any more."""
-    spark = df.sparkSession
-    where = spark._jvm.org.apache.hadoop.fs.Path(df._written_to)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+    where, fs = _hadoop(df.sparkSession, df._written_to)
+    fs.delete(where, True)

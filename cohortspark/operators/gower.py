@@ -86,6 +86,14 @@ class GowerModel(Metric):
             bottom += np.where(seen, self.weights[c], 0.0)
         return np.where(bottom > 0, top / np.where(bottom > 0, bottom, 1.0), 1.0)
 
+    def differences(self, qn: np.ndarray, qc: np.ndarray, rn: np.ndarray, rc: np.ndarray):
+        """(unweighted differences, where both sides have the feature) of a block, feature by feature."""
+        for j, c in enumerate(self.numeric):
+            gap = np.abs(qn[:, j, None] - rn[None, :, j]) / self.ranges[c]
+            yield gap, ~np.isnan(gap)
+        for j in range(len(self.categorical)):
+            yield (qc[:, j, None] != rc[None, :, j]).astype(float), (qc[:, j, None] != -1) & (rc[None, :, j] != -1)
+
     def block(self, qn: np.ndarray, qc: np.ndarray, rn: np.ndarray, rc: np.ndarray) -> np.ndarray:
         """Distances of a block: numerics as (rows, features) with NaN for null, categories coded with -1 for null and -2 for unseen."""
         active = set(self._active())

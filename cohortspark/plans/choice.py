@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.weights import weights_by_kind
-from ..operators import allocate, gower, knn
+from ..operators import allocate, gower, knn, preprocess, vectors
 from ..operators.cohort import Cohort
 from ..operators.kernel import FLOW_SCALE, FLOW_UNMATCHED, Rules
 from ..spec import CohortSpec, MatchSpec
@@ -139,14 +139,58 @@ def match_choice_hybrid(spark, d):
     return _chosen(spark, d, more._PLACE, "c_acctbal", ps_hybrid=True, ps_caliper=0.2, threshold=0.05)
 
 
-_QUERIES = (match_horizons, match_choice, match_choice_optimal, match_choice_greedy, match_flow_total, match_choice_mahalanobis, match_choice_propensity, match_choice_hybrid)
+_THREE = CohortSpec("unit_id", "exposure", ("c_acctbal", "n_orders", "spend"), bin_method="scaler")
+
+
+def match_choice_pca(spark, d):
+    """By Euclidean distance over the components that hold 95 % of the exposed rows' variance."""
+    return _chosen(spark, d, _THREE, metric="euclidean", pca_filter=True, threshold=0.4)
+
+
+def pca_projection(spark, d):
+    """How far each exposed row lies from the exposed rows' mean along the components kept, and how many these are."""
+    rows = q.customers(spark, d)
+    pre = preprocess.fit(rows, _THREE)
+    columns = preprocess.plain_matrix(pre.columns, [1.0] * 3)
+    ready = pre.transform(rows, "unit_id", "exposure").where("exposure = 1")
+    model = vectors.fit_pca(ready, columns)
+    norm = F.sqrt(sum((x * x for x in model.project(columns)), F.lit(0.0)))
+    return q._rounded(ready.select("unit_id", norm.alias("norm"), F.lit(len(model.components)).cast("long").alias("kept")))
+
+
+_QUERIES = (match_horizons, match_choice, match_choice_optimal, match_choice_greedy, match_flow_total, match_choice_mahalanobis, match_choice_propensity, match_choice_hybrid, match_choice_pca, pca_projection)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in _QUERIES}
 
 
+def _eigen_sql(x: str, y: str, z: str, rows: str) -> str:
+    """Common tables up to ``l``: the covariance (a b c, d e f) of three columns and its eigenvalues l1 >= l2 >= l3 in closed form, with how many hold 95 %."""
+    return f"""m AS (SELECT var_samp({x}) AS a, var_samp({y}) AS b, var_samp({z}) AS c, covar_samp({x}, {y}) AS d, covar_samp({x}, {z}) AS e, covar_samp({y}, {z}) AS f FROM {rows}),
+m1 AS (SELECT *, (a + b + c) / 3 AS q FROM m), m2 AS (SELECT *, sqrt(((a - q) ** 2 + (b - q) ** 2 + (c - q) ** 2 + 2 * (d * d + e * e + f * f)) / 6) AS p FROM m1),
+m3 AS (SELECT *, acos(greatest(-1, least(1, ((a - q) * ((b - q) * (c - q) - f * f) - d * (d * (c - q) - f * e) + e * (d * f - (b - q) * e)) / (2 * p ** 3)))) / 3 AS phi FROM m2),
+m4 AS (SELECT *, q + 2 * p * cos(phi) AS l1, q + 2 * p * cos(phi + 2 * pi() / 3) AS l3 FROM m3), m5 AS (SELECT *, 3 * q - l1 - l3 AS l2 FROM m4),
+l AS (SELECT *, CASE WHEN l1 >= 0.95 * 3 * q THEN 1 WHEN l1 + l2 >= 0.95 * 3 * q THEN 2 ELSE 3 END AS kept FROM m5)"""
+
+
+def _square_sql(x: str, y: str, z: str) -> str:
+    """The squared length of (x, y, z) along the components kept: a component's share is a product of two shifted matrices, whatever its sign."""
+    shifted = lambda k: (f"((a - l{k}) * {x} + d * {y} + e * {z})", f"(d * {x} + (b - l{k}) * {y} + f * {z})", f"(e * {x} + f * {y} + (c - l{k}) * {z})")
+    dot = lambda i, j: " + ".join(f"{s} * {t}" for s, t in zip(shifted(i), shifted(j)))
+    return " + ".join(f"CASE WHEN kept >= {k} THEN ({dot(i, j)}) / ((l{k} - l{i}) * (l{k} - l{j})) ELSE 0 END" for k, i, j in ((1, 2, 3), (2, 1, 3), (3, 1, 2)))
+
+
+def _pca_sql() -> str:
+    scaled = ", ".join(f"coalesce(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 0) AS {n}" for c, n in (("c_acctbal", "x"), ("n_orders", "y"), ("spend", "z")))
+    return f"WITH {q.C1} k AS (SELECT unit_id, exposure, {scaled} FROM base), exposed AS (SELECT * FROM k WHERE exposure = 1), {_eigen_sql('x', 'y', 'z', 'exposed')}"
+
+
 def oracle_sql() -> dict[str, str]:
+    apart = _square_sql("(t.x - r.x)", "(t.y - r.y)", "(t.z - r.z)")
+    pca = f"{_pca_sql()}, pairs AS (SELECT t.unit_id AS query_id, r.unit_id AS ref_id, sqrt(greatest(0, {apart})) AS distance FROM exposed t, k r, l WHERE r.exposure = 0), ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) AS rank FROM pairs)"
+    middle = _square_sql("(x - mx)", "(y - my)", "(z - mz)")
+    share = lambda k: " + ".join(f"l{i}" for i in range(1, k + 1))
     ranked = q._gower_sql()
     sd = {c: f"(SELECT (max({c}) - min({c})) / (1.96 * stddev_samp({c})) FROM c WHERE exposure = 0)" for c in q.NUMERIC} | dict.fromkeys(q.CATEGORICAL, 1.0)
     flow = allocation_sql(ranked, 50, Rules(0.25, competitive=False, flow=True))
@@ -157,6 +201,10 @@ def oracle_sql() -> dict[str, str]:
         "match_choice_mahalanobis": allocation_sql(others["mahalanobis"], 10**9, Rules(0.5)),
         "match_choice_propensity": allocation_sql(others["propensity"], 10**9, Rules("(SELECT 0.01 * sd FROM sd)", n_neighbors=2, safe_matches=2)),
         "match_choice_hybrid": allocation_sql(others["hybrid"], 10**9, Rules(0.05)),
+        "match_choice_pca": allocation_sql(pca, 10**9, Rules(0.4)),
+        "pca_projection": f"{_pca_sql()}, mean AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM exposed) SELECT unit_id, round(sqrt(greatest(0, {middle})), 6) AS norm, CAST(kept AS BIGINT) AS kept FROM exposed, mean, l",
+        "explained_variance": f"WITH {q.C1} k AS (SELECT c_acctbal AS x, coalesce(n_orders, 0) AS y, coalesce(spend, 0) AS z FROM base WHERE exposure = 1), {_eigen_sql('x', 'y', 'z', 'k')} "
+        + " UNION ALL ".join(f"SELECT {k} AS component, round(l{k} / (3 * q), 6) AS explained, round(({share(k)}) / (3 * q), 6) AS cumulative FROM l" for k in (1, 2, 3)),
         "match_horizons": f"{horizons_sql(ranked, 25, _GROWTH)} SELECT query_id, horizon, {kinds} FROM cats JOIN horizon USING (query_id) GROUP BY query_id, horizon",
         "match_choice": allocation_sql(ranked, 10**9, Rules(0.05)),
         "match_choice_optimal": allocation_sql(ranked, 12, Rules(0.03, n_neighbors=2, safe_matches=2, competitive=False)),

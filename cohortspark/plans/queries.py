@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.weights import weights_by_kind
-from ..operators import allocate, balance, effects, gower, knn, preprocess, propensity, report, vectors
+from ..operators import allocate, balance, components, effects, gower, knn, preprocess, propensity, report, vectors
+from ..operators.checkpoints import fresh_dir
 from ..operators.cohort import Cohort
 from ..sources.synth import make_cohort
 from ..sources.tables import parquet
@@ -118,13 +119,22 @@ def gower_weighted(spark, d):
 
 
 def gower_recombined(spark, d):
-    """The weighted distances again, from cached unweighted components."""
+    """The weighted distances again, from a store of unweighted differences."""
     cohort, model = _gower(spark, d)
-    parts = knn.pairs(cohort.exposed, cohort.controls, "unit_id", model.components(), (*NUMERIC, *CATEGORICAL))
-    found = parts.withColumn("distance", model.recombined(F.col("distance"), [WEIGHTS[c] for c in (*NUMERIC, *CATEGORICAL)]))
+    store = components.write(cohort.exposed, cohort.controls, "unit_id", model, fresh_dir(spark, "components"))
+    found = store.distances(spark, WEIGHTS)
     return _rounded(found.groupBy("query_id").agg(F.count("*").alias("n"), F.min("distance").alias("low"), F.avg("distance").alias("mean"), F.max("distance").alias("high")))
 
 
+def gower_store_subset(spark, d):
+    """The five nearest of every fourth exposed row among the controls of even id, by two features, from the store."""
+    cohort, model = _gower(spark, d, gaps=True)
+    store = components.write(cohort.exposed, cohort.controls, "unit_id", model, fresh_dir(spark, "components"))
+    some = cohort.exposed.where("unit_id % 4 = 0").select(F.col("unit_id").alias("query_id"))
+    near = store.distances(spark, {"c_acctbal": 2.0, "region": 0.5}, some, F.col("ref_id") % 2 == 0)
+    return _rounded(knn._first_k(near, K))
+
+
 def gower_ranges(spark, d):
     _, model = _gower(spark, d, gaps=True)
     return _rounded(spark.createDataFrame(sorted((c, float(x)) for c, x in model.ranges.items()), "feature string, span double"))
@@ -525,7 +535,7 @@ def synthetic_cohort(spark, d):
 
 
 _QUERIES = (
-    cohort_split, datetime_days, binning_log_scale, onehot, label_encode_impute, design_matrix, gower_ranges, gower_pairs, gower_nulls, gower_weighted, gower_recombined, sd_weights_controls, sd_weights_pooled,
+    cohort_split, datetime_days, binning_log_scale, onehot, label_encode_impute, design_matrix, gower_ranges, gower_pairs, gower_nulls, gower_weighted, gower_recombined, gower_store_subset, sd_weights_controls, sd_weights_pooled,
     knn_gower, knn_gower_nulls, knn_gower_within, knn_gower_subset, knn_cosine, knn_euclidean, knn_mahalanobis, caliper_band_join, caliper_relaxed, caliper_diagnostics, candidate_usage,
     smd_numeric, smd_categorical, balance_table, before_after, mean_smd, baseline_sd, matched_pairs, pairwise_differences, pair_quality, mapd_pm,
     unadjusted_att, unadjusted_or, mcnemar, conditional_or, mantel_haenszel, att_ols_cluster, retention, match_counts, matching_summary, simulation_summary,
@@ -555,6 +565,8 @@ def oracle_sql() -> dict[str, str]:
         + ", ".join(f"CASE WHEN region {'IS NULL' if v is None else '= ' + chr(39) + v + chr(39)} THEN round(a, 6) ELSE 0.0 END AS c_acctbal_x_region_{str(v).replace(' ', '_').lower()}" for v in ("AMERICA", "ASIA", "EUROPE", "MIDDLE EAST", None)) + " FROM s",
         "gower_ranges": f"{gap} " + " UNION ALL ".join(f"SELECT '{c}' AS feature, {_r(f'max({c}) - min({c})', 'span')} FROM c WHERE exposure = 0" for c in NUMERIC),
         "gower_pairs": f"{_gower_sql()} {_PAIR_STATS}", "gower_nulls": f"{_gower_sql(gaps=True)} {_PAIR_STATS}", "gower_weighted": f"{_gower_sql(WEIGHTS)} {_PAIR_STATS}", "gower_recombined": f"{_gower_sql(WEIGHTS)} {_PAIR_STATS}",
+        "gower_store_subset": f"""{_gower_sql(dict.fromkeys((*NUMERIC, *CATEGORICAL), 0.0) | {"c_acctbal": 2.0, "region": 0.5}, gaps=True)}, near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) AS place FROM ranked WHERE query_id % 4 = 0 AND ref_id % 2 = 0)
+SELECT query_id, ref_id, {_r('distance', 'distance')}, place AS rank FROM near WHERE place <= {K}""",
         "sd_weights_controls": _sd_sql("WHERE exposure = 0"), "sd_weights_pooled": _sd_sql(""),
         "knn_gower": f"{_gower_sql()} {_KNN}", "knn_gower_nulls": f"{_gower_sql(gaps=True)} {_KNN}", "knn_gower_within": f"{_gower_sql()} {_KNN} AND distance <= 0.05",
         "knn_gower_subset": f"{_gower_sql()}, sub AS (SELECT query_id, ref_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, ref_id) AS rank FROM pairs JOIN c ON unit_id = ref_id WHERE region = 'ASIA') {_KNN.replace('FROM ranked', 'FROM sub')}",
