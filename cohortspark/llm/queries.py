@@ -61,11 +61,20 @@ URL_LIST = (
 FIRST_DAY = 1_704_067_200
 
 
+def url_list(pages: DataFrame) -> DataFrame:
+    """``URL_LIST``, and for every host of the pages a history of 20 to 49 entries whose dates, verdicts and kinds follow from its first page."""
+    listed = pages.sparkSession.createDataFrame([(i, rule, verdict, op, FIRST_DAY + 86_400 * day) for i, (rule, verdict, op, day) in enumerate(URL_LIST)], "entry_id long, rule string, verdict string, op string, ts long")
+    hosts = pages.select(urlfilter.host(F.col("url")).alias("h"), "page_id").where("h <> ''").groupBy("h").agg(F.min("page_id").alias("k"))
+    made = hosts.withColumn("j", F.explode(F.expr("sequence(0L, 19 + k % 30)"))).selectExpr(
+        "1000 * (k + 1) + j AS entry_id", "CASE WHEN j % 4 = 3 THEN concat('p:', h, '/en/') ELSE concat('d:', h) END AS rule", "CASE WHEN (k + j * j) % 5 < 3 THEN 'block' ELSE 'allow' END AS verdict",
+        "CASE WHEN (k + j) % 3 = 2 THEN 'remove' ELSE 'add' END AS op", f"{FIRST_DAY} + (k * 7919 + j * 432000) % 31536000 AS ts")
+    return listed.unionByName(made)
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``pages`` has no fetch time: page n counts as fetched 7919 * n seconds (modulo a year) into 2024."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", (F.col("page_id") * 7919 % 31_536_000 + FIRST_DAY).alias("fetched"))
-    entries = spark.createDataFrame([(i, rule, verdict, op, FIRST_DAY + 86_400 * day) for i, (rule, verdict, op, day) in enumerate(URL_LIST)], "entry_id long, rule string, verdict string, op string, ts long")
-    return urlfilter.evaluate(pages, entries)
+    return urlfilter.evaluate(pages, url_list(pages))
 
 
 def op9_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -168,7 +177,10 @@ SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM
 def _op8_sql() -> str:
     entries = ", ".join(f"({i}, {_q(rule)}, {_q(verdict)}, {_q(op)}, {FIRST_DAY + 86_400 * day})" for i, (rule, verdict, op, day) in enumerate(URL_LIST))
     return rf"""
-WITH log(entry_id, rule, verdict, op, ts) AS (VALUES {entries}),
+WITH hosts AS (SELECT regexp_replace(regexp_replace(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), '^.*@', ''), '\.?(:[0-9]*)?$', '') AS h, min(page_id) AS k FROM pages GROUP BY 1),
+made AS (SELECT h, k, unnest(range(20 + k % 30)) AS j FROM hosts WHERE h <> ''),
+log(entry_id, rule, verdict, op, ts) AS (SELECT * FROM (VALUES {entries}) UNION ALL
+  SELECT 1000 * (k + 1) + j, CASE WHEN j % 4 = 3 THEN 'p:' || h || '/en/' ELSE 'd:' || h END, CASE WHEN (k + j * j) % 5 < 3 THEN 'block' ELSE 'allow' END, CASE WHEN (k + j) % 3 = 2 THEN 'remove' ELSE 'add' END, {FIRST_DAY} + (k * 7919 + j * 432000) % 31536000 FROM made),
 dated AS (SELECT a.*, (SELECT min(b.ts) FROM log b WHERE b.rule = a.rule AND (b.ts, b.entry_id) > (a.ts, a.entry_id) AND (b.op = 'add' OR b.verdict = a.verdict)) AS until FROM log a),
 live AS (SELECT * FROM dated WHERE op = 'add' AND (until IS NULL OR until > ts)),
 p AS (SELECT page_id, url, page_id * 7919 % 31536000 + {FIRST_DAY} AS fetched,
@@ -242,7 +254,8 @@ FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc
 def _op13_sql() -> str:
     least, periods = runs.LEAST_LENGTH, runs.LEAST_PERIODS
     return rf"""
-WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS w, coalesce(CAST(doc_id AS VARCHAR), '') AS t FROM documents),
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^ 	-
+]+') AS w, coalesce(CAST(doc_id AS VARCHAR), '') AS t FROM documents),
 h AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(8 * length(t)), lambda i: CAST((ascii(t[i // 8 + 1]) >> (i % 8)) & 1 AS BIGINT))),
         lambda c, b: CASE WHEN xor(c, b) & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END), CAST(4294967295 AS BIGINT)) AS h FROM d),
 a AS (SELECT doc_id, w, n, h, CASE WHEN h % 10 = 0 AND n > 0 THEN (h // 10) % n ELSE n END AS a FROM h),

@@ -19,7 +19,7 @@ piece.  Equal strings are in one bucket, whatever their documents.
    bounded size; two suffixes that agree on ``LEAST`` bytes lie side by side.
    Before, what has no second occurrence of its ``TRIM``-byte substrings in the
    bucket is cut off, and equal stretches are settled together.
-4. Buckets with more than ``HOT`` different pieces are spread string by string,
+4. Buckets with more than ``HOT`` bytes of different pieces are spread string by string,
    under a digest of each, so no task gathers a hot passage's surroundings.
 
 Digests are MD5; strings that meet in an array are compared byte by byte.  All
@@ -49,8 +49,8 @@ from .common import discard, handed, own_session, saved, tidy
 LEAST = 200
 ANCHOR = 64
 TRIM = 64
-#: Different pieces of a bucket that still go to one task, and strings of a piece at most.
-HOT = 300
+#: Bytes of a bucket's different pieces that still go to one task, and strings of a piece at most.
+HOT = 1 << 20
 LONGEST = 2048
 #: Bytes of text that fill one array, and that one task is meant to read.
 ARRAY_BYTES = 128 << 10
@@ -350,10 +350,10 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     shared = saved(pieces.join(met, "m"), "shared")
     discard(pieces)
 
-    equal = shared.groupBy("m", "d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("row", "at")).alias("one"), F.max("twice").alias("twice"))
-    contested = equal.groupBy("m").agg(F.count("*").alias("kinds"), F.min("c").alias("least"), F.max("twice").alias("twice"))
-    contested = contested.where((F.col("least") == 1) & ((F.col("kinds") > 1) | F.col("twice"))).select("m", (F.col("kinds") > HOT).alias("hot"))
-    equal = equal.drop("twice").join(contested, "m", "left").where((F.col("c") > 1) | F.col("hot").isNotNull())
+    equal = shared.groupBy("m", "d1", "d2").agg(F.count("*").alias("c"), F.min(F.struct("row", "at")).alias("one"), F.max("twice").alias("twice"), F.max("n").alias("n"))
+    contested = equal.groupBy("m").agg(F.count("*").alias("kinds"), F.sum("n").alias("bytes"), F.min("c").alias("least"), F.max("twice").alias("twice"))
+    contested = contested.where((F.col("least") == 1) & ((F.col("kinds") > 1) | F.col("twice"))).select("m", (F.col("bytes") > HOT).alias("hot"))
+    equal = equal.drop("twice", "n").join(contested, "m", "left").where((F.col("c") > 1) | F.col("hot").isNotNull())
     judged = shared.drop("twice").join(equal, ["m", "d1", "d2"]).select("m", "row", "at", "n", (F.col("c") > 1).alias("sure"), "hot", (F.col("hot").isNotNull() & (F.col("one") == F.struct("row", "at"))).alias("fetch"))
     judged = saved(judged.where(F.col("sure") | F.col("fetch")), "judged")
     discard(shared)

@@ -9,9 +9,16 @@ keys its URL has (every domain suffix, every path prefix) and as of its fetch
 time, so each key is decided by one interval at most.  The longest active rule
 decides; between a path and a domain of one length the path.
 
-Scale: only keys are joined, never texts.  Captures are salted over ``SALTS``
-tasks for each key, since one host may have a third of all rows; the list is
-repeated for each salt.
+The as-of step is two equi-joins.  A rule with n intervals has a time grid of its
+own, about n equal cells from its first to its last date, and an interval lies in
+every cell it meets: as a rule's intervals don't overlap, that makes 2 n + 2
+pieces at most, and about two in a cell.  A key finds its rule's grid, then its
+cell's pieces, however long the rule's history is.
+
+Scale: only keys are joined, never texts.  A list of at most ``LIST_ROWS``
+intervals (counted) is broadcast.  Beyond that, captures are salted over
+``SALTS`` tasks for each key, since one host may have a third of all rows, and
+the list is repeated for each salt.
 
 Cases: a null or hostless URL and a null time match nothing and pass; entries
 of one rule at one time count in the order of their ids (the largest last);
@@ -25,7 +32,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import saved
+
 SALTS = 32
+#: Pieces of intervals that are broadcast at most (some 50 bytes each).
+LIST_ROWS = 200_000
 
 
 def host(url: Column) -> Column:
@@ -55,13 +66,36 @@ def intervals(entries: DataFrame) -> DataFrame:
     return dated.where((F.col("op") == "add") & (F.col("until").isNull() | (F.col("until") > F.col("ts")))).select("rule", "entry_id", "verdict", F.col("ts").alias("since"), "until")
 
 
-def evaluate(captures: DataFrame, entries: DataFrame, salts: int = SALTS) -> DataFrame:
+def _gridded(live: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rule, first, width, top): the grids; (rule, cell, entry_id, verdict, since, until): the intervals by cell.  ``top`` is the cell of all that comes after the last date."""
+    ends = live.groupBy("rule").agg(F.min("since").alias("first"), F.max(F.coalesce("until", "since")).alias("last"), F.count("*").alias("n"))
+    width = F.greatest(F.lit(1), F.ceil((F.col("last") - F.col("first")) / F.col("n"))).cast("long")
+    grids = ends.withColumn("width", width).select("rule", "first", "width", (F.floor((F.col("last") - F.col("first")) / F.col("width")) + 1).alias("top"))
+    end = F.when(F.col("until").isNull(), F.col("top")).otherwise(_cell(F.col("until") - 1))
+    pieces = live.join(grids, "rule").withColumn("cell", F.explode(F.sequence(_cell(F.col("since")), end)))
+    return grids, pieces.select("rule", "cell", "entry_id", "verdict", "since", "until")
+
+
+def _cell(at: Column) -> Column:
+    return F.least(F.floor((at - F.col("first")) / F.col("width")), F.col("top"))
+
+
+def evaluate(captures: DataFrame, entries: DataFrame, salts: int = SALTS, list_rows: int = LIST_ROWS) -> DataFrame:
     """(page_id, url, fetched, rule, entry_id, blocked), one row for each capture (page_id, url, fetched)."""
     rows = captures.select("page_id", "url", "fetched")
-    live = intervals(entries).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    grids, pieces = _gridded(saved(intervals(entries), "intervals"))
     distinct = rows.where("url is not null and fetched is not null").distinct()
-    asked = distinct.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "fetched"), F.lit(salts)).cast("int")).withColumn("rule", F.explode(keys(F.col("url"))))
-    met = asked.join(live, ["rule", "salt"]).where("fetched >= since and (until is null or fetched < until)")
+    asked = distinct.withColumn("rule", F.explode(keys(F.col("url"))))
+    by = ["rule"]
+    if pieces.count() <= list_rows:
+        grids, pieces = F.broadcast(grids), F.broadcast(pieces)
+    else:
+        by = ["rule", "salt"]
+        every = F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
+        grids, pieces = grids.withColumn("salt", every), pieces.withColumn("salt", every)
+        asked = asked.withColumn("salt", F.pmod(F.xxhash64("page_id", "url", "fetched"), F.lit(salts)).cast("int"))
+    asked = asked.join(grids, by).where("fetched >= first").withColumn("cell", _cell(F.col("fetched"))).drop("first", "width", "top")
+    met = asked.join(pieces, [*by, "cell"]).where("fetched >= since and (until is null or fetched < until)")
     # longest rule, then path before domain ('p' > 'd')
     rank = F.struct(F.length("rule").alias("n"), "rule", (F.col("verdict") == "block").alias("block"), "entry_id")
     best = met.groupBy("page_id", "url", "fetched").agg(F.max(rank).alias("best"))

@@ -442,6 +442,39 @@ def test_url_filter_by_hand(spark):
     assert urlfilter.evaluate(captures.limit(0), entries).count() == 0 and urlfilter.evaluate(captures, entries.limit(0)).where("blocked").count() == 0
 
 
+def test_url_filter_with_long_histories(spark):
+    """Rules of hundreds of intervals, block against allow at one time, a very long URL; broadcast and salted lists against a plain as-of look-up."""
+    rng = np.random.default_rng(4)
+    entries = [(i, f"d:h{rng.integers(6)}.example", ("block", "allow")[rng.integers(2)], ("add", "add", "remove")[rng.integers(3)], int(rng.integers(0, 3000))) for i in range(2400)]
+    entries += [(9000, "d:tie.example", "block", "add", 5), (9001, "d:tie.example", "allow", "add", 5), (9003, "p:h0.example/" + "x" * 3000 + "/", "block", "add", 7), (9004, None, "block", "add", 1), (9005, "d:h0.example", "block", "add", None)]
+    captures = [(i, f"http://h{rng.integers(7)}.example/a", int(rng.integers(-10, 3200))) for i in range(1500)]
+    captures += [(2000, "http://tie.example/", 6), (2001, "http://h0.example/" + "x" * 3000 + "/" + "y/" * 500, 3100), (2002, None, 5), (2003, "http://tie.example/", None)]
+    df = spark.createDataFrame(captures, "page_id long, url string, fetched long")
+    log = spark.createDataFrame(entries, "entry_id long, rule string, verdict string, op string, ts long")
+
+    def active(rule, at):
+        now = None
+        for i, r, verdict, op, ts in sorted((e for e in entries if e[1] == rule and e[4] is not None and e[4] <= at), key=lambda e: (e[4], e[0])):
+            if op == "add":
+                now = (i, verdict)
+            elif now and now[1] == verdict:
+                now = None
+        return now
+
+    want = {}
+    for page, url, at in captures:
+        host = url and url.split("/")[2]
+        rules = [] if at is None or url is None else [f"d:{host}", *([entries[-3][1]] if url.startswith("http://h0.example/xxx") else [])]
+        hits = [(len(rule), *now) for rule in rules if (now := active(rule, at))]
+        best = max(hits, default=None)
+        want[page] = (best and best[1], bool(best and best[2] == "block"))
+    for options in ({}, {"list_rows": 0, "salts": 3}):
+        assert {r.page_id: (r.entry_id, r.blocked) for r in urlfilter.evaluate(df, log, **options).collect()} == want
+    _, pieces = urlfilter._gridded(urlfilter.intervals(log))
+    most = pieces.groupBy("rule", "cell").count().agg(F.max("count")).first()[0]
+    assert pieces.count() <= 3 * urlfilter.intervals(log).count() + 20 and most < 20
+
+
 # -- 9 near duplicates
 
 

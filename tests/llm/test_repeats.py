@@ -76,7 +76,7 @@ def repeated_texts(seed):
     return out
 
 
-@pytest.mark.parametrize("hot", [300, 1])
+@pytest.mark.parametrize("hot", [1 << 20, 1])
 def test_removed_bytes(spark, monkeypatch, hot):
     """Also with every bucket spread string by string."""
     monkeypatch.setattr(suffix, "HOT", hot)
