@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .checkpoints import discard, saved
-from .kernel import Categories, Rules, allocate, horizons, nearest_first
+from .kernel import Categories, Rules, allocate, horizons
 
 
 #: Up to so many edges (counted first) are labelled on the driver.
@@ -254,17 +254,77 @@ def categories(edges: DataFrame, rules: Rules) -> DataFrame:
     return state.join(counts, "query_id").select("query_id", "horizon", "n_safe", "n_competitive", "n_fuzzy")
 
 
-def greedy(edges: DataFrame, caliper: float, ratio: int = 1) -> DataFrame:
-    """(query_id, ref_id, distance): nearest-first matching without replacement, queries in order of id."""
-    edges = saved(edges.where(F.col("distance") <= caliper).select("query_id", "ref_id", "distance"), "edges")
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, queries, refs = _rows_of(pdf)
-        out = [(queries[i], refs[rows[i][0][at]], rows[i][1][at]) for i, picks in enumerate(nearest_first(rows, len(refs), caliper, ratio)) for at in picks]
-        return pd.DataFrame(out, columns=["query_id", "ref_id", "distance"])
+def _propose_shard(pdf: pd.DataFrame) -> pd.DataFrame:
+    """(query_id, ref_id, distance, at) of a shard's free rows: the control that each ends at, or none (``at``: how far its list is used up).
 
+    A row asks its controls in turn; a control takes it unless it is held by a row of less id, and sends the one it held on.
+    """
+    pdf = pdf.sort_values(["query_id", "rank"], kind="stable").reset_index(drop=True)
+    queries, first = np.unique(pdf["query_id"].to_numpy(), return_index=True)
+    refs, codes = np.unique(pdf["ref_id"].to_numpy(), return_inverse=True)
+    end = [*first[1:].tolist(), len(pdf)]
+    # the place of the holder's id among the shard's ids: a row of the shard gives way to holders at or before it
+    holder = np.full(len(refs), len(queries))
+    has = pdf["held"].to_numpy()
+    holder[codes[has]] = np.searchsorted(queries, pdf["holder"].to_numpy()[has])
+    own = np.zeros(len(refs), bool)
+    at = first.tolist()
+    won = np.full(len(queries), -1)
+    for q in range(len(queries)):
+        while q >= 0:
+            k = at[q]
+            while k < end[q] and holder[codes[k]] <= q:
+                k += 1
+            at[q] = k
+            if k == end[q]:
+                break
+            c = codes[k]
+            sent = int(holder[c]) if own[c] else -1
+            holder[c], own[c], won[q] = q, True, k
+            if sent >= 0:
+                won[sent] = -1
+            q = sent
+    k = np.where(won >= 0, won, 0)
+    rank = pdf["rank"].to_numpy()
+    at = np.where(won >= 0, rank[k] - 1, rank[np.array(end) - 1])
+    return pd.DataFrame({"query_id": queries, "ref_id": pdf["ref_id"].to_numpy()[k], "distance": pdf["distance"].to_numpy()[k], "at": at, "won": won >= 0})
+
+
+def greedy(edges: DataFrame, caliper: float, ratio: int = 1, look_ahead: int = LOOK_AHEAD, shard_edges: int = SHARD_EDGES) -> DataFrame:
+    """(query_id, ref_id, distance): nearest-first matching without replacement, queries in order of id, ``ratio`` times over.
+
+    That is the one matching in which no row would rather have a control that
+    is free or held by a row of greater id, so it can be reached in any order:
+    rows ask their controls in turn, controls keep the least id that asked.
+    Shards do so for their free rows, as far as they know who holds what; where
+    several shards' rows want one control the least id has it, and the others
+    go on in the next round.
+    """
     kinds = dict(edges.dtypes)
-    return components(edges).groupBy("component").applyInPandas(run, f"query_id {kinds['query_id']}, ref_id {kinds['ref_id']}, distance double")
+    done = saved(edges.where("false").select("query_id", "ref_id", "distance"), "greedy")
+    for _ in range(ratio):
+        ranked = _ranked(edges.join(done.select("ref_id"), "ref_id", "left_anti"), Rules(caliper))
+        held = saved(done.where("false"), "held")
+        used = saved(ranked.select("query_id").distinct().withColumn("at", F.lit(0)), "used")
+        while True:
+            free = used.join(held, "query_id", "left_anti")
+            ahead = ranked.join(free, "query_id").where((F.col("rank") > F.col("at")) & (F.col("rank") <= F.col("at") + look_ahead)).drop("at")
+            ahead = ahead.join(held.select("ref_id", F.col("query_id").alias("holder")), "ref_id", "left")
+            ahead = saved(ahead.select("query_id", "ref_id", "distance", "rank", F.coalesce("holder", "query_id").alias("holder"), F.col("holder").isNotNull().alias("held")), "ahead")
+            n = ahead.count()
+            if not n:
+                break
+            shard = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // shard_edges))))
+            asked = ahead.groupBy(shard.alias("shard")).applyInPandas(_propose_shard, f"query_id {kinds['query_id']}, ref_id {kinds['ref_id']}, distance double, at int, won boolean")
+            asked = saved(asked, "asked")
+            rows = held.unionByName(asked.where("won").select("query_id", "ref_id", "distance"))
+            now = saved(rows.groupBy("ref_id").agg(F.min_by(F.struct("query_id", "distance"), F.col("query_id")).alias("x")).select("x.query_id", "ref_id", "x.distance"), "held")
+            next_used = saved(used.join(asked.select("query_id", F.col("at").alias("next")), "query_id", "left").select("query_id", F.coalesce("next", "at").alias("at")), "used")
+            for old in (held, used, ahead, asked):
+                discard(old)
+            held, used = now, next_used
+        done = saved(done.unionByName(held), "greedy")
+    return done
 
 
 def usage(edges: DataFrame) -> DataFrame:

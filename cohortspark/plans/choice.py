@@ -158,7 +158,15 @@ def pca_projection(spark, d):
     return q._rounded(ready.select("unit_id", norm.alias("norm"), F.lit(len(model.components)).cast("long").alias("kept")))
 
 
-_QUERIES = (match_horizons, match_choice, match_choice_optimal, match_choice_greedy, match_flow_total, match_choice_mahalanobis, match_choice_propensity, match_choice_hybrid, match_choice_pca, pca_projection)
+_TWO = CohortSpec("unit_id", "exposure", ("c_acctbal", "n_orders"))
+
+
+def propensity_two(spark, d):
+    """Two features and their intercept."""
+    return q._rounded(CohortMatcher(q.customers(spark, d), _TWO).fit_propensity().propensity.scores, 5)
+
+
+_QUERIES = (match_horizons, match_choice, match_choice_optimal, match_choice_greedy, match_flow_total, match_choice_mahalanobis, match_choice_propensity, match_choice_hybrid, match_choice_pca, pca_projection, propensity_two)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -181,6 +189,20 @@ def _square_sql(x: str, y: str, z: str) -> str:
     return " + ".join(f"CASE WHEN kept >= {k} THEN ({dot(i, j)}) / ((l{k} - l{i}) * (l{k} - l{j})) ELSE 0 END" for k, i, j in ((1, 2, 3), (2, 1, 3), (3, 1, 2)))
 
 
+def _newton_two() -> str:
+    """Newton's steps of an intercept and two slopes, each a 3 by 3 system by Cramer's rule."""
+    scaled = ", ".join(f"coalesce(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 0) AS {n}" for c, n in (("c_acctbal", "u"), ("n_orders", "v")))
+    det = lambda m: f"({m[0]} * ({m[4]} * {m[8]} - {m[5]} * {m[7]}) - {m[1]} * ({m[3]} * {m[8]} - {m[5]} * {m[6]}) + {m[2]} * ({m[3]} * {m[7]} - {m[4]} * {m[6]}))"
+    h = ["h00", "h01", "h02", "h01", "h11", "h12", "h02", "h12", "h22"]
+    put = lambda k: [f"g{i // 3}" if i % 3 == k else x for i, x in enumerate(h)]
+    steps = ", ".join(f"{n} + {det(put(k))} / {det(h)}" for k, n in enumerate("abc"))
+    sums = ", ".join([f"sum((y - p) * {x}) AS g{i}" for i, x in enumerate(("1", "u", "v"))] + [f"sum(p * (1 - p) * {x}) AS h{i}" for i, x in (("00", "1"), ("01", "u"), ("02", "v"), ("11", "u * u"), ("12", "u * v"), ("22", "v * v"))])
+    return f"""WITH RECURSIVE {q.C1} x AS (SELECT unit_id, CAST(exposure AS DOUBLE) AS y, {scaled} FROM base),
+s(i, a, b, c) AS (SELECT 0, CAST(0 AS DOUBLE), CAST(0 AS DOUBLE), CAST(0 AS DOUBLE) UNION ALL SELECT i + 1, {steps} FROM (
+  SELECT i, a, b, c, {sums} FROM (SELECT i, a, b, c, u, v, y, 1 / (1 + exp(-(a + b * u + c * v))) AS p FROM s, x WHERE i < 20) GROUP BY i, a, b, c))
+SELECT unit_id, round(1 / (1 + exp(-(a + b * u + c * v))), 5) AS propensity_score, round(a + b * u + c * v, 5) AS propensity_logit FROM x, s WHERE i = 20"""
+
+
 def _pca_sql() -> str:
     scaled = ", ".join(f"coalesce(({c} - avg({c}) OVER ()) / stddev_pop({c}) OVER (), 0) AS {n}" for c, n in (("c_acctbal", "x"), ("n_orders", "y"), ("spend", "z")))
     return f"WITH {q.C1} k AS (SELECT unit_id, exposure, {scaled} FROM base), exposed AS (SELECT * FROM k WHERE exposure = 1), {_eigen_sql('x', 'y', 'z', 'exposed')}"
@@ -201,6 +223,7 @@ def oracle_sql() -> dict[str, str]:
         "match_choice_mahalanobis": allocation_sql(others["mahalanobis"], 10**9, Rules(0.5)),
         "match_choice_propensity": allocation_sql(others["propensity"], 10**9, Rules("(SELECT 0.01 * sd FROM sd)", n_neighbors=2, safe_matches=2)),
         "match_choice_hybrid": allocation_sql(others["hybrid"], 10**9, Rules(0.05)),
+        "propensity_two": _newton_two(),
         "match_choice_pca": allocation_sql(pca, 10**9, Rules(0.4)),
         "pca_projection": f"{_pca_sql()}, mean AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM exposed) SELECT unit_id, round(sqrt(greatest(0, {middle})), 6) AS norm, CAST(kept AS BIGINT) AS kept FROM exposed, mean, l",
         "explained_variance": f"WITH {q.C1} k AS (SELECT c_acctbal AS x, coalesce(n_orders, 0) AS y, coalesce(spend, 0) AS z FROM base WHERE exposure = 1), {_eigen_sql('x', 'y', 'z', 'k')} "

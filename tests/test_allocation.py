@@ -86,6 +86,17 @@ def test_components_by_joins(spark):
     assert by(0) == by(10**6)
 
 
+@pytest.mark.parametrize("ratio", [1, 2])
+def test_greedy_in_shards(spark, ratio):
+    """Rows that ask in shards, a few controls ahead, end with what serving them in order of id gives; equal lists too."""
+    pdf, queries, rows = graph(10, n=30, m=40)
+    same = pd.DataFrame([(100 + i, 1000 + j, 0.01 * j) for i in range(12) for j in range(9)], columns=pdf.columns)
+    for table, lists, ids in ((pdf, rows, queries), (same, [(np.arange(9), 0.01 * np.arange(9))] * 12, np.arange(100, 112))):
+        got = {(r.query_id, r.ref_id) for r in allocate.greedy(spark.createDataFrame(table), 0.35, ratio, look_ahead=4, shard_edges=40).collect()}
+        want = kernel.nearest_first(lists, 60, 0.35, ratio)
+        assert got == {(int(ids[i]), int(lists[i][0][k]) + 1000) for i, picks in enumerate(want) for k in picks}
+
+
 # -- cells
 
 
