@@ -364,7 +364,8 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     size = texts.where(~F.col("hot")).agg(F.coalesce(F.sum(F.length("piece")), F.lit(0))).first()[0]
     tasks = max(1, -(-size // TASK_BYTES))
     sorted_out = texts.where(~F.col("hot")).drop("hot").repartition(tasks, "m").sortWithinPartitions("m").mapInArrow(tidy(_sort_buckets), "row long, at int, n int")
-    spans = saved(judged.where("sure").select("row", "at", "n").unionByName(sorted_out).unionByName(_by_strings(texts.where("hot"))), "spans")
+    by_strings = saved(_by_strings(texts.where("hot")), "hot")  # a query of its own, so that a hot string's side of the join can be split
+    spans = saved(judged.where("sure").select("row", "at", "n").unionByName(sorted_out).unionByName(by_strings), "spans")
     discard(texts)
     discard(judged)
 
