@@ -28,8 +28,9 @@ ways give the same rows.
 
 Cases: null or wordless texts and items match nothing; items or documents that
 repeat are matched each; rows with equal id and text are one document; a null
-id is kept as an id of its own; a very long text is read whole; other columns
-are never read.
+id is kept as an id of its own; a very long text is read whole; without items
+nothing is contaminated, without documents nothing is found; other columns are
+never read, whatever their names.
 """
 
 from __future__ import annotations

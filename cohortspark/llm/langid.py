@@ -10,7 +10,10 @@ over the largest possible one.
 Cases: a null or letterless text is ``und`` with score 0; ties go to the
 language name that sorts first; rows with null labels teach nothing; without
 any labelled row every prediction is ``und``, and ``accepted`` accepts nothing;
-a very long text is worked on whole; other columns are never read.
+repeated rows count each and are predicted alike; a very long text is worked on
+whole, in some sixty bytes of memory for each of its own; an empty table gives no
+profile and no prediction; only the id, text and language columns (and those that
+the caller wants kept) are read, so others may have any name.
 """
 
 from __future__ import annotations

@@ -12,7 +12,11 @@ of its words in repeated 5-word windows.  Case and spelling count as they are.
 
 Cases: a null or empty text has no words and fails; rows without a label teach
 nothing; without labelled rows of both classes every base-passing document is
-kept (score 1); repeated rows are judged alike; other columns are never read.
+kept (score 1); a document with several labels teaches with each; labelled rows
+with equal id hashes are taken by id, then label; repeated rows are judged alike;
+a very long text is one piece of some fifty bytes of memory for each of its own;
+an empty table gives an empty one; only the id, text and label columns are read,
+so columns of any other name may stand beside them.
 """
 
 from __future__ import annotations

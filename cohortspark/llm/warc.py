@@ -29,7 +29,7 @@ written empty, is never referred to, and its records are responses unless an id
 refers them elsewhere; rows with equal id and payload are all responses if that
 id is the largest (and share a record id); a very long payload is one record;
 an empty table gives no archive and an empty index; other columns are never
-read.  Folders have to be reachable from Python, by path or by
+read, whatever their names.  Folders have to be reachable from Python, by path or by
 a pyarrow file system.
 """
 
