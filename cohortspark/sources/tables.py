@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
@@ -11,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import archives
+
 
 def parquet(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -23,19 +23,8 @@ def csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
 
 
 def zipped_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """The CSV members (with headers) of ZIP archives; each archive is unpacked by the task that read it."""
-
-    def lines(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for content in frame["content"]:
-                with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                    for name in sorted(n for n in archive.namelist() if n.lower().endswith(".csv")):
-                        with archive.open(name) as member:
-                            text = io.TextIOWrapper(member, "utf-8", newline="")
-                            for part in pd.read_csv(text, dtype=str, keep_default_na=False, chunksize=50_000):
-                                yield pd.DataFrame({"fields": part.to_dict("records")})
-
-    found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(lines, "fields map<string, string>")
+    """The CSV members (with headers) of ZIP archives; each member is unpacked by a task of its own."""
+    found = archives.csv_rows(spark, path)
     kinds = spark.createDataFrame([], schema).schema.fields
     return found.select(*(F.nullif(F.try_element_at("fields", F.lit(f.name)), F.lit("")).try_cast(f.dataType).alias(f.name) for f in kinds))
 
@@ -51,10 +40,10 @@ def _study_schema(numeric: Sequence[str], binary: Sequence[str]) -> str:
     return "patient_id string, exposure_status int, outcome double, mu0 double, mu1 double, rep int, " + ", ".join([f"`{c}` double" for c in numeric] + [f"`{c}` string" for c in binary])
 
 
-def _study_frame(split: str, a: Mapping[str, np.ndarray], r: int, numeric: Sequence[str], binary: Sequence[str], prefix: str) -> pd.DataFrame:
-    """One replication of one split."""
+def _study_frame(split: str, a: Mapping[str, np.ndarray], r: int, numeric: Sequence[str], binary: Sequence[str], prefix: str, first: int = 0) -> pd.DataFrame:
+    """One replication of one split, or of its rows from ``first`` on."""
     x = a["x"][:, :, r]
-    out = {"patient_id": [f"{prefix}-{split}-{i}" for i in range(len(x))], "exposure_status": a["t"][:, r].astype(np.int32)}
+    out = {"patient_id": [f"{prefix}-{split}-{first + i}" for i in range(len(x))], "exposure_status": a["t"][:, r].astype(np.int32)}
     out |= {c: a[k][:, r].astype(float) for c, k in (("outcome", "yf"), ("mu0", "mu0"), ("mu1", "mu1"))}
     out["rep"] = np.full(len(x), r, np.int32)
     out |= {c: x[:, j].astype(float) for j, c in enumerate(numeric)}
@@ -72,19 +61,23 @@ def tensors(spark: SparkSession, splits: Mapping[str, Mapping[str, np.ndarray]],
     return spark.createDataFrame(pd.concat(frames), _study_schema(numeric, binary))
 
 
-def npz(spark: SparkSession, paths: Mapping[str, str], numeric: Sequence[str], binary: Sequence[str], replication: int | None = None, prefix: str = "IHDP") -> DataFrame:
-    """``tensors`` from .npz files, one for each split; a file is opened by the task that read it, and replications come one after another."""
+#: Rows of an .npz file's arrays that a task reads at a time.
+NPZ_ROWS = 4096
+
+
+def npz(spark: SparkSession, paths: Mapping[str, str], numeric: Sequence[str], binary: Sequence[str], replication: int | None = None, prefix: str = "IHDP", rows: int = NPZ_ROWS) -> DataFrame:
+    """``tensors`` from .npz files, one for each split; ranges of rows are dealt to tasks, and of a range all replications come one after another."""
     out: DataFrame | None = None
     for split, path in paths.items():
 
-        def rows(frames: Iterator[pd.DataFrame], split: str = split) -> Iterator[pd.DataFrame]:
+        def read(frames: Iterator[pd.DataFrame], split: str = split) -> Iterator[pd.DataFrame]:
             for frame in frames:
-                for content in frame["content"]:
-                    with np.load(io.BytesIO(content)) as file:
-                        a = {k: file[k] for k in ("x", "t", "yf", "mu0", "mu1")}
+                for p, lo, hi in zip(frame["path"], frame["lo"], frame["hi"]):
+                    with archives.Arrays(p) as file:
+                        a = {k: file.rows(k, int(lo), int(hi)) for k in ("x", "t", "yf", "mu0", "mu1")}
                     for r in range(a["x"].shape[2]) if replication is None else [replication]:
-                        yield _study_frame(split, a, r, numeric, binary, prefix)
+                        yield _study_frame(split, a, r, numeric, binary, prefix, int(lo))
 
-        found = spark.read.format("binaryFile").load(path).select("content").mapInPandas(rows, _study_schema(numeric, binary))
+        found = archives.row_ranges(spark, path, "x", rows).mapInPandas(read, _study_schema(numeric, binary))
         out = found if out is None else out.unionByName(found)
     return out
