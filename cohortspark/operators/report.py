@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quantiles
 from .ranges import ONE_SORT, running_sums
 from .vectors import PcaModel, fit_pca
 
@@ -81,3 +82,21 @@ def metric_table(results: DataFrame, metrics: Sequence[str], by: str = "method")
     got = long.groupBy(by, "metric").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
     half = 1.96 * F.col("sd") / F.sqrt("n")
     return got.withColumn("low", F.col("mean") - half).withColumn("high", F.col("mean") + half)
+
+
+def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, other, correlation) of every ordered pair of numeric columns, each over the rows that have both; all in one aggregate."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i:]]
+    both = lambda a, b: F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a).cast("double"))
+    got = df.agg(*(F.corr(both(a, b), both(b, a)).alias(f"r{k}") for k, (a, b) in enumerate(pairs))).first()
+    found = {(a, b): got[f"r{k}"] for k, (a, b) in enumerate(pairs)}
+    rows = [(a, b, found.get((a, b), found.get((b, a)))) for a in columns for b in columns]
+    return df.sparkSession.createDataFrame(rows, "feature string, other string, correlation double")
+
+
+def spread(results: DataFrame, value: str, by: str = "method") -> DataFrame:
+    """(method, n, mean, low, q1, median, q3, high) of a measure over replications, such as retention: a box for each method."""
+    shares = {"low": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "high": 1.0}
+    boxes = quantiles.grouped(results, by, value, list(shares.values()))
+    wide = boxes.groupBy(by).agg(*(F.max(F.when(F.col("share") == s, F.col("value"))).alias(n) for n, s in shares.items()))
+    return results.groupBy(by).agg(F.count(value).alias("n"), F.avg(value).alias("mean")).join(wide, by, "left").select(by, "n", "mean", *shares)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.weights import weights_by_kind
-from ..operators import allocate, gower, knn, preprocess, vectors
+from ..operators import allocate, gower, knn, preprocess, report, vectors
 from ..operators.cohort import Cohort
 from ..operators.kernel import FLOW_SCALE, FLOW_UNMATCHED, Rules
 from ..spec import CohortSpec, MatchSpec
@@ -166,7 +166,25 @@ def propensity_two(spark, d):
     return q._rounded(CohortMatcher(q.customers(spark, d), _TWO).fit_propensity().propensity.scores, 5)
 
 
-_QUERIES = (match_horizons, match_choice, match_choice_optimal, match_choice_greedy, match_flow_total, match_choice_mahalanobis, match_choice_propensity, match_choice_hybrid, match_choice_pca, pca_projection, propensity_two)
+def caliper_percentiles(spark, d):
+    """Percentiles over the exposed rows of the caliper's diagnostics."""
+    cohort = Cohort.of(q.customers(spark, d), q.SPEC)
+    model = gower.fit(cohort.controls, q.NUMERIC, q.CATEGORICAL)
+    _, found = knn.swept(cohort.exposed, cohort.controls, "unit_id", model, 20, 0.15, knn.Band("c_acctbal", 300.0))
+    return q._rounded(knn.percentiles(q._rounded(found)), 4)
+
+
+def correlation_table(spark, d):
+    return q._rounded(report.correlations(q.customers(spark, d), ("c_acctbal", "n_orders", "spend")))
+
+
+def retention_spread(spark, d):
+    """Replications stand in by nation: the share of customers with orders, a box for each region."""
+    runs = q.customers(spark, d).groupBy("region", "nation").agg(F.avg(F.when(F.col("n_orders") > 15, 1.0).otherwise(0.0)).alias("retention"))
+    return q._rounded(report.spread(runs, "retention", "region"))
+
+
+_QUERIES = (match_horizons, match_choice, match_choice_optimal, match_choice_greedy, match_flow_total, match_choice_mahalanobis, match_choice_propensity, match_choice_hybrid, match_choice_pca, pca_projection, propensity_two, caliper_percentiles, correlation_table, retention_spread)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -224,6 +242,10 @@ def oracle_sql() -> dict[str, str]:
         "match_choice_propensity": allocation_sql(others["propensity"], 10**9, Rules("(SELECT 0.01 * sd FROM sd)", n_neighbors=2, safe_matches=2)),
         "match_choice_hybrid": allocation_sql(others["hybrid"], 10**9, Rules(0.05)),
         "propensity_two": _newton_two(),
+        "caliper_percentiles": "WITH dg AS (" + q.oracle_sql()["caliper_diagnostics"] + ") " + " UNION ALL ".join(f"SELECT '{m}' AS measure, unnest([0, 25, 50, 75, 100]) AS percentile, round(unnest(quantile_cont({m}, [0, 0.25, 0.5, 0.75, 1])), 4) AS value FROM dg WHERE eligible > 0" for m in ("eligible", "retained", "within_threshold", "min_distance", "max_distance")),
+        "correlation_table": f"WITH {q.C1} x AS (SELECT * FROM base) " + " UNION ALL ".join(f"SELECT '{a}' AS feature, '{b}' AS other, round(corr({a}, {b}), 6) AS correlation FROM x" for a in ("c_acctbal", "n_orders", "spend") for b in ("c_acctbal", "n_orders", "spend")),
+        "retention_spread": f"WITH {q.C1} r AS (SELECT region, nation, avg(CASE WHEN n_orders > 15 THEN 1.0 ELSE 0.0 END) AS v FROM base GROUP BY region, nation) SELECT region, count(*) AS n, round(avg(v), 6) AS mean, "
+        + ", ".join(f"round(quantile_cont(v, {s}), 6) AS {n}" for n, s in (("low", 0), ("q1", 0.25), ("median", 0.5), ("q3", 0.75), ("high", 1))) + " FROM r GROUP BY region",
         "match_choice_pca": allocation_sql(pca, 10**9, Rules(0.4)),
         "pca_projection": f"{_pca_sql()}, mean AS (SELECT avg(x) AS mx, avg(y) AS my, avg(z) AS mz FROM exposed) SELECT unit_id, round(sqrt(greatest(0, {middle})), 6) AS norm, CAST(kept AS BIGINT) AS kept FROM exposed, mean, l",
         "explained_variance": f"WITH {q.C1} k AS (SELECT c_acctbal AS x, coalesce(n_orders, 0) AS y, coalesce(spend, 0) AS z FROM base WHERE exposure = 1), {_eigen_sql('x', 'y', 'z', 'k')} "

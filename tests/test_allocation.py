@@ -168,3 +168,74 @@ def test_sweep_computes_eligible_pairs(spark):
     at = {(r.measure, r.percentile): r.value for r in knn.percentiles(info).collect()}
     counts = [r.eligible for r in info.where("eligible > 0").collect()]
     assert [at["eligible", p] for p in knn.PERCENTILES] == pytest.approx(np.percentile(counts, knn.PERCENTILES).tolist())
+
+
+# -- quantiles, ranges, groups of fits
+
+
+def test_grouped_quantiles_by_narrowing(spark):
+    """All groups and shares narrowed together give what sorting each group gives; ties, single values, nulls and a null group included."""
+    from cohortspark.operators.quantiles import grouped
+
+    rng = np.random.default_rng(3)
+    rows = [("a", float(x)) for x in np.round(rng.normal(size=700), 2)] + [("b", 5.0)] * 9 + [("c", float(x)) for x in 10.0 ** rng.uniform(-300, 300, 200)] + [("d", None), ("a", None), (None, 1.0), (None, 3.0), ("e", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    shares = [0.0, 0.1, 0.5, 0.77, 1.0]
+    want = {(g, s): float(np.quantile([x for k, x in rows if k == g and x is not None and x == x], s)) for g in ("a", "b", "c", None) for s in shares}
+    for buffer in (0, 10**6):
+        got = {(r.g, r.share): r.value for r in grouped(df, "g", "x", shares, buffer).collect()}
+        assert set(got) == set(want) and all(got[k] == pytest.approx(want[k], rel=1e-9) for k in want)
+
+
+def test_running_sums_and_numbers_by_ranges(spark):
+    from cohortspark.operators.ranges import numbered, running_sums
+    from cohortspark.operators.report import ecdf
+
+    rows = spark.range(500).selectExpr("id % 3 AS g", "(id * 7919) % 101 AS v")
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(ecdf(rows, "v", "g", 0)) == key(ecdf(rows, "v", "g"))
+    one = rows.groupBy("g", "v").count()
+    assert key(running_sums(one, "g", "v", "count", 0)) == key(running_sums(one, "g", "v", "count"))
+    assert [r.number for r in numbered(rows, "v", "g", one_sort=0).orderBy("number").collect()] == list(range(500))
+    places = numbered(rows.distinct(), "v", "g", one_sort=0)
+    assert key(places) == key(numbered(rows.distinct(), "v", "g"))
+
+
+def test_groups_are_fitted_in_the_same_passes(spark):
+    """Each group's fit is the fit of its rows alone; rows of no group are in all."""
+    from cohortspark.operators.propensity import fit_groups, fit_logistic
+
+    rng = np.random.default_rng(5)
+    rows = [([float(a), float(b)], float(rng.random() < 1 / (1 + math.exp(-(a - b)))), int(g)) for a, b, g in zip(rng.normal(size=600), rng.normal(size=600), rng.integers(-1, 3, 600))]
+    df = spark.createDataFrame(rows, "x array<double>, y double, g int").repartition(3)
+    for k, model in enumerate(fit_groups(df, 3)):
+        alone = fit_logistic(df.where(f"g = {k} OR g = -1"))
+        assert np.allclose(model.coefficients, alone.coefficients, atol=1e-8)
+    apart = [([float(i)], float(i > 10), 0) for i in range(20)]
+    with pytest.raises(RuntimeError):
+        fit_groups(spark.createDataFrame(apart, "x array<double>, y double, g int"), 1)
+
+
+def test_component_store(spark, tmp_path):
+    """Any weights and subsets from stored differences, also from a store that is opened again."""
+    from cohortspark.operators import components
+
+    rows = [(i, float(i % 7), None if i % 5 == 0 else float(i), "xyz"[i % 3] if i % 4 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, a double, b double, k string")
+    queries, refs = df.where("id < 8"), df.where("id >= 8")
+    model = gower.fit(refs, ("a", "b"), ("k",))
+    path = str(tmp_path / "store")
+    components.write(queries, refs, "id", model, path)
+    store = components.open_store(spark, path)
+    weights = {"a": 2.0, "k": 0.5}
+    full = gower.fit(refs, ("a", "b"), ("k",), {"a": 2.0, "b": 0.0, "k": 0.5})
+    want = {(r.query_id, r.ref_id): r.distance for r in knn.all_pairs(queries, refs, "id", full).collect()}
+    got = {(r.query_id, r.ref_id): r.distance for r in store.distances(spark, weights).collect()}
+    assert got == pytest.approx(want) and len(got) == 8 * 52
+    some = store.distances(spark, weights, spark.createDataFrame([(3,), (99,)], "query_id long"), spark.createDataFrame([(10,), (11,)], "ref_id long"))
+    assert {(r.query_id, r.ref_id): r.distance for r in some.collect()} == pytest.approx({k: v for k, v in want.items() if k in ((3, 10), (3, 11))})
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters" in plan and "d1" not in plan
+    for bad in ({"nope": 1.0}, {"a": 0.0}, {"a": -1.0}):
+        with pytest.raises(ValueError):
+            store.distances(spark, bad)

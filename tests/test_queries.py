@@ -5,6 +5,7 @@ import os
 import duckdb
 import pytest
 
+from cohortspark.plans import choice
 from cohortspark.plans import more_queries as more
 from cohortspark.plans import queries as core
 
@@ -26,7 +27,7 @@ def plain(v):
     return f"{float(v):.9g}" if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v)
 
 
-QUERIES, SQL = core.queries() | more.queries(), core.oracle_sql() | more.oracle_sql()
+QUERIES, SQL = core.queries() | more.queries() | choice.queries(), core.oracle_sql() | more.oracle_sql() | choice.oracle_sql()
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
@@ -42,7 +43,7 @@ def test_against_sql(spark, duck, name):
     assert mine == theirs
 
 
-@pytest.mark.parametrize("name", ["match_gower", "match_mcf", "match_gower_fuzzy"])
+@pytest.mark.parametrize("name", ["match_mcf", "match_two_stage"])
 def test_whole_runs(spark, name):
     rows = core.queries()[name](spark, DATA).collect()
     assert rows and len({r["ref_id"] for r in rows}) == len(rows)
