@@ -27,6 +27,8 @@ DRIVER_EDGES = 500_000
 #: How many further edges of a row a round of growing looks at, and about how many edges a shard holds.
 LOOK_AHEAD = 64
 SHARD_EDGES = 1_000_000
+#: Up to so many edges within horizons (counted) are one kernel call, without labels.
+ONE_CALL = 20_000
 
 
 def _labels(edges: DataFrame) -> DataFrame:
@@ -94,7 +96,7 @@ def _grow_shard(rules: Rules):
         cuts = [*first[1:], len(pdf)]
         d = pdf["distance"].to_numpy()
         steps, _ = horizons([(codes[a:z], d[a:z]) for a, z in zip(first, cuts)], len(refs), Rules(rules.threshold, safe_matches=rules.safe_matches), users, pdf["needs"].to_numpy()[first])
-        return pd.DataFrame({"query_id": queries, "horizon": pdf["horizon"].to_numpy()[first] + steps})
+        return pd.DataFrame({"query_id": queries, "horizon": pdf["horizon"].to_numpy()[first] + steps, "length": np.diff([*first, len(pdf)])})
 
     return run
 
@@ -107,6 +109,10 @@ def grown(ranked: DataFrame, rules: Rules, look_ahead: int = LOOK_AHEAD, shard_e
     horizons as growing all rows by one edge at a time.
     """
     kind = dict(ranked.dtypes)["query_id"]
+    if ranked.count() <= shard_edges:  # one shard knows all there is to know, in one round
+        whole = ranked.select("*", F.lit(0).cast("long").alias("horizon"), F.lit(rules.safe_matches).alias("needs"), F.lit(0).cast("long").alias("users"))
+        ends = whole.groupBy(F.lit(0).alias("shard")).applyInPandas(_grow_shard(rules), f"query_id {kind}, horizon long, length long")
+        return saved(ends, "horizons")
     state = saved(ranked.groupBy("query_id").agg(F.max("rank").cast("long").alias("length")).select("query_id", F.lit(0).cast("long").alias("horizon"), "length"), "horizons")
     while True:
         held = ranked.join(state, "query_id").where((F.col("rank") <= F.col("horizon")) & (F.col("distance") <= rules.threshold)).select("query_id", "ref_id")
@@ -119,7 +125,7 @@ def grown(ranked: DataFrame, rules: Rules, look_ahead: int = LOOK_AHEAD, shard_e
         n = ahead.count()
         if n:
             shard = F.pmod(F.xxhash64("query_id"), F.lit(max(1, -(-n // shard_edges))))
-            new = ahead.groupBy(shard.alias("shard")).applyInPandas(_grow_shard(rules), f"query_id {kind}, horizon long")
+            new = ahead.groupBy(shard.alias("shard")).applyInPandas(_grow_shard(rules), f"query_id {kind}, horizon long, length long").drop("length")
             now = saved(state.join(new.withColumnRenamed("horizon", "next"), "query_id", "left").select("query_id", F.coalesce("next", "horizon").alias("horizon"), "length"), "horizons")
             discard(state)
             state = now
@@ -167,8 +173,7 @@ def match_growing(candidates, rules: Rules, most: int, first: int = LOOK_AHEAD,
     while True:
         ranked = _ranked(edges, rules)
         state = grown(ranked, rules)
-        cut_off = edges.groupBy("query_id").count().where(F.col("count") >= k)
-        short = state.where("horizon = length").select("query_id").join(cut_off.select("query_id"), "query_id", "left_semi")
+        short = state.where((F.col("horizon") == F.col("length")) & (F.col("length") >= k)).select("query_id")
         if k >= most or not short.limit(1).count():
             return _match_ranked(ranked, state, rules), edges
         k = min(most, k * factor)
@@ -177,11 +182,13 @@ def match_growing(candidates, rules: Rules, most: int, first: int = LOOK_AHEAD,
         edges = saved(edges.join(short, "query_id", "left_anti").unionByName(longer), "candidates")
 
 
-def _match_ranked(ranked: DataFrame, state: DataFrame, rules: Rules, peel_from: int = DRIVER_EDGES) -> DataFrame:
+def _match_ranked(ranked: DataFrame, state: DataFrame, rules: Rules, peel_from: int = DRIVER_EDGES, one_call: int = ONE_CALL) -> DataFrame:
     """The greedy phase over the rows short of safe controls, which alone take part in it; then the assignment over what is left."""
     used = saved(categorised(ranked, state, rules), "horizon-edges")
     if rules.flow:
         rules = replace(rules, largest=ranked.agg(F.max("distance")).first()[0] or 1.0)
+    if used.count() <= one_call:
+        return _by_component(used, rules, False)
     done = []
     if rules.competitive:
         limited = used.groupBy("query_id").agg(F.count(F.when(F.col("category") == "safe", 1)).alias("n")).where(F.col("n") < rules.safe_matches).select("query_id")
@@ -225,8 +232,8 @@ def _peeled(rest: DataFrame, peel_from: int) -> tuple[DataFrame, DataFrame]:
     return decided, rest
 
 
-def _by_component(edges: DataFrame, rules: Rules) -> DataFrame:
-    """Pairs of the categorised ``edges``, one kernel call for each connected component; ``room``, if given, is how many controls a row still takes."""
+def _by_component(edges: DataFrame, rules: Rules, apart: bool = True) -> DataFrame:
+    """Pairs of the categorised ``edges``, one kernel call for each connected component (or one for all, if not ``apart``); ``room``, if given, is how many controls a row still takes."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["query_id", "rank"], kind="stable")
@@ -242,7 +249,8 @@ def _by_component(edges: DataFrame, rules: Rules) -> DataFrame:
         return pd.DataFrame(out, columns=["query_id", "ref_id", "distance", "phase"])
 
     kinds = dict(edges.dtypes)
-    return components(edges).groupBy("component").applyInPandas(run, f"query_id {kinds['query_id']}, ref_id {kinds['ref_id']}, distance double, phase string")
+    parts = components(edges) if apart else edges.withColumn("component", F.lit(0))
+    return parts.groupBy("component").applyInPandas(run, f"query_id {kinds['query_id']}, ref_id {kinds['ref_id']}, distance double, phase string")
 
 
 def categories(edges: DataFrame, rules: Rules) -> DataFrame:
@@ -301,6 +309,11 @@ def greedy(edges: DataFrame, caliper: float, ratio: int = 1, look_ahead: int = L
     go on in the next round.
     """
     kinds = dict(edges.dtypes)
+    edges = saved(edges.where(F.col("distance") <= caliper).select("query_id", "ref_id", "distance"), "edges")
+    if ratio == 1 and edges.count() <= shard_edges:  # one shard serves all rows in order
+        whole = _ranked(edges, Rules(caliper)).select("*", F.col("query_id").alias("holder"), F.lit(False).alias("held"))
+        asked = whole.groupBy(F.lit(0).alias("shard")).applyInPandas(_propose_shard, f"query_id {kinds['query_id']}, ref_id {kinds['ref_id']}, distance double, at int, won boolean")
+        return asked.where("won").select("query_id", "ref_id", "distance")
     done = saved(edges.where("false").select("query_id", "ref_id", "distance"), "greedy")
     for _ in range(ratio):
         ranked = _ranked(edges.join(done.select("ref_id"), "ref_id", "left_anti"), Rules(caliper))

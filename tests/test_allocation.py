@@ -34,6 +34,7 @@ def test_horizons_in_shards(spark, seed):
     edges = spark.createDataFrame(pdf)
     ranked = allocate._ranked(edges, rules)
     state = {r.query_id: r.horizon for r in allocate.grown(ranked, rules, look_ahead=9, shard_edges=120).collect()}
+    assert state == {r.query_id: r.horizon for r in allocate.grown(ranked, rules).collect()}
     assert state == dict(zip(queries.tolist(), cats.horizon.tolist()))
     counts = {r.query_id: (r.horizon, r.n_safe, r.n_competitive, r.n_fuzzy) for r in allocate.categories(edges, rules).collect()}
     assert counts == {int(q): (h, len(s), len(c), len(f)) for q, h, s, c, f in zip(queries, cats.horizon.tolist(), cats.safe, cats.competitive, cats.fuzzy)}
@@ -44,8 +45,11 @@ def test_match_is_the_kernels(spark, options):
     pdf, queries, rows = graph(2)
     rules = Rules(0.4 if "fuzzy_limit" not in options else 0.3, n_neighbors=2, safe_matches=2, **options)
     chosen, _ = kernel.allocate(rows, 60, rules)
-    got = {(r.query_id, r.ref_id, r.phase) for r in allocate.match(spark.createDataFrame(pdf), rules).collect()}
-    assert got == wanted(queries, rows, chosen) and got
+    edges = spark.createDataFrame(pdf)
+    ranked = allocate._ranked(edges, rules)
+    for pairs in (allocate.match(edges, rules), allocate._match_ranked(ranked, allocate.grown(ranked, rules), rules, one_call=0)):
+        got = {(r.query_id, r.ref_id, r.phase) for r in pairs.collect()}
+        assert got == wanted(queries, rows, chosen) and got
 
 
 def test_peeling_leaves_the_least_cost(spark):
@@ -57,7 +61,7 @@ def test_peeling_leaves_the_least_cost(spark):
     decided, rest = allocate._peeled(allocate.saved(allocate.categorised(ranked, state, rules).selectExpr("*", "2 AS room"), "t"), 0)
     assert decided.count() > 10 and rest.select("query_id").distinct().count() < 30
     chosen, _ = kernel.allocate(rows, 400, rules)
-    got = {(r.query_id, r.ref_id, r.phase) for r in allocate._match_ranked(ranked, state, rules, peel_from=0).collect()}
+    got = {(r.query_id, r.ref_id, r.phase) for r in allocate._match_ranked(ranked, state, rules, peel_from=0, one_call=0).collect()}
     assert got == wanted(queries, rows, chosen)
 
 
