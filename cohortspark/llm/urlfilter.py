@@ -32,8 +32,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import saved
-
 SALTS = 32
 #: Pieces of intervals that are broadcast at most (some 50 bytes each).
 LIST_ROWS = 200_000
@@ -83,7 +81,7 @@ def _cell(at: Column) -> Column:
 def evaluate(captures: DataFrame, entries: DataFrame, salts: int = SALTS, list_rows: int = LIST_ROWS) -> DataFrame:
     """(page_id, url, fetched, rule, entry_id, blocked), one row for each capture (page_id, url, fetched)."""
     rows = captures.select("page_id", "url", "fetched")
-    grids, pieces = _gridded(saved(intervals(entries), "intervals"))
+    grids, pieces = _gridded(intervals(entries))
     distinct = rows.where("url is not null and fetched is not null").distinct()
     asked = distinct.withColumn("rule", F.explode(keys(F.col("url"))))
     by = ["rule"]
