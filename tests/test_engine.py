@@ -324,3 +324,17 @@ def test_stream(spark, cohort, tmp_path):
     query = nearest_controls(stream, c.controls, "id", model, 2, str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2 * c.exposed.count()
+
+
+def test_steep_fits_are_not_separated_ones(spark):
+    fit = lambda x, y: propensity.fit_logistic(spark.createDataFrame([([float(v)], float(k)) for v, k in zip(x, y)], "x array<double>, y double"))
+    # controls at one end only, cases everywhere: linear predictors reach a hundred, and there is a finite optimum
+    x = np.concatenate((np.linspace(-1.7, 1.7, 400), np.linspace(1.66, 1.71, 300)))
+    y = np.repeat([1.0, 0.0], (400, 300))
+    a, b = fit(x, y).coefficients
+    assert abs(a + b * -1.7) > propensity.SEPARATED
+    gap = y - 1 / (1 + np.exp(-(a + b * x)))
+    assert abs(gap.sum()) < 1e-6 and abs((gap * x).sum()) < 1e-6
+    for values, labels in (([1, 2, 3, 4], [0, 0, 1, 1]), ([0, 0, 0, 1, 1], [0, 1, 0, 1, 1])):  # apart, and one level with cases only
+        with pytest.raises(RuntimeError, match="separable"):
+            fit(values, labels)
