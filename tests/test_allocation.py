@@ -243,3 +243,17 @@ def test_component_store(spark, tmp_path):
     for bad in ({"nope": 1.0}, {"a": 0.0}, {"a": -1.0}):
         with pytest.raises(ValueError):
             store.distances(spark, bad)
+
+
+def test_lists_made_earlier_may_turn_out_too_short(spark):
+    """A row that had enough at first loses it to rows whose lists grew, and needs more of its own list than was made."""
+    rng = np.random.default_rng(11)
+    x, y = np.sort(rng.random(40)) / 4, rng.random(160)
+    table = pd.DataFrame([(q, 1000 + r, abs(a - b)) for q, a in enumerate(x) for r, b in enumerate(y)], columns=["query_id", "ref_id", "distance"])
+    near = table.sort_values(["distance", "ref_id"])
+    candidates = lambda k, queries: spark.createDataFrame((near if queries is None else near[near.query_id.isin(queries.toPandas().query_id)]).groupby("query_id").head(k))
+    rules = Rules(1.0, competitive=False)
+    rows = lambda df: {(r.query_id, r.horizon) for r in df.collect()}
+    _, made = allocate.match_growing(candidates, rules, 160, first=2, factor=2)
+    ends = lambda edges: rows(allocate.grown(allocate._ranked(edges, rules), rules))
+    assert ends(made) == ends(spark.createDataFrame(table))
