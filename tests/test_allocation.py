@@ -245,6 +245,24 @@ def test_component_store(spark, tmp_path):
             store.distances(spark, bad)
 
 
+@pytest.mark.parametrize("ratio", [1, 2])
+def test_greedy_with_growing_lists(spark, ratio):
+    rng = np.random.default_rng(11)
+    x, y = np.sort(rng.random(40)) / 4, rng.random(160)
+    table = pd.DataFrame([(q, 1000 + r, abs(a - b)) for q, a in enumerate(x) for r, b in enumerate(y)], columns=["query_id", "ref_id", "distance"])
+    asked = []
+
+    def candidates(k, queries):
+        asked.append((k, 40 if queries is None else queries.count()))
+        some = table if queries is None else table[table.query_id.isin(queries.toPandas().query_id)]
+        return spark.createDataFrame(some.sort_values(["distance", "ref_id"]).groupby("query_id").head(k))
+
+    rows = lambda df: {(r.query_id, r.ref_id) for r in df.collect()}
+    whole = rows(allocate.greedy(spark.createDataFrame(table), 1.0, ratio))
+    assert rows(allocate.greedy_growing(candidates, 1.0, ratio, 160, first=4, factor=4)) == whole and len(whole) == 40 * ratio
+    assert asked[0] == (4, 40) and len(asked) > 1 and all(n < 40 for _, n in asked[1:])
+
+
 def test_lists_made_earlier_may_turn_out_too_short(spark):
     """A row that had enough at first loses it to rows whose lists grew, and needs more of its own list than was made."""
     rng = np.random.default_rng(11)
