@@ -183,3 +183,24 @@ def test_greedy_takes_the_nearest_free():
 
 def test_flow_constants():
     assert FLOW_SCALE == 1_000_000 and FLOW_UNMATCHED == 10_000
+
+
+def test_rows_at_equal_cost_leave_a_control_to_the_first():
+    """The price of an empty place has no part in the sums: it rounded costs, and a later row at the same cost could take the control."""
+    rng = np.random.default_rng(4)
+    for d in rng.random(200):
+        held = assign([(np.array([0]), np.array([d]))] * 6, [1] * 6, 1)
+        assert held == [[0], [], [], [], [], []]
+
+
+def test_as_many_places_as_can_be_filled_then_least_cost():
+    rng = np.random.default_rng(6)
+    for _ in range(200):
+        n, m = rng.integers(1, 5), rng.integers(1, 5)
+        cost = np.where(rng.random((n, m)) < 0.6, rng.random((n, m)), math.inf)
+        lists, places = lists_of(cost), rng.integers(1, 3, n).tolist()
+        got = assign(lists, places, m)
+        found = [c for x in got for c in x]
+        assert len(set(found)) == len(found) and all(len(x) <= p for x, p in zip(got, places))
+        total = sum(100.0 if len(x) <= j else cost[i, x[j]] for i, x in enumerate(got) for j in range(places[i]))
+        assert total == pytest.approx(best_total(cost, places, 100.0))
