@@ -275,3 +275,31 @@ def test_lists_made_earlier_may_turn_out_too_short(spark):
     _, made = allocate.match_growing(candidates, rules, 160, first=2, factor=2)
     ends = lambda edges: rows(allocate.grown(allocate._ranked(edges, rules), rules))
     assert ends(made) == ends(spark.createDataFrame(table))
+
+
+# -- equal rows
+
+
+def test_equal_rows_are_computed_once(spark):
+    """Copies of queries and references change no list and no sum, and add few comparisons; missing values are values like others."""
+    rng = np.random.default_rng(9)
+    rows = [(i, float(np.round(rng.normal(), 2)) if i % 7 else None, float(rng.integers(0, 5)), "uvw"[i % 3] if i % 5 else None) for i in range(300)]
+    several = spark.createDataFrame([(i + 1000 * c, a, b, g) for i, a, b, g in rows for c in range(8)], "id long, a double, b double, g string")
+    queries, refs = several.where("id % 1000 < 30"), several.where("id % 1000 >= 30")
+    model = gower.fit(refs, ("a", "b"), ("g",))
+    every = {}
+    for q, r, d in knn.all_pairs(queries, refs, "id", model).collect():
+        every.setdefault(q, []).append((d, r))
+    compared = spark.sparkContext.accumulator(0)
+    got = {}
+    for q, r, d, rank in knn.top_k(queries, refs, "id", model, 3, compared=compared).select("query_id", "ref_id", "distance", "rank").collect():
+        got.setdefault(q, {})[rank] = (d, r)
+    assert got == {q: dict(enumerate(sorted(x)[:3], 1)) for q, x in every.items()}
+    assert compared.value <= 30 * 270 * 3
+    sums = {r.query_id: r for r in knn.summary(queries, refs, "id", model).collect()}
+    assert set(sums) == set(every)
+    for q, x in every.items():
+        d = [y for y, _ in x]
+        assert (sums[q].n, sums[q].low, sums[q].high) == (len(d), min(d), max(d)) and sums[q].mean == pytest.approx(sum(d) / len(d))
+    within = {r.query_id: r.within_threshold for r in knn.diagnostics(queries, refs, "id", model, 3, 0.2).collect()}
+    assert within == {q: sum(d <= 0.2 for d, _ in x) for q, x in every.items()}
