@@ -303,3 +303,25 @@ def test_equal_rows_are_computed_once(spark):
         assert (sums[q].n, sums[q].low, sums[q].high) == (len(d), min(d), max(d)) and sums[q].mean == pytest.approx(sum(d) / len(d))
     within = {r.query_id: r.within_threshold for r in knn.diagnostics(queries, refs, "id", model, 3, 0.2).collect()}
     assert within == {q: sum(d <= 0.2 for d, _ in x) for q, x in every.items()}
+
+
+def test_copies_of_rows_are_matched_as_one_class(spark):
+    """Without an end to the lists, rows with the same values are one class: the pairs are those of row by row, and no list is made for a copy."""
+    from cohortspark.operators import allocate
+    from cohortspark.operators.kernel import Rules
+
+    rng = np.random.default_rng(12)
+    lists = {q: sorted((float(np.round(d, 2)), int(r)) for r, d in zip(range(100, 140), rng.random(40)) if d < 0.5) for q in range(9)}
+    members = [(q + 10 * c, q) for q in range(9) for c in range(1 if q < 4 else q - 2)]
+    asked = []
+
+    def candidates(k, queries=None):
+        some = [i for i, _ in members] if queries is None else [r[0] for r in queries.select("query_id").collect()]
+        asked.extend(some)
+        return spark.createDataFrame([(i, r, d) for i in some for d, r in lists[dict(members)[i]][:k]], "query_id long, ref_id long, distance double")
+
+    rules = Rules(0.3, n_neighbors=2, safe_matches=2, fuzzy_limit=0.4)
+    want = sorted(map(tuple, allocate.match_growing(candidates, rules, 40, 4)[0].collect()))
+    asked.clear()
+    got, _ = allocate.match_growing(candidates, rules, 40, 4, members=spark.createDataFrame(members, "id long, query_id long"))
+    assert sorted(map(tuple, got.collect())) == want and set(asked) == set(range(9))

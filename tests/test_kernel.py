@@ -204,3 +204,33 @@ def test_as_many_places_as_can_be_filled_then_least_cost():
         assert len(set(found)) == len(found) and all(len(x) <= p for x, p in zip(got, places))
         total = sum(100.0 if len(x) <= j else cost[i, x[j]] for i, x in enumerate(got) for j in range(places[i]))
         assert total == pytest.approx(best_total(cost, places, 100.0))
+
+
+@pytest.mark.parametrize("n_neighbors", [1, 2, 3])
+def test_greedy_over_classes_is_greedy_over_rows(n_neighbors):
+    """Rows with the same list as one class: the same matches in the same phases as row by row."""
+    from cohortspark.operators.kernel import greedy_classes
+
+    rng = np.random.default_rng(n_neighbors)
+    rules = Rules(0.6, n_neighbors=n_neighbors, safe_matches=n_neighbors, fuzzy_limit=0.8, global_optimal=False)
+    for _ in range(80):
+        few, m = rng.integers(2, 6), rng.integers(3, 14)
+        matrix = np.where(rng.random((few, m)) < 0.7, np.round(rng.random((few, m)), 1), math.inf)
+        of = np.sort(rng.integers(0, few, rng.integers(few, 12)))
+        rng.shuffle(of)
+        rows = rows_of(matrix[of])
+        chosen, cats = allocate(rows, m, rules)
+        limited = [i for i in range(len(of)) if len(cats.safe[i]) < n_neighbors and cats.horizon[i]]
+        want = {(i, int(rows[i][0][at]), phase) for i in limited for at, phase in chosen[i]}
+        heads = sorted({int(np.flatnonzero(of == of[i])[0]) for i in limited})
+        start, controls, kinds, members = [0], [], [], []
+        for i in heads:
+            for at in range(len(rows[i][0])):
+                for kind, x in enumerate((cats.safe, cats.competitive, cats.fuzzy)):
+                    if at in x[i]:
+                        controls.append(int(rows[i][0][at]))
+                        kinds.append(kind)
+            start.append(len(controls))
+            members.append(np.flatnonzero(of == of[i]))
+        got = greedy_classes(np.array(start), np.array(controls, int), np.array(kinds, int), m, members, n_neighbors)
+        assert {(i, controls[e], ("safe", "competitive", "fuzzy")[kinds[e]]) for _, i, e in got} == want
