@@ -325,3 +325,27 @@ def test_copies_of_rows_are_matched_as_one_class(spark):
     asked.clear()
     got, _ = allocate.match_growing(candidates, rules, 40, 4, members=spark.createDataFrame(members, "id long, query_id long"))
     assert sorted(map(tuple, got.collect())) == want and set(asked) == set(range(9))
+
+
+def test_store_keeps_equal_rows_once(spark, tmp_path):
+    """Copies add nothing to the stored pairs; distances, sums and nearest references are those of all rows."""
+    from cohortspark.operators import components
+
+    rows = [(i + 100 * c, float(i % 6) if i % 5 else None, "xyz"[i % 3]) for i in range(24) for c in range(6)]
+    df = spark.createDataFrame(rows, "id long, a double, g string")
+    queries, refs = df.where("id % 100 < 6"), df.where("id % 100 >= 6")
+    model = gower.fit(refs, ("a",), ("g",), {"a": 2.0, "g": 1.0})
+    store = components.write(queries, refs, "id", model, str(tmp_path / "store"))
+    assert store.table(spark).count() <= 6 * 18
+    every = {}
+    for q, r, d in knn.all_pairs(queries, refs, "id", model).collect():
+        every.setdefault(q, []).append((d, r))
+    weights = {"a": 2.0, "g": 1.0}
+    assert {(q, r): d for q, r, d in store.distances(spark, weights).collect()} == pytest.approx({(q, r): d for q, x in every.items() for d, r in x})
+    for row in store.summary(spark, weights).collect():
+        d = [x for x, _ in every[row.query_id]]
+        assert row.n == len(d) and (row.low, row.mean, row.high) == pytest.approx((min(d), sum(d) / len(d), max(d)))
+    got = {}
+    for row in store.nearest(spark, weights, 4, queries.where("id % 2 = 0").select(queries.id.alias("query_id")), queries.sparkSession.range(1000).select("id").withColumnRenamed("id", "ref_id").where("ref_id % 3 <> 0")).collect():
+        got.setdefault(row.query_id, []).append((row["rank"], row.ref_id))
+    assert {q: [r for _, r in sorted(x)] for q, x in got.items()} == {q: [r for _, r in sorted(y for y in x if y[1] % 3)[:4]] for q, x in every.items() if q % 2 == 0}
