@@ -145,6 +145,22 @@ def test_match_end_to_end(spark, cohort):
     assert CohortMatcher(cohort, SPEC).match(MatchSpec(threshold=0.0001, include_unmatched=False)).unmatched_exposed.count() == 0
 
 
+def test_copies_share_lists_of_a_given_length(spark, cohort, monkeypatch):
+    """With ``k_candidates`` too, copies of an exposed row share one list, and the pairs are those of a list for each."""
+    from cohortspark.operators import allocate as steps
+
+    rows = cohort.unionByName(cohort.where("x = 1").withColumn("id", F.col("id") + 1000))
+    several, ranked = cohort.where("x = 1").count(), steps._ranked
+    spec = MatchSpec(threshold=0.2, n_neighbors=2, k_candidates=12, fuzzy_limit=0.25)
+    search = CohortMatcher(rows, SPEC)._search(spec)[0]
+    want = sorted(map(tuple, steps.match(search(12), Rules(0.2, 2, 2, 0.25)).collect()))
+    held = []
+    monkeypatch.setattr(steps, "_ranked", lambda edges, rules: held.append(ranked(edges, rules)) or held[-1])
+    got = CohortMatcher(rows, SPEC).match(spec)
+    assert sorted(map(tuple, got.pairs.collect())) == want
+    assert sum(x.count() for x in held) <= 12 * several < got.candidates.count()
+
+
 def test_components_don_t_change_the_allocation(spark):
     """Kernel runs by component give what one run over everything gives."""
     from cohortspark.operators.kernel import allocate as kernel
