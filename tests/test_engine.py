@@ -330,6 +330,17 @@ def test_all_methods_side_by_side(spark, cohort):
     assert bad["error"].notna().tolist() == [True, False]
 
 
+def test_methods_share_one_propensity_fit(spark, cohort, monkeypatch):
+    from cohortspark.plans import matcher as plans
+    from cohortspark.plans.validation import compare
+
+    fits, fit = [], plans.propensity.fit_propensity
+    monkeypatch.setattr(plans.propensity, "fit_propensity", lambda *args, **options: fits.append(1) or fit(*args, **options))
+    full = cohort.na.fill({"age": 40.0}).withColumn("y", F.col("score"))
+    got = compare(full, CohortSpec("id", "x", ("age",), ()), "y", methods=("nearest_propensity", "nearest_mahalanobis_in_caliper")).toPandas()
+    assert got["error"].isna().all() and len(fits) == 1
+
+
 def test_stream(spark, cohort, tmp_path):
     from cohortspark.streaming.arrivals import nearest_controls
 
