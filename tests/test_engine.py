@@ -123,6 +123,17 @@ def test_band_join_bounds_are_inclusive(spark):
     assert [(x["query_id"], x["ref_id"], x["relaxed"]) for x in relaxed] == [(2, 13, True)]
 
 
+def test_band_join_deals_hot_buckets_out(spark, monkeypatch):
+    """A bucket that all rows share is met in shares, by as many tasks, and gives every pair once."""
+    monkeypatch.setattr(knn, "BAND_PAIRS", 1000)
+    rows = spark.range(400).select("id", F.pmod("id", F.lit(10)).cast("double").alias("z"))
+    got = knn.band_join(rows.where("id < 100"), rows.where("id >= 100"), "id", "z", 25.0)
+    pairs = got.withColumn("task", F.spark_partition_id()).collect()
+    assert len(pairs) == len({x[:2] for x in pairs}) == 100 * 300
+    assert max(np.bincount([x["task"] for x in pairs])) <= 10_000
+    assert knn.band_join(rows.where("id < 100"), rows.where("id >= 100"), "id", "z", 0).count() == 100 * 30
+
+
 def brute_match(rows, m):
     return CohortMatcher(rows, SPEC).match(m)
 
