@@ -5,6 +5,7 @@ import math
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from cohortspark.operators import allocate, cells, gower, kernel, knn, vectors
 from cohortspark.operators.kernel import Rules
@@ -349,3 +350,24 @@ def test_store_keeps_equal_rows_once(spark, tmp_path):
     for row in store.nearest(spark, weights, 4, queries.where("id % 2 = 0").select(queries.id.alias("query_id")), queries.sparkSession.range(1000).select("id").withColumnRenamed("id", "ref_id").where("ref_id % 3 <> 0")).collect():
         got.setdefault(row.query_id, []).append((row["rank"], row.ref_id))
     assert {q: [r for _, r in sorted(x)] for q, x in got.items()} == {q: [r for _, r in sorted(y for y in x if y[1] % 3)[:4]] for q, x in every.items() if q % 2 == 0}
+
+
+def test_every_pair_is_summed_up_by_classes_of_vectors(spark, tmp_path, monkeypatch):
+    """``cdist_euclidean`` makes no row for a pair, and copies of vectors are computed once, however many columns they have."""
+    from cohortspark.plans import more_queries as more
+
+    rng = np.random.default_rng(3)
+    few = rng.normal(size=(12, 64)).astype(np.float32)
+    pdf = pd.DataFrame({"vec_id": np.arange(120), "label": np.tile(np.arange(12) % 3, 10), "embedding": np.tile(few, (10, 1)).tolist()})
+    spark.createDataFrame(pdf, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    monkeypatch.setattr(knn, "all_pairs", None)
+    metric = vectors.VectorMetric("l2", tuple(F.element_at("embedding", i + 1).cast("double") for i in range(64)))
+    rows = spark.read.parquet(f"{tmp_path}/embeddings.parquet").withColumnRenamed("vec_id", "unit_id")
+    weights = knn._equal_counted(knn._columns(rows.where("label <> 0"), "unit_id", metric, None)[0])
+    assert sorted(r.weight for r in weights.collect()) == [10] * 8
+    got = {r.query_id: r for r in more.cdist_euclidean(spark, str(tmp_path)).collect()}
+    assert len(got) == 40
+    wide = few.astype(float)
+    for q, r in got.items():
+        d = np.sqrt(((wide[[i for i in range(12) if i % 3]] - wide[q % 12]) ** 2).sum(1))
+        assert (r.n, r.low, r.high) == (80, round(d.min(), 5), round(d.max(), 5)) and r["mean"] == pytest.approx(d.mean(), abs=1e-5)
