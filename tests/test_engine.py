@@ -113,6 +113,23 @@ def test_mahalanobis(spark):
         vectors.fit_mahalanobis(rows.where("id < 0"), ("a",))
 
 
+def test_equal_gaps_are_equally_far_by_mahalanobis(spark):
+    """References equally far on either side of a query come by id: whitened columns would tell them apart by their last bits."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(-99999, 999999, 200) / 64
+    rows = [(i, float(b), float(i % 7)) for i, b in enumerate(base)]
+    rows += [(1000 + 2 * i + s, float(b) + (2 * s - 1) * g, float(i % 7)) for i, b in enumerate(base) for s in (0, 1) for g in [float(i % 50 + 1) / 64]]
+    df = spark.createDataFrame(rows, "id long, a double, b double")
+    model = vectors.fit_mahalanobis(df, ("a", "b"))
+    got = knn.top_k(df.where("id < 1000"), df.where("id >= 1000"), "id", model.metric(), 400).collect()
+    near = {(r.query_id, r.ref_id): (r.distance, r["rank"]) for r in got}
+    for i in range(200):
+        (d, rank), (e, after) = near[i, 1000 + 2 * i], near[i, 1001 + 2 * i]
+        assert d == e and rank < after
+    gaps = np.array([[rows[q][j] - rows[r - 800][j] for j in (1, 2)] for q, r in near])
+    assert np.allclose([d for d, _ in near.values()], np.sqrt(np.einsum("ij,jk,ik->i", gaps, model.precision, gaps)), rtol=1e-6, atol=1e-9)
+
+
 def test_band_join_bounds_are_inclusive(spark):
     q = spark.createDataFrame([(1, 0.0), (2, 1.0), (3, None)], "id int, z double")
     r = spark.createDataFrame([(10, 0.5), (11, -0.5), (12, 0.51), (13, 1.75)], "id int, z double")
