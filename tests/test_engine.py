@@ -1,3 +1,4 @@
+import datetime as dt
 import math
 
 import numpy as np
@@ -393,3 +394,20 @@ def test_steep_fits_are_not_separated_ones(spark):
     for values, labels in (([1, 2, 3, 4], [0, 0, 1, 1]), ([0, 0, 0, 1, 1], [0, 1, 0, 1, 1])):  # apart, and one level with cases only
         with pytest.raises(RuntimeError, match="separable"):
             fit(values, labels)
+
+
+def test_copies_of_customers_spend_the_same(spark, tmp_path):
+    """A sum of doubles hangs on the order of the rows; copies of a customer whose orders lie in other files and orders are equal all the same."""
+    from cohortspark.plans import queries as core
+
+    prices = [0.1, 0.2, 0.3, 1e5 + 0.7, 2e5 + 0.1, 0.6]
+    for i in range(6):  # the i-th customer's orders turned by i, and one file for each order
+        rows = [(c * 10 + i, c, prices[(i + c) % 6], dt.datetime(2020, 1, 1)) for c in range(6)]
+        spark.createDataFrame(rows, "o_orderkey long, o_custkey long, o_totalprice double, o_orderdate timestamp").write.mode("append").parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame([(c, 1.0, "MACHINERY", 0) for c in range(7)], "c_custkey long, c_acctbal double, c_mktsegment string, c_nationkey int").write.parquet(f"{tmp_path}/customer.parquet")
+    spark.createDataFrame([(0, 0)], "n_nationkey int, n_regionkey int").write.parquet(f"{tmp_path}/nation.parquet")
+    spark.createDataFrame([(0, "ASIA")], "r_regionkey int, r_name string").write.parquet(f"{tmp_path}/region.parquet")
+    got = {r.unit_id: r.spend for r in core.customers(spark, str(tmp_path)).collect()}
+    assert got == {c: 300002.0 for c in range(6)} | {6: None}
+    wide = spark.createDataFrame([(0, 1e30), (0, 1.0), (1, None)], "k int, x double").groupBy("k").agg(core._exact_sum("x").alias("x"))
+    assert {r.k: r.x for r in wide.collect()} == {0: 1e30, 1: None}
