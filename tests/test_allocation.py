@@ -371,3 +371,38 @@ def test_every_pair_is_summed_up_by_classes_of_vectors(spark, tmp_path, monkeypa
     for q, r in got.items():
         d = np.sqrt(((wide[[i for i in range(12) if i % 3]] - wide[q % 12]) ** 2).sum(1))
         assert (r.n, r.low, r.high) == (80, round(d.min(), 5), round(d.max(), 5)) and r["mean"] == pytest.approx(d.mean(), abs=1e-5)
+
+
+def test_flat_growth_is_growth():
+    """All rows' next edges in one step end at the same horizons as edge by edge, with controls that rows outside hold."""
+    rng = np.random.default_rng(5)
+    for _ in range(40):
+        n_refs, needs = int(rng.integers(3, 25)), int(rng.integers(1, 4))
+        rows = [(rng.permutation(n_refs)[: rng.integers(1, n_refs + 1)],) for _ in range(int(rng.integers(1, 15)))]
+        rows = [(c, np.sort(rng.random(len(c)))) for (c,) in rows]
+        users = np.where(rng.random(n_refs) < 0.2, 2, 0)
+        expected, held = kernel.horizons(rows, n_refs, kernel.Rules(0.7, safe_matches=needs), users)
+        counted = users.copy()
+        start = np.cumsum([0, *(len(c) for c, _ in rows)])
+        got = kernel.horizons_flat(start, np.concatenate([c for c, _ in rows]), np.concatenate([d for _, d in rows]) <= 0.7, counted, needs)
+        assert got.tolist() == expected.tolist() and counted.tolist() == held.tolist()
+
+
+def test_long_lists_grow_in_one_call(spark, monkeypatch):
+    """Rows that take each other's safe controls one after another need no round of their own each, whatever the lists' length."""
+    n, k = 2600, 400
+    ranked = spark.range(n * k).select((F.col("id") / k).cast("long").alias("query_id"), (F.col("id") % k).alias("j"))
+    ranked = ranked.select("query_id", (F.when(F.col("j") < k - 1, F.col("j") + F.floor(F.col("query_id") / 2)).otherwise(10**6 + F.col("query_id"))).alias("ref_id"), (F.col("j") / k).alias("distance"), (F.col("j") + 1).cast("int").alias("rank"))
+    written, plain = [], allocate.saved
+    monkeypatch.setattr(allocate, "saved", lambda df, name: written.append(name) or plain(df, name))
+    state = allocate.grown(ranked, kernel.Rules(1.0))
+    assert ranked.count() > allocate.SHARD_EDGES and written == ["horizons"]
+    assert state.count() == n and state.where("horizon < 1 or horizon > length or length <> 400").count() == 0
+
+
+def test_all_lists_go_on_where_many_rows_do(spark):
+    edges = spark.range(40).select((F.col("id") / 4).cast("long").alias("query_id"), (F.col("id") % 4).alias("ref_id"), F.lit(4).cast("long").alias("asked"))
+    state = spark.range(10).select(F.col("id").alias("query_id"), F.when(F.col("id") < 2, 4).otherwise(1).alias("horizon"), F.lit(4).alias("length"))
+    assert allocate._short(edges, state, 8).count() == 10
+    assert allocate._short(edges, state.withColumn("horizon", F.lit(1)), 8) is None
+    assert allocate._short(edges, state, 4) is None
