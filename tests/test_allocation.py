@@ -406,3 +406,14 @@ def test_all_lists_go_on_where_many_rows_do(spark):
     assert allocate._short(edges, state, 8).count() == 10
     assert allocate._short(edges, state.withColumn("horizon", F.lit(1)), 8) is None
     assert allocate._short(edges, state, 4) is None
+
+
+def test_long_chain_is_labelled_in_one_task(spark, monkeypatch):
+    """Rows that are tied together one after another, on more edges than the driver takes."""
+    n, k = 4000, 150
+    edges = spark.range(n * k).select((F.col("id") / k).cast("long").alias("query_id"), ((F.col("id") / k).cast("long") * 100 + F.col("id") % k + F.when(F.col("id") >= n * k / 2, 10**6).otherwise(0)).alias("ref_id"))
+    written, plain = [], allocate.saved
+    monkeypatch.setattr(allocate, "saved", lambda df, name: written.append(name) or plain(df, name))
+    found = allocate.components(edges).select("query_id", "component").distinct()
+    got = {r.component: r.n for r in found.groupBy("component").agg(F.count("*").alias("n")).collect()}
+    assert got == {0: n // 2, n // 2: n // 2} and written == ["labels"] and edges.count() > allocate.DRIVER_EDGES
